@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seedspread.llm import bpe
+from seedspread.llm import bpe, mixing
 from seedspread.llm.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {"op1_bpe_round_trip": op1_bpe_round_trip}
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, and the target of its source."""
+    return mixing.mix_words(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op5_source_mix)}
 
 ORACLE_SQL: dict[str, str] = {}
