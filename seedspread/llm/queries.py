@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seedspread.llm import bpe, mixing
+from seedspread.llm import bpe, jaccard_join, mixing
 from seedspread.llm.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,11 +16,35 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and class of every document at a Jaccard similarity of 0.8 of five-word shingles."""
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, and the target of its source."""
     return mixing.mix_words(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op5_source_mix)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_ngram_jaccard_join, op5_source_mix)}
+
+#: Links by a self-join on shingles; classes by the least doc_id that links reach.
+_OP2_SQL = r"""
+with recursive
+words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> list_slice(w, i, i + 4)) when len(w) > 0 then [w] else [] end) as s
+  from words),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 5 * c >= 4 * (x.n + y.n - c)),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on l.a = r.b),
+classes as (select a as doc_id, min(b) as class_id from reach group by a),
+texts as (select d.doc_id, case when s.n is null then d.doc_id else min(d.doc_id) over (partition by d.text) end as copy_of, d.text from documents d left join sizes s using (doc_id)),
+counts as (select l.a as doc_id, count(*) as n_links, count(distinct case when x.text <> y.text then y.text end) as n_texts
+  from links l join documents x on x.doc_id = l.a join documents y on y.doc_id = l.b group by l.a)
+select t.doc_id, copy_of, coalesce(n_links, 0)::bigint as n_links, coalesce(n_texts, 0)::bigint as n_texts, class_id
+from texts t join classes using (doc_id) left join counts using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": _OP2_SQL}
