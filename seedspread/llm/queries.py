@@ -33,7 +33,7 @@ _OP2_SQL = r"""
 with recursive
 words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 sets as (
-  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> list_slice(w, i, i + 4)) when len(w) > 0 then [w] else [] end) as s
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: list_slice(w, i, i + 4)) when len(w) > 0 then [w] else [] end) as s
   from words),
 sizes as (select doc_id, count(*) as n from sets group by doc_id),
 common as (select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id group by all),
