@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seedspread.llm import bpe, jaccard_join, mixing
+from seedspread.llm import bpe, embedding_dedup, jaccard_join, mixing
 from seedspread.llm.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,12 +21,17 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding at a cosine of 0.9."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, and the target of its source."""
     return mixing.mix_words(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_ngram_jaccard_join, op5_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_ngram_jaccard_join, op4_embedding_near_dedup, op5_source_mix)}
 
 #: Links by a self-join on shingles; classes by the least doc_id that links reach.
 _OP2_SQL = r"""
@@ -47,4 +52,14 @@ select t.doc_id, copy_of, coalesce(n_links, 0)::bigint as n_links, coalesce(n_te
 from texts t join classes using (doc_id) left join counts using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": _OP2_SQL}
+_OP4_SQL = """
+with recursive
+unit as (select vec_id, embedding::double[] as v from embeddings),
+links as (select a.vec_id as a, b.vec_id as b from unit a join unit b on a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.9),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on l.a = r.b),
+counts as (select a, count(*) as n_links from links group by a)
+select r.a as vec_id, coalesce(any_value(n_links), 0)::bigint as n_links, min(r.b) as component_id, r.a = min(r.b) as kept
+from reach r left join counts c on c.a = r.a group by r.a
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": _OP2_SQL, "op4_embedding_near_dedup": _OP4_SQL}
