@@ -29,9 +29,11 @@ def deal(members: DataFrame, group: str, size: Column, member: str, block: int,
     return dealt.select(group, F.least("part", "_other").alias("low"), F.greatest("part", "_other").alias("high"), "part", *also)
 
 
-def gathered(dealt: DataFrame, group: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``run`` over the rows of ``dealt``, where the rows of a unit follow each other."""
-    return dealt.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high").mapInArrow(run, schema)
+def gathered(dealt: DataFrame, group: str, member: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``run`` over the rows of ``dealt``, where the rows of a unit follow each other, its least ``member`` first.
+
+    So the least row that links reach is the least member, and units that overlap name the same one."""
+    return dealt.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high", member).mapInArrow(run, schema)
 
 
 def units(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[tuple[pa.Table, np.ndarray]]:

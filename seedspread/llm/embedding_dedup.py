@@ -193,7 +193,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, key: st
     sizes = placed(reps, axes, width, dims).groupBy(F.xxhash64("cell").alias("cell_id")).agg(F.count(F.lit(1)).alias("n"))
     sized = members.join(F.broadcast(sizes), "cell_id")  # cells of a fixed grid: a few hundred
     dealt = blocks.deal(sized, "cell_id", F.col("n"), "rep", TILE, ["home", "rep", "copies", "v"])
-    found = checkpointed(blocks.gathered(dealt, "cell_id", linked(axes, threshold), "rep long, n_links long, near long"))
+    found = checkpointed(blocks.gathered(dealt, "cell_id", "rep", linked(axes, threshold), "rep long, n_links long, near long"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "rep")
     counts = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     known = reps.join(counts, "rep", "left").join(joined, "rep", "left").select(F.col("v").alias("of"), "rep", "copies", "n_links", "component")

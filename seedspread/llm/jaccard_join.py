@@ -162,7 +162,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     shared = checkpointed(shared.select("bucket", "n"))
     members = checkpointed(banded.join(small_side(shared), "bucket"))
     dealt = blocks.deal(members.join(own.select("rep", "signature"), "rep"), "bucket", F.col("n"), "rep", SIGNATURE_BLOCK, ["rep", "signature"])
-    links = checkpointed(blocks.gathered(dealt, "bucket", surviving, "a long, b long").distinct())
+    links = checkpointed(blocks.gathered(dealt, "bucket", "rep", surviving, "a long, b long").distinct())
 
     clusters = components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
@@ -170,7 +170,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text", F.unhex(F.md5("text")).alias("digest"))
     texts = texts.join(small_side(placed), ["rep", "digest"])
     dealt = blocks.deal(texts, "cluster", F.col("n"), "rep", TEXT_BLOCK, ["rep", "copies", "text"])
-    found = checkpointed(blocks.gathered(dealt, "cluster", verified(words, threshold), "rep long, n_links long, n_texts long, near long"))
+    found = checkpointed(blocks.gathered(dealt, "cluster", "rep", verified(words, threshold), "rep long, n_links long, n_texts long, near long"))
     classes = components(found.where("rep <> near").select(F.col("rep").alias("a"), F.col("near").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"), F.sum("n_texts").alias("n_texts"))
     known = reps.join(counts, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
