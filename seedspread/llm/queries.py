@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seedspread.llm import bpe, embedding_dedup, jaccard_join, mixing
+from seedspread.llm import bpe, embedding_dedup, jaccard_join, mixing, token_store
 from seedspread.llm.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,7 +31,12 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_ngram_jaccard_join, op4_embedding_near_dedup, op5_source_mix)}
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids in the token files, read back from them."""
+    return token_store.store_and_read(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_ngram_jaccard_join, op4_embedding_near_dedup, op5_source_mix, op6_token_files)}
 
 #: Links by a self-join on shingles; classes by the least doc_id that links reach.
 _OP2_SQL = r"""
