@@ -5,11 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seedspread.llm import bpe, embedding_dedup, jaccard_join, media, mixing, token_store
+from seedspread.llm import bpe, embedding_dedup, jaccard_join, language_id, media, mixing, token_store
 from seedspread.llm.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
+UNIGRAM_PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the BPE token ids of every document and of the text they decode to."""
@@ -41,7 +43,12 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_ngram_jaccard_join, op4_embedding_near_dedup, op5_source_mix, op6_token_files, op8_media_columns)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document's text, learned outside the held-out fold."""
+    return language_id.predicted(table(spark, sf_dir, "documents"), UNIGRAM_PIECES)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_ngram_jaccard_join, op4_embedding_near_dedup, op5_source_mix, op6_token_files, op8_media_columns, op10_language_id)}
 
 #: Links by a self-join on shingles; classes by the least doc_id that links reach.
 _OP2_SQL = r"""
