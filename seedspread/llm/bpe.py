@@ -25,8 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose encodings a worker keeps; beyond that it starts anew, so memory stays bounded.
-CACHE_WORDS = 500_000
+#: New words after which a worker forgets those that it has not met since the last time, so memory stays bounded.
+CACHE_WORDS = 250_000
 #: Text that is encoded at once, in characters.
 CHUNK_CHARS = 4_000_000
 
@@ -78,6 +78,7 @@ class TrieEncoder:
         self.longest = max(map(len, self.by_bytes))
         self.packed = {t: np.array([t], self.dtype).tobytes() for t in range(self.size)}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pattern = regex.compile(WORD)
         self.gap = regex.compile(rf" (?=[^{WHITE}])")
         self.odd_gap = regex.compile(rf" (?:[{WHITE}]|$)")
@@ -102,17 +103,14 @@ class TrieEncoder:
                 right, right_end = self.parts[right][0], right_made
 
     def apart(self, left: int, right: int) -> bool:
-        key = left << 24 | right
-        known = self._apart.get(key)
-        if known is None:
-            if len(self._apart) > 1_000_000:
-                self._apart.clear()
-            known = self._apart[key] = self._stay_apart(left, right)
+        if len(self._apart) > 1_000_000:
+            self._apart.clear()
+        known = self._apart[left << 24 | right] = self._stay_apart(left, right)
         return known
 
     def encode_words(self, words: list[bytes]) -> Iterator[list[int]]:
         """Token ids of sorted, distinct byte strings."""
-        lookup, apart, longest = self.by_bytes, self.apart, self.longest
+        lookup, longest, known, apart = self.by_bytes.get, self.longest, self._apart.get, self.apart
         before, states, starts = b"", [-1], [0]  # per depth of the trie: last token of the prefix, and where that token starts
         for word in words:
             depth, most = 0, min(len(before), len(word))
@@ -121,11 +119,16 @@ class TrieEncoder:
             del states[depth + 1 :], starts[depth + 1 :]
             for end in range(depth + 1, len(word) + 1):
                 for start in range(max(0, end - longest), end):
-                    token = lookup.get(word[start:end])
-                    if token is not None and (start == 0 or apart(states[start], token)):
-                        states.append(token)
-                        starts.append(start)
-                        break
+                    token = lookup(word[start:end])
+                    if token is None:
+                        continue
+                    if start:
+                        fits = known(states[start] << 24 | token)
+                        if fits is False or fits is None and not apart(states[start], token):
+                            continue
+                    states.append(token)
+                    starts.append(start)
+                    break
                 else:
                     raise ValueError(f"no token ends at {end} of {word!r}")
             before, ids, end = word, [], len(word)
@@ -136,14 +139,21 @@ class TrieEncoder:
             yield ids
 
     def learn(self, chunks: set[str]) -> None:
-        """Encodes chunks that are not known yet; a chunk may hold several words of the pattern."""
+        """Makes ``chunks`` known; a chunk may hold several words of the pattern."""
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        chunks = [c for c in chunks if c not in self.words]
-        several = {c: self.pattern.findall(c) for c in chunks if not (c[0] == " " and c[1:].isalpha() or c.isalpha())}
-        self._remember({c for c in chunks if c not in several} | {w for ws in several.values() for w in ws})
+            self.words, self.older = {}, self.words
+        new, words, older = [], self.words, self.older
+        for c in chunks:
+            if c not in words:
+                packed = older.get(c)
+                if packed is None:
+                    new.append(c)
+                else:
+                    words[c] = packed
+        several = {c: self.pattern.findall(c) for c in new if not (c[0] == " " and c[1:].isalpha() or c.isalpha())}
+        self._remember({c for c in new if c not in several} | {w for ws in several.values() for w in ws})
         for chunk, ws in several.items():
-            self.words[chunk] = b"".join(map(self.words.__getitem__, ws))
+            words[chunk] = b"".join(map(words.__getitem__, ws))
 
     def _remember(self, words: set[str]) -> None:
         ordered, packed = sorted(words), self.packed.__getitem__
