@@ -10,6 +10,8 @@ from seedspread.llm.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
+#: The same vocabulary as ranks.
+BYTE_BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 UNIGRAM_PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -35,7 +37,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids in the token files, read back from them."""
-    return token_store.store_and_read(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return token_store.store_and_read(table(spark, sf_dir, "documents"), BYTE_BPE_RANKS, public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,18 +14,20 @@ ordered by text. Null doc_ids come first. Texts are never cut; other columns don
 
 from __future__ import annotations
 
+import base64
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedspread.llm.bpe import encoder
 from seedspread.llm.session import shared_dir
 
 LENGTH = 2048
@@ -35,6 +37,14 @@ BATCH = 256
 ROWS = 500
 
 
+@lru_cache(maxsize=2)
+def encoding(ranks: str, pattern: str, special: tuple[tuple[str, int], ...]) -> tiktoken.Encoding:
+    """The encoding of a rank file, loaded once a worker."""
+    with open(ranks, "rb") as file:
+        merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens=dict(special))
+
+
 class ShardWriter:
     """Writes one shard; memory is bounded by a batch and the largest document."""
 
@@ -120,23 +130,24 @@ class ShardReader:
         return self.file.get_batch(batch).column("sequence")[at].values.to_numpy()
 
 
-def write(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0) -> list[tuple[str, int, int]]:
+def write(docs: DataFrame, uri: str, ranks: str, pattern: str, special: dict[str, int], end_id: int = 0) -> list[tuple[str, int, int]]:
     """Encodes ``docs`` (doc_id, text) and writes shards under ``uri``; (name, documents, tokens) of each in order.
 
+    ``ranks``, ``pattern``, ``special``: a byte-level BPE vocabulary as tiktoken reads it.
     ``uri``: a folder that all executors see, of any scheme that Arrow opens (file, hdfs, s3, gs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, name, writer = encoder(tokenizer), f"part-{TaskContext.get().partitionId():06d}", None
-        end = np.array([end_id], own.dtype)
+        own, name, writer = encoding(ranks, pattern, tuple(special.items())), f"part-{TaskContext.get().partitionId():06d}", None
+        end = np.array([end_id], np.uint16 if own.n_vocab <= 1 << 16 else np.uint32)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 if writer is None:
                     fs, base = pafs.FileSystem.from_uri(uri)
                     fs.create_dir(base, recursive=True)
-                    writer = ShardWriter(fs, f"{base}/{name}", own.dtype)
-                packed = own.encode([t or "" for t in part.column("text").to_pylist()])
-                writer.add(part.column("doc_id").to_pylist(), [np.concatenate([np.frombuffer(raw, own.dtype), end]) for raw in packed])
+                    writer = ShardWriter(fs, f"{base}/{name}", end.dtype)
+                ids = [own.encode_to_numpy(t or "", allowed_special="all") for t in part.column("text").to_pylist()]
+                writer.add(part.column("doc_id").to_pylist(), [np.append(i.astype(end.dtype), end) for i in ids])
         if writer is not None:
             n_docs, n_tokens = writer.close()
             yield pa.record_batch([pa.array([name]), pa.array([n_docs]), pa.array([n_tokens])], names=["shard", "n_docs", "n_tokens"])
@@ -168,9 +179,9 @@ def read_back(spark: SparkSession, uri: str, shards: list[tuple[str, int, int]])
     return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def store_and_read(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+def store_and_read(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int], end_id: int = 0) -> DataFrame:
     """Writes all documents to a new folder under the shared one and returns what ``read_back`` finds there."""
     spark = docs.sparkSession
     uri = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     uri = uri if "://" in uri else "file://" + uri.removeprefix("file:")
-    return read_back(spark, uri, write(docs, uri, tokenizer, end_id))
+    return read_back(spark, uri, write(docs, uri, ranks, pattern, special, end_id))
