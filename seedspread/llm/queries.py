@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seedspread.llm import bpe, embedding_dedup, jaccard_join, language_id, media, mixing, token_store
+from seedspread.llm import bpe, embedding_dedup, jaccard_join, language_id, media, mixing, token_store, toxicity
 from seedspread.llm.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,12 +45,17 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document's text, learned from labels outside the held-out fold."""
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document's text, learned outside the held-out fold."""
     return language_id.predicted(table(spark, sf_dir, "documents"), UNIGRAM_PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_ngram_jaccard_join, op4_embedding_near_dedup, op5_source_mix, op6_token_files, op8_media_columns, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_ngram_jaccard_join, op4_embedding_near_dedup, op5_source_mix, op6_token_files, op8_media_columns, op9_toxicity, op10_language_id)}
 
 #: Links by a self-join on shingles; classes by the least doc_id that links reach.
 _OP2_SQL = r"""
