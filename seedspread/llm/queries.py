@@ -5,13 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seedspread.llm import bpe, embedding_dedup, jaccard_join, language_id, media, mixing, token_store, toxicity
+from seedspread.llm import bpe, embedding_dedup, jaccard_join, language_id, license_scan, media, mixing, token_counts, token_store, toxicity
 from seedspread.llm.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 #: The same vocabulary as ranks.
 BYTE_BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_PIECES = public_tokenizers.path("word_bpe_49k.json")
 UNIGRAM_PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -25,6 +26,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that every document holds a notice of, with the place of the best match."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every embedding at a cosine of 0.9."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -40,6 +46,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(table(spark, sf_dir, "documents"), BYTE_BPE_RANKS, public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of greedy longest-match tokens of every document's text."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_PIECES).select("doc_id", "n_tokens")
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text as a stored image, read back through its page's reference."""
     return media.text_media(table(spark, sf_dir, "documents"))
@@ -55,7 +66,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(table(spark, sf_dir, "documents"), UNIGRAM_PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_ngram_jaccard_join, op4_embedding_near_dedup, op5_source_mix, op6_token_files, op8_media_columns, op9_toxicity, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe_round_trip,
+        op2_ngram_jaccard_join,
+        op3_license_scan,
+        op4_embedding_near_dedup,
+        op5_source_mix,
+        op6_token_files,
+        op7_token_counts,
+        op8_media_columns,
+        op9_toxicity,
+        op10_language_id,
+    )
+}
 
 #: Links by a self-join on shingles; classes by the least doc_id that links reach.
 _OP2_SQL = r"""

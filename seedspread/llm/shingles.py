@@ -84,13 +84,18 @@ def distinct(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     return [np.unique(part) for part in np.split(hashes, np.cumsum(counts)[:-1])]
 
 
+def minhash_values(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The 32-bit values of all shingles under each of ``size`` hash functions."""
+    for m in np.random.default_rng(13).integers(0, 1 << 63, size, np.uint64) << np.uint64(1) | np.uint64(1):
+        yield ((hashes * m) >> np.uint64(32)).astype(np.uint32)
+
+
 def minhash(hashes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """Signatures (texts x size, 32-bit) of texts with at least one shingle each."""
     starts = np.cumsum(counts) - counts
     out = np.empty((len(counts), size), np.uint32)
-    multipliers = np.random.default_rng(13).integers(0, 1 << 63, size, np.uint64) << np.uint64(1) | np.uint64(1)
-    for i, m in enumerate(multipliers):
-        out[:, i] = np.minimum.reduceat(((hashes * m) >> np.uint64(32)).astype(np.uint32), starts)
+    for i, values in enumerate(minhash_values(hashes, size)):
+        out[:, i] = np.minimum.reduceat(values, starts)
     return out
 
 
