@@ -24,8 +24,8 @@ without doc_id are scored and held out. Repeated rows score alike. Other columns
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from seedspread.llm.language_id import by_length, held_out
 from seedspread.llm.wordcache import WordCache
 
-TRAIN_TOXIC, TRAIN_CLEAN = 1500, 6000
-LANDMARKS = 256
+TRAIN_TOXIC, TRAIN_CLEAN = 1000, 4000
+LANDMARKS = 192
 DECAY, SPAN = 0.5, 5
 ROUNDS = 3
-#: Of a margin's violation, against the norm of the weights.
-COST = 100.0
+#: Of a violated margin against the norm of the weights, and how it grows with the number of texts that hold a toxic word.
+COST, GROWTH = 30.0, 0.6
 LONGEST, OVERLAP = 32, 10
 THRESHOLD = 0.3
 
@@ -171,21 +171,23 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -30, 30)))
 
 
-def train(texts: list[list[str]], toxic: np.ndarray, seed: int = 0) -> Machine | None:
-    """A machine from the distinct words of each text and the texts' labels; None if a class has no text."""
-    if not toxic.any() or toxic.all():
+def train(texts: Iterable[tuple[list[str], bool]], seed: int = 0) -> Machine | None:
+    """A machine from the distinct words of each text and its label; None if a class has no text."""
+    place: dict[str, int] = {}
+    held, labels = [], []
+    for words, y in texts:
+        held.append(np.array([place.setdefault(w, len(place)) for w in words if len(w) > 1], np.int32))
+        labels.append(y)
+    toxic = np.array(labels, bool)
+    if not toxic.any() or toxic.all() or not place:
         return None
     rng = np.random.default_rng(seed)
-    often = {1: Counter(), 0: Counter()}
-    for words, y in zip(texts, toxic, strict=True):
-        often[int(y)].update(words)
-    vocabulary = sorted(w for w in often[0] | often[1] if len(w) > 1)
-    place = {w: i for i, w in enumerate(vocabulary)}
-    bad, good = (np.array([often[y][w] for w in vocabulary], np.float64) for y in (1, 0))
+    vocabulary = list(place)
+    del place
+    bad, good = (np.bincount(np.concatenate([h for h, t in zip(held, toxic, strict=True) if t == y]), minlength=len(vocabulary)).astype(np.float64) for y in (True, False))
     n1, n0 = toxic.sum(), (~toxic).sum()
     share = (bad / n1 + 1e-12) / (bad / n1 + good / n0 + 1e-12)
     surprise = (bad / n1 - good / n0) / np.sqrt((bad / n1**2 + good / n0**2) + 1e-12)
-    held = [np.array([place[w] for w in words if w in place], np.int64) for words in texts]
     positive = (share > 0.97) & (bad >= 3) & (surprise > 3)
     if not positive.any():
         positive[np.argsort(-surprise, kind="stable")[:5]] = True
@@ -210,17 +212,18 @@ def train(texts: list[list[str]], toxic: np.ndarray, seed: int = 0) -> Machine |
         order = yes[np.argsort(-bad[yes], kind="stable")]
         chosen = np.concatenate([order[: LANDMARKS * 3 // 4], rng.choice(no, min(len(no), LANDMARKS // 4), replace=False)])
         landmarks = explicit([vocabulary[i] for i in chosen])
-        kernel = (landmarks @ landmarks.T).astype(np.float64)
+        kernel = np.float64(landmarks @ landmarks.T)
         level, axes = np.linalg.eigh(kernel)
         kept = level > 1e-6 * level.max()
         whiten = axes[:, kept] / np.sqrt(level[kept])
-        basis = (landmarks.T @ whiten).astype(np.float32)  # triples x features
+        basis = landmarks.T @ whiten.astype(np.float32)  # triples x features
         rows = np.concatenate([yes, no])
         x = project([vocabulary[i] for i in rows], basis)
         y = np.where(np.arange(len(rows)) < len(yes), 1.0, -1.0)
-        cost = np.where(y > 0, COST * np.sqrt(1 + bad[rows]), COST * (1 + np.log1p(good[rows])))
+        cost = np.where(y > 0, COST * (1 + bad[rows]) ** GROWTH, COST * (1 + np.log1p(good[rows])))
         w = squared_hinge(x, y, cost)
         machine = Machine(basis @ w[:-1], float(w[-1]))
+        del landmarks, basis, x
     value = machine.values(vocabulary)
     worst = np.array([value[rows].max() if len(rows) else machine.none for rows in held])
     machine.slope, machine.shift = logistic(worst, toxic.astype(np.float64))
@@ -247,8 +250,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Machine | N
             found = [words_of(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["toxic", "words"])
 
-    rows = picked.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(distinct_words, "toxic int, words array<string>").collect()
-    return train([r.words for r in rows], np.array([r.toxic == 1 for r in rows], bool))
+    rows = picked.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(distinct_words, "toxic int, words array<string>").toLocalIterator()
+    return train((r.words, r.toxic == 1) for r in rows)
 
 
 _caches: dict[int, WordCache] = {}
