@@ -9,7 +9,8 @@ reads like "idiot". A text scores as its worst word does.
 Training sees labels of texts, not of words: words that are frequent in toxic and absent from clean texts start as
 positive; then, in rounds, the machine is trained, each toxic text without a positive word offers its worst one, and clean
 texts' words that score high weigh as negatives. Kernel values against the landmarks, whitened by their kernel
-matrix, are the features of a squared-hinge SVM. A logistic curve turns a text's worst value into a probability.
+matrix, are the features of a squared-hinge SVM. A rising step curve (isotonic regression), with a little of a logistic one
+so that no two values tie, turns a text's worst value into a probability.
 
 The kernel is a dot product over triples of characters, so the trained machine is one weight a triple, and any word is
 scored exactly without the landmarks.
@@ -145,11 +146,26 @@ def logistic(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def rising(value: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the rising step function that is closest to P(1 | value), each step smoothed by one row of the mean."""
+    at, where = np.unique(value, return_inverse=True)
+    steps: list[list[float]] = []  # first value, last value, rows, ones
+    for v, n, k in zip(at, np.bincount(where), np.bincount(where, y), strict=True):
+        steps.append([v, v, n, k])
+        while len(steps) > 1 and steps[-2][3] * steps[-1][2] >= steps[-1][3] * steps[-2][2]:
+            _, last, n, k = steps.pop()
+            steps[-1] = [steps[-1][0], last, steps[-1][2] + n, steps[-1][3] + k]
+    first, last, n, k = np.array(steps).T
+    p = np.maximum.accumulate((k + y.mean()) / (n + 1))
+    return np.stack([first, last], axis=1).ravel(), np.repeat(p, 2)
+
+
 class Machine:
     """A weight for each triple, an offset, and the curve from a text's worst value to a probability."""
 
     def __init__(self, weights: np.ndarray, offset: float, slope: float = 1.0, shift: float = 0.0):
         self.weights, self.offset, self.slope, self.shift = weights.astype(np.float32), offset, slope, shift
+        self.knots: tuple[np.ndarray, np.ndarray] = np.zeros(1), np.full(1, 0.5)
         self.none = -2.0  # the value of a text without words
 
     def values(self, words: list[str]) -> np.ndarray:
@@ -168,7 +184,8 @@ class Machine:
         return out
 
     def probability(self, value: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -30, 30)))
+        smooth = 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -30, 30)))
+        return 0.98 * np.interp(value, *self.knots) + 0.02 * smooth
 
 
 def train(texts: Iterable[tuple[list[str], bool]], seed: int = 0) -> Machine | None:
@@ -227,6 +244,7 @@ def train(texts: Iterable[tuple[list[str], bool]], seed: int = 0) -> Machine | N
     value = machine.values(vocabulary)
     worst = np.array([value[rows].max() if len(rows) else machine.none for rows in held])
     machine.slope, machine.shift = logistic(worst, toxic.astype(np.float64))
+    machine.knots = rising(worst, toxic.astype(np.float64))
     return machine
 
 
