@@ -16,7 +16,6 @@ from __future__ import annotations
 import gc
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -25,10 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seedspread.llm.wordcache import live
+
 #: New words after which a worker forgets those that it has not met since the last time, so memory stays bounded.
 CACHE_WORDS = 250_000
 #: Text that is encoded at once, in characters.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 #: Fixed values of the byte-level scheme: the word pattern.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -203,12 +204,15 @@ def _by_size(texts: list[str]) -> Iterator[tuple[int, str]]:
         total += len(text)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> TrieEncoder:
     """One encoder, with its cache of words, per worker process."""
-    own = TrieEncoder(path)
-    gc.freeze()  # its tables live as long as the worker; the collector need not walk them again and again
-    return own
+
+    def make() -> TrieEncoder:
+        own = TrieEncoder(path)
+        gc.freeze()  # the collector need not walk its tables again and again
+        return own
+
+    return live(("bpe", path), make)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -252,9 +256,26 @@ def decode(docs: DataFrame, tokenizer: str, ids: str = "token_ids", into: str =
     return kept.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", into: tuple[str, str] = ("token_ids", "decoded")) -> DataFrame:
+    """``docs`` with the token ids of ``text`` and what they decode to: ``encode`` and ``decode`` in one worker."""
+    kept = docs.drop(*into)
+    schema = kept.withColumn(into[0], F.lit(None).cast("array<int>")).withColumn(into[1], F.lit(None).cast("string")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(tokenizer)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+                ids = [np.frombuffer(raw, own.dtype) for raw in own.encode(texts)]
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids), pa.array([own.decode(i) for i in ids], pa.string())], names=[*part.schema.names, *into])
+
+    return kept.mapInArrow(run, schema)
+
+
 def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of the ids of each text and of what they decode to."""
-    done = decode(encode(docs.select("doc_id", "text"), tokenizer).drop("text"), tokenizer)
+    done = round_trip(docs.select("doc_id", "text"), tokenizer)
     return done.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

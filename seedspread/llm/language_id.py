@@ -28,7 +28,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seedspread.llm.wordcache import WordCache
+from seedspread.llm.wordcache import WordCache, live
 
 TRAIN_DOCS = 400
 ROUNDS = 3
@@ -170,16 +170,14 @@ def learn(docs: DataFrame, vocabulary: list[str], text: str = "text", lang: str
     return languages, np.stack([fit(lattice, words[name] or {_START: 1.0}) for name in languages], axis=1)
 
 
-_caches: dict[int, WordCache] = {}
-
-
 def cached_words(number: int, vocabulary: list[str], table: np.ndarray) -> WordCache:
     """The worker's cache for one fitted table, by the number of its broadcast."""
-    if number not in _caches:
-        _caches.clear()
+
+    def make() -> WordCache:
         lattice = Lattice(vocabulary)
-        _caches[number] = WordCache(lambda words: log_probabilities(words, lattice, table), table.shape[1] + 1)
-    return _caches[number]
+        return WordCache(lambda words: log_probabilities(words, lattice, table), table.shape[1] + 1)
+
+    return live(("language", number), make)
 
 
 def identify(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -18,7 +18,6 @@ import json
 import re
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedspread.llm.bpe import byte_symbols
-from seedspread.llm.wordcache import WordCache
+from seedspread.llm.wordcache import WordCache, live
 
 END = "</w>"
 _RUNS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+|.", re.S)
@@ -93,10 +92,9 @@ class LongestMatch:
         return np.array([sum(self.count(run.encode()) for run in _RUNS.findall(w.lower())) for w in words], np.float32)[:, None]
 
 
-@lru_cache(maxsize=2)
 def cached_words(path: str) -> WordCache:
     """One automaton, with its cache of words, per worker process."""
-    return WordCache(LongestMatch(vocabulary(path)).counts, 1)
+    return live(("counts", path), lambda: WordCache(LongestMatch(vocabulary(path)).counts, 1))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "n_tokens") -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedspread.llm.language_id import by_length, held_out
-from seedspread.llm.wordcache import WordCache
+from seedspread.llm.wordcache import WordCache, live
 
 TRAIN_TOXIC, TRAIN_CLEAN = 1000, 4000
 LANDMARKS = 192
@@ -272,15 +272,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Machine | N
     return train((r.words, r.toxic == 1) for r in rows)
 
 
-_caches: dict[int, WordCache] = {}
-
-
 def cached_words(number: int, machine: Machine) -> WordCache:
     """The worker's cache for one machine, by the number of its broadcast."""
-    if number not in _caches:
-        _caches.clear()
-        _caches[number] = WordCache(lambda words: machine.values([plain(w) for w in words])[:, None], 1)
-    return _caches[number]
+    return live(("toxicity", number), lambda: WordCache(lambda words: machine.values([plain(w) for w in words])[:, None], 1))
 
 
 def score(docs: DataFrame, machine: Machine | None, text: str = "text", into: str = "score") -> DataFrame:

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 import numpy as np
 
 #: Words that are kept; beyond that the cache starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Characters of text that are looked up at once.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
+
+_live: dict = {}
+
+
+def live[T](key: tuple, make: Callable[[], T]) -> T:
+    """The one large state that a worker process keeps between tasks: another ``key`` drops it before ``make`` is called."""
+    if key not in _live:
+        _live.clear()
+        gc.collect()
+        _live[key] = make()
+    return _live[key]
 
 
 class WordCache:

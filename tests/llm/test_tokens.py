@@ -71,6 +71,8 @@ def test_bpe_keeps_columns_and_shares_prefixes(spark):
     out = bpe.encode(frame(spark), queries.BYTE_BPE)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_tokens", "token_ids"]
     assert bpe.round_trip_digests(frame(spark).limit(0), queries.BYTE_BPE).count() == 0
+    apart = bpe.decode(out, queries.BYTE_BPE).select("doc_id", "token_ids", "decoded")
+    assert sorted(apart.collect()) == sorted(bpe.round_trip(frame(spark), queries.BYTE_BPE).select("doc_id", "token_ids", "decoded").collect())
     own = bpe.TrieEncoder(queries.BYTE_BPE)
     words = sorted({b"token", b"tokens", b"tokenize", b"to", b"tokenized"})
     alone = [next(own.encode_words([w])) for w in words]
