@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seedspread.operators.graph import degrees, pagerank
 from seedspread.operators.paths import closure, reverse, vertices
 from seedspread.operators.probability import degree_discount, hash_coin
-from seedspread.operators.trees import activation, gains, on_path
+from seedspread.operators.trees import activation, gains, on_path, root_activation, walked, with_path
 from seedspread.session import checkpointed
 
 SEEDS = "rank int, vid long, gain double"
@@ -64,11 +64,11 @@ def claimed(mip: DataFrame, ranked: DataFrame) -> DataFrame:
     return first.agg(F.sum("p").alias("bound"))
 
 
-def _listed(spark, chosen: list[tuple[int, float]]) -> DataFrame:
+def listed(spark, chosen: list[tuple[int, float]]) -> DataFrame:
     return spark.createDataFrame([(i, v, float(g)) for i, (v, g) in enumerate(chosen, 1)], SEEDS)
 
 
-def _best(scores: DataFrame, taken: list[int]) -> tuple[int, float] | None:
+def pick(scores: DataFrame, taken: list[int]) -> tuple[int, float] | None:
     free = scores.where(~F.col("vid").isin(taken)) if taken else scores
     row = free.orderBy(F.desc("gain"), "vid").limit(1).collect()
     return (row[0].vid, row[0].gain) if row else None
@@ -81,11 +81,11 @@ def mia(edges: DataFrame, k: int, theta: float, roots: DataFrame | None = None)
     trees = closure(reverse(edges), theta, roots)
     chosen: list[tuple[int, float]] = []
     while len(chosen) < k:
-        best = _best(gains(activation(trees, [v for v, _ in chosen])), [v for v, _ in chosen])
+        best = pick(gains(activation(trees, [v for v, _ in chosen])), [v for v, _ in chosen])
         if best is None:
             break
         chosen.append(best)
-    return _listed(edges.sparkSession, chosen)
+    return listed(edges.sparkSession, chosen)
 
 
 def pmia(edges: DataFrame, k: int, theta: float, roots: DataFrame | None = None, compat_root: bool = False) -> DataFrame:
@@ -102,7 +102,7 @@ def pmia(edges: DataFrame, k: int, theta: float, roots: DataFrame | None = None,
     chosen: list[tuple[int, float]] = []
     while len(chosen) < k:
         seeds = [v for v, _ in chosen]
-        best = _best(gains(state.where(~F.col("s").isin(seeds)) if seeds else state), seeds)
+        best = pick(gains(state.where(~F.col("s").isin(seeds)) if seeds else state), seeds)
         if best is None:
             break
         new = best[0]
@@ -125,7 +125,50 @@ def pmia(edges: DataFrame, k: int, theta: float, roots: DataFrame | None = None,
         kept = touched.select(F.col("vid").alias("s"))
         trees = checkpointed(trees.join(kept, "s", "left_anti").unionByName(fresh))
         state = checkpointed(state.join(kept, "s", "left_anti").unionByName(activation(fresh, all_seeds, compat_root)))
-    return _listed(spark, chosen)
+    return listed(spark, chosen)
+
+
+def expansion(edges: DataFrame, k: int, theta: float, natives: DataFrame) -> DataFrame:
+    """rank, vid, gain: greedy on the natives' activation, evaluated on the union of the seeds' stored paths to each native.
+
+    A candidate's paths skip the chosen seeds; its gain is what they add to the stored ones (``with_path``). Every candidate's
+    gain is exact in every round: a lazy queue gives other seeds where a gain grows, as gains here aren't submodular. A tree is
+    built anew only if the new seed is in it; a native that no seed reaches adds its path's probability. Candidates are the
+    vertices that reach a native at first; they stay candidates, with gain 0, when seeds cut them off."""
+    spark = edges.sparkSession
+    edges = checkpointed(edges.select("src", "dst", "p"))
+    native = checkpointed(natives.select(F.col("vid").alias("v")).distinct())
+    trees = closure(edges, theta, vertices(edges).union(native).distinct())
+    candidates = checkpointed(trees.join(native, "v", "left_semi").select(F.col("s").alias("vid")).distinct())
+    stored = spark.createDataFrame([], "root long, v long, next long, edge_p double")
+    ap = spark.createDataFrame([], "root long, ap double")  # of natives that a seed reaches
+    chosen: list[tuple[int, float]] = []
+    while len(chosen) < k:
+        seeds = [v for v, _ in chosen]
+        reach = trees.join(native, "v", "left_semi").select("s", F.col("v").alias("root"), "p")
+        after = reach.join(ap, "root", "left_anti").select("s", "root", F.col("p").alias("ap"))
+        if seeds:
+            shared = checkpointed(reach.join(ap, "root", "left_semi").select("s", "root"))
+            links = checkpointed(with_path(walked(trees, shared), shared, stored))
+            after = after.unionByName(root_activation(shared, links, seeds))
+        after = checkpointed(after)
+        added = after.join(ap.withColumnRenamed("ap", "before"), "root", "left").withColumn("add", F.col("ap") - F.coalesce("before", F.lit(0.0)))
+        found = added.groupBy(F.col("s").alias("vid")).agg(F.sum("add").alias("gain"))
+        best = pick(candidates.join(found, "vid", "left").select("vid", F.coalesce("gain", F.lit(0.0)).alias("gain")), seeds)
+        if best is None:
+            break
+        new = best[0]
+        chosen.append(best)
+        if len(chosen) == k:
+            break
+        own = after.where(F.col("s") == new).select("s", "root", "ap")
+        path = walked(trees.where(F.col("s") == new), own).select("root", "v", "next", "edge_p")
+        stored = checkpointed(path.unionByName(stored.join(path, ["root", "v"], "left_anti")))
+        ap = checkpointed(own.select("root", "ap").unionByName(ap.join(own, "root", "left_anti")))
+        stale = checkpointed(trees.where(F.col("v") == new).select(F.col("s").alias("vid")))
+        fresh = closure(edges, theta, stale.where(F.col("vid") != new), avoid=[*seeds, new])
+        trees = checkpointed(trees.join(stale.select(F.col("vid").alias("s")), "s", "left_anti").unionByName(fresh))
+    return listed(spark, chosen)
 
 
 def degree_discount_seeds(edges: DataFrame, k: int, p: float = 0.01) -> DataFrame:
@@ -136,11 +179,11 @@ def degree_discount_seeds(edges: DataFrame, k: int, p: float = 0.01) -> DataFram
         taken = [v for v, _ in chosen]
         hits = edges.where(F.col("src").isin(taken)).groupBy(F.col("dst").alias("vid")).agg(F.count(F.lit(1)).alias("t")) if taken else degree.select("vid", F.lit(0).alias("t"))
         scores = degree.join(hits, "vid", "left").select("vid", degree_discount(F.col("degree"), F.coalesce("t", F.lit(0)), p).cast("double").alias("gain"))
-        best = _best(scores, taken)
+        best = pick(scores, taken)
         if best is None:
             break
         chosen.append(best)
-    return _listed(edges.sparkSession, chosen)
+    return listed(edges.sparkSession, chosen)
 
 
 def celf(edges: DataFrame, k: int, spread: Callable[[DataFrame], float], candidates: DataFrame) -> DataFrame:
@@ -161,7 +204,7 @@ def celf(edges: DataFrame, k: int, spread: Callable[[DataFrame], float], candida
             continue
         seeds = spark.createDataFrame([(v,) for v, _ in chosen] + [(vid,)], "vid long")
         queue[vid] = spread(seeds) - total, len(chosen) + 1
-    return _listed(spark, chosen)
+    return listed(spark, chosen)
 
 
 def overlap(one: DataFrame, two: DataFrame) -> DataFrame:

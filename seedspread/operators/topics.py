@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from seedspread.operators.paths import closure
 from seedspread.operators.probability import divergence, strongest_topic, topic
-from seedspread.operators.selection import mia
+from seedspread.operators.selection import listed, pick
+from seedspread.session import checkpointed
 
 
 def for_item(tedges: DataFrame, item: list[float]) -> DataFrame:
@@ -49,9 +50,55 @@ def nearest_sample(items: DataFrame, samples: DataFrame, most: float = 1.0, rows
     return items.select("qid").join(best, "qid", "left").select("qid", "b.sid", "b.distance")
 
 
+def activated(trees: DataFrame, edges: DataFrame, ap: DataFrame) -> DataFrame:
+    """s, v, tap: activation of each tree's vertices if its source is one more seed beside those that gave ``ap`` (v, ap).
+
+    One pass in nearest-first order (then fewest hops, then the least vertex): 1 - prod(1 - p(u, v) a(u)) over all in-neighbours,
+    with the new activation of those that came earlier in the tree and the old one of all others. Vertices whose earlier
+    in-neighbours are done are done together."""
+    place = F.struct(-F.col("p"), "hops", "v")
+    at = checkpointed(trees.select("s", "v", place.alias("place")))
+    rest = at.where("s <> v").join(edges.withColumnRenamed("dst", "v"), "v")
+    both = rest.join(at.select("s", F.col("v").alias("src"), F.col("place").alias("other")), ["s", "src"], "left")
+    both = checkpointed(both.join(ap.select(F.col("v").alias("src"), "ap"), "src", "left").select("s", "src", "v", "p", (F.col("other") < F.col("place")).alias("earlier"), F.coalesce("ap", F.lit(0.0)).alias("ap")))
+    earlier = F.coalesce("earlier", F.lit(False))
+    needs = both.where(earlier).select("s", "src", "v", "p")
+    left = both.groupBy("s", "v").agg(F.sum(earlier.cast("long")).alias("n"), F.product(F.when(earlier, 1.0).otherwise(1 - F.col("p") * F.col("ap"))).alias("rest"))
+    left, new = checkpointed(left), at.where("s = v").select("s", "v", F.lit(1.0).alias("tap"))
+    done = new
+    while not left.isEmpty():
+        come = needs.join(new.withColumnRenamed("v", "src"), ["s", "src"]).groupBy("s", "v").agg(F.count(F.lit(1)).alias("m"), F.product(1 - F.col("p") * F.col("tap")).alias("more"))
+        step = checkpointed(left.join(come, ["s", "v"], "left").select("s", "v", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), (F.col("rest") * F.coalesce("more", F.lit(1.0))).alias("rest")))
+        new, left = step.where("n = 0").select("s", "v", (1 - F.col("rest")).alias("tap")), step.where("n > 0")
+        done = done.unionByName(new)
+    return done
+
+
 def topic_greedy(tedges: DataFrame, item: list[float], k: int, theta: float) -> DataFrame:
-    """rank, vid, gain of the best seeds for an item."""
-    return mia(for_item(tedges, item), k, theta)
+    """rank, vid, gain of the best seeds for an item: what a candidate's one-pass activation (``activated``) adds to that of the
+    seeds before it, on its best paths past no seed. Every candidate is evaluated in every round; a lazy queue would need bounds
+    that hold, and path sums don't bound this gain."""
+    edges = checkpointed(for_item(tedges, item))
+    trees = closure(edges, theta)
+    ap = edges.sparkSession.createDataFrame([], "v long, ap double")
+    chosen: list[tuple[int, float]] = []
+    while len(chosen) < k:
+        seeds = [v for v, _ in chosen]
+        after = checkpointed(activated(trees, edges, ap))
+        added = after.join(ap, "v", "left").select(F.col("s").alias("vid"), (F.col("tap") - F.coalesce("ap", F.lit(0.0))).alias("add"))
+        best = pick(added.groupBy("vid").agg(F.sum("add").alias("gain")), seeds)
+        if best is None:
+            break
+        new = best[0]
+        chosen.append(best)
+        if len(chosen) == k:
+            break
+        own = after.where(F.col("s") == new).select("v", F.col("tap").alias("ap"))
+        ap = checkpointed(own.unionByName(ap.join(own, "v", "left_anti")))
+        stale = checkpointed(trees.where(F.col("v") == new).select(F.col("s").alias("vid")))
+        fresh = closure(edges, theta, stale.where(F.col("vid") != new), avoid=[*seeds, new])
+        trees = checkpointed(trees.join(stale.select(F.col("vid").alias("s")), "s", "left_anti").unionByName(fresh))
+    return listed(edges.sparkSession, chosen)
 
 
 def clusters(items: DataFrame, k: int, seed: int = 0, rounds: int = 20) -> tuple[DataFrame, DataFrame]:

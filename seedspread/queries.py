@@ -246,8 +246,8 @@ def location_estimate_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def location_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best seeds for the users of a rectangle, by exact gains on their trees."""
-    return _rounded(selection.mia(sources.ic_edges(spark, sf_dir), K, THETA, _natives(spark, sf_dir)), "gain")
+    """The best seeds for the users of a rectangle, by exact gains on the union of the seeds' paths to them."""
+    return _rounded(selection.expansion(sources.ic_edges(spark, sf_dir), K, THETA, _natives(spark, sf_dir)), "gain")
 
 
 @query()

@@ -194,3 +194,102 @@ def test_text_sources(spark, tmp_path):
     assert {(r.user_id, r.x, r.y) for r in sources.locations_file(spark, str(tmp_path / "l.loc")).collect()} == {(1, 4.0, 3.0), (2, 6.0, 5.0)}
     (tmp_path / "t.tedge").write_text("2 2\n0 1 0.5 0.25\n1 2 0.1 0\n")
     assert sources.topic_graph(spark, str(tmp_path / "t.tedge"), 2).count() == 2
+
+
+def nearest(rows, source, theta, seeds):
+    """Best paths past no seed: vertex -> (p, vertices from the source), nearest first."""
+    found, heap = {}, [(-1.0, 0, source, (source,))]
+    while heap:
+        p, hops, v, path = min(heap)
+        heap.remove((p, hops, v, path))
+        if v in found:
+            continue
+        found[v] = -p, path
+        heap += [(p * q, hops + 1, b, (*path, b)) for a, b, q in rows if a == v and b not in seeds and -p * q > theta]
+    return found
+
+
+def expansion_by_hand(rows, k, theta, natives):
+    of = {(u, v): p for u, v, p in rows}
+    stored, ap, chosen = {t: {} for t in natives}, dict.fromkeys(natives, 0.0), []
+
+    def merged(t, path):
+        return stored[t] | dict(zip(path, path[1:], strict=False))
+
+    def reached(t, after, seeds):
+        def of_vertex(x):
+            if x in seeds:
+                return 1.0
+            rest = 1.0
+            for y, at in after.items():
+                rest *= 1 - of_vertex(y) * of[y, x] if at == x else 1.0
+            return 1 - rest
+
+        return of_vertex(t)
+
+    for _ in range(k):
+        seeds, gains = [v for v, _ in chosen], {}
+        for s in sorted({x for u, v, _ in rows for x in (u, v)} - set(seeds)):
+            found = nearest(rows, s, theta, seeds)
+            gains[s] = sum(reached(t, merged(t, found[t][1]), [*seeds, s]) - ap[t] for t in natives if t in found)
+        new = min(gains, key=lambda s: (-round(gains[s], 12), s))
+        for t, (_, path) in nearest(rows, new, theta, seeds).items():
+            if t in natives:
+                stored[t] = merged(t, path)
+                ap[t] = reached(t, stored[t], [*seeds, new])
+        chosen.append((new, gains[new]))
+    return chosen
+
+
+def topic_by_hand(rows, k, theta):
+    everyone = sorted({x for u, v, _ in rows for x in (u, v)})
+    ap, chosen = dict.fromkeys(everyone, 0.0), []
+    for _ in range(k):
+        seeds, best = [v for v, _ in chosen], None
+        for s in everyone:
+            if s in seeds:
+                continue
+            now = ap | {s: 1.0}
+            for v in nearest(rows, s, theta, seeds):
+                if v != s:
+                    rest = 1.0
+                    for a, b, q in rows:
+                        rest *= 1 - q * now[a] if b == v else 1.0
+                    now[v] = 1 - rest
+            gain = sum(now.values()) - sum(ap.values())
+            if best is None or gain > best[0] + 1e-12:
+                best = gain, s, now
+        chosen.append((best[1], best[0]))
+        ap = best[2]
+    return chosen
+
+
+def untied_graph(seed, n=9, m=22):
+    rng = random.Random(seed)
+    return [(u, v, round(p * rng.uniform(0.9, 1.0), 9)) for u, v, p in random_graph(seed, n, m)]
+
+
+@pytest.mark.parametrize("seed", [4, 7])
+def test_expansion_matches_brute_force(spark, seed):
+    rows, natives = untied_graph(seed), [0, 2, 3, 5, 8]
+    got = selection.expansion(edges(spark, rows), 4, 0.05, spark.createDataFrame([(v,) for v in natives], "vid long")).orderBy("rank").collect()
+    want = expansion_by_hand(rows, 4, 0.05, natives)
+    assert [r.vid for r in got] == [v for v, _ in want] and [r.gain for r in got] == pytest.approx([g for _, g in want])
+
+
+def test_expansion_goes_round_chosen_seeds(spark):
+    # once 2 is a seed, 1 goes round it, by a way that is not in the trees of all best paths
+    rows = [(9, 2, 0.1), (1, 2, 0.95)] + [e for i in range(10, 16) for e in ((2, i, 0.6), (1, i + 10, 0.95), (i + 10, i, 0.55))]
+    natives = spark.createDataFrame([(v,) for v in range(10, 16)], "vid long")
+    got = selection.expansion(edges(spark, rows), 2, 0.05, natives).orderBy("rank").collect()
+    assert [(r.vid, round(r.gain, 6)) for r in got] == [(2, 3.6), (1, 1.254)]
+    assert [r.vid for r in selection.expansion(edges(spark, [(1, 2, 0.5)]), 3, 0.05, natives.where("vid = 10").union(spark.createDataFrame([(2,)], "vid long"))).orderBy("rank").collect()] == [2, 10, 1]
+
+
+@pytest.mark.parametrize("seed", [4, 7])
+def test_topic_greedy_matches_brute_force(spark, seed):
+    rows = untied_graph(seed)
+    te = spark.createDataFrame([(u, v, [p, 0.0]) for u, v, p in rows], "src long, dst long, w array<double>")
+    got = topics.topic_greedy(te, [1.0, 0.0], 4, 0.1).orderBy("rank").collect()
+    want = topic_by_hand(rows, 4, 0.1)
+    assert [r.vid for r in got] == [v for v, _ in want] and [r.gain for r in got] == pytest.approx([g for _, g in want])
