@@ -50,11 +50,13 @@ def admitted(found: DataFrame, queries: DataFrame, ratio: int = 1, most: int = 5
 
 
 def quadtree(users: DataFrame, cx: float = 0.0, cy: float = 0.0, hx: float = 1.0, hy: float = 1.0, capacity: int = 4, deepest: int = 20) -> DataFrame:
-    """user_id, path: a node keeps its first ``capacity`` users by id, others go on to its quadrant, half-open, NW NE SW SE."""
+    """user_id, path: a node keeps its first ``capacity`` users by id, others go on to its quadrant, half-open, NW NE SW SE.
+
+    A leaf at depth ``deepest`` keeps all users that come to it, however many share its point or its cell."""
     inside = in_box(F.col("x"), F.col("y"), *map(F.lit, (cx, cy, hx, hy)))
     here = users.where(inside).select("user_id", "x", "y", F.lit("").alias("path"), *[F.lit(float(v)).alias(n) for n, v in (("cx", cx), ("cy", cy), ("hx", hx), ("hy", hy))])
     kept = None
-    for _ in range(deepest + 1):
+    for _ in range(deepest):
         # a limit on the rank is applied before the shuffle, so a cell with all users is not sorted in one task
         first = here.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy("user_id"))).where(F.col("rank") <= capacity)
         stay = checkpointed(first.select("user_id", "path"))
@@ -71,4 +73,5 @@ def quadtree(users: DataFrame, cx: float = 0.0, cy: float = 0.0, hx: float = 1.0
         here = checkpointed(here)
         if here.isEmpty():
             return kept
-    raise ValueError(f"more than {capacity} users share a point at depth {deepest}")
+    last = here.select("user_id", "path")
+    return last if kept is None else kept.unionByName(last)

@@ -177,6 +177,14 @@ def test_quadtree_keeps_each_user_once(spark):
     assert sorted(r.user_id for r in found if r.path == "") == [0, 1, 2, 3]
 
 
+def test_quadtree_keeps_all_users_of_one_point(spark):
+    users = spark.createDataFrame([(i, 0.3, 0.3) for i in range(60)] + [(99, -0.5, 0.5)], "user_id long, x double, y double")
+    found = spatial.quadtree(users, capacity=2, deepest=3).collect()
+    assert sorted(r.user_id for r in found) == [*range(60), 99]
+    assert sorted(r.user_id for r in found if r.path == "NESWNE") == list(range(6, 60)) and max(len(r.path) for r in found) == 6
+    assert sorted((r.user_id, r.path) for r in spatial.quadtree(users, capacity=2, deepest=0).collect()) == [(i, "") for i in [*range(60), 99]]
+
+
 def test_topics(spark):
     te = spark.createDataFrame([(1, 2, [0.5, 0.5]), (2, 1, [0.0, 0.9]), (2, 3, [2.0, 0.0])], "src long, dst long, w array<double>")
     assert {(r.src, r.dst): r.p for r in topics.for_item(te, [1.0, 0.0]).collect()} == {(1, 2): 0.5, (2, 3): 1.0}
