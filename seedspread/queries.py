@@ -157,6 +157,12 @@ def pagerank_five_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(graph.pagerank(sources.ic_edges(spark, sf_dir), tolerance=-1.0, rounds=_ROUNDS), "rank")
 
 
+@query()
+def pagerank_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks at the fixed point; ``pagerank_five_rounds`` is its first rounds, as SQL can unroll them."""
+    return _rounded(graph.pagerank(selection.checkpointed(sources.ic_edges(spark, sf_dir))), "rank")
+
+
 @query(f"with recursive {_EDGES}, {_closure_sql()} select s, t as v, round(p, 6) as p from mip")
 def bounded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_mip(spark, sf_dir).select("s", "v", "p"), "p")
@@ -276,6 +282,26 @@ def weighted_degree_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(selection.top(degrees, 10, "weighted"), "weighted")
 
 
+@query()
+def pagerank_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(selection.by_pagerank(selection.checkpointed(sources.ic_edges(spark, sf_dir)), 10), "score")
+
+
+@query()
+def claimed_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the natives' best ten vertices alone reach at least together."""
+    reach = _mip(spark, sf_dir).join(_natives(spark, sf_dir).withColumnRenamed("vid", "v"), "v", "left_semi")
+    ranked = selection.top(_rounded9(selection.first_gains(reach)), 10, "gain")
+    return _rounded(selection.claimed(reach, ranked), "bound")
+
+
+@query()
+def seed_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the best ten by degree that are among the best ten by PageRank."""
+    e = selection.checkpointed(sources.ic_edges(spark, sf_dir))
+    return selection.overlap(selection.by_degree(e, 10), selection.by_pagerank(e, 10))
+
+
 @query(f"with {_EDGES}, d as (select vid, concat('0x', substr(md5(concat(0, '-', vid)), 1, 8))::bigint / 4294967296.0 as coin from v) select row_number() over (order by coin desc, vid)::int as rank, vid, round(coin, 6) as coin from d qualify rank <= 10")
 def random_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(selection.at_random(sources.ic_edges(spark, sf_dir), 10), "coin")

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seedspread import sources
+from seedspread import queries, sources
 from seedspread.operators import graph, paths, selection, spatial, spread, topics, trees
 
 
@@ -133,6 +133,32 @@ def test_components_and_statistics(spark):
     assert (row.n, row.m, row.components, row.largest_component) == (32, 30, 2, 30)
 
 
+def test_pagerank_runs_to_its_fixed_point(spark):
+    rows = [(v, v + 1, 0.5) for v in range(1, 9)] + [(9, 1, 0.5), (9, 4, 0.25), (2, 7, 0.75)]
+    total = {}
+    for _, v, p in rows:
+        total[v] = total.get(v, 0.0) + p
+    want = dict.fromkeys(range(1, 10), 1.0)
+    for _ in range(2000):
+        want = {v: 0.15 + 0.85 * sum(want[b] * p / total[b] for a, b, p in rows if a == v) for v in want}
+    e = edges(spark, rows)
+    got = {r.vid: r.rank for r in graph.pagerank(e).collect()}
+    assert got == pytest.approx(want, abs=0.01)
+    five = {r.vid: r.rank for r in graph.pagerank(e, tolerance=-1.0, rounds=5).collect()}
+    assert max(abs(five[v] - want[v]) for v in want) > 0.05
+    best = sorted(want, key=lambda v: (-want[v], v))[:3]
+    assert [r.vid for r in selection.by_pagerank(e, 3).orderBy("rank").collect()] == best
+    assert {"pagerank_ranks", "pagerank_seeds", "claimed_bound", "seed_overlap"} <= set(queries.QUERIES)
+
+
+def test_claims_and_overlap(spark):
+    mip = spark.createDataFrame([(1, 5, 0.2), (1, 6, 0.5), (2, 5, 0.9), (2, 7, 0.3), (3, 8, 1.0)], "s long, v long, p double")
+    ranked = spark.createDataFrame([(1, 1), (2, 2)], "rank int, vid long")
+    assert selection.claimed(mip, ranked).first().bound == pytest.approx(0.2 + 0.5 + 0.3)
+    other = spark.createDataFrame([(1, 2), (2, 9), (3, 4)], "rank int, vid long")
+    assert selection.overlap(ranked, other).first().accuracy == 0.5
+
+
 def test_spread(spark):
     sure = edges(spark, [(1, 2, 1.0), (2, 3, 1.0), (3, 4, 0.0)])
     seed = spark.createDataFrame([(1,)], "vid long")
