@@ -5,8 +5,9 @@ cut it into pieces, of the product of their probabilities: a forward pass over t
 the sum over its words; the language with the highest wins, and the score is its share among all languages (uniform prior).
 
 The probabilities are fitted by expectation maximisation (the same pass, forward and backward) on at most about
-``TRAIN_DOCS`` texts of each language, picked by a hash of the text among the rows that may be learned from. All else covers
-whole texts of all documents. Words are scored in bulk, by length, and kept for a worker's next batches.
+``TRAIN_DOCS`` distinct texts of each language with letters, at least one, picked by a hash of the text among the rows that may
+be learned from; copies count once. Pieces of more than ``PIECE`` characters are left out of the vocabulary, so longer ones are
+summed over as shorter pieces. All else covers whole texts of all documents. Words are scored in bulk, by length, and kept for a worker's next batches.
 
 Words are runs of letters, in lower case, after a mark for their start; one of more than ``LONGEST`` letters counts as
 several. A letter outside the vocabulary counts as a piece of its own with a fixed small probability.
@@ -154,14 +155,17 @@ def fit(lattice: Lattice, counts: dict[str, float]) -> np.ndarray:
 
 def learn(docs: DataFrame, vocabulary: list[str], text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and their table of piece probabilities, from rows that are not held out and have a language."""
-    known = docs.where(~held_out() & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r.lang: r.n for r in known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages = sorted(counts)
+    known = docs.where(~held_out() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    known = known.withColumn("hash", F.xxhash64("text"))
+    draw = F.pmod("hash", F.lit(1 << 20)) / float(1 << 20)
+    found = known.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("least")).collect()
+    languages = sorted(r.lang for r in found)
     if not languages:
         return [], np.zeros((len(vocabulary) + 1, 0))
-    share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, TRAIN_DOCS / counts[name]))])
-    draw = F.pmod(F.xxhash64(text), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.where(draw < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
+    limit = {r.lang: (min(1.0, TRAIN_DOCS / r.n), r.least) for r in found}
+    share, least = (F.create_map(*[F.lit(x) for name in languages for x in (name, limit[name][i])]) for i in (0, 1))
+    drawn = known.where((draw < share[F.col("lang")]) | (draw == least[F.col("lang")])).select("lang", "text").distinct()
+    sample = drawn.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
     words: dict[str, dict[str, float]] = {name: defaultdict(float) for name in languages}
     for r in sample.where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
         for part in parts(r.word):

@@ -130,3 +130,25 @@ def test_language_cases(spark):
     untaught = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language_id.predicted(untaught, queries.UNIGRAM_PIECES).collect()} == {"und"}
     assert language_id.predicted(docs.limit(0), queries.UNIGRAM_PIECES).count() == 0
+
+
+def test_language_learns_from_distinct_texts(spark, monkeypatch):
+    """Copies neither hide a language's texts from the sample nor weigh more than one text."""
+    english = [f"the cat sat on the mat and looked at the house number {w}" for w in ("one", "two", "three", "four", "five", "six", "seven", "eight")]
+    german = [f"der Hund und die Katze gehen durch das Haus und sehen {w}" for w in ("eins", "zwei", "drei", "vier", "sieben", "acht", "neun", "zehn")]
+    found = spark.createDataFrame([(t,) for t in german], "text string").select("text", (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)).alias("draw")).collect()
+    late = [r.text for r in found if r.draw > 0.25]
+    assert late
+    once = [(t, "en") for t in english] + [(t, "de") for t in late]
+    # 3000 copies or more of each text: a share of the rows draws none of them
+    copies = [(t, lang) for t, lang in once for _ in range(3000 if lang == "de" else 3)]
+    learned = spark.range(99).withColumnRenamed("id", "doc_id").where(~language_id.held_out()).first().doc_id
+    frame = lambda rows: spark.createDataFrame(rows, "text string, lang string").withColumn("doc_id", F.lit(learned))
+    vocabulary = language_id.pieces(queries.UNIGRAM_PIECES)
+    names, table = language_id.learn(frame(once), vocabulary)
+    assert names == ["de", "en"]
+    assert np.allclose(language_id.learn(frame(copies), vocabulary)[1], table)
+    monkeypatch.setattr(language_id, "TRAIN_DOCS", 0)
+    few = language_id.learn(frame(copies), vocabulary)[1]
+    start = np.append(language_id.fit(language_id.Lattice(vocabulary), {"▁": 1.0})[:-1], 0.0)
+    assert not any(np.allclose(few[:, i], start) for i in range(2))
