@@ -4,7 +4,8 @@ The encoding of any prefix of a word is fixed by its *last* token: the encoding
 ``w[:i - len(t)]`` followed by ``t``, where ``t`` is the only vocabulary token that ends at ``i`` and that byte-pair
 merging would leave beside the last token before it. So one state (the last token) per prefix is enough. The distinct
 words of a batch are put in a trie - sorted, so that a stack of states is a depth-first walk - and the states of a
-shared prefix are computed once.
+shared prefix are computed once. An automaton over the vocabulary (a trie with failure links) names the longest token that
+ends at a position, and each token names the next shorter one that is its suffix, so only tokens that do end there are tried.
 
 Rows: a null text counts as empty and has no tokens. Texts of any length are encoded whole, each row on its own, so
 repeated rows, ties and extra columns do not matter. Special tokens' strings in a text become their ids, as in the
@@ -14,7 +15,9 @@ tokenizers library with its defaults.
 from __future__ import annotations
 
 import gc
+import hashlib
 import json
+from collections import deque
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -27,7 +30,11 @@ from pyspark.sql import functions as F
 from seedspread.llm.wordcache import live
 
 #: New words after which a worker forgets those that it has not met since the last time, so memory stays bounded.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
+#: Longest chunk that is kept; longer ones are encoded each time.
+CACHE_CHARS = 200
+#: Pairs of tokens, and automaton steps beside the vocabulary's own, that are remembered.
+CACHE_PAIRS, CACHE_STEPS = 250_000, 200_000
 #: Text that is encoded at once, in characters.
 CHUNK_CHARS = 1_000_000
 
@@ -75,10 +82,9 @@ class TrieEncoder:
                     self.whole.add(token)
             elif self.whole.issuperset(self.parts[token]) and self._stay_apart(*self.parts[token], self.made[token]):
                 self.whole.add(token)
-        self.by_bytes = {self.pieces[t]: t for t in self.whole}
-        self.longest = max(map(len, self.by_bytes))
+        self.automaton()
         self.packed = {t: np.array([t], self.dtype).tobytes() for t in range(self.size)}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # ids of words, and of what follows a space with that space
         self.older: dict[str, bytes] = {}
         self.pattern = regex.compile(WORD)
         self.gap = regex.compile(rf" (?=[^{WHITE}])")
@@ -104,38 +110,87 @@ class TrieEncoder:
                 right, right_end = self.parts[right][0], right_made
 
     def apart(self, left: int, right: int) -> bool:
-        if len(self._apart) > 1_000_000:
+        if len(self._apart) > CACHE_PAIRS:
             self._apart.clear()
         known = self._apart[left << 24 | right] = self._stay_apart(left, right)
         return known
 
+    def automaton(self) -> None:
+        """The trie of the vocabulary: steps (node, byte) -> node, failure links, and the longest token that ends at a node."""
+        self.steps: dict[int, int] = {}
+        nodes, ends = 1, {}
+        for token in self.whole:
+            node = 0
+            for byte in self.pieces[token]:
+                key = node << 8 | byte
+                if key not in self.steps:
+                    self.steps[key] = nodes
+                    nodes += 1
+                node = self.steps[key]
+            ends[node] = token
+        below: list[list[int]] = [[] for _ in range(nodes)]
+        for key in self.steps:
+            below[key >> 8].append(key)
+        self.fail, self.ends_with = [0] * nodes, [-1] * nodes
+        self.lengths, self.shorter = [0] * self.size, [-1] * self.size
+        queue = deque([0])
+        while queue:
+            node = queue.popleft()
+            for key in below[node]:
+                child, at = self.steps[key], self.fail[node]
+                if node:
+                    while at and at << 8 | key & 255 not in self.steps:
+                        at = self.fail[at]
+                    self.fail[child] = self.steps.get(at << 8 | key & 255, 0)
+                self.ends_with[child] = ends.get(child, self.ends_with[self.fail[child]])
+                queue.append(child)
+        for node, token in ends.items():
+            self.lengths[token], self.shorter[token] = len(self.pieces[token]), self.ends_with[self.fail[node]]
+        self.learned: dict[int, int] = {}  # steps by way of failure links, remembered as they come up
+
+    def follow(self, key: int) -> int:
+        """The step ``key`` (node << 8 | byte), by way of failure links if the trie has none."""
+        node, steps = key >> 8, self.steps
+        while node and node << 8 | key & 255 not in steps:
+            node = self.fail[node]
+        if len(self.learned) > CACHE_STEPS:
+            self.learned.clear()
+        to = self.learned[key] = steps.get(node << 8 | key & 255, 0)
+        return to
+
     def encode_words(self, words: list[bytes]) -> Iterator[list[int]]:
         """Token ids of sorted, distinct byte strings."""
-        lookup, longest, known, apart = self.by_bytes.get, self.longest, self._apart.get, self.apart
-        before, states, starts = b"", [-1], [0]  # per depth of the trie: last token of the prefix, and where that token starts
+        known, apart, step, learned, follow = self._apart.get, self.apart, self.steps.get, self.learned.get, self.follow
+        ends_with, shorter, lengths = self.ends_with, self.shorter, self.lengths
+        before, nodes, states = b"", [0], [-1]  # per depth of the trie: the automaton's node, and the last token of the prefix
         for word in words:
             depth, most = 0, min(len(before), len(word))
             while depth < most and before[depth] == word[depth]:
                 depth += 1
-            del states[depth + 1 :], starts[depth + 1 :]
+            del nodes[depth + 1 :], states[depth + 1 :]
+            node = nodes[depth]
             for end in range(depth + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = lookup(word[start:end])
-                    if token is None:
-                        continue
-                    if start:
-                        fits = known(states[start] << 24 | token)
-                        if fits is False or fits is None and not apart(states[start], token):
-                            continue
-                    states.append(token)
-                    starts.append(start)
-                    break
-                else:
+                key = node << 8 | word[end - 1]
+                node = step(key) or learned(key) or follow(key)
+                token = ends_with[node]
+                start = end - lengths[token]
+                while start:
+                    fits = known(states[start] << 24 | token)
+                    if fits or fits is None and apart(states[start], token):
+                        break
+                    token = shorter[token]
+                    if token < 0:
+                        raise ValueError(f"no token ends at {end} of {word!r}")
+                    start = end - lengths[token]
+                if token < 0:
                     raise ValueError(f"no token ends at {end} of {word!r}")
+                nodes.append(node)
+                states.append(token)
             before, ids, end = word, [], len(word)
             while end:
-                ids.append(states[end])
-                end = starts[end]
+                token = states[end]
+                ids.append(token)
+                end -= lengths[token]
             ids.reverse()
             yield ids
 
@@ -186,15 +241,34 @@ class TrieEncoder:
             out += [b"".join([self.packed[x] if isinstance(x, int) else b"".join(map(get, x)) for x in row]) for row in rows]
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of token ids; bytes that are no UTF-8 become replacement characters."""
-        if not hasattr(self, "spelled"):
-            self.spelled = [b""] * self.size
+    def spellings(self) -> pa.Array:
+        """The bytes of each id; none for an id that the vocabulary lacks."""
+        if not hasattr(self, "_spelled"):
+            spelled = [b""] * self.size
             for token, raw in self.pieces.items():
-                self.spelled[token] = raw
+                spelled[token] = raw
             for text, token in self.added.items():
-                self.spelled[token] = text.encode()
-        return b"".join(map(self.spelled.__getitem__, ids.tolist())).decode("utf-8", "replace")
+                spelled[token] = text.encode()
+            self._spelled = pa.array(spelled, pa.large_binary())
+        return self._spelled
+
+    def decimals(self) -> pa.Array:
+        """Each id in decimal digits, with a comma after it."""
+        if not hasattr(self, "_decimals"):
+            self._decimals = pa.array([b"%d," % i for i in range(self.size)], pa.large_binary())
+        return self._decimals
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of token ids; bytes that are no UTF-8 become replacement characters."""
+        return bytes(joined(self.spellings(), ids, np.array([0, len(ids)]))[0]).decode("utf-8", "replace")
+
+
+def joined(table: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> list[memoryview]:
+    """The entries of ``table`` at ``ids``, strung together for each stretch between two of ``offsets``."""
+    taken = table.take(pa.array(ids))
+    ends = np.frombuffer(taken.buffers()[1], np.int64, len(ids) + 1)[offsets].tolist()
+    data = memoryview(taken.buffers()[2] or b"")
+    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _by_size(texts: list[str]) -> Iterator[tuple[int, str]]:
@@ -215,11 +289,26 @@ def encoder(path: str) -> TrieEncoder:
     return live(("bpe", path), make)
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
-    values = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+def _flat(own: TrieEncoder, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all texts, one after the other, and where each begins (with the end)."""
+    packed = own.encode([t or "" for t in texts])
+    offsets = np.zeros(len(packed) + 1, np.int64)
+    np.cumsum([len(p) // own.dtype.itemsize for p in packed], out=offsets[1:])
+    return np.frombuffer(b"".join(packed), own.dtype), offsets
+
+
+def _lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+
+def _decoded(own: TrieEncoder, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+    return [bytes(raw).decode("utf-8", "replace") for raw in joined(own.spellings(), ids, offsets)]
+
+
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "token_ids") -> DataFrame:
@@ -231,12 +320,9 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "tok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
-                ids = [np.frombuffer(raw, own.dtype) for raw in own.encode(texts)]
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], names=[*part.schema.names, into])
+        for part in _parts(batches):
+            ids, offsets = _flat(own, part.column(part.schema.get_field_index(text)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids, offsets)], names=[*part.schema.names, into])
 
     return kept.mapInArrow(run, schema)
 
@@ -248,10 +334,12 @@ def decode(docs: DataFrame, tokenizer: str, ids: str = "token_ids", into: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            texts = [own.decode(np.asarray(x.values) if x.is_valid else np.zeros(0, np.int32)) for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
+        for part in _parts(batches):
+            lists = part.column(part.schema.get_field_index(ids))
+            offsets = np.zeros(len(lists) + 1, np.int64)
+            np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), out=offsets[1:])
+            texts = _decoded(own, lists.flatten().to_numpy(zero_copy_only=False), offsets)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])
 
     return kept.mapInArrow(run, schema)
 
@@ -263,22 +351,27 @@ def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", into: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
-                ids = [np.frombuffer(raw, own.dtype) for raw in own.encode(texts)]
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids), pa.array([own.decode(i) for i in ids], pa.string())], names=[*part.schema.names, *into])
+        for part in _parts(batches):
+            ids, offsets = _flat(own, part.column(part.schema.get_field_index(text)).to_pylist())
+            columns = [*part.columns, _lists(ids, offsets), pa.array(_decoded(own, ids, offsets), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *into])
 
     return kept.mapInArrow(run, schema)
 
 
 def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of the ids of each text and of what they decode to."""
-    done = round_trip(docs.select("doc_id", "text"), tokenizer)
-    return done.select(
-        "doc_id",
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of the ids of each text and of what they decode to.
+
+    As ``round_trip``, but ids and decoded texts are digested where they are made and stay in the worker."""
+    kept = docs.select("doc_id", "text")
+    schema = kept.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(tokenizer)
+        for part in _parts(batches):
+            ids, offsets = _flat(own, part.column("text").to_pylist())
+            listed = [hashlib.sha256(raw[:-1]).hexdigest() for raw in joined(own.decimals(), ids, offsets)]
+            decoded = [hashlib.sha256(t.encode()).hexdigest() for t in _decoded(own, ids, offsets)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(listed), pa.array(decoded)], names=schema.names)
+
+    return kept.mapInArrow(run, schema)
