@@ -18,7 +18,7 @@ import gc
 import hashlib
 import json
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Collection, Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -29,10 +29,8 @@ from pyspark.sql import functions as F
 
 from seedspread.llm.wordcache import live
 
-#: New words after which a worker forgets those that it has not met since the last time, so memory stays bounded.
-CACHE_WORDS = 100_000
-#: Longest chunk that is kept; longer ones are encoded each time.
-CACHE_CHARS = 200
+#: Of the cache of a ``ChunkEncoder``.
+CACHE_BYTES, ENTRY = 32_000_000, 200
 #: Pairs of tokens, and automaton steps beside the vocabulary's own, that are remembered.
 CACHE_PAIRS, CACHE_STEPS = 250_000, 200_000
 #: Text that is encoded at once, in characters.
@@ -52,7 +50,69 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class TrieEncoder:
+class ChunkEncoder:
+    """Cuts texts for a byte-level vocabulary and remembers the ids of stretches that come up again.
+
+    ``encode_new`` of a subclass encodes stretches; ``added``: special tokens' strings and ids; ``size``: of the vocabulary;
+    ``most``: bytes of new stretches (``ENTRY`` more for each) after which those are forgotten that have not come up since the last time."""
+
+    def __init__(self, added: dict[str, int], size: int, most: int = CACHE_BYTES):
+        self.added, self.size, self.most = added, size, most
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+        self.pattern = regex.compile(WORD)
+        self.gap = regex.compile(rf" (?=[^{WHITE}])")
+        self.odd_gap = regex.compile(rf" (?:[{WHITE}]|$)")
+        self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
+
+    def encode_new(self, chunks: set[str]) -> Iterator[tuple[Collection[str], Iterable[bytes]]]:
+        """``chunks``, and parts of them that are worth keeping, and the packed ids of each."""
+        raise NotImplementedError
+
+    def learn(self, chunks: set[str]) -> None:
+        """Makes ``chunks`` known; a chunk may hold several words of the pattern."""
+        if self.held > self.most:
+            self.words, self.older, self.held = {}, self.words, 0
+        new = chunks.difference(self.words)
+        back = new & self.older.keys()
+        self._keep(back, map(self.older.__getitem__, back))
+        for some, packed in self.encode_new(new - back):
+            self._keep(some, packed)
+
+    def _keep(self, chunks: Collection[str], packed: Iterable[bytes]) -> None:
+        packed = list(packed)
+        self.words.update(zip(chunks, packed, strict=True))
+        self.held += sum(map(len, chunks)) + sum(map(len, packed)) + ENTRY * len(packed)
+
+    def chunks(self, text: str) -> list[str]:
+        """Splits before each single space that a word follows: always a border of words, and far cheaper than the pattern."""
+        first, *rest = self.gap.split(text) if self.odd_gap.search(text) else text.split(" ")
+        return [first, *[" " + r for r in rest]] if first else [" " + r for r in rest]
+
+    def split(self, text: str) -> list[str | int]:
+        """Ordinary stretches of text, and ids of special tokens."""
+        if self.special is None or not any(s in text for s in self.added):
+            return [text]
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += [text[at : m.start()], self.added[m[0]]]
+            at = m.end()
+        return [*out, text[at:]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed little-endian token ids of each text."""
+        out = []
+        for _, few in groupby(_by_size(texts), key=lambda x: x[0]):
+            rows = [[x if isinstance(x, int) else self.chunks(x) for x in self.split(t)] for _, t in few]
+            self.learn({c for row in rows for x in row if not isinstance(x, int) for c in x})
+            get = self.words.__getitem__
+            out += [b"".join([x.to_bytes(self.dtype.itemsize, "little") if isinstance(x, int) else b"".join(map(get, x)) for x in row]) for row in rows]
+        return out
+
+
+class TrieEncoder(ChunkEncoder):
     """Encodes with a byte-level BPE file of the tokenizers library (``vocab``, ``merges``, ``added_tokens``)."""
 
     def __init__(self, path: str):
@@ -60,10 +120,9 @@ class TrieEncoder:
             spec = json.load(file)
         model, symbols = spec["model"], byte_symbols()
         plain = {text: bytes(map(symbols.__getitem__, text)) for text in model["vocab"] if all(c in symbols for c in text)}
-        self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
+        added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.pieces: dict[int, bytes] = {model["vocab"][text]: raw for text, raw in plain.items()}
-        self.size = max([*self.pieces, *self.added.values()]) + 1
-        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        super().__init__(added, max([*self.pieces, *added.values()]) + 1)
         self.rank: dict[tuple[int, int], int] = {}
         self.made: dict[int, int] = {}  # token -> rank of the merge that makes it; bytes are there from the start
         self.parts: dict[int, tuple[int, int]] = {}
@@ -84,12 +143,6 @@ class TrieEncoder:
                 self.whole.add(token)
         self.automaton()
         self.packed = {t: np.array([t], self.dtype).tobytes() for t in range(self.size)}
-        self.words: dict[str, bytes] = {}  # ids of words, and of what follows a space with that space
-        self.older: dict[str, bytes] = {}
-        self.pattern = regex.compile(WORD)
-        self.gap = regex.compile(rf" (?=[^{WHITE}])")
-        self.odd_gap = regex.compile(rf" (?:[{WHITE}]|$)")
-        self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
     def _stay_apart(self, left: int, right: int, until: int = _NEVER) -> bool:
         """Whether merging, up to the merge of rank ``until``, never joins the last piece of ``left`` to the first of ``right``.
@@ -194,52 +247,15 @@ class TrieEncoder:
             ids.reverse()
             yield ids
 
-    def learn(self, chunks: set[str]) -> None:
-        """Makes ``chunks`` known; a chunk may hold several words of the pattern."""
-        if len(self.words) > CACHE_WORDS:
-            self.words, self.older = {}, self.words
-        new, words, older = [], self.words, self.older
-        for c in chunks:
-            if c not in words:
-                packed = older.get(c)
-                if packed is None:
-                    new.append(c)
-                else:
-                    words[c] = packed
-        several = {c: self.pattern.findall(c) for c in new if not (c[0] == " " and c[1:].isalpha() or c.isalpha())}
-        self._remember({c for c in new if c not in several} | {w for ws in several.values() for w in ws})
-        for chunk, ws in several.items():
-            words[chunk] = b"".join(map(words.__getitem__, ws))
-
-    def _remember(self, words: set[str]) -> None:
-        ordered, packed = sorted(words), self.packed.__getitem__
-        for word, ids in zip(ordered, self.encode_words([w.encode() for w in ordered]), strict=True):
-            self.words[word] = b"".join(map(packed, ids))
-
-    def chunks(self, text: str) -> list[str]:
-        """Splits before each single space that a word follows: always a border of words, and far cheaper than the pattern."""
-        first, *rest = self.gap.split(text) if self.odd_gap.search(text) else text.split(" ")
-        return [first, *[" " + r for r in rest]] if first else [" " + r for r in rest]
-
-    def split(self, text: str) -> list[str | int]:
-        """Ordinary stretches of text, and ids of special tokens."""
-        if self.special is None or not any(s in text for s in self.added):
-            return [text]
-        out, at = [], 0
-        for m in self.special.finditer(text):
-            out += [text[at : m.start()], self.added[m[0]]]
-            at = m.end()
-        return [*out, text[at:]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian token ids of each text."""
-        out = []
-        for _, few in groupby(_by_size(texts), key=lambda x: x[0]):
-            rows = [[x if isinstance(x, int) else self.chunks(x) for x in self.split(t)] for _, t in few]
-            self.learn({c for row in rows for x in row if not isinstance(x, int) for c in x})
-            get = self.words.__getitem__
-            out += [b"".join([self.packed[x] if isinstance(x, int) else b"".join(map(get, x)) for x in row]) for row in rows]
-        return out
+    def encode_new(self, chunks: set[str]) -> Iterator[tuple[Collection[str], Iterable[bytes]]]:
+        several = {c: self.pattern.findall(c) for c in chunks if not (c[0] == " " and c[1:].isalpha() or c.isalpha())}
+        new, seen, packed = chunks - several.keys(), self.words.get, self.packed.__getitem__
+        parts = {w: seen(w) or self.older.get(w) for ws in several.values() for w in ws if w not in new}
+        ordered = sorted(new.union(w for w, ids in parts.items() if ids is None))
+        for w, ids in zip(ordered, self.encode_words([w.encode() for w in ordered]), strict=True):
+            parts[w] = b"".join(map(packed, ids))
+        yield parts.keys(), parts.values()
+        yield several.keys(), [b"".join(map(parts.__getitem__, ws)) for ws in several.values()]
 
     def spellings(self) -> pa.Array:
         """The bytes of each id; none for an id that the vocabulary lacks."""

@@ -5,8 +5,12 @@ Arrow stream with a footer: rows are ``sequence`` (fixed-size list of ``LENGTH``
 width) and ``mask`` (as many bits: false where the last sequence of a shard is padded), so any sequence or token is found by
 arithmetic and read without copying. ``<shard>.index.arrow`` has doc_id and n_tokens of the shard's documents in order.
 
-Shards are written by tasks to the shared folder, first under a name of the attempt and then renamed, so a task that is
-lost or runs twice leaves whole files only. One row for each shard, not for each document, passes the driver.
+Shards are written by tasks to the shared folder, each attempt under a name of its own; the names that count are those in the
+rows that successful attempts return, so a task that is lost or runs twice does no harm, and nothing is renamed. One row
+for each shard, not for each document, passes the driver.
+
+Ids come from the tokenizers library: texts are cut before each space that a word follows, which is a border of words for
+byte-level vocabularies, new stretches are encoded many at once, and a worker keeps the ids of those that come up again.
 
 Rows: null texts are empty and have the end id only. Rows that repeat are stored each time; rows with equal doc_id are
 ordered by text. Null doc_ids come first. Texts are never cut; other columns don't matter. An empty table gives no shards.
@@ -14,35 +18,83 @@ ordered by text. Null doc_ids come first. Texts are never cut; other columns don
 
 from __future__ import annotations
 
-import base64
+import gc
+import json
 import uuid
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from seedspread.llm.bpe import ChunkEncoder, byte_symbols
 from seedspread.llm.session import shared_dir
+from seedspread.llm.wordcache import live
 
 LENGTH = 2048
 #: Sequences of a batch of a file.
 BATCH = 256
-#: Documents that are encoded at once.
-ROWS = 500
-
-
-@lru_cache(maxsize=2)
-def encoding(ranks: str, pattern: str, special: tuple[tuple[str, int], ...]) -> tiktoken.Encoding:
-    """The encoding of a rank file, loaded once a worker."""
-    with open(ranks, "rb") as file:
-        merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens=dict(special))
+#: Documents that are encoded at once, and new stretches that the library gets as one text.
+ROWS, JOINED = 500, 2000
+#: Of a worker's cache of stretches.
+CACHE_BYTES = 96_000_000
+
+
+class LibraryEncoder(ChunkEncoder):
+    """Encodes with a tokenizer file by the tokenizers library, without truncation, padding and special tokens of its own."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.library = Tokenizer.from_file(path)
+        self.library.no_padding()
+        self.library.no_truncation()
+        size, before = self.library.get_vocab_size(with_added_tokens=True), spec.get("pre_tokenizer") or {}
+        super().__init__({a["content"]: a["id"] for a in spec.get("added_tokens", [])}, size, CACHE_BYTES)
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
+        #: Whether texts may be cut; else the library gets them whole.
+        self.cuts = plain and not any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") or a.get("normalized") for a in spec.get("added_tokens", []))
+        symbols = byte_symbols()
+        self.lengths = np.zeros(size, np.int64)
+        for text, token in self.library.get_vocab(with_added_tokens=True).items():
+            self.lengths[token] = len(text) if all(c in symbols for c in text) else len(text.encode())
+        for text, token in self.added.items():
+            self.lengths[token] = len(text.encode())
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for found in self.library.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(found.ids, self.dtype)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return super().encode(texts) if self.cuts else [ids.tobytes() for ids in self.ids(texts)]
+
+    def encode_new(self, chunks: set[str]) -> Iterator[tuple[Collection[str], Iterable[bytes]]]:
+        spaced = [c for c in chunks if c[0] == " " and not c[1:2].isspace() and len(c) > 1]
+        alone = list(chunks.difference(spaced))
+        yield alone, [ids.tobytes() for ids in self.ids(alone)]
+        for at in range(0, len(spaced), JOINED):
+            few = spaced[at : at + JOINED]
+            ids = next(self.ids(["".join(few)]))
+            ends = np.cumsum(list(map(len, map(str.encode, few))))
+            cuts = ((np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * ids.itemsize).tolist()
+            raw = ids.tobytes()
+            yield few, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+
+def encoder(path: str) -> LibraryEncoder:
+    """One encoder, with its cache of stretches, per worker process."""
+
+    def make() -> LibraryEncoder:
+        own = LibraryEncoder(path)
+        gc.freeze()
+        return own
+
+    return live(("library", path), make)
 
 
 class ShardWriter:
@@ -50,8 +102,8 @@ class ShardWriter:
 
     def __init__(self, fs: pafs.FileSystem, path: str, dtype: np.dtype, length: int = LENGTH):
         self.length, self.dtype = length, dtype
-        self.fs, self.path = fs, path
-        self.names = {end: f"{path}.{uuid.uuid4().hex}{end}" for end in (".arrow", ".index.arrow")}
+        self.fs = fs
+        self.names = {end: path + end for end in (".arrow", ".index.arrow")}
         self.schema = pa.schema([("sequence", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = {end: fs.open_output_stream(name) for end, name in self.names.items()}
@@ -82,14 +134,13 @@ class ShardWriter:
             self.tokens.write_batch(pa.record_batch(lists, schema=self.schema))
 
     def close(self) -> tuple[int, int]:
-        """Documents and tokens; the files get their names."""
+        """Documents and tokens."""
         if self.waiting:
             self._flush(self.waiting)
         self.tokens.close()
         self.index.close()
-        for end, name in self.names.items():
-            self.sinks[end].close()
-            self.fs.move(name, self.path + end)
+        for sink in self.sinks.values():
+            sink.close()
         return self.docs, self.total
 
 
@@ -130,29 +181,31 @@ class ShardReader:
         return self.file.get_batch(batch).column("sequence")[at].values.to_numpy()
 
 
-def write(docs: DataFrame, uri: str, ranks: str, pattern: str, special: dict[str, int], end_id: int = 0) -> list[tuple[str, int, int]]:
+def write(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0) -> list[tuple[str, int, int]]:
     """Encodes ``docs`` (doc_id, text) and writes shards under ``uri``; (name, documents, tokens) of each in order.
 
-    ``ranks``, ``pattern``, ``special``: a byte-level BPE vocabulary as tiktoken reads it.
+    ``tokenizer``: a file of the tokenizers library.
     ``uri``: a folder that all executors see, of any scheme that Arrow opens (file, hdfs, s3, gs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, name, writer = encoding(ranks, pattern, tuple(special.items())), f"part-{TaskContext.get().partitionId():06d}", None
-        end = np.array([end_id], np.uint16 if own.n_vocab <= 1 << 16 else np.uint32)
+        own, name, writer = encoder(tokenizer), f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}", None
+        end = np.array([end_id], own.dtype).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 if writer is None:
                     fs, base = pafs.FileSystem.from_uri(uri)
                     fs.create_dir(base, recursive=True)
-                    writer = ShardWriter(fs, f"{base}/{name}", end.dtype)
-                ids = [own.encode_to_numpy(t or "", allowed_special="all") for t in part.column("text").to_pylist()]
-                writer.add(part.column("doc_id").to_pylist(), [np.append(i.astype(end.dtype), end) for i in ids])
+                    writer = ShardWriter(fs, f"{base}/{name}", own.dtype)
+                packed = own.encode([t or "" for t in part.column("text").to_pylist()])
+                writer.add(part.column("doc_id").to_pylist(), [np.frombuffer(p + end, own.dtype) for p in packed])
         if writer is not None:
             n_docs, n_tokens = writer.close()
             yield pa.record_batch([pa.array([name]), pa.array([n_docs]), pa.array([n_tokens])], names=["shard", "n_docs", "n_tokens"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    # the beginning of the text parts rows of one repeated doc_id, and agrees with the order by text
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
     done = ordered.mapInArrow(run, "shard string, n_docs long, n_tokens long").collect()
     return sorted((r.shard, r.n_docs, r.n_tokens) for r in done)
 
@@ -179,9 +232,9 @@ def read_back(spark: SparkSession, uri: str, shards: list[tuple[str, int, int]])
     return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def store_and_read(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int], end_id: int = 0) -> DataFrame:
+def store_and_read(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Writes all documents to a new folder under the shared one and returns what ``read_back`` finds there."""
     spark = docs.sparkSession
     uri = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     uri = uri if "://" in uri else "file://" + uri.removeprefix("file:")
-    return read_back(spark, uri, write(docs, uri, ranks, pattern, special, end_id))
+    return read_back(spark, uri, write(docs, uri, tokenizer, end_id))

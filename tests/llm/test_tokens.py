@@ -5,7 +5,6 @@ import random
 import zlib
 
 import numpy as np
-import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -80,7 +79,26 @@ def test_bpe_keeps_columns_and_shares_prefixes(spark):
 
 
 def stored(spark, docs):
-    return token_store.store_and_read(docs, queries.BYTE_BPE_RANKS, public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    return token_store.store_and_read(docs, queries.BYTE_BPE)
+
+
+def test_cut_texts_equal_whole_texts_in_the_library(library):
+    rng, own = random.Random(6), token_store.LibraryEncoder(queries.BYTE_BPE)
+    letters = "aeinrst  \n\t.,!0123ÀéßЖ東🙂́ \u3000\u2028ſK"
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(4000)]
+    texts += [t + "<|endoftext|>" + u for t, u in zip(texts[:500], texts[500:1000], strict=True)] + [t or "" for t in TEXTS]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for text, raw, ids in zip(texts, own.encode(texts), want, strict=True):
+        assert np.frombuffer(raw, own.dtype).tolist() == ids, repr(text)
+
+
+def test_token_files_of_another_tokenizer(spark):
+    own = Tokenizer.from_file(queries.WORD_PIECES)
+    own.no_truncation()
+    own.no_padding()
+    docs = frame(spark, ["Two Words", "", None])
+    got = [r.n_tokens for r in token_store.store_and_read(docs, queries.WORD_PIECES).orderBy("doc_id").collect()]
+    assert got == [len(own.encode(t, add_special_tokens=False).ids) + 1 for t in ("Two Words", "", "")]
 
 
 def test_token_files_equal_the_library(spark, library):
@@ -97,7 +115,7 @@ def test_token_files_equal_the_library(spark, library):
 
 def test_token_files_random_access(spark, library, tmp_path):
     uri = f"file://{tmp_path}/tokens"
-    shards = token_store.write(documents(spark), uri, queries.BYTE_BPE_RANKS, public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    shards = token_store.write(documents(spark), uri, queries.BYTE_BPE)
     name, docs, total = shards[0]
     reader = token_store.ShardReader(uri, name)
     flat = np.concatenate([reader.sequence(i)[reader.mask(i)] for i in range(-(-total // token_store.LENGTH))])
