@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Words that are kept; beyond that the cache starts anew.
-CACHE_WORDS = 300_000
+#: Bytes of words (``ENTRY`` more for each) beyond which a cache drops the half of them that was met least recently.
+CACHE_BYTES, ENTRY = 16_000_000, 150
 #: Characters of text that are looked up at once.
 CHUNK_CHARS = 1_000_000
 
@@ -18,12 +18,17 @@ _live: dict = {}
 def live[T](key: tuple, make: Callable[[], T]) -> T:
     """The one large state that a worker process keeps between tasks: another ``key`` drops it before ``make`` is called."""
     if key not in _live:
-        _live.clear()
-        gc.collect()
+        release()
         _live[key] = make()
     return _live[key]
 
 
+def release() -> None:
+    """Drops the worker's state, at the end of a task whose state the next one need not find."""
+    _live.clear()
+    gc.collect()
+
+
 class WordCache:
     """``score``: from a list of distinct words to a float32 matrix with a row for each."""
 
@@ -31,14 +36,27 @@ class WordCache:
         self.score, self.width = score, width
         self.place: dict[str, int] = {}
         self.rows = np.zeros((0, width), np.float32)
+        self.met = np.zeros(0, np.int64)
+        self.now = self.held = 0
 
     def learn(self, words: set[str]) -> None:
-        if len(self.place) > CACHE_WORDS:
-            self.place, self.rows = {}, np.zeros((0, self.width), np.float32)
+        """Makes ``words`` known."""
+        self.now += 1
+        if self.held > CACHE_BYTES:
+            self.forget()
         new = [w for w in words if w not in self.place]
         if new:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.rows = np.concatenate([self.rows, self.score(new)])
+            self.met = np.append(self.met, np.zeros(len(new), np.int64))
+            self.held += sum(map(len, new)) + ENTRY * len(new)
+        self.met[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))] = self.now
+
+    def forget(self) -> None:
+        keep = self.met > np.median(self.met)
+        words = [w for w, k in zip(self.place, keep.tolist(), strict=True) if k]
+        self.place, self.rows, self.met = dict(zip(words, range(len(words)), strict=True)), self.rows[keep], self.met[keep]
+        self.held = sum(map(len, words)) + ENTRY * len(words)
 
     def texts(self, texts: list[str | None]):
         """Yields the matrix of the words of each text (white space apart), in order."""
