@@ -50,10 +50,20 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _key(stretch: str) -> str:
+    return stretch[1:] if stretch[0] == " " and len(stretch) > 1 and not stretch[1].isspace() else " " + stretch
+
+
+def _stretch(key: str) -> str:
+    return key[1:] if key[0] == " " else " " + key
+
+
 class ChunkEncoder:
     """Cuts texts for a byte-level vocabulary and remembers the ids of stretches that come up again.
 
-    ``encode_new`` of a subclass encodes stretches; ``added``: special tokens' strings and ids; ``size``: of the vocabulary;
+    Texts are cut before each single space that a word follows: always a border of words of the pattern, and far cheaper to
+    find. A stretch's key is what follows its space; a stretch without one, as at the start of a text, has a space put before it.
+    ``encode_sorted`` of a subclass encodes words; ``added``: special tokens' strings and ids; ``size``: of the vocabulary;
     ``most``: bytes of new stretches (``ENTRY`` more for each) after which those are forgotten that have not come up since the last time."""
 
     def __init__(self, added: dict[str, int], size: int, most: int = CACHE_BYTES):
@@ -67,29 +77,38 @@ class ChunkEncoder:
         self.odd_gap = regex.compile(rf" (?:[{WHITE}]|$)")
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
 
-    def encode_new(self, chunks: set[str]) -> Iterator[tuple[Collection[str], Iterable[bytes]]]:
-        """``chunks``, and parts of them that are worth keeping, and the packed ids of each."""
+    def encode_sorted(self, words: list[str]) -> list[bytes]:
+        """Packed ids of distinct words of the pattern, which come sorted."""
         raise NotImplementedError
 
-    def learn(self, chunks: set[str]) -> None:
-        """Makes ``chunks`` known; a chunk may hold several words of the pattern."""
+    def learn(self, keys: set[str]) -> None:
+        """Makes stretches known; one may hold several words of the pattern."""
         if self.held > self.most:
             self.words, self.older, self.held = {}, self.words, 0
-        new = chunks.difference(self.words)
+        new = keys.difference(self.words)
         back = new & self.older.keys()
         self._keep(back, map(self.older.__getitem__, back))
-        for some, packed in self.encode_new(new - back):
-            self._keep(some, packed)
-
-    def _keep(self, chunks: Collection[str], packed: Iterable[bytes]) -> None:
+        single, several = [], {}
+        for key in new - back:
+            if key.isalpha() or key[0] == " " and key[1:].isalpha():
+                single.append(key)
+            else:
+                several[key] = list(map(_key, self.pattern.findall(_stretch(key))))
+        fresh = set(single).union(*several.values()).difference(self.words).difference(self.older)
+        words = sorted(map(_stretch, fresh))
+        self._keep(list(map(_key, words)), self.encode_sorted(words))
+        known, older = self.words.get, self.older.get
+        self._keep(several.keys(), [b"".join([known(k) or older(k) for k in ks]) for ks in several.values()])
+
+    def _keep(self, keys: Collection[str], packed: Iterable[bytes]) -> None:
         packed = list(packed)
-        self.words.update(zip(chunks, packed, strict=True))
-        self.held += sum(map(len, chunks)) + sum(map(len, packed)) + ENTRY * len(packed)
+        self.words.update(zip(keys, packed, strict=True))
+        self.held += sum(map(len, keys)) + sum(map(len, packed)) + ENTRY * len(packed)
 
-    def chunks(self, text: str) -> list[str]:
-        """Splits before each single space that a word follows: always a border of words, and far cheaper than the pattern."""
+    def keys(self, text: str) -> list[str]:
+        """The keys of a text's stretches, in order."""
         first, *rest = self.gap.split(text) if self.odd_gap.search(text) else text.split(" ")
-        return [first, *[" " + r for r in rest]] if first else [" " + r for r in rest]
+        return [" " + first, *rest] if first else rest
 
     def split(self, text: str) -> list[str | int]:
         """Ordinary stretches of text, and ids of special tokens."""
@@ -105,8 +124,8 @@ class ChunkEncoder:
         """Packed little-endian token ids of each text."""
         out = []
         for _, few in groupby(_by_size(texts), key=lambda x: x[0]):
-            rows = [[x if isinstance(x, int) else self.chunks(x) for x in self.split(t)] for _, t in few]
-            self.learn({c for row in rows for x in row if not isinstance(x, int) for c in x})
+            rows = [[x if isinstance(x, int) else self.keys(x) for x in self.split(t)] for _, t in few]
+            self.learn(set().union(*[x for row in rows for x in row if not isinstance(x, int)]))
             get = self.words.__getitem__
             out += [b"".join([x.to_bytes(self.dtype.itemsize, "little") if isinstance(x, int) else b"".join(map(get, x)) for x in row]) for row in rows]
         return out
@@ -247,15 +266,9 @@ class TrieEncoder(ChunkEncoder):
             ids.reverse()
             yield ids
 
-    def encode_new(self, chunks: set[str]) -> Iterator[tuple[Collection[str], Iterable[bytes]]]:
-        several = {c: self.pattern.findall(c) for c in chunks if not (c[0] == " " and c[1:].isalpha() or c.isalpha())}
-        new, seen, packed = chunks - several.keys(), self.words.get, self.packed.__getitem__
-        parts = {w: seen(w) or self.older.get(w) for ws in several.values() for w in ws if w not in new}
-        ordered = sorted(new.union(w for w, ids in parts.items() if ids is None))
-        for w, ids in zip(ordered, self.encode_words([w.encode() for w in ordered]), strict=True):
-            parts[w] = b"".join(map(packed, ids))
-        yield parts.keys(), parts.values()
-        yield several.keys(), [b"".join(map(parts.__getitem__, ws)) for ws in several.values()]
+    def encode_sorted(self, words: list[str]) -> list[bytes]:
+        packed = self.packed.__getitem__
+        return [b"".join(map(packed, ids)) for ids in self.encode_words(list(map(str.encode, words)))]
 
     def spellings(self) -> pa.Array:
         """The bytes of each id; none for an id that the vocabulary lacks."""

@@ -22,7 +22,7 @@ import gc
 import json
 import uuid
 import zlib
-from collections.abc import Collection, Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from seedspread.llm.wordcache import live
 LENGTH = 2048
 #: Sequences of a batch of a file.
 BATCH = 256
-#: Documents that are encoded at once, and new stretches that the library gets as one text.
+#: Documents that are encoded at once, and new words that the library gets as one text.
 ROWS, JOINED = 500, 2000
 #: Of a worker's cache of stretches.
 CACHE_BYTES = 96_000_000
@@ -73,17 +73,18 @@ class LibraryEncoder(ChunkEncoder):
     def encode(self, texts: list[str]) -> list[bytes]:
         return super().encode(texts) if self.cuts else [ids.tobytes() for ids in self.ids(texts)]
 
-    def encode_new(self, chunks: set[str]) -> Iterator[tuple[Collection[str], Iterable[bytes]]]:
-        spaced = [c for c in chunks if c[0] == " " and not c[1:2].isspace() and len(c) > 1]
-        alone = list(chunks.difference(spaced))
-        yield alone, [ids.tobytes() for ids in self.ids(alone)]
+    def encode_sorted(self, words: list[str]) -> list[bytes]:
+        spaced = [w for w in words if w[0] == " " and len(w) > 1 and not w[1].isspace()]
+        alone = sorted(set(words).difference(spaced))
+        found = {w: ids.tobytes() for w, ids in zip(alone, self.ids(alone), strict=True)}
         for at in range(0, len(spaced), JOINED):
             few = spaced[at : at + JOINED]
             ids = next(self.ids(["".join(few)]))
             ends = np.cumsum(list(map(len, map(str.encode, few))))
             cuts = ((np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * ids.itemsize).tolist()
             raw = ids.tobytes()
-            yield few, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+            found.update((w, raw[a:b]) for w, a, b in zip(few, [0, *cuts], cuts, strict=False))
+        return list(map(found.__getitem__, words))
 
 
 def encoder(path: str) -> LibraryEncoder:
