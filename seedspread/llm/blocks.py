@@ -36,12 +36,12 @@ def gathered(dealt: DataFrame, group: str, member: str, run: Callable[[Iterator[
     return dealt.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high", member).mapInArrow(run, schema)
 
 
-def units(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole units, and the row at which each unit starts (with the end)."""
+def units(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole units (rows of equal ``key`` columns), and the row at which each unit starts (with the end)."""
     tail: pa.Table | None = None
 
     def cut(table: pa.Table) -> np.ndarray:
-        keys = [table.column(c).to_numpy() for c in (group, "low", "high")]
+        keys = [table.column(c).to_numpy() for c in key]
         new = np.zeros(max(0, table.num_rows - 1), bool)
         for k in keys:
             new |= k[1:] != k[:-1]

@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 def surviving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning links (a, b) of the candidates that Bayesian pruning leaves, unit by unit."""
     least = least_matches()
-    for table, starts in blocks.units(batches, "bucket"):
+    for table, starts in blocks.units(batches, "bucket", "low", "high"):
         signed = blocks.binary_matrix(table.column("signature"), np.dtype("<u4"), SIGNATURE)
         ids = table.column("rep").to_numpy()
         left, right = [], []
@@ -120,7 +120,7 @@ def verified(words: int, threshold: float):
     """Each member's exact links within a unit: rep, n_links (documents), n_texts, and a member it is linked with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in blocks.units(batches, "cluster"):
+        for table, starts in blocks.units(batches, "cluster", "low", "high"):
             ids, copies, part, low, high = (table.column(c).to_numpy() for c in ("rep", "copies", "part", "low", "high"))
             texts = blocks.strings(table, "text")
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):

@@ -109,11 +109,11 @@ def vectors(seed=0):
     return [np.float32(r).tolist() for r in rows]
 
 
-@pytest.mark.parametrize("grid", [None, 0, 2])
-def test_embedding_links_equal_brute_force(spark, monkeypatch, grid):
-    if grid is not None:
-        monkeypatch.setattr(embedding_dedup, "grid_dims", lambda *_: grid)
-    monkeypatch.setattr(embedding_dedup, "TILE", 32)
+@pytest.mark.parametrize(("block", "tile"), [(8192, 2048), (100, 32), (20, 8)])
+def test_embedding_links_equal_brute_force(spark, monkeypatch, block, tile):
+    monkeypatch.setattr(embedding_dedup, "block_size", lambda dim: block)
+    for name, value in {"BLOCK": block, "BLOCK_VALUES": 24 * block, "TILE": tile, "PACK": 7, "STEP": 10, "LEAD": 21}.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
     rows = vectors()
     rows += [rows[0], rows[0], [0.0] * 24, None, [float("nan")] * 24, [float("inf")] + [1.0] * 23, [None] + [1.0] * 23, [], [1.0, 2.0], [2.0, 4.0]]
     frame = spark.createDataFrame([(i, v, 1, "x") for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int, kept string")
@@ -134,7 +134,20 @@ def test_embedding_cases(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_duplicates(empty).count() == 0
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [3.0, 0.0])], "vec_id long, embedding array<float>")
-    assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(rows).collect()) == [(1, 1, 1, True), (2, 1, 1, False)]
+    got = [(r.vec_id or 0, *r[1:]) for r in embedding_dedup.near_duplicates(rows).collect()]
+    assert sorted(got) == [(0, 3, 1, False), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False)]
+    same_id = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (None, [-1.0, 0.0])], "vec_id long, embedding array<float>")
+    got = [(r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embedding_dedup.near_duplicates(same_id).collect()]
+    assert sorted(got) == [(0, 0, 0, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_embeddings_of_doubles_stay_doubles(spark):
+    rows = [[1e300, 0.0], [1e300, 0.0], [2e300, 1e299], [1e-300, 0.0], [0.0, 1e-310], [1.0, 0.484322], [1.0, 0.4843221048378526]]
+    frame = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame).collect()}
+    unit = [np.array(r) / max(r) for r in rows]
+    near = [[i for i, y in enumerate(unit) if i != k and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.9] for k, x in enumerate(unit)]
+    assert {k: n for k, (n, _) in got.items()} == {k: len(x) for k, x in enumerate(near)}
 
 
 def test_suffix_norms_only_skip_work():
@@ -142,10 +155,25 @@ def test_suffix_norms_only_skip_work():
     x = rng.normal(size=(150, 64)) * np.linspace(3, 0.1, 64)
     x[75:] = x[:75] + rng.normal(size=(75, 64)) * 0.1
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    i, j = embedding_dedup.tile_links(x, x, 0.9)
+    side = embedding_dedup.Side(x, np.linalg.eigh(x.T @ x)[1][:, ::-1])
+    i, j = embedding_dedup.tile_links(side, side, slice(0, 150), slice(0, 150), 0.9)
     assert set(zip(i, j, strict=True)) == set(zip(*np.nonzero(x @ x.T >= 0.9), strict=True))
 
 
+def test_far_cells_are_not_compared():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([c + rng.normal(size=(500, 16)) * 0.02 for c in np.eye(16)[:6] * 3])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cells = embedding_dedup.Cells(x, len(x) * 100)
+    place = cells.place(x)
+    cell = cells.cell(place)
+    cells.finish({c: ((cell == c).sum() * 100, place[cell == c].min(axis=0), place[cell == c].max(axis=0)) for c in np.unique(cell).tolist()}, 16, 0.2**0.5)
+    near = {(a, b) for a, some in cells.near.items() for b in some.tolist()}
+    assert len(near) < 0.6 * len(cells.near) ** 2
+    i, j = np.nonzero(x @ x.T >= 0.9)
+    assert set(zip(cell[i].tolist(), cell[j].tolist(), strict=True)) <= near
+
+
 def test_license_scan_finds_planted_notices(spark):
     rng = random.Random(9)
     filler = [f"v{i}" for i in range(500)]
