@@ -40,6 +40,9 @@ CHUNK_CHARS = 1_000_000
 WHITE = r"\t-\r \x85\xa0  -     　"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
+#: Marks that end a word and are no part of a contraction.
+STOPS = ".,;:!?"
+
 _NEVER = 1 << 30
 
 
@@ -63,7 +66,7 @@ class ChunkEncoder:
 
     Texts are cut before each single space that a word follows: always a border of words of the pattern, and far cheaper to
     find. A stretch's key is what follows its space; a stretch without one, as at the start of a text, has a space put before it.
-    ``encode_sorted`` of a subclass encodes words; ``added``: special tokens' strings and ids; ``size``: of the vocabulary;
+    ``encode_fresh`` of a subclass encodes words; ``added``: special tokens' strings and ids; ``size``: of the vocabulary;
     ``most``: bytes of new stretches (``ENTRY`` more for each) after which those are forgotten that have not come up since the last time."""
 
     def __init__(self, added: dict[str, int], size: int, most: int = CACHE_BYTES):
@@ -77,8 +80,8 @@ class ChunkEncoder:
         self.odd_gap = regex.compile(rf" (?:[{WHITE}]|$)")
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
 
-    def encode_sorted(self, words: list[str]) -> list[bytes]:
-        """Packed ids of distinct words of the pattern, which come sorted."""
+    def encode_fresh(self, keys: set[str]) -> dict[str, bytes]:
+        """Packed ids of words of the pattern, given by their keys."""
         raise NotImplementedError
 
     def learn(self, keys: set[str]) -> None:
@@ -88,22 +91,24 @@ class ChunkEncoder:
         new = keys.difference(self.words)
         back = new & self.older.keys()
         self._keep(back, map(self.older.__getitem__, back))
-        single, several = [], {}
+        fresh, several = set(), {}
         for key in new - back:
             if key.isalpha() or key[0] == " " and key[1:].isalpha():
-                single.append(key)
+                fresh.add(key)
+            elif (head := key.rstrip(STOPS)).isalpha():  # a word and its stops: two words of the pattern
+                several[key] = head, " " + key[len(head) :]
             else:
                 several[key] = list(map(_key, self.pattern.findall(_stretch(key))))
-        fresh = set(single).union(*several.values()).difference(self.words).difference(self.older)
-        words = sorted(map(_stretch, fresh))
-        self._keep(list(map(_key, words)), self.encode_sorted(words))
+        fresh = fresh.union(*several.values()).difference(self.words).difference(self.older)
+        found = self.encode_fresh(fresh)
+        self._keep(found.keys(), found.values())
         known, older = self.words.get, self.older.get
         self._keep(several.keys(), [b"".join([known(k) or older(k) for k in ks]) for ks in several.values()])
 
     def _keep(self, keys: Collection[str], packed: Iterable[bytes]) -> None:
-        packed = list(packed)
-        self.words.update(zip(keys, packed, strict=True))
-        self.held += sum(map(len, keys)) + sum(map(len, packed)) + ENTRY * len(packed)
+        found = dict(zip(keys, packed, strict=True))
+        self.words.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY * len(found)
 
     def keys(self, text: str) -> list[str]:
         """The keys of a text's stretches, in order."""
@@ -266,9 +271,9 @@ class TrieEncoder(ChunkEncoder):
             ids.reverse()
             yield ids
 
-    def encode_sorted(self, words: list[str]) -> list[bytes]:
-        packed = self.packed.__getitem__
-        return [b"".join(map(packed, ids)) for ids in self.encode_words(list(map(str.encode, words)))]
+    def encode_fresh(self, keys: set[str]) -> dict[str, bytes]:
+        pairs, packed = sorted((_stretch(k).encode(), k) for k in keys), self.packed.__getitem__
+        return {k: b"".join(map(packed, ids)) for (_, k), ids in zip(pairs, self.encode_words([w for w, _ in pairs]), strict=True)}
 
     def spellings(self) -> pa.Array:
         """The bytes of each id; none for an id that the vocabulary lacks."""

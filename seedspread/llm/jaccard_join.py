@@ -144,14 +144,19 @@ def verified(words: int, threshold: float):
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each document: doc_id, copy_of (least doc_id with the same text), n_links (other documents at or above
+    """A row for each document (doc_id and text): doc_id, copy_of (least doc_id with the same text), n_links (other documents at or above
     ``threshold``, copies included), n_texts (other texts), class_id (least doc_id that links reach).
 
     ``threshold``: 0.8 or more, for which the bands are laid out."""
+    return joined(docs, words, threshold).drop("digest", "repeats")
+
+
+def joined(docs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """``jaccard_join`` with the digest (md5) of the text and the number of rows that repeat the document."""
     if threshold < THRESHOLD:
         raise ValueError("the bands are laid out for thresholds of 0.8 and more")
     signed = checkpointed(signatures(docs, words))
-    rows = signed.groupBy("doc_id", "digest").agg(F.first(F.col("signature").isNotNull()).alias("full"))
+    rows = signed.groupBy("doc_id", "digest").agg(F.first(F.col("signature").isNotNull()).alias("full"), F.count(F.lit(1)).alias("repeats"))
     full = rows.where("full")
     reps = checkpointed(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     own = signed.where("signature is not null").withColumnRenamed("doc_id", "rep").join(reps, ["rep", "digest"]).dropDuplicates(["rep", "digest"])
@@ -178,6 +183,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     out = rows.join(known, "digest", "left")
     return out.select(
         "doc_id",
+        "digest",
+        "repeats",
         F.when(F.col("full"), F.col("rep")).otherwise(F.col("doc_id")).alias("copy_of"),
         F.when(F.col("full"), F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
         F.when(F.col("full"), F.coalesce("n_texts", F.lit(0))).otherwise(0).cast("long").alias("n_texts"),
@@ -188,7 +195,15 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
 def one_of_each_class(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each class of near duplicates: the one with the least doc_id, once. Its columns stay.
 
-    Rows without a doc_id are not compared and stay."""
-    joined = jaccard_join(docs, words, threshold)
-    gone = checkpointed(joined.where("doc_id <> class_id").select("doc_id").distinct())
-    return docs.join(small_side(gone), "doc_id", "left_anti")
+    Of rows that repeat doc_id and text, the one whose columns have the least hash stays. Other texts under the same doc_id are
+    documents of their own. Rows without a doc_id are not compared and stay."""
+    found = checkpointed(joined(docs, words, threshold).where("doc_id <> class_id or repeats > 1"))
+    key, digest = F.col("doc_id").cast("long"), F.unhex(F.md5("text"))
+    same = lambda other: (key == other["_id"]) & digest.eqNullSafe(other["_digest"])
+    named = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), (F.col("doc_id") != F.col("class_id")).alias("_gone"))
+    some = small_side(named)
+    once = docs.join(some, same(some), "left_anti")
+    again = small_side(named.where("not _gone"))
+    rows = F.struct(*docs.columns)
+    kept = docs.join(again, same(again), "left_semi").groupBy(key.alias("_id"), digest.alias("_digest")).agg(F.min_by(rows, F.xxhash64(*docs.columns)).alias("_row"))
+    return once.unionByName(kept.select("_row.*"))

@@ -7,8 +7,9 @@ cheapest flow therefore repeats as little as it can. Documents are then picked i
 their pattern is used up; the last one counts with the rest of the flow only, so sums meet the flow exactly.
 
 Only aggregated rows reach the driver: at most ``MAX_PATTERNS`` patterns, else an error. The running total over the
-documents of a pattern is taken over buckets of the seeded order, and document by document only inside the one bucket
-where the flow ends, so a pattern that holds a third of all documents is never sorted in one task.
+documents of a pattern is taken over buckets of the seeded order, then over the buckets inside the one where the flow ends,
+and document by document only inside the one of those (a millionth of the pattern) where it ends, so a pattern that
+holds a third of all documents is never sorted in one task.
 
 Rows: a null text has size 0; a null source is a source of its own, ordered last; documents without words take
 nothing. Rows with the same key share one place in the order and take alike. Other columns are kept. Empty tables give
@@ -110,8 +111,10 @@ def mix(
     ``members``: array of the sources of a document; it counts to the size of each of them."""
     spark = docs.sparkSession
     order = F.xxhash64(F.lit(seed), F.col(key))
-    placed = docs.withColumn("size", size).withColumns({"_pattern": F.array_sort(F.array_distinct(members)), "_order": order, "_bucket": F.pmod(F.shiftrightunsigned(order, 32), F.lit(BUCKETS))})
-    sums = checkpointed(placed.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("_words")))
+    bucket = {name: F.pmod(F.shiftrightunsigned(order, bits), F.lit(BUCKETS)) for name, bits in (("_bucket", 32), ("_inner", 8))}
+    placed = docs.withColumn("size", size).withColumns({"_pattern": F.array_sort(F.array_distinct(members)), "_order": order, **bucket})
+    inner = checkpointed(placed.groupBy("_pattern", "_bucket", "_inner").agg(F.sum("size").alias("_words")))
+    sums = inner.groupBy("_pattern", "_bucket").agg(F.sum("_words").alias("_words"))
     found = sums.groupBy("_pattern").agg(F.sum("_words").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} patterns of sources; join rare sources first")
@@ -126,15 +129,20 @@ def mix(
     plan = F.broadcast(plan)  # a row for each pattern
     own = sums.join(plan, F.expr("_pattern <=> _sender"))
     before = F.sum("_words").over(Window.partitionBy("_pattern").orderBy("_bucket")) - F.col("_words")
-    ends = own.withColumn("_before", before).where("_before <= _rest and _rest < _before + _words").select("_sender", "_rounds", "_rest", F.col("_bucket").alias("_end"), "_before")
+    holds = "_before <= _rest and _rest < _before + _words"
+    ends = own.withColumn("_before", before).where(holds).select("_sender", "_rounds", "_rest", F.col("_bucket").alias("_end"), F.col("_before").alias("_outer"))
+    within = inner.join(F.broadcast(ends), F.expr("_pattern <=> _sender and _bucket = _end"))
+    before = F.col("_outer") + F.sum("_words").over(Window.partitionBy("_pattern").orderBy("_inner")) - F.col("_words")
+    ends = within.withColumn("_before", before).where(holds).select("_sender", "_rounds", "_rest", "_end", F.col("_inner").alias("_inner_end"), "_before")
     ends = F.broadcast(checkpointed(ends))  # a row for each pattern
     dealt = placed.join(ends, F.expr("_pattern <=> _sender"), "left")
-    last = dealt.where("_bucket = _end").groupBy("_pattern", "_order", key).agg(F.first("_rest").alias("_rest"), F.first("_before").alias("_before"), F.sum("size").alias("_words"))
+    last = dealt.where("_bucket = _end and _inner = _inner_end").groupBy("_pattern", "_order", key).agg(F.first("_rest").alias("_rest"), F.first("_before").alias("_before"), F.sum("size").alias("_words"))
     ahead = F.col("_before") + F.sum("_words").over(Window.partitionBy("_pattern").orderBy("_order", key)) - F.col("_words")
     last = last.select(F.col(key).alias("_key"), F.col("_pattern").alias("_of"), F.greatest(F.lit(0), F.col("_rest") - ahead).alias("_room"))
     last = checkpointed(last)
-    dealt = dealt.join(last, F.expr(f"_pattern <=> _of and `{key}` <=> _key and _bucket = _end"), "left")
-    part = F.when(F.col("_bucket") < F.col("_end"), F.col("size")).when(F.col("_bucket") == F.col("_end"), F.least("size", "_room")).otherwise(0)
+    at_end = F.expr("_bucket = _end and _inner = _inner_end")
+    dealt = dealt.join(last, F.expr(f"_pattern <=> _of and `{key}` <=> _key and _bucket = _end and _inner = _inner_end"), "left")
+    part = F.when(F.expr("_bucket < _end or _bucket = _end and _inner < _inner_end"), F.col("size")).when(at_end, F.least("size", "_room")).otherwise(0)
     taken = F.coalesce(F.col("_rounds") * F.col("size") + part, F.lit(0)).cast("long")
     return dealt.select(*docs.drop("size", "taken").columns, "size", taken.alias("taken")), {s: (sizes[s], target[s]) for s in target}
 
@@ -149,7 +157,10 @@ def mix_words(docs: DataFrame) -> DataFrame:
 
 
 def resample(docs: DataFrame) -> DataFrame:
-    """``docs`` with each document as often as the mix takes it, to the nearest whole copy; the columns of ``docs``."""
-    mixed, _ = mix(docs, F.array("source"), word_count(F.col("text")))
+    """``docs`` with each document as often as the mix takes it, to the nearest whole copy; the columns of ``docs``.
+
+    Columns of any name stay as they are, ``size`` and ``taken`` too."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("_n"))
+    mixed, _ = mix(rows, F.array("source"), F.col("_n"))
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return mixed.where(copies > 0).select(*docs.columns, F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).drop("_copy")
+    return mixed.where(copies > 0).select("_row", F.explode(F.array_repeat(F.lit(1), copies))).select("_row.*")

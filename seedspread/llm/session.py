@@ -16,12 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors see; a temporary one only where none is configured."""
+    """The checkpoint folder that all executors see; a temporary one only in local mode, where none is configured."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    wanted = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-")
+    wanted = spark.conf.get("spark.checkpoint.dir", "")
+    if not wanted:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        wanted = tempfile.mkdtemp(prefix="checkpoint-")
     context.setCheckpointDir(wanted)
     return context._jsc.sc().getCheckpointDir().get()
 

@@ -42,7 +42,7 @@ BATCH = 256
 #: Documents that are encoded at once, and new words that the library gets as one text.
 ROWS, JOINED = 500, 2000
 #: Of a worker's cache of stretches.
-CACHE_BYTES = 96_000_000
+CACHE_BYTES = 32_000_000
 
 
 class LibraryEncoder(ChunkEncoder):
@@ -73,18 +73,18 @@ class LibraryEncoder(ChunkEncoder):
     def encode(self, texts: list[str]) -> list[bytes]:
         return super().encode(texts) if self.cuts else [ids.tobytes() for ids in self.ids(texts)]
 
-    def encode_sorted(self, words: list[str]) -> list[bytes]:
-        spaced = [w for w in words if w[0] == " " and len(w) > 1 and not w[1].isspace()]
-        alone = sorted(set(words).difference(spaced))
-        found = {w: ids.tobytes() for w, ids in zip(alone, self.ids(alone), strict=True)}
+    def encode_fresh(self, keys: set[str]) -> dict[str, bytes]:
+        alone = [k for k in keys if k[0] == " "]  # no space before them
+        found = {k: ids.tobytes() for k, ids in zip(alone, self.ids([k[1:] for k in alone]), strict=True)}
+        spaced = list(keys.difference(alone))
         for at in range(0, len(spaced), JOINED):
             few = spaced[at : at + JOINED]
-            ids = next(self.ids(["".join(few)]))
-            ends = np.cumsum(list(map(len, map(str.encode, few))))
+            ids = next(self.ids([" " + " ".join(few)]))
+            ends = np.cumsum(list(map(len, map(str.encode, few)))) + np.arange(1, len(few) + 1)
             cuts = ((np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * ids.itemsize).tolist()
             raw = ids.tobytes()
-            found.update((w, raw[a:b]) for w, a, b in zip(few, [0, *cuts], cuts, strict=False))
-        return list(map(found.__getitem__, words))
+            found.update((k, raw[a:b]) for k, a, b in zip(few, [0, *cuts], cuts, strict=False))
+        return found
 
 
 def encoder(path: str) -> LibraryEncoder:

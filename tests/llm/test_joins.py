@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seedspread.llm import embedding_dedup, jaccard_join, license_scan, mixing
 
@@ -89,7 +90,11 @@ def test_jaccard_join_cases(spark):
     again = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_links, r.class_id) for r in jaccard_join.jaccard_join(again).collect()) == [(1, 1, 1), (2, 1, 1)]
     kept = jaccard_join.one_of_each_class(again)
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 1]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1]
+    other = again.unionByName(spark.createDataFrame([(2, "quite another text of seven words here"), (2, "quite another text of seven words here")], again.schema))
+    kept = jaccard_join.one_of_each_class(other.withColumns({"_row": F.lit(1), "digest": F.lit("clash"), "repeats": F.lit(5)}))
+    assert kept.columns == ["doc_id", "text", "_row", "digest", "repeats"]
+    assert sorted((r.doc_id or 0, r.text[:1], r.digest) for r in kept.collect()) == [(0, "a", "clash"), (1, "a", "clash"), (2, "q", "clash")]
     with pytest.raises(ValueError):
         jaccard_join.jaccard_join(empty, threshold=0.5)
 
@@ -265,3 +270,12 @@ def test_mix_cases(spark):
     mixed, sources = mixing.mix(both, both["sources"], mixing.word_count(both["text"]))
     assert sum(t for _, t in sources.values()) == pytest.approx(360)
     assert sum(r.taken for r in mixed.collect()) == 320  # 40 documents of 4 words, each at most twice
+
+
+def test_resample_keeps_clashing_columns(spark):
+    rows = [(i, "w " * (i + 1), "s", -7, f"t{i}", [i]) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, taken string, _row array<long>")
+    got = mixing.resample(docs)
+    assert got.columns == docs.columns
+    assert {tuple(map(str, r)) for r in got.collect()} <= {tuple(map(str, r)) for r in docs.collect()}
+    assert got.count() > len(rows)
