@@ -4,13 +4,15 @@ A language gives each piece of a fixed public vocabulary a probability. The prob
 cut it into pieces, of the product of their probabilities: a forward pass over the word. A text's log-probability is
 the sum over its words; the language with the highest wins, and the score is its share among all languages (uniform prior).
 
-The probabilities are fitted by expectation maximisation (the same pass, forward and backward) on at most about
-``TRAIN_DOCS`` distinct texts of each language with letters, at least one, picked by a hash of the text among the rows that may
-be learned from; copies count once. Pieces of more than ``PIECE`` characters are left out of the vocabulary, so longer ones are
-summed over as shorter pieces. All else covers whole texts of all documents. Words are scored in bulk, by length, and kept for a worker's next batches.
+The probabilities are fitted by expectation maximisation (the same pass, forward and backward) on a bounded sample: at most
+about ``TRAIN_DOCS`` distinct texts of each language with letters, fewer where they hold more than ``TRAIN_CHARS`` characters, at
+least one, picked by a hash of the text among the rows that may be learned from; copies count once, and runs of more than
+``FIT_LETTERS`` letters are not fitted on. All else covers whole texts of all documents, all pieces of letters of the
+vocabulary, and all segmentations. Words are scored in bulk, by length, and kept for a worker's next batches; runs of more
+than ``FIT_LETTERS`` letters are scored one by one, with rescaled sums.
 
-Words are runs of letters, in lower case, after a mark for their start; one of more than ``LONGEST`` letters counts as
-several. A letter outside the vocabulary counts as a piece of its own with a fixed small probability.
+Words are runs of letters, in lower case, after a mark for their start. A letter outside the vocabulary counts as a piece of
+its own with a fixed small probability.
 
 Rows: a null text, or one without letters, is `und` with score 0, as is every text if nothing can be learned from. Rows
 without doc_id are held out. Repeated rows and ties (the first language by name) give the same result. Other columns don't
@@ -31,9 +33,9 @@ from pyspark.sql import functions as F
 
 from seedspread.llm.wordcache import WordCache, live
 
-TRAIN_DOCS = 400
+TRAIN_DOCS, TRAIN_CHARS = 400, 4_000_000
 ROUNDS = 3
-PIECE, LONGEST = 8, 24
+FIT_LETTERS = 40
 UNKNOWN, FLOOR = 1e-7, 1e-7
 UNDETERMINED = "und"
 
@@ -48,36 +50,36 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def parts(word: str) -> list[str]:
-    """The runs of letters of a word, cut and marked."""
-    return [_START + run[i : i + LONGEST] for run in _LETTERS.findall(word.lower()) for i in range(0, len(run), LONGEST)]
+    """The runs of letters of a word, marked."""
+    return [_START + run for run in _LETTERS.findall(word.lower())]
 
 
 def pieces(model: str) -> list[str]:
-    """Pieces of letters, of at most ``PIECE`` characters, of a sentencepiece model."""
+    """Pieces of letters of a sentencepiece model."""
     processor = sentencepiece.SentencePieceProcessor(model_file=model)
     named = (processor.id_to_piece(i) for i in range(processor.get_piece_size()))
-    return sorted({p.lower() for p in named if len(p) <= PIECE and re.fullmatch(rf"{_START}?[^\W\d_]+|{_START}", p)})
+    return sorted({p.lower() for p in named if re.fullmatch(rf"{_START}?[^\W\d_]+|{_START}", p)})
 
 
 class Lattice:
-    """Finds the pieces inside words, for many words of a length at once, in two open hash tables."""
+    """Finds the pieces inside words, for many words of a length at once, in open hash tables: as many as all pieces need."""
 
     BITS = 18
 
     def __init__(self, vocabulary: list[str]):
         self.size = len(vocabulary)
+        self.longest = max(map(len, vocabulary), default=1)
         keys = np.array([self._hash(p) for p in vocabulary], np.uint64)
         self.tables = []
-        left = np.arange(len(keys))
-        for odd in (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)):
+        left, rng = np.arange(len(keys)), np.random.default_rng(7)
+        while len(left):
+            odd = rng.integers(0, 1 << 63, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
             key, found = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, self.size, np.int32)
             slot = (keys[left] * odd >> np.uint64(64 - self.BITS)).astype(np.int64)
             _, first = np.unique(slot, return_index=True)
             key[slot[first]], found[slot[first]] = keys[left[first]], left[first]
             self.tables.append((odd, key, found))
             left = np.delete(left, first)
-            if not len(left):
-                break
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -99,11 +101,27 @@ class Lattice:
         out = {}
         for start in range(codes.shape[1]):
             h = np.zeros(len(words), np.uint64)
-            for end in range(start + 1, min(start + PIECE, codes.shape[1]) + 1):
+            for end in range(start + 1, min(start + self.longest, codes.shape[1]) + 1):
                 h = h * _BASE + codes[:, end - 1]
                 out[start, end] = self.find(h)
         return out
 
+    def log_total(self, word: str, table: np.ndarray) -> np.ndarray:
+        """Log of the sum over all segmentations of one word of any length, in each language; sums are rescaled on the way."""
+        codes = np.array([ord(c) for c in word], np.uint64)
+        h, ids = np.zeros(len(codes), np.uint64), np.full((self.longest, len(codes)), self.size, np.int32)
+        for k in range(min(self.longest, len(codes))):  # ids[k, end]: the piece of k + 1 letters that ends there
+            h = h[: len(codes) - k] * _BASE + codes[k:]
+            ids[k, k:] = self.find(h)
+        window, log = np.ones((1, table.shape[1])), np.zeros(table.shape[1])  # sums of the last prefixes, the newest first
+        for end in range(len(codes)):
+            p = table[ids[: len(window), end]]
+            p[0] = np.where(p[0] > 0, p[0], UNKNOWN)
+            total = (window * p).sum(axis=0)
+            window = np.concatenate([np.ones((1, table.shape[1])), window[: self.longest - 1] / total])
+            log += np.log(total)
+        return log
+
 
 def by_length(words: list[str], most: int = 20_000) -> Iterator[tuple[np.ndarray, list[str]]]:
     """(places, words) of words of equal length, ``most`` at once."""
@@ -117,11 +135,11 @@ def by_length(words: list[str], most: int = 20_000) -> Iterator[tuple[np.ndarray
 
 def forward(spans: dict[tuple[int, int], np.ndarray], length: int, table: np.ndarray) -> list[np.ndarray]:
     """Sums over segmentations of each prefix: one array (words x languages) for each length. ``table``'s last row is 0."""
-    n = len(next(iter(spans.values())))
+    n, longest = len(next(iter(spans.values()))), max(end - start for start, end in spans)
     alpha = [np.ones((n, table.shape[1]))]
     for end in range(1, length + 1):
         total = 0
-        for start in range(max(0, end - PIECE), end):
+        for start in range(max(0, end - longest), end):
             p = table[spans[start, end]]
             total = total + alpha[start] * (np.where(p > 0, p, UNKNOWN) if start == end - 1 else p)
         alpha.append(total)
@@ -130,7 +148,7 @@ def forward(spans: dict[tuple[int, int], np.ndarray], length: int, table: np.nda
 
 def fit(lattice: Lattice, counts: dict[str, float]) -> np.ndarray:
     """Piece probabilities of one language, by expectation maximisation on its words."""
-    words = list(counts)
+    words = [w for w in counts if len(w) <= FIT_LETTERS + 1]
     often = np.array([counts[w] for w in words])
     p = np.append(np.full(lattice.size, 1 / lattice.size), 0.0)
     for _ in range(ROUNDS):
@@ -141,7 +159,7 @@ def fit(lattice: Lattice, counts: dict[str, float]) -> np.ndarray:
             beta = [np.ones(len(group))] * (length + 1)
             for start in range(length - 1, -1, -1):
                 total = 0
-                for end in range(start + 1, min(start + PIECE, length) + 1):
+                for end in range(start + 1, min(start + lattice.longest, length) + 1):
                     q = p[spans[start, end]]
                     total = total + (np.where(q > 0, q, UNKNOWN) if end == start + 1 else q) * beta[end]
                 beta[start] = total
@@ -158,13 +176,14 @@ def learn(docs: DataFrame, vocabulary: list[str], text: str = "text", lang: str
     known = docs.where(~held_out() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     known = known.withColumn("hash", F.xxhash64("text"))
     draw = F.pmod("hash", F.lit(1 << 20)) / float(1 << 20)
-    found = known.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("least")).collect()
+    texts = known.groupBy("lang", "hash").agg(F.max(F.length("text")).alias("chars"))
+    found = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.min(draw).alias("least")).collect()
     languages = sorted(r.lang for r in found)
     if not languages:
         return [], np.zeros((len(vocabulary) + 1, 0))
-    limit = {r.lang: (min(1.0, TRAIN_DOCS / r.n), r.least) for r in found}
-    share, least = (F.create_map(*[F.lit(x) for name in languages for x in (name, limit[name][i])]) for i in (0, 1))
-    drawn = known.where((draw < share[F.col("lang")]) | (draw == least[F.col("lang")])).select("lang", "text").distinct()
+    limit = [(r.lang, min(1.0, TRAIN_DOCS / r.n, TRAIN_CHARS / max(1, r.chars)), r.least) for r in found]
+    limit = F.broadcast(docs.sparkSession.createDataFrame(limit, "_lang string, share double, least double"))  # a row for each language
+    drawn = known.join(limit, F.col("lang") == F.col("_lang")).where((draw < F.col("share")) | (draw == F.col("least"))).select("lang", "text").distinct()
     sample = drawn.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
     words: dict[str, dict[str, float]] = {name: defaultdict(float) for name in languages}
     for r in sample.where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
@@ -223,8 +242,11 @@ def log_probabilities(words: list[str], lattice: Lattice, table: np.ndarray) ->
             owner.append(i)
     owner_of = np.array(owner, np.int64)
     for places, group in by_length(cut):
-        total = forward(lattice.spans(group), len(group[0]), table)[-1]
-        np.add.at(out, (owner_of[places], slice(None)), np.append(np.log(total), np.ones((len(group), 1)), axis=1))
+        if len(group[0]) <= FIT_LETTERS + 1:
+            log = np.log(forward(lattice.spans(group), len(group[0]), table)[-1])
+        else:
+            log = np.stack([lattice.log_total(word, table) for word in group])
+        np.add.at(out, (owner_of[places], slice(None)), np.append(log, np.ones((len(group), 1)), axis=1))
     return out
 
 

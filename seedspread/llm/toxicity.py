@@ -15,8 +15,12 @@ so that no two values tie, turns a text's worst value into a probability.
 The kernel is a dot product over triples of characters, so the trained machine is one weight a triple, and any word is
 scored exactly without the landmarks.
 
-Bounds: training takes at most about ``TRAIN_TOXIC`` and ``TRAIN_CLEAN`` labelled texts, picked by a hash of doc_id; their
-distinct words reach the driver. Everything else covers whole texts of all documents.
+Bounds of training, all parameters of this module: it takes at most about ``TRAIN_TOXIC`` and ``TRAIN_CLEAN`` labelled texts,
+picked by a hash of doc_id, fewer where a class's labelled texts hold more than ``TRAIN_CHARS`` characters in proportion; their
+distinct words reach the driver. In each round, all offered words are positives, and the negatives are ``RANDOM``
+clean words, the ``HARD`` ones that score highest and the ``FREQUENT`` ones that occur most; ``LANDMARKS`` words, three quarters of
+them positives, span the features. Everything else covers whole texts of all documents: a word of more than ``LONGEST``
+letters is scored in stretches of that length, each overlapping the next by ``OVERLAP``, and counts as the worst of them.
 
 Rows: null and empty texts score as texts without any word. If one of the classes has no training row, all score 0. Rows
 without doc_id are scored and held out. Repeated rows score alike. Other columns stay or don't matter.
@@ -25,7 +29,6 @@ without doc_id are scored and held out. Repeated rows score alike. Other columns
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,13 +39,14 @@ from pyspark.sql import functions as F
 from seedspread.llm.language_id import by_length, held_out
 from seedspread.llm.wordcache import WordCache, live
 
-TRAIN_TOXIC, TRAIN_CLEAN = 1000, 4000
-LANDMARKS = 192
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1000, 4000, 20_000_000
+RANDOM, HARD, FREQUENT = 8000, 6000, 3000
+LANDMARKS = 256
 DECAY, SPAN = 0.5, 5
 ROUNDS = 3
 #: Of a violated margin against the norm of the weights, and how it grows with the number of texts that hold a toxic word.
-COST, GROWTH = 30.0, 0.6
-LONGEST, OVERLAP = 32, 10
+COST, GROWTH = 100.0, 0.6
+LONGEST, OVERLAP = 32, 16
 THRESHOLD = 0.3
 
 _SWAPS = str.maketrans("0134578@$!|", "oieastbasii")
@@ -224,7 +228,7 @@ def train(texts: Iterable[tuple[list[str], bool]], seed: int = 0) -> Machine | N
         else:
             hard = np.zeros(0, np.int64)
         yes = np.flatnonzero(offered)
-        no = np.unique(np.concatenate([rng.choice(clean, min(8000, len(clean)), replace=False), hard[:6000], clean[np.argsort(-good[clean], kind="stable")[:3000]]]))
+        no = np.unique(np.concatenate([rng.choice(clean, min(RANDOM, len(clean)), replace=False), hard[:HARD], clean[np.argsort(-good[clean], kind="stable")[:FREQUENT]]]))
         no = no[~offered[no]]
         order = yes[np.argsort(-bad[yes], kind="stable")]
         chosen = np.concatenate([order[: LANDMARKS * 3 // 4], rng.choice(no, min(len(no), LANDMARKS // 4), replace=False)])
@@ -257,9 +261,12 @@ def words_of(text: str | None) -> list[str]:
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Machine | None:
     """Trains on a bounded sample of the labelled texts that are not held out."""
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = defaultdict(int, {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()})
+    lengths = docs.select("doc_id", F.length(text).alias("chars")).join(known, "doc_id").groupBy("toxic").agg(F.countDistinct("doc_id").alias("n"), F.sum("chars").alias("chars"))
+    share = {0: 1.0, 1: 1.0}
+    for r in lengths.collect():
+        share[r.toxic] = min(1.0, (TRAIN_TOXIC if r.toxic else TRAIN_CLEAN) / r.n, TRAIN_CHARS / max(1, r.chars or 0))
     draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    share = F.when(F.col("toxic") == 1, F.lit(TRAIN_TOXIC / max(TRAIN_TOXIC, counts[1]))).otherwise(F.lit(TRAIN_CLEAN / max(TRAIN_CLEAN, counts[0])))
+    share = F.when(F.col("toxic") == 1, F.lit(share[1])).otherwise(F.lit(share[0]))
     sample = F.broadcast(known.where(draw < share))  # about TRAIN_TOXIC + TRAIN_CLEAN rows
     picked = docs.select("doc_id", F.col(text).alias("text")).join(sample, "doc_id").orderBy("doc_id", "text")
 

@@ -152,3 +152,17 @@ def test_language_learns_from_distinct_texts(spark, monkeypatch):
     few = language_id.learn(frame(copies), vocabulary)[1]
     start = np.append(language_id.fit(language_id.Lattice(vocabulary), {"▁": 1.0})[:-1], 0.0)
     assert not any(np.allclose(few[:, i], start) for i in range(2))
+
+
+def test_long_runs_are_summed_whole():
+    vocabulary = language_id.pieces(queries.UNIGRAM_PIECES)
+    assert max(map(len, vocabulary)) > 8
+    lattice = language_id.Lattice(vocabulary)
+    assert (lattice.find(np.array([lattice._hash(p) for p in vocabulary], np.uint64)) == np.arange(len(vocabulary))).all()
+    table = np.append(np.random.default_rng(1).dirichlet(np.ones(len(vocabulary)), 3).T, np.zeros((1, 3)), axis=0)
+    words = ["▁internationalization", "▁straßenbahnhaltestelle", "▁жжжñqx", "▁a"]
+    for w in words:
+        whole = np.log(language_id.forward(lattice.spans([w]), len(w), table)[-1][0])
+        assert lattice.log_total(w, table) == pytest.approx(whole)
+    long = language_id.log_probabilities(["ab" * 10_000, "ж" * 3000], lattice, table)
+    assert np.isfinite(long).all() and (long[:, -1] == 1).all() and (long[1, :3] < -1000).all()
