@@ -29,29 +29,26 @@ def closure(
 
     ``inclusive``: p >= theta. ``avoid``: vertices that no path enters. ``stop``: vertices that paths enter but don't leave.
     ``barred``: (s, v) pairs that s's paths don't enter. Of equally good paths the one with fewest hops counts, then the one
-    with the least parent. Each round extends only what got better; state is checkpointed, so lineage stays short."""
-    edges = edges.where("p > 0").select("src", "dst", "p")
+    with the least parent. Each round extends only what got better; the state is checkpointed once a round."""
+    edges = edges.where("p > 0").select("src", "dst", F.col("p").alias("edge_p"))
     start = (sources if sources is not None else vertices(edges)).select(F.col("vid").alias("s"))
-    known = checkpointed(start.select("s", F.col("s").alias("v"), F.lit(1.0).alias("p"), F.lit(0).alias("hops")))
+    columns = ["p", "hops", "parent", "edge_p"]
+    known = checkpointed(start.select("s", F.col("s").alias("v"), F.lit(1.0).alias("p"), F.lit(0).alias("hops"), F.col("s").alias("parent"), F.lit(1.0).alias("edge_p")))
     frontier, hops = known, 0
     good = (lambda p: p >= theta) if inclusive else (lambda p: p > theta)
     while not frontier.isEmpty():
         hops += 1
         leaving = frontier.where(~(F.col("v").isin(stop) & (F.col("s") != F.col("v")))) if stop else frontier
-        step = leaving.withColumnRenamed("p", "so_far").join(edges, F.col("v") == F.col("src"))
-        step = step.select("s", F.col("dst").alias("v"), (F.col("so_far") * F.col("p")).alias("p")).where(good(F.col("p")))
+        step = leaving.select("s", F.col("v").alias("src"), F.col("p").alias("so_far")).join(edges, "src")
+        step = step.select("s", F.col("dst").alias("v"), (F.col("so_far") * F.col("edge_p")).alias("new"), "src", "edge_p").where(good(F.col("new")))
         if avoid:
             step = step.where(~F.col("v").isin(avoid))
         if barred is not None:
             step = step.join(barred.select("s", "v"), ["s", "v"], "left_anti")
-        best = step.groupBy("s", "v").agg(F.max("p").alias("new"))
-        better = best.join(known.select("s", "v", "p"), ["s", "v"], "left").where("p is null or new > p")
-        frontier = checkpointed(better.select("s", "v", F.col("new").alias("p"), F.lit(hops).alias("hops")))
-        known = checkpointed(known.join(frontier.select("s", "v"), ["s", "v"], "left_anti").unionByName(frontier))
-    before = known.select("s", F.col("v").alias("src"), F.col("p").alias("so_far"), (F.col("hops") + 1).alias("hops"))
-    if stop:
-        before = before.where(~(F.col("src").isin(stop) & (F.col("s") != F.col("src"))))
-    last = before.join(edges.withColumnRenamed("p", "edge_p"), "src").select("s", F.col("dst").alias("v"), (F.col("so_far") * F.col("edge_p")).alias("p"), "hops", F.struct(F.col("src").alias("parent"), "edge_p").alias("by"))
-    chosen = last.join(known, ["s", "v", "p", "hops"]).groupBy("s", "v", "p", "hops").agg(F.min("by").alias("by"))
-    roots = known.where("hops = 0").select("s", "v", "p", "hops", F.col("s").alias("parent"), F.lit(1.0).alias("edge_p"))
-    return checkpointed(roots.unionByName(chosen.select("s", "v", "p", "hops", "by.parent", "by.edge_p")))
+        best = step.groupBy("s", "v").agg(F.min(F.struct((-F.col("new")).alias("minus"), "src", "edge_p")).alias("b"))
+        found = F.struct((-F.col("b.minus")).alias("p"), F.lit(hops).alias("hops"), F.col("b.src").alias("parent"), F.col("b.edge_p").alias("edge_p"))
+        better = F.col("b").isNotNull() & (F.col("p").isNull() | (-F.col("b.minus") > F.col("p")))
+        known = known.join(best, ["s", "v"], "full").withColumn("now", F.when(better, found).otherwise(F.struct(*columns)))
+        known = checkpointed(known.select("s", "v", *[F.col(f"now.{c}").alias(c) for c in columns]))
+        frontier = known.where(F.col("hops") == hops)
+    return known

@@ -6,7 +6,7 @@ at, seeds always have activation 1, and a root's own activation is not discounte
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,12 +79,18 @@ def mia(edges: DataFrame, k: int, theta: float, roots: DataFrame | None = None)
 
     ``roots`` (vid): the vertices that count, e.g. the natives of a rectangle; all by default."""
     trees = closure(reverse(edges), theta, roots)
+    state = checkpointed(activation(trees, []))
     chosen: list[tuple[int, float]] = []
     while len(chosen) < k:
-        best = pick(gains(activation(trees, [v for v, _ in chosen])), [v for v, _ in chosen])
+        best = pick(gains(state), [v for v, _ in chosen])
         if best is None:
             break
         chosen.append(best)
+        if len(chosen) == k:
+            break
+        held = checkpointed(trees.where(F.col("v") == best[0]).select("s"))  # the roots whose trees hold the new seed
+        fresh = activation(checkpointed(trees.join(held, "s", "left_semi")), [v for v, _ in chosen])
+        state = checkpointed(state.join(held, "s", "left_anti").unionByName(fresh))
     return listed(edges.sparkSession, chosen)
 
 
@@ -128,39 +134,48 @@ def pmia(edges: DataFrame, k: int, theta: float, roots: DataFrame | None = None,
     return listed(spark, chosen)
 
 
-def expansion(edges: DataFrame, k: int, theta: float, natives: DataFrame) -> DataFrame:
-    """rank, vid, gain: greedy on the natives' activation, evaluated on the union of the seeds' stored paths to each native.
+def expanding(edges: DataFrame, k: int, theta: float, natives: DataFrame, first: DataFrame | None = None) -> Iterator[tuple[list[tuple[int, float]], DataFrame | None]]:
+    """Rounds of greedy on the natives' activation, evaluated on the union of the seeds' stored paths to each native: the seeds
+    chosen so far with their gains, and the gains (vid, gain) of all other candidates beside them (None after the last round).
 
     A candidate's paths skip the chosen seeds; its gain is what they add to the stored ones (``with_path``). Every candidate's
     gain is exact in every round: a lazy queue gives other seeds where a gain grows, as gains here aren't submodular. A tree is
     built anew only if the new seed is in it; a native that no seed reaches adds its path's probability. Candidates are the
-    vertices that reach a native at first; they stay candidates, with gain 0, when seeds cut them off."""
+    vertices that reach a native at first; they stay candidates, with gain 0, when seeds cut them off. ``first``: the gains of the
+    first round, if they are known from lists."""
     spark = edges.sparkSession
     edges = checkpointed(edges.select("src", "dst", "p"))
     native = checkpointed(natives.select(F.col("vid").alias("v")).distinct())
     trees = closure(edges, theta, vertices(edges).union(native).distinct())
-    candidates = checkpointed(trees.join(native, "v", "left_semi").select(F.col("s").alias("vid")).distinct())
+    candidates = first if first is not None else first_gains(trees, native.withColumnRenamed("v", "vid"))
+    candidates = checkpointed(candidates.select("vid", "gain"))
     stored = spark.createDataFrame([], "root long, v long, next long, edge_p double")
     ap = spark.createDataFrame([], "root long, ap double")  # of natives that a seed reaches
     chosen: list[tuple[int, float]] = []
+    after, scores = None, candidates
     while len(chosen) < k:
         seeds = [v for v, _ in chosen]
-        reach = trees.join(native, "v", "left_semi").select("s", F.col("v").alias("root"), "p")
-        after = reach.join(ap, "root", "left_anti").select("s", "root", F.col("p").alias("ap"))
         if seeds:
+            reach = trees.join(native, "v", "left_semi").select("s", F.col("v").alias("root"), "p")
             shared = checkpointed(reach.join(ap, "root", "left_semi").select("s", "root"))
             links = checkpointed(with_path(walked(trees, shared), shared, stored))
-            after = after.unionByName(root_activation(shared, links, seeds))
-        after = checkpointed(after)
-        added = after.join(ap.withColumnRenamed("ap", "before"), "root", "left").withColumn("add", F.col("ap") - F.coalesce("before", F.lit(0.0)))
-        found = added.groupBy(F.col("s").alias("vid")).agg(F.sum("add").alias("gain"))
-        best = pick(candidates.join(found, "vid", "left").select("vid", F.coalesce("gain", F.lit(0.0)).alias("gain")), seeds)
+            alone = reach.join(ap, "root", "left_anti").select("s", "root", F.col("p").alias("ap"))
+            after = checkpointed(alone.unionByName(root_activation(shared, links, seeds)))
+            added = after.join(ap.withColumnRenamed("ap", "before"), "root", "left").withColumn("add", F.col("ap") - F.coalesce("before", F.lit(0.0)))
+            found = added.groupBy(F.col("s").alias("vid")).agg(F.sum("add").alias("gain"))
+            free = candidates.where(~F.col("vid").isin(seeds)).select("vid")
+            scores = checkpointed(free.join(found, "vid", "left").select("vid", F.coalesce("gain", F.lit(0.0)).alias("gain")))
+        yield list(chosen), scores
+        best = pick(scores, seeds)
         if best is None:
-            break
+            return
         new = best[0]
         chosen.append(best)
         if len(chosen) == k:
-            break
+            yield list(chosen), None
+            return
+        if after is None:
+            after = trees.join(native, "v", "left_semi").select("s", F.col("v").alias("root"), F.col("p").alias("ap"))
         own = after.where(F.col("s") == new).select("s", "root", "ap")
         path = walked(trees.where(F.col("s") == new), own).select("root", "v", "next", "edge_p")
         stored = checkpointed(path.unionByName(stored.join(path, ["root", "v"], "left_anti")))
@@ -168,16 +183,141 @@ def expansion(edges: DataFrame, k: int, theta: float, natives: DataFrame) -> Dat
         stale = checkpointed(trees.where(F.col("v") == new).select(F.col("s").alias("vid")))
         fresh = closure(edges, theta, stale.where(F.col("vid") != new), avoid=[*seeds, new])
         trees = checkpointed(trees.join(stale.select(F.col("vid").alias("s")), "s", "left_anti").unionByName(fresh))
-    return listed(spark, chosen)
+
+
+def expansion(edges: DataFrame, k: int, theta: float, natives: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """rank, vid, gain of the best k seeds for the natives (see ``expanding``)."""
+    chosen: list[tuple[int, float]] = []
+    for chosen, _ in expanding(edges, k, theta, natives, first):  # noqa: B007
+        pass
+    return listed(edges.sparkSession, chosen)
+
+
+def region_lists(mip: DataFrame, placed: DataFrame) -> DataFrame:
+    """rid, vid, dp, rank: for each region of natives (vid, rid; null: the fringe), the vertices that reach any, best first."""
+    reach = mip.join(placed.select(F.col("vid").alias("v"), F.coalesce("rid", F.lit("fringe")).alias("rid")), "v")
+    sums = reach.groupBy("rid", F.col("s").alias("vid")).agg(F.sum("p").alias("dp"))
+    return sums.withColumn("rank", F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("dp"), "vid")))
+
+
+def leading(lists: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of each region's list; all if ``n`` is negative."""
+    return lists if n < 0 else lists.where(F.col("rank") <= n)
+
+
+def merged_top(lists: DataFrame, k: int, depth: int = 8) -> DataFrame:
+    """rank, vid, gain: the k vertices with the largest sums over all lists, by the threshold algorithm.
+
+    Lists are read down to ``depth``, which doubles until the k-th sum reaches what a vertex below it can have at most: the sum of
+    the lists' values at that depth. So the long tails of the lists are summed for vertices of their heads only."""
+    while True:
+        heads = lists.where(F.col("rank") <= depth).select("vid").distinct()
+        best = top(lists.join(heads, "vid").groupBy("vid").agg(F.sum("dp").alias("gain")), k, "gain")
+        below = lists.where(F.col("rank") == depth).agg(F.sum("dp")).first()[0]
+        kth = best.agg(F.count(F.lit(1)).alias("n"), F.min("gain").alias("least")).first()
+        if below is None or kth.n == k and kth.least >= below:
+            return best
+        depth *= 2
+
+
+def assembly(edges: DataFrame, k: int, theta: float, placed: DataFrame, lists: DataFrame) -> DataFrame:
+    """rank, vid, gain: ``expansion`` whose first gains come from ready lists of the natives' (vid, rid) regions and fringe."""
+    first = lists.groupBy("vid").agg(F.sum("dp").alias("gain"))
+    return expansion(edges, k, theta, placed.select("vid"), first)
+
+
+def region_seeds(edges: DataFrame, theta: float, placed: DataFrame, tau: int, ratio: int = 1) -> DataFrame:
+    """rid, pos, vid, gain: the best seeds of each region of natives (vid, rid) alone: ``tau``, at most its natives / ``ratio``.
+
+    One selection a region, from what a driver loop lists: the regions that a rectangle covers, and its fringe."""
+    named = placed.select("vid", F.coalesce("rid", F.lit("fringe")).alias("rid"))
+    out = None
+    for r in named.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).orderBy("rid").collect():
+        if (k := min(tau, r.n // ratio)) > 0:
+            own = expansion(edges, k, theta, named.where(F.col("rid") == r.rid))
+            own = own.select(F.lit(r.rid).alias("rid"), F.col("rank").alias("pos"), "vid", "gain")
+            out = own if out is None else out.unionByName(own)
+    return out if out is not None else edges.sparkSession.createDataFrame([], "rid string, pos int, vid long, gain double")
+
+
+def merged_hints(ready: DataFrame, k: int) -> tuple[DataFrame, float]:
+    """(rank, vid of the k hints; the gain of all that was taken) from ``region_seeds``.
+
+    The lists' heads compete: the largest gain goes next, a seed that was taken before adds its gain but takes no place. A
+    seed can't go before those above it in its list, so it competes with the least gain down to its own."""
+    least = F.min("gain").over(Window.partitionBy("rid").orderBy("pos"))
+    placed = checkpointed(ready.withColumn("at", F.struct((-least).alias("w"), "rid", "pos")))
+    first = placed.groupBy("vid").agg(F.min("at").alias("at")).orderBy("at").limit(k)
+    hints = checkpointed(first.select("vid", "at", F.row_number().over(Window.orderBy("at")).alias("rank")))  # k rows
+    end = hints.agg(F.max("at").alias("end"))
+    taken = placed.join(F.broadcast(end)).where("at <= end").agg(F.sum("gain")).first()[0]
+    return hints.select("rank", "vid"), taken or 0.0
+
+
+def upper_rest(scores: DataFrame, n: int) -> float:
+    """What ``n`` more seeds add at most: the sum of the n largest gains."""
+    return scores.orderBy(F.desc("gain"), "vid").limit(n).agg(F.sum("gain")).first()[0] or 0.0
+
+
+def hinted(edges: DataFrame, k: int, theta: float, placed: DataFrame, lists: DataFrame, ready: DataFrame, accept: float) -> DataFrame:
+    """rank, vid, gain: as ``assembly``, but the merged hints of ``region_seeds`` are returned, with null gains, as soon as their
+    gain is above ``accept`` times the upper bound, from the second seed on."""
+    hints, lower = merged_hints(ready, k)
+    first = lists.groupBy("vid").agg(F.sum("dp").alias("gain"))
+    chosen: list[tuple[int, float]] = []
+    for chosen, scores in expanding(edges, k, theta, placed.select("vid"), first):
+        if scores is not None and len(chosen) >= 2 and lower > accept * (sum(g for _, g in chosen) + upper_rest(scores, k - len(chosen))):
+            return hints.select("rank", "vid", F.lit(None).cast("double").alias("gain"))
+    return listed(edges.sparkSession, chosen)
+
+
+def hinted_by_bounds(edges: DataFrame, k: int, theta: float, placed: DataFrame, lists: DataFrame, accept: float) -> DataFrame:
+    """rank, vid, gain: as ``hinted``, with a lower bound from the seeds alone: their gains, and what they and the vertices of
+    the largest ``lower_gains`` claim among natives that no seed reaches. On success the best scores fill the places left."""
+    native = placed.select(F.col("vid").alias("v")).distinct()
+    mip = checkpointed(closure(edges.select("src", "dst", "p"), theta).join(native, "v", "left_semi"))
+    first = lists.groupBy("vid").agg(F.sum("dp").alias("gain"))
+    chosen: list[tuple[int, float]] = []
+    for chosen, scores in expanding(edges, k, theta, placed.select("vid"), first):
+        if scores is None or len(chosen) < 2:
+            continue
+        seeds, total, rest = [v for v, _ in chosen], sum(g for _, g in chosen), k - len(chosen)
+        hit = checkpointed(mip.where(F.col("s").isin(seeds)).groupBy("v").agg((1 - F.product(1 - F.col("p"))).alias("ap")))
+        untouched = mip.join(hit, "v", "left_anti")
+        next_ = top(lower_gains(mip.where(~F.col("s").isin(seeds)), native.join(hit, "v", "left").select("v", F.coalesce("ap", F.lit(0.0)).alias("ap"))), rest, "gain")
+        lower = total + (claimed(untouched, next_.select("rank", "vid")).first()[0] or 0.0)
+        if lower > accept * (total + upper_rest(scores, rest)):
+            fill = scores.orderBy(F.desc("gain"), "vid").limit(rest).collect()
+            return listed(edges.sparkSession, [*chosen, *((r.vid, r.gain) for r in fill)])
+    return listed(edges.sparkSession, chosen)
+
+
+def reranked(shortlist: DataFrame, k: int, spread: Callable[[DataFrame], float], most: int = 1000) -> DataFrame:
+    """rank, vid, gain: greedy over ``spread`` among a shortlist (vid, gain) of the best of a cheaper method."""
+    return celf(shortlist, k, spread, shortlist, most)
+
+
+def theta_sweep(edges: DataFrame, k: int, bounds: tuple[int, int], select: Callable[[DataFrame, int, float], DataFrame]) -> DataFrame:
+    """bound, tree_size, rank, vid, gain: ``select`` at theta = 1 / bound, bounds doubling from the first while below the second."""
+    out, bound = None, bounds[0]
+    while bound < bounds[1]:
+        sizes = closure(reverse(edges), 1 / bound).groupBy("s").agg(F.count(F.lit(1)).alias("n")).agg(F.avg(F.col("n") * F.col("n")).alias("tree_size"))
+        own = select(edges, k, 1 / bound).withColumn("bound", F.lit(bound)).join(F.broadcast(sizes))  # one row
+        out = own if out is None else out.unionByName(own)
+        bound *= 2
+    return out.select("bound", "tree_size", "rank", "vid", "gain")
+
+
 
 
 def degree_discount_seeds(edges: DataFrame, k: int, p: float = 0.01) -> DataFrame:
-    """rank, vid, gain (the discounted degree): a pick discounts its out-neighbours."""
+    """rank, vid, gain (the discounted degree): a pick discounts its out-neighbours, by the edges' multiplicity ``c`` if there is one."""
+    times = F.sum("c") if "c" in edges.columns else F.count(F.lit(1))
     degree = checkpointed(degrees(edges).select("vid", "degree"))
     chosen: list[tuple[int, float]] = []
     for _ in range(k):
         taken = [v for v, _ in chosen]
-        hits = edges.where(F.col("src").isin(taken)).groupBy(F.col("dst").alias("vid")).agg(F.count(F.lit(1)).alias("t")) if taken else degree.select("vid", F.lit(0).alias("t"))
+        hits = edges.where(F.col("src").isin(taken)).groupBy(F.col("dst").alias("vid")).agg(times.alias("t")) if taken else degree.select("vid", F.lit(0).alias("t"))
         scores = degree.join(hits, "vid", "left").select("vid", degree_discount(F.col("degree"), F.coalesce("t", F.lit(0)), p).cast("double").alias("gain"))
         best = pick(scores, taken)
         if best is None:
@@ -186,13 +326,16 @@ def degree_discount_seeds(edges: DataFrame, k: int, p: float = 0.01) -> DataFram
     return listed(edges.sparkSession, chosen)
 
 
-def celf(edges: DataFrame, k: int, spread: Callable[[DataFrame], float], candidates: DataFrame) -> DataFrame:
+def celf(edges: DataFrame, k: int, spread: Callable[[DataFrame], float], candidates: DataFrame, most: int = 10_000) -> DataFrame:
     """rank, vid, gain: lazy greedy over ``spread`` (a function of a seed table); old gains are upper bounds.
 
-    ``candidates`` (vid, gain): a bounded shortlist with upper bounds of their gains, e.g. from ``first_gains``; it reaches the
-    driver, which keeps the queue and asks for the exact gain of its head only."""
+    ``candidates`` (vid, gain): at most ``most``, else an error, with upper bounds of their gains, e.g. from ``first_gains``; they
+    reach the driver, which keeps the queue and asks for the exact gain of its head only."""
+    rows = candidates.select("vid", "gain").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} candidates; take the best of them first")
     spark = edges.sparkSession
-    queue = {r.vid: (r.gain, 0) for r in candidates.collect()}
+    queue = {r.vid: (r.gain, 0) for r in rows}
     chosen: list[tuple[int, float]] = []
     total = 0.0
     while len(chosen) < k and queue:

@@ -30,17 +30,39 @@ def natives(users: DataFrame, cx: float, cy: float, hx: float, hy: float) -> Dat
     return users.where(in_box(F.col("x"), F.col("y"), *map(F.lit, (cx, cy, hx, hy)))).select(F.col("user_id").alias("vid"))
 
 
-def natives_of(users: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, vid for many rectangles (qid, cx, cy, hx, hy); each user meets the rectangles of its own unit cells only.
-
-    Cells are as wide as the largest rectangle, so a rectangle touches at most 3 x 3 of them."""
-    width = queries.agg(F.max(F.greatest("hx", "hy"))).first()[0]
-    size = 2 * width if width else 1.0
-    cell = lambda c: F.floor(c / size)
-    spread = queries.withColumn("ix", F.explode(F.sequence(cell(F.col("cx") - F.col("hx")), cell(F.col("cx") + F.col("hx"))))).withColumn("iy", F.explode(F.sequence(cell(F.col("cy") - F.col("hy")), cell(F.col("cy") + F.col("hy")))))
-    placed = users.select("user_id", "x", "y", cell(F.col("x")).alias("ix"), cell(F.col("y")).alias("iy"))
+def native_locations(users: DataFrame, cx: float, cy: float, hx: float, hy: float) -> DataFrame:
+    """vid, x, y of the users in one rectangle."""
+    return users.where(in_box(F.col("x"), F.col("y"), *map(F.lit, (cx, cy, hx, hy)))).select(F.col("user_id").alias("vid"), "x", "y")
+
+
+def within(users: DataFrame, cx: float = 0.0, cy: float = 0.0, hx: float = 1.0, hy: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(users inside the world's box, users outside it or without a place)."""
+    inside = F.coalesce(in_box(F.col("x"), F.col("y"), *map(F.lit, (cx, cy, hx, hy))), F.lit(False))
+    return users.where(inside), users.where(~inside)
+
+
+def natives_of(users: DataFrame, queries: DataFrame, most: int = 100_000) -> DataFrame:
+    """qid, vid for many rectangles (qid, cx, cy, hx, hy), at most ``most`` of them, else an error.
+
+    Rectangles are classed by size, in powers of two, and each class has cells as wide as its largest: a rectangle touches at
+    most 3 x 3 of its class, and a world-sized one doesn't widen the cells of small ones. A user meets the rectangles of
+    their own cell of each class only; rectangles are broadcast, so no cell is a hot key."""
+    if queries.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rectangles")
+    size = F.greatest("hx", "hy", F.lit(1e-300))
+    level = F.ceil(F.log2(size * 2)).cast("int")
+    cell = lambda c, level: F.floor(c / F.pow(F.lit(2.0), level)).cast("long")
+    sides = {f"i{c}": F.explode(F.sequence(cell(F.col(f"c{c}") - F.col(f"h{c}"), F.col("level")), cell(F.col(f"c{c}") + F.col(f"h{c}"), F.col("level")))) for c in "xy"}
+    spread = queries.withColumn("level", level)
+    levels = sorted(r.level for r in spread.select("level").distinct().collect())
+    if not levels:
+        return queries.select("qid").join(users.select(F.col("user_id").alias("vid")).limit(0))
+    for name, values in sides.items():
+        spread = spread.withColumn(name, values)
+    placed = users.select("user_id", "x", "y", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    placed = placed.withColumns({f"i{c}": cell(F.col(c), F.col("level")) for c in "xy"})
     inside = in_box(*[F.col(c) for c in ("x", "y", "cx", "cy", "hx", "hy")])
-    return placed.join(spread, ["ix", "iy"]).where(inside).select("qid", F.col("user_id").alias("vid"))
+    return placed.join(F.broadcast(spread), ["level", "ix", "iy"]).where(inside).select("qid", F.col("user_id").alias("vid"))
 
 
 def admitted(found: DataFrame, queries: DataFrame, ratio: int = 1, most: int = 5000) -> DataFrame:
@@ -50,7 +72,8 @@ def admitted(found: DataFrame, queries: DataFrame, ratio: int = 1, most: int = 5
 
 
 def quadtree(users: DataFrame, cx: float = 0.0, cy: float = 0.0, hx: float = 1.0, hy: float = 1.0, capacity: int = 4, deepest: int = 20) -> DataFrame:
-    """user_id, path: a node keeps its first ``capacity`` users by id, others go on to its quadrant, half-open, NW NE SW SE.
+    """user_id, path: a node keeps its first ``capacity`` users by id, others go on to the first quadrant, NW NE SW SE, whose closed box
+    holds them.
 
     A leaf at depth ``deepest`` keeps all users that come to it, however many share its point or its cell."""
     inside = in_box(F.col("x"), F.col("y"), *map(F.lit, (cx, cy, hx, hy)))
@@ -62,7 +85,7 @@ def quadtree(users: DataFrame, cx: float = 0.0, cy: float = 0.0, hx: float = 1.0
         stay = checkpointed(first.select("user_id", "path"))
         kept = stay if kept is None else kept.unionByName(stay)
         rest = here.join(stay.select("user_id"), "user_id", "left_anti")
-        east, north = F.col("x") >= F.col("cx"), F.col("y") >= F.col("cy")
+        east, north = F.col("x") > F.col("cx"), F.col("y") >= F.col("cy")
         name = F.when(north, F.when(east, F.lit("NE")).otherwise(F.lit("NW"))).otherwise(F.when(east, F.lit("SE")).otherwise(F.lit("SW")))
         here = rest.select(
             "user_id", "x", "y", F.concat("path", name).alias("path"),
@@ -75,3 +98,50 @@ def quadtree(users: DataFrame, cx: float = 0.0, cy: float = 0.0, hx: float = 1.0
             return kept
     last = here.select("user_id", "path")
     return last if kept is None else kept.unionByName(last)
+
+
+def region_box(path: Column, world: tuple[float, float, float, float] = (0.0, 0.0, 1.0, 1.0)) -> tuple[Column, Column, Column, Column]:
+    """Centre and half sizes of the quadtree's cell at ``path``."""
+    depth = (F.length(path) / 2).cast("int")
+    steps = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+
+    def centre(at: float, half: float, letter: int, plus: str) -> Column:
+        side = lambda i: F.when(F.substr(path, 2 * i - letter, F.lit(1)) == plus, 1.0).otherwise(-1.0)
+        return F.aggregate(steps, F.lit(float(at)), lambda c, i: c + side(i) * half / F.pow(F.lit(2.0), i))
+
+    cx, cy, hx, hy = world
+    shrink = F.pow(F.lit(2.0), depth)
+    return centre(cx, hx, 0, "E"), centre(cy, hy, 1, "N"), hx / shrink, hy / shrink
+
+
+def regions(placed: DataFrame, world: tuple[float, float, float, float] = (0.0, 0.0, 1.0, 1.0)) -> DataFrame:
+    """path, depth, cx, cy, hx, hy, own, users of the nodes of a quadtree (user_id, path): users kept there, and there or below."""
+    ends = placed.groupBy("path").agg(F.count(F.lit(1)).alias("own"))
+    ups = F.transform(F.sequence(F.lit(0), (F.length("path") / 2).cast("int")), lambda i: F.substr(F.col("path"), F.lit(1), 2 * i))
+    all_ = ends.select(F.explode(ups).alias("node"), F.when(F.col("node") == F.col("path"), F.col("own")).otherwise(0).alias("own"), F.col("own").alias("users"))
+    found = all_.groupBy(F.col("node").alias("path")).agg(F.sum("own").alias("own"), F.sum("users").alias("users"))
+    box = dict(zip(("cx", "cy", "hx", "hy"), region_box(F.col("path"), world), strict=True))
+    return found.select("path", (F.length("path") / 2).cast("int").alias("depth"), *[c.alias(n) for n, c in box.items()], "own", "users")
+
+
+def covered(tree: DataFrame, cx: float, cy: float, hx: float, hy: float, world: tuple[float, float, float, float] = (0.0, 0.0, 1.0, 1.0)) -> DataFrame:
+    """The largest ``regions`` that a rectangle strictly contains: those whose parent it doesn't contain."""
+    query = tuple(map(F.lit, (cx, cy, hx, hy)))
+    parent = region_box(F.substr(F.col("path"), F.lit(1), F.length("path") - 2), world)
+    own = box_holds(query, tuple(map(F.col, ("cx", "cy", "hx", "hy"))))
+    return tree.where(own & ((F.col("depth") == 0) | ~box_holds(query, parent)))
+
+
+def below(placed: DataFrame, path: str) -> DataFrame:
+    """The users (user_id, path) of a node and of all nodes below it."""
+    return placed.where(F.col("path").startswith(path))
+
+
+def native_regions(placed: DataFrame, users: DataFrame, box: tuple[float, float, float, float], world: tuple[float, float, float, float] = (0.0, 0.0, 1.0, 1.0)) -> DataFrame:
+    """vid, rid of a rectangle's users: the covered region that a user is in, or null for the fringe, users of no such region."""
+    inside = users.where(in_box(F.col("x"), F.col("y"), *map(F.lit, box))).select("user_id")
+    own = placed.join(inside, "user_id")
+    found = covered(regions(placed, world), *box, world).select(F.col("path").alias("rid"))
+    ups = F.transform(F.sequence(F.lit(0), (F.length("path") / 2).cast("int")), lambda i: F.substr(F.col("path"), F.lit(1), 2 * i))
+    hit = own.select("user_id", F.explode(ups).alias("rid")).join(found, "rid")
+    return own.join(hit, "user_id", "left").select(F.col("user_id").alias("vid"), "rid")

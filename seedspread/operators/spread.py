@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedspread.operators.probability import hash_coin
+from seedspread.operators.probability import hash_coin, uniform
 from seedspread.session import checkpointed
 
 
 def reached(edges: DataFrame, seeds: DataFrame, runs: int) -> DataFrame:
     """run, vid: the vertices that the seeds (vid) reach over the live edges of each run; an edge's coin is its key's hash."""
-    spark = edges.sparkSession
-    start = seeds.select("vid").distinct().join(F.broadcast(spark.range(runs).select(F.col("id").alias("run"))))
-    seen = checkpointed(start.select("run", "vid"))
-    frontier = seen
-    while not frontier.isEmpty():
-        step = frontier.join(edges, F.col("vid") == F.col("src"))
-        step = step.where(hash_coin(F.col("run"), F.col("src"), F.col("dst")) < F.col("p")).select("run", F.col("dst").alias("vid")).distinct()
-        frontier = checkpointed(step.join(seen, ["run", "vid"], "left_anti"))
-        seen = checkpointed(seen.unionByName(frontier))
-    return seen
+    start = seeds.select("vid").distinct().withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)).cast("array<long>")))
+    return _reached(edges, start, ["run"])
+
+
+def _reached(edges: DataFrame, start: DataFrame, key: list[str]) -> DataFrame:
+    """``key``, vid: what each key's start vertices reach; the coin of an edge is that of its ``run``. Steps are kept as they come."""
+    seen = [checkpointed(start.select(*key, "vid"))]
+    while not seen[-1].isEmpty():
+        step = seen[-1].join(edges, F.col("vid") == F.col("src"))
+        step = step.where(hash_coin(F.col("run"), F.col("src"), F.col("dst")) < F.col("p")).select(*key, F.col("dst").alias("vid")).distinct()
+        seen.append(checkpointed(step.join(reduce(DataFrame.unionByName, seen), [*key, "vid"], "left_anti")))
+    return reduce(DataFrame.unionByName, seen)
 
 
 def monte_carlo(edges: DataFrame, seeds: DataFrame, runs: int, counted: DataFrame | None = None) -> DataFrame:
@@ -31,14 +35,21 @@ def monte_carlo(edges: DataFrame, seeds: DataFrame, runs: int, counted: DataFram
     return found.agg((F.count(F.lit(1)) / F.lit(float(runs))).alias("spread"))
 
 
+def constant_ratio(edges: DataFrame, ratio: float = 0.01) -> DataFrame:
+    """src, dst, p of edges (src, dst, c) whose c parallel edges each have the same probability."""
+    return edges.select("src", "dst", uniform(F.col("c"), ratio).alias("p"))
+
+
 def curve(edges: DataFrame, ranked: DataFrame, runs: int) -> DataFrame:
-    """rank, spread of each prefix of ranked seeds (rank, vid): one Monte Carlo with the prefix in the run's key."""
-    last = ranked.agg(F.max("rank")).first()[0] or 0
-    out = None
-    for n in range(1, last + 1):
-        one = monte_carlo(edges, ranked.where(F.col("rank") <= n), runs).select(F.lit(n).alias("rank"), "spread")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else ranked.select("rank", F.lit(0.0).alias("spread"))
+    """rank, spread of each prefix of ranked seeds (rank, vid): one Monte Carlo, in which a vertex has the rank of the first seed
+    that reaches it.
+
+    A run's live edges are the same for all prefixes, so a vertex that counts for a prefix counts for all longer ones."""
+    start = ranked.select("vid", "rank").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)).cast("array<long>")))
+    first = _reached(edges, start, ["run", "rank"]).groupBy("run", "vid").agg(F.min("rank").alias("rank"))
+    new = first.groupBy("rank").agg(F.count(F.lit(1)).alias("new"))
+    all_ = ranked.select("rank").distinct().join(new, "rank", "left")
+    return all_.select("rank", (F.sum(F.coalesce("new", F.lit(0))).over(Window.orderBy("rank")) / F.lit(float(runs))).alias("spread"))  # a row for each seed
 
 
 def shortest_path_model(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -51,3 +62,21 @@ def shortest_path_model(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         last = checkpointed(step.join(rings.select("vid"), "vid", "left_anti").select("vid", F.lit(ring).alias("ring"), "p"))
         rings = checkpointed(rings.unionByName(last))
     return rings
+
+
+def shortest_path_plus_one_model(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """vid, ring, p, late: as ``shortest_path_model``, and the probability of activation one step later than by a shortest path.
+
+    A vertex that isn't activated in its ring's turn is so one step later, by vertices of its own ring that were in theirs, or by
+    vertices of the ring before that were late."""
+    rings = shortest_path_model(edges, seeds)
+    late = checkpointed(rings.where("ring = 0").select("vid", F.lit(0.0).alias("late")))
+    known, ring = [late], 0
+    while not late.isEmpty():
+        ring += 1
+        own = rings.where(F.col("ring") == ring).select("vid", "p")
+        given = own.withColumnRenamed("p", "of").unionByName(late.withColumnRenamed("late", "of"))
+        come = given.join(edges, F.col("vid") == F.col("src")).groupBy(F.col("dst").alias("vid")).agg(F.product(1 - F.col("of") * F.col("p")).alias("rest"))
+        late = checkpointed(own.join(come, "vid", "left").select("vid", ((1 - F.col("p")) * (1 - F.coalesce("rest", F.lit(1.0)))).alias("late")))
+        known.append(late)
+    return rings.join(reduce(DataFrame.unionByName, known), "vid")

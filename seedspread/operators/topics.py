@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedspread.operators.paths import closure
+from seedspread.operators.paths import closure, vertices
 from seedspread.operators.probability import divergence, strongest_topic, topic
 from seedspread.operators.selection import listed, pick
+from seedspread.operators.spread import monte_carlo
 from seedspread.session import checkpointed
 
 
@@ -101,10 +104,147 @@ def topic_greedy(tedges: DataFrame, item: list[float], k: int, theta: float) ->
     return listed(edges.sparkSession, chosen)
 
 
-def clusters(items: DataFrame, k: int, seed: int = 0, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(qid, cluster) of items, and (cluster, top, total): each cluster's largest weight by topic, and their sum."""
+def border(trees: DataFrame) -> DataFrame:
+    """The rows of trees (s, v, parent) whose vertex is no other's parent: where paths end for want of probability."""
+    return trees.join(trees.where("s <> v").select("s", F.col("parent").alias("v")).distinct(), ["s", "v"], "left_anti")
+
+
+def exact_gains(edges: DataFrame, theta: float, ap: DataFrame, candidates: DataFrame, seeds: list[int]) -> DataFrame:
+    """vid, gain of candidates (vid): what their one-pass activation on paths past no seed adds to ``ap``."""
+    after = activated(closure(edges, theta, candidates, avoid=seeds), edges, ap)
+    return _added(after, ap).groupBy(F.col("s").alias("vid")).agg(F.sum("add").alias("gain"))
+
+
+def bounded_gains(edges: DataFrame, theta: float, ap: DataFrame, candidates: DataFrame, seeds: list[int], bounds: DataFrame) -> DataFrame:
+    """vid, gain: as ``exact_gains`` at a coarser ``theta``, where each border vertex adds its ``infl2`` (vid, infl2) times its
+    increase for what lies behind it."""
+    trees = closure(edges, theta, candidates, avoid=seeds)
+    added = checkpointed(_added(activated(trees, edges, ap), ap))
+    behind = added.join(border(trees).select("s", "v"), ["s", "v"], "left_semi").join(bounds.select(F.col("vid").alias("v"), "infl2"), "v")
+    parts = added.select("s", "add").unionByName(behind.select("s", (F.col("add") * F.col("infl2")).alias("add")))
+    return parts.groupBy(F.col("s").alias("vid")).agg(F.sum("add").alias("gain"))
+
+
+def _added(after: DataFrame, ap: DataFrame) -> DataFrame:
+    return after.join(ap, "v", "left").select("s", "v", (F.col("tap") - F.coalesce("ap", F.lit(0.0))).alias("add"))
+
+
+def best_first(tedges: DataFrame, item: list[float], k: int, theta: float, bounds: DataFrame, coarse: float | None = None, batch: int = 64) -> Iterator[tuple[list[tuple[int, float]], DataFrame]]:
+    """Lazy greedy for an item: after each round, the seeds so far with their gains, and their activations (v, ap).
+
+    ``bounds`` (vid, infl, infl2): see ``vertex_bounds``. A vertex's score is its ``infl`` at first, and then the last gain that was
+    computed. In a round the ``batch`` vertices of the best scores are evaluated at a time, until no score left is above the
+    best gain; with ``coarse``, their ``bounded_gains`` at that theta come first, and only those still above are evaluated exactly.
+    Where a one-pass activation exceeds the sum of paths, a vertex whose score is too low is passed over; ``topic_greedy``
+    evaluates all."""
+    edges = checkpointed(for_item(tedges, item))
+    known = vertices(edges)
+    scores = checkpointed(bounds.join(known, "vid").select("vid", F.col("infl").alias("score")))
+    ap = edges.sparkSession.createDataFrame([], "v long, ap double")
+    chosen: list[tuple[int, float]] = []
+    while len(chosen) < k:
+        seeds, best = [v for v, _ in chosen], None
+        stale = scores.where(~F.col("vid").isin(seeds)) if seeds else scores
+        while True:
+            above = stale if best is None else stale.where((F.col("score") > best[1]) | (F.col("score") == best[1]) & (F.col("vid") < best[0]))
+            head = checkpointed(above.orderBy(F.desc("score"), "vid").limit(batch))
+            if head.isEmpty():
+                break
+            stale = stale.join(F.broadcast(head.select("vid")), "vid", "left_anti")  # ``batch`` rows
+            if coarse is not None:
+                upper = bounded_gains(edges, coarse, ap, head.select("vid"), seeds, bounds)
+                head = checkpointed(head.join(upper, "vid").select("vid", F.least("score", "gain").alias("score")))
+            live = head if best is None else head.where(F.col("score") >= best[1])
+            gains = checkpointed(exact_gains(edges, theta, ap, live.select("vid"), seeds))
+            scores = checkpointed(scores.join(F.broadcast(head.join(gains, "vid", "left").select("vid", F.coalesce("gain", "score").alias("new"))), "vid", "left").select("vid", F.coalesce("new", "score").alias("score")))
+            found = pick(gains, seeds)
+            if found is not None and (best is None or (-found[1], found[0]) < (-best[1], best[0])):
+                best = found
+        if best is None:
+            return
+        chosen.append(best)
+        after = activated(closure(edges, theta, edges.sparkSession.createDataFrame([(best[0],)], "vid long"), avoid=seeds), edges, ap)
+        own = checkpointed(after.select("v", F.col("tap").alias("ap")))
+        ap = checkpointed(own.unionByName(ap.join(own, "v", "left_anti")))
+        yield list(chosen), ap
+
+
+def topic_best_first(tedges: DataFrame, item: list[float], k: int, theta: float, bounds: DataFrame, coarse: float | None = None) -> DataFrame:
+    """rank, vid, gain of the seeds that ``best_first`` chooses."""
+    chosen: list[tuple[int, float]] = []
+    for chosen, _ in best_first(tedges, item, k, theta, bounds, coarse):  # noqa: B007
+        pass
+    return listed(tedges.sparkSession, chosen)
+
+
+def set_gain(edges: DataFrame, ap: DataFrame, candidates: list[int], sweeps: int = 2) -> float:
+    """What a set of candidates adds to ``ap`` (v, ap) at least: they are active, and activation passes over all edges ``sweeps``
+    times, all vertices at once."""
+    spark = edges.sparkSession
+    added = checkpointed(spark.createDataFrame([(v, 1.0) for v in candidates], "v long, now double"))
+    before = vertices(edges).withColumnRenamed("vid", "v").join(ap, "v", "left").select("v", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    state = checkpointed(before.join(added, "v", "left").select("v", "ap", F.greatest("ap", F.coalesce("now", F.lit(0.0))).alias("now")))
+    for _ in range(sweeps):
+        live = state.where("now > 0").select(F.col("v").alias("src"), "now")
+        come = edges.join(live, "src").groupBy(F.col("dst").alias("v")).agg((1 - F.product(1 - F.col("p") * F.col("now"))).alias("come"))
+        state = checkpointed(state.join(come, "v", "left").select("v", "ap", F.greatest("now", F.coalesce("come", F.lit(0.0))).alias("now")))
+    return state.agg(F.sum(F.col("now") - F.col("ap"))).first()[0] or 0.0
+
+
+def topic_approximate(tedges: DataFrame, item: list[float], k: int, theta: float, bounds: DataFrame, upper: DataFrame, lower: DataFrame, epsilon: float, coarse: float | None = None) -> DataFrame:
+    """rank, vid, gain: seeds of the nearest ``lower`` sample (sid, item, seeds), with null gains, once they are shown to be good
+    enough; until then seeds of ``best_first``.
+
+    Every k / 10 rounds (each one for a small k), the gains so far and the ``set_gain`` of the sample's seeds left are held
+    against ``epsilon`` times the bound of the nearest ``upper`` sample (sid, item, ub). A seed that is chosen goes from the sample's,
+    else the sample's last does."""
+    spark = tedges.sparkSession
+    query = spark.createDataFrame([(0, item)], "qid long, item array<double>")
+
+    def nearest(samples: DataFrame, value: str):
+        row = nearest_sample(query, samples.select("sid", "item"), float("inf")).join(samples.select("sid", value), "sid").select(value).first()
+        return row[0] if row is not None else None
+
+    left, most = list(nearest(lower, "seeds") or [])[:k], nearest(upper, "ub")
+    edges, step = checkpointed(for_item(tedges, item)), max(1, k // 10)
+    chosen, ap = [], spark.createDataFrame([], "v long, ap double")
+    rounds = best_first(tedges, item, k, theta, bounds, coarse)
+    while len(chosen) < k:
+        if left and most is not None and (len(chosen) + 1) % step == 0:
+            free = [v for v in left if v not in {v for v, _ in chosen}]
+            if sum(g for _, g in chosen) + set_gain(edges, ap, free) > epsilon * most:
+                rows = [(i, v, g) for i, (v, g) in enumerate([*chosen, *((v, None) for v in left)][:k], 1)]
+                return spark.createDataFrame(rows, "rank int, vid long, gain double")
+        if (found := next(rounds, None)) is None:
+            break
+        chosen, ap = found
+        left = [v for v in left if v != chosen[-1][0]] if chosen[-1][0] in left else left[:-1]
+    return listed(spark, chosen)
+
+
+def upper_samples(tedges: DataFrame, items: dict[int, list[float]], k: int, theta: float, factor: float = 1.0) -> DataFrame:
+    """sid, ub, item: ``factor`` times the sum of gains of each sample item's seeds. One selection for each of a few samples."""
+    rows = [(sid, factor * (topic_greedy(tedges, item, k, theta).agg(F.sum("gain")).first()[0] or 0.0), item) for sid, item in items.items()]
+    return tedges.sparkSession.createDataFrame(rows, "sid long, ub double, item array<double>")
+
+
+def lower_samples(tedges: DataFrame, items: dict[int, list[float]], k: int, theta: float) -> DataFrame:
+    """sid, item, seeds: each sample item's seeds in rank order."""
+    rows = [(sid, item, [r.vid for r in topic_greedy(tedges, item, k, theta).orderBy("rank").collect()]) for sid, item in items.items()]
+    return tedges.sparkSession.createDataFrame(rows, "sid long, item array<double>, seeds array<long>")
+
+
+def topic_spread(tedges: DataFrame, item: list[float], seeds: DataFrame, runs: int = 1000) -> DataFrame:
+    """One row, spread: Monte Carlo over the graph of an item."""
+    return monte_carlo(for_item(tedges, item), seeds, runs)
+
+
+def clusters(items: DataFrame, k: int, seed: int = 0, rounds: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(qid, cluster) of items; (cluster, top, total): each cluster's largest weight by topic, and their sum; (cluster, centre)."""
     ready = items.withColumn("features", array_to_vector("item"))
-    found = KMeans(k=k, seed=seed, maxIter=rounds, predictionCol="cluster").fit(ready).transform(ready)
+    model = KMeans(k=k, seed=seed, maxIter=rounds, predictionCol="cluster").fit(ready)
+    found = model.transform(ready)
+    centres = items.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
     peaks = found.select("cluster", F.posexplode("item").alias("z", "w")).groupBy("cluster", "z").agg(F.max("w").alias("w"))
     tops = peaks.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("z", "w"))), lambda x: x["w"]).alias("top"), F.sum("w").alias("total"))
-    return found.select("qid", "cluster"), tops
+    return found.select("qid", "cluster"), tops, centres

@@ -12,8 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
+    """``df`` computed once, in the folder that ``spark.checkpoint.dir`` names; a temporary one only in local mode."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
+        wanted = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not wanted and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()

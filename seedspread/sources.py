@@ -5,20 +5,24 @@ Ids stay as they are; probabilities are stored as such. Parallel edges keep thei
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seedspread.operators.probability import weighted_cascade
+from seedspread.operators.probability import hash_coin, trivalency, weighted_cascade
 from seedspread.session import table
 
 TOPICS = ("click", "error", "purchase", "signup", "view")
 
 
-def rows(spark: SparkSession, path: str, columns: list[str], sep: str = " ") -> DataFrame:
-    """Rows of a text file with as many fields as ``columns`` ("name type"); others, like count headers, are left out."""
+def rows(spark: SparkSession, path: str, columns: list[str], sep: str = " ", header: bool = True) -> DataFrame:
+    """Rows of one text file, with a field for each of ``columns`` ("name type"). ``header``: its first line holds counts and is
+    left out. Blank lines are left out; any other line with another number of fields, or one that is no such type, is an error."""
     split = F.split(F.trim("value"), r"\s+" if sep == " " else sep)
     names = [c.split() for c in columns]
-    fields = spark.read.text(path).select(split.alias("f")).where(F.size("f") == len(columns))
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    lines = (lines.where("at > 0") if header else lines).where(F.trim("value") != "").select("value", split.alias("f"))
+    wrong = F.raise_error(F.concat(F.lit(f"{path}: not {len(columns)} fields: "), "value"))
+    fields = lines.select(F.when(F.size("f") == len(columns), F.col("f")).otherwise(wrong.cast("array<string>")).alias("f"))
     return fields.select(*[F.trim(F.col("f")[i]).cast(kind).alias(name) for i, (name, kind) in enumerate(names)])
 
 
@@ -29,15 +33,32 @@ def influence_graph(spark: SparkSession, path: str) -> DataFrame:
     return strongest(both.select(ends.alias("e")).select("e.*"))
 
 
+def dataset(spark: SparkSession, name: str, folder: str = "data") -> DataFrame:
+    """The influence graph of a data set: ``folder``/``name``.inf."""
+    return influence_graph(spark, f"{folder.rstrip('/')}/{name}.inf")
+
+
+def unweighted_graph(spark: SparkSession, path: str) -> DataFrame:
+    """u, v from rows ``u v``."""
+    return rows(spark, path, ["u bigint", "v bigint"])
+
+
+def _weights(topics: int) -> list[str]:
+    return [f"w{i} double" for i in range(topics)]
+
+
+def _item(topics: int) -> Column:
+    return F.array(*[f"w{i}" for i in range(topics)])
+
+
 def topic_graph(spark: SparkSession, path: str, topics: int) -> DataFrame:
     """src, dst, w from rows ``u v w1 ... wZ``."""
-    read = rows(spark, path, ["src bigint", "dst bigint", *[f"w{i} double" for i in range(topics)]])
-    return read.select("src", "dst", F.array(*[f"w{i}" for i in range(topics)]).alias("w"))
+    return rows(spark, path, ["src bigint", "dst bigint", *_weights(topics)]).select("src", "dst", _item(topics).alias("w"))
 
 
-def locations_file(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
-    """user_id, x, y from rows ``id y x``."""
-    return rows(spark, path, ["user_id bigint", "y double", "x double"], sep).select("user_id", "x", "y")
+def locations_file(spark: SparkSession, path: str, sep: str = " ", header: bool = True) -> DataFrame:
+    """user_id, x, y from rows ``id y x``; ``spatial.within`` parts those outside the world."""
+    return rows(spark, path, ["user_id bigint", "y double", "x double"], sep, header).select("user_id", "x", "y")
 
 
 def rectangles(spark: SparkSession, path: str) -> DataFrame:
@@ -46,6 +67,71 @@ def rectangles(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.xxhash64(*read.columns).alias("qid"), "cx", "cy", "hx", "hy", "k")
 
 
+def vertex_bound_list(spark: SparkSession, path: str) -> DataFrame:
+    """vid, infl, infl2 from rows ``id infl infl2``."""
+    return rows(spark, path, ["vid bigint", "infl double", "infl2 double"])
+
+
+def topic_items(spark: SparkSession, path: str, topics: int, leading: str | None = None) -> DataFrame:
+    """qid, item from rows of Z weights; with ``leading``, rows begin with an int of that name (k, say, or a placeholder)."""
+    read = rows(spark, path, [*([f"{leading} int"] if leading else []), *_weights(topics)])
+    return read.select(F.xxhash64(*read.columns).alias("qid"), *([leading] if leading else []), _item(topics).alias("item"))
+
+
+def upper_bound_samples(spark: SparkSession, path: str, topics: int) -> DataFrame:
+    """sid, ub, item from rows of a bound and Z weights."""
+    read = rows(spark, path, ["ub double", *_weights(topics)])
+    return read.select(F.xxhash64(*read.columns).alias("sid"), "ub", _item(topics).alias("item"))
+
+
+def lower_bound_samples(spark: SparkSession, path: str, topics: int, k: int) -> DataFrame:
+    """sid, item, seeds from rows of Z weights and k seeds in rank order."""
+    read = rows(spark, path, [*_weights(topics), *[f"s{i} bigint" for i in range(k)]])
+    return read.select(F.xxhash64(*read.columns).alias("sid"), _item(topics).alias("item"), F.array(*[f"s{i}" for i in range(k)]).alias("seeds"))
+
+
+def item_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """qid, item from a tab-separated file with a line of names; the first column names the item."""
+    read = spark.read.csv(path, sep="\t", header=True)
+    return read.select(F.col(read.columns[0]).alias("qid"), F.array(*[F.col(f"`{c}`").cast("double") for c in read.columns[1:]]).alias("item"))
+
+
+def saved_seeds(spark: SparkSession, path: str, gains: bool = True) -> DataFrame:
+    """rank, vid, gain (or rank, vid) of a saved seed list: a count, then a row for each seed in rank order.
+
+    Ranks are numbered in one task: seed lists are short."""
+    read = rows(spark, path, ["vid bigint", "gain double"] if gains else ["vid bigint"], r"\t")
+    return read.withColumn("at", F.monotonically_increasing_id()).select(F.row_number().over(Window.orderBy("at")).alias("rank"), *read.columns)
+
+
+def directed_cascade(pairs: DataFrame) -> DataFrame:
+    """src, dst, p from unweighted (u, v): 1 / degree of the target, forward only; a vertex's degree counts both directions' edges."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("dst")).groupBy("dst").agg(F.count(F.lit(1)).alias("degree"))
+    once = pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")).distinct()
+    return once.join(ends, "dst").select("src", "dst", (1 / F.col("degree")).alias("p"))
+
+
+def random_orientation(pairs: DataFrame, high: float = 0.1, low: float = 0.01) -> DataFrame:
+    """src, dst, p from unweighted (u, v): a hash coin of each pair gives one direction ``high`` and the other ``low``; parallel
+    edges add up as independent ones."""
+    counted = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
+    heads = hash_coin(F.col("u"), F.col("v")) < 0.5
+    ways = [(F.col("u"), F.col("v"), heads), (F.col("v"), F.col("u"), ~heads)]
+    edge = [F.struct(a.alias("src"), b.alias("dst"), (1 - F.pow(1 - F.when(up, F.lit(high)).otherwise(F.lit(low)), F.col("c"))).alias("p")) for a, b, up in ways]
+    return counted.select(F.explode(F.array(*edge)).alias("e")).select("e.*")
+
+
+def directed_trivalency(pairs: DataFrame) -> DataFrame:
+    """src, dst, p from unweighted (u, v): one of three levels by the edge's coin, forward only."""
+    return pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")).distinct().withColumn("p", trivalency(F.col("src"), F.col("dst")))
+
+
+def undirected_trivalency(pairs: DataFrame) -> DataFrame:
+    """src, dst, p from unweighted (u, v): one of three levels by the pair's coin, the same in both directions."""
+    once = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().withColumn("p", trivalency(F.col("u"), F.col("v")))
+    return once.select(F.col("u").alias("src"), F.col("v").alias("dst"), "p").union(once.select("v", "u", "p"))
+
+
 def undirected(pairs: DataFrame) -> DataFrame:
     """src, dst, c from unweighted (u, v): both directions, with multiplicity."""
     return pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")).union(pairs.select("v", "u")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c"))
