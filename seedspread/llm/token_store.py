@@ -9,8 +9,9 @@ Shards are written by tasks to the shared folder, each attempt under a name of i
 rows that successful attempts return, so a task that is lost or runs twice does no harm, and nothing is renamed. One row
 for each shard, not for each document, passes the driver.
 
-Ids come from the tokenizers library: texts are cut before each space that a word follows, which is a border of words for
-byte-level vocabularies, new stretches are encoded many at once, and a worker keeps the ids of those that come up again.
+Ids come from the tokenizers library. For byte-level vocabularies, texts are cut into words as the library cuts them, each
+distinct new word goes once to the model that the library loaded from the file, and a worker keeps the ids of stretches
+that come up again; tests hold the ids against the library's own of whole texts. Other vocabularies get whole texts.
 
 Rows: null texts are empty and have the end id only. Rows that repeat are stored each time; rows with equal doc_id are
 ordered by text. Null doc_ids come first. Texts are never cut; other columns don't matter. An empty table gives no shards.
@@ -39,10 +40,10 @@ from seedspread.llm.wordcache import live
 LENGTH = 2048
 #: Sequences of a batch of a file.
 BATCH = 256
-#: Documents that are encoded at once, and new words that the library gets as one text.
-ROWS, JOINED = 500, 2000
+#: Documents that are encoded at once.
+ROWS = 500
 #: Of a worker's cache of stretches.
-CACHE_BYTES = 32_000_000
+CACHE_BYTES = 48_000_000
 
 
 class LibraryEncoder(ChunkEncoder):
@@ -59,31 +60,22 @@ class LibraryEncoder(ChunkEncoder):
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
         #: Whether texts may be cut; else the library gets them whole.
         self.cuts = plain and not any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") or a.get("normalized") for a in spec.get("added_tokens", []))
-        symbols = byte_symbols()
-        self.lengths = np.zeros(size, np.int64)
-        for text, token in self.library.get_vocab(with_added_tokens=True).items():
-            self.lengths[token] = len(text) if all(c in symbols for c in text) else len(text.encode())
-        for text, token in self.added.items():
-            self.lengths[token] = len(text.encode())
-
-    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for found in self.library.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(found.ids, self.dtype)
+        self.model = self.library.model
+        #: How the library spells bytes, by their Latin-1 characters.
+        self.spelling = {byte: shown for shown, byte in byte_symbols().items()}
+        self.packed = [np.array([i], self.dtype).tobytes() for i in range(size)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return super().encode(texts) if self.cuts else [ids.tobytes() for ids in self.ids(texts)]
+        if self.cuts:
+            return super().encode(texts)
+        return [np.array(found.ids, self.dtype).tobytes() for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_fresh(self, keys: set[str]) -> dict[str, bytes]:
-        alone = [k for k in keys if k[0] == " "]  # no space before them
-        found = {k: ids.tobytes() for k, ids in zip(alone, self.ids([k[1:] for k in alone]), strict=True)}
-        spaced = list(keys.difference(alone))
-        for at in range(0, len(spaced), JOINED):
-            few = spaced[at : at + JOINED]
-            ids = next(self.ids([" " + " ".join(few)]))
-            ends = np.cumsum(list(map(len, map(str.encode, few)))) + np.arange(1, len(few) + 1)
-            cuts = ((np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * ids.itemsize).tolist()
-            raw = ids.tobytes()
-            found.update((k, raw[a:b]) for k, a, b in zip(few, [0, *cuts], cuts, strict=False))
+        tokenize, packed, spelling, found = self.model.tokenize, self.packed, self.spelling, {}
+        for k in keys:
+            word = k[1:] if k[0] == " " else " " + k
+            tokens = tokenize(word.encode().decode("latin-1").translate(spelling))
+            found[k] = b"".join([packed[t.id] for t in tokens])
         return found
 
 
