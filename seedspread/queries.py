@@ -94,6 +94,43 @@ def two_level_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(back, ["src", "dst"], "left").select("src", "dst", two_level(F.col("p"), F.coalesce("back", F.lit(0.0))).alias("p"))
 
 
+def _uv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.ic_edges(spark, sf_dir).select(F.col("src").alias("u"), F.col("dst").alias("v"))
+
+
+_COIN = "concat('0x', substr(md5(concat({0}, '-', {1})), 1, 8))::bigint / 4294967296.0"
+
+
+@query(f"with {_EDGES}, d as (select vid, count(*) as degree from (select src as vid from e union all select dst from e) group by 1) select src, dst, round(1 / degree, 6) as p from e join d on dst = vid")
+def directed_cascade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(sources.directed_cascade(_uv(spark, sf_dir)), "p")
+
+
+@query(
+    f"with {_EDGES}, n as (select least(src, dst) as u, greatest(src, dst) as v, count(*) as c, {_COIN.format('least(src, dst)', 'greatest(src, dst)')} < 0.5 as up from e group by 1, 2) "
+    "select u as src, v as dst, round(1 - pow(1 - case when up then 0.1 else 0.01 end, c), 6) as p from n union all select v, u, round(1 - pow(1 - case when up then 0.01 else 0.1 end, c), 6) from n"
+)
+def random_orientation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(sources.random_orientation(_uv(spark, sf_dir)), "p")
+
+
+@query(f"with {_EDGES}, n as (select distinct least(src, dst) as u, greatest(src, dst) as v from e), t as (select u, v, [0.2, 0.04, 0.008][floor({_COIN.format('u', 'v')} * 3)::int + 1]::double as p from n) select u as src, v as dst, p from t union all select v, u, p from t")
+def undirected_trivalency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.undirected_trivalency(_uv(spark, sf_dir))
+
+
+@query(f"with {_EDGES} select src, dst, [0.2, 0.04, 0.008][floor({_COIN.format('src', 'dst')} * 3)::int + 1]::double as p from e")
+def directed_trivalency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.directed_trivalency(_uv(spark, sf_dir))
+
+
+@query(f"with {_EDGES}, all_ as (select src, dst, p from e union all select dst, src, p / 2 from e) select src, dst, round(max(p), 6) as p from all_ where p > 0 group by 1, 2")
+def strongest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = sources.ic_edges(spark, sf_dir)
+    both = e.select("src", "dst", "p").union(e.select("dst", "src", F.col("p") / 2))
+    return _rounded(sources.strongest(both), "p")
+
+
 @query(f"with {_EDGES}, b as (select src, dst from e union all select dst, src from e) select src, dst, count(*)::bigint as c from b group by 1, 2")
 def undirected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.undirected(sources.ic_edges(spark, sf_dir).select(F.col("src").alias("u"), F.col("dst").alias("v")))
@@ -256,6 +293,58 @@ def location_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(selection.expansion(sources.ic_edges(spark, sf_dir), K, THETA, _natives(spark, sf_dir)), "gain")
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = sources.locations(spark, sf_dir)
+    return selection.checkpointed(spatial.native_regions(spatial.quadtree(users, capacity=20), users, BOX))
+
+
+def _lists(spark: SparkSession, sf_dir: str, placed: DataFrame) -> DataFrame:
+    return selection.checkpointed(selection.region_lists(_mip(spark, sf_dir), placed))
+
+
+@query(f"with {_LOC}, {_NATIVE} select vid, round(x, 6) as x, round(y, 6) as y from native join loc on vid = user_id")
+def rectangle_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(spatial.native_locations(sources.locations(spark, sf_dir), *BOX), "x", "y")
+
+
+@query(f"with {_LOC}, {_NATIVE} select vid from native")
+def rectangle_natives_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectangle's users as those of covered regions and of the fringe; regions are the quadtree's."""
+    return _placed(spark, sf_dir).select("vid")
+
+
+@query(f"with recursive {_EDGES}, {_closure_sql()}, {_LOC}, {_NATIVE}, {_FIRST} select row_number() over (order by round(gain, 9) desc, vid)::int as rank, vid, round(gain, 6) as gain from first qualify rank <= 5")
+def merged_region_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best first seeds from sorted lists of regions, merged down to the depth that decides."""
+    lists = _lists(spark, sf_dir, _placed(spark, sf_dir))
+    best = selection.merged_top(lists, 10, 4)
+    return _rounded(selection.top(_rounded9(best), 5, "gain"), "gain")
+
+
+@query()
+def location_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``location_expansion``, with first gains from the lists of regions."""
+    placed = _placed(spark, sf_dir)
+    return _rounded(selection.assembly(sources.ic_edges(spark, sf_dir), K, THETA, placed, _lists(spark, sf_dir, placed)), "gain")
+
+
+@query()
+def location_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged seeds of regions (all covered ones and the fringe as two), if they reach 0.8 of the upper bound."""
+    placed = selection.checkpointed(_placed(spark, sf_dir).withColumn("rid", F.when(F.col("rid").isNotNull(), F.lit("covered"))))
+    e = selection.checkpointed(sources.ic_edges(spark, sf_dir))
+    ready = selection.checkpointed(selection.region_seeds(e, THETA, placed, K))
+    return selection.hinted(e, K, THETA, placed, _lists(spark, sf_dir, placed), ready, 0.8).select("rank", "vid")
+
+
+@query()
+def location_hint_by_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``location_hint``, with a lower bound from the seeds alone."""
+    placed = _placed(spark, sf_dir)
+    e = selection.checkpointed(sources.ic_edges(spark, sf_dir))
+    return selection.hinted_by_bounds(e, K, THETA, placed, _lists(spark, sf_dir, placed), 0.8).select("rank", "vid")
+
+
 @query()
 def location_pmia(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(selection.pmia(sources.ic_edges(spark, sf_dir), K, THETA, _natives(spark, sf_dir)), "gain")
@@ -312,7 +401,7 @@ def _discount_sql(k: int) -> str:
     for i in range(1, k + 1):
         taken = " union all ".join(f"select vid from s{j}" for j in range(1, i)) or "select null::bigint as vid where false"
         steps.append(
-            f"s{i} as (with tk as ({taken}), t as (select dst as vid, count(*)::double as t from e where src in (select vid from tk) group by 1) "
+            f"s{i} as (with tk as ({taken}), t as (select dst as vid, sum(c)::double as t from e where src in (select vid from tk) group by 1) "
             "select vid, deg - 2 * coalesce(t, 0) - 0.01 * coalesce(t, 0) * (deg - coalesce(t, 0)) as gain from d left join t using (vid) where vid not in (select vid from tk) order by 2 desc, 1 limit 1)"
         )
     return ", ".join(steps) + " " + " union all ".join(f"select {i}::int as rank, vid, round(gain, 6) as gain from s{i}" for i in range(1, k + 1))
@@ -340,12 +429,52 @@ def monte_carlo_native_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spread.monte_carlo(e, selection.by_degree(e, 5), _RUNS, _natives(spark, sf_dir)), "spread")
 
 
-@query()
+def _rings_sql(rings: int = 15) -> str:
+    """Rings of vertices by distance from the seeds, unrolled; more than the test graphs have."""
+    steps = ["r0 as (select vid, 0::int as ring, 1.0::double as p, 0.0::double as late from top)"]
+    for i in range(1, rings):
+        seen = " union all ".join(f"select vid from r{j}" for j in range(i))
+        steps.append(f"a{i} as (select dst as vid, 1 - product(1 - e.p * r.p) as p from r{i - 1} r join e on r.vid = src where dst not in ({seen}) group by 1)")
+        given = f"select vid, p as of from a{i} union all select vid, late from r{i - 1}"
+        steps.append(f"l{i} as (select dst as vid, product(1 - e.p * of) as rest from ({given}) g join e on g.vid = src group by 1)")
+        steps.append(f"r{i} as (select vid, {i}::int as ring, p, (1 - p) * (1 - coalesce(rest, 1)) as late from a{i} left join l{i} using (vid))")
+    return ", ".join(steps) + ", rings as (" + " union all ".join(f"select * from r{i}" for i in range(rings)) + ")"
+
+
+@query(f"with {_EDGES}, {_SEED_SQL}, {_rings_sql()} select vid, ring, round(p, 6) as p from rings")
 def shortest_path_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = sources.ic_edges(spark, sf_dir)
     return _rounded(spread.shortest_path_model(e, selection.by_degree(e, 5)), "p")
 
 
+@query(f"with {_EDGES}, {_SEED_SQL}, {_rings_sql()} select vid, ring, round(p, 6) as p, round(late, 6) as late from rings")
+def shortest_path_plus_one_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = sources.ic_edges(spark, sf_dir)
+    return _rounded(spread.shortest_path_plus_one_model(e, selection.by_degree(e, 5)), "p", "late")
+
+
+_CURVE_SQL = _SEED_SQL.replace("top as (select vid from", "top as (select vid, row_number() over (order by degree desc, vid)::int as rank from")
+_CURVE_LIVE = _LIVE_SQL.replace("act(run, vid) as (select r.range, vid from", "act(run, vid, rank) as (select r.range, vid, rank from").replace("select act.run, live.dst from", "select act.run, live.dst, act.rank from")
+
+
+@query(f"with recursive {_EDGES}, {_CURVE_SQL}, {_CURVE_LIVE}, first as (select run, vid, min(rank) as rank from act group by 1, 2) select t.rank, round(count(*) / {_RUNS}.0, 6)::double as spread from top t join first f on f.rank <= t.rank group by 1")
+def spread_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = sources.ic_edges(spark, sf_dir)
+    return _rounded(spread.curve(e, selection.by_degree(e, 5), _RUNS), "spread")
+
+
+@query(f"with recursive {_EDGES.replace('1 - pow(1 - 1.0 / deg, c) as p', '1 - pow(0.9, c) as p')}, {_SEED_SQL}, {_LIVE_SQL} select round(count(*) / {_RUNS}.0, 6)::double as spread from act")
+def constant_ratio_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spread.constant_ratio(sources.ic_edges(spark, sf_dir), 0.1)
+    return _rounded(spread.monte_carlo(e, selection.by_degree(e, 5), _RUNS), "spread")
+
+
+@query(f"with recursive {_ITEM_EDGES}, {_SEED_SQL}, {_LIVE_SQL} select round(count(*) / {_RUNS}.0, 6)::double as spread from act")
+def topic_item_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    te = sources.topic_edges(spark, sf_dir)
+    return _rounded(topics.topic_spread(te, ITEM, selection.by_degree(topics.for_item(te, ITEM), 5), _RUNS), "spread")
+
+
 _BOUND_EDGES = f"{_TEDGES}, e as (select src, dst, list_max(w) as p from te), v as (select src as vid from e union select dst from e)"
 
 
@@ -354,6 +483,30 @@ def topic_vertex_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(topics.vertex_bounds(sources.topic_edges(spark, sf_dir), 0.1, 0.5), "infl", "infl2")
 
 
+@query(f"with recursive {_BOUND_EDGES}, {_closure_sql(compare='>=', theta=0.1)}, b as (select s as vid, round(sum(p), 9) as infl from mip group by 1) select row_number() over (order by infl desc, vid)::int as rank, vid, round(infl, 6) as infl from b qualify rank <= 10")
+def topic_bound_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = topics.vertex_bounds(sources.topic_edges(spark, sf_dir), 0.1, 0.5).withColumn("infl", F.round("infl", 9))
+    return _rounded(selection.top(bounds, 10, "infl"), "infl")
+
+
+@query()
+def topic_best_first_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lazily, by bounds that were built in advance, with coarse bounds before exact gains."""
+    te = selection.checkpointed(sources.topic_edges(spark, sf_dir))
+    bounds = selection.checkpointed(topics.vertex_bounds(te, 0.1, 0.5))
+    return _rounded(topics.topic_best_first(te, ITEM, K, 0.1, bounds, coarse=0.2), "gain")
+
+
+@query()
+def topic_approximate_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds of the nearest of two samples, if they are shown to reach 0.7 of the nearest upper bound."""
+    te = selection.checkpointed(sources.topic_edges(spark, sf_dir))
+    bounds = selection.checkpointed(topics.vertex_bounds(te, 0.1, 0.5))
+    samples = {1: [0.2] * 5, 2: [0.6, 0.1, 0.1, 0.1, 0.1]}
+    upper, lower = topics.upper_samples(te, samples, 2, 0.1), topics.lower_samples(te, samples, 2, 0.1)
+    return _rounded(topics.topic_approximate(te, ITEM, 2, 0.1, bounds, upper, lower, 0.7, coarse=0.2), "gain")
+
+
 @query()
 def topic_greedy_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(topics.topic_greedy(sources.topic_edges(spark, sf_dir), ITEM, K, 0.1), "gain")
