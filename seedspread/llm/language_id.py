@@ -31,7 +31,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seedspread.llm.wordcache import WordCache, live
+from seedspread.llm.wordcache import WordCache, live, releasing
 
 TRAIN_DOCS, TRAIN_CHARS = 400, 4_000_000
 ROUNDS = 3
@@ -212,6 +212,7 @@ def identify(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id
     kept = docs.drop(*into)
     schema = kept.withColumn(into[0], F.lit(None).cast("string")).withColumn(into[1], F.lit(None).cast("double")).schema
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = cached_words(number, *shared.value)
         for batch in batches:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedspread.llm.language_id import by_length, held_out
-from seedspread.llm.wordcache import WordCache, live
+from seedspread.llm.wordcache import WordCache, live, releasing
 
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1000, 4000, 20_000_000
 RANDOM, HARD, FREQUENT = 8000, 6000, 3000
@@ -293,6 +293,7 @@ def score(docs: DataFrame, machine: Machine | None, text: str = "text", into: st
     number = shared._jbroadcast.id()
     schema = kept.withColumn(into, F.lit(None).cast("double")).schema
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         cache = cached_words(number, own)

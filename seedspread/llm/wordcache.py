@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of words (``ENTRY`` more for each) beyond which a cache drops the half of them that was met least recently.
 CACHE_BYTES, ENTRY = 16_000_000, 150
@@ -24,9 +25,23 @@ def live[T](key: tuple, make: Callable[[], T]) -> T:
 
 
 def release() -> None:
-    """Drops the worker's state, at the end of a task whose state the next one need not find."""
+    """Drops the worker's state and gives its memory back: for states that are made anew quickly, so that a worker that waits for
+    tasks of a later stage holds nothing."""
     _live.clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
+def releasing[**P, T](run: Callable[P, Iterator[T]]) -> Callable[P, Iterator[T]]:
+    """``run``, with the worker's state released at the end of each task."""
+
+    def wrapped(*args: P.args, **kwargs: P.kwargs) -> Iterator[T]:
+        try:
+            yield from run(*args, **kwargs)
+        finally:
+            release()
+
+    return wrapped
 
 
 class WordCache:
