@@ -279,3 +279,52 @@ def test_resample_keeps_clashing_columns(spark):
     assert got.columns == docs.columns
     assert {tuple(map(str, r)) for r in got.collect()} <= {tuple(map(str, r)) for r in docs.collect()}
     assert got.count() > len(rows)
+
+
+def folded(text):
+    return re.sub(r"[!-/:-@\[-`{-~]", " ", (text or "").translate({c: c + 32 for c in range(65, 91)})).split()
+
+
+def shingle_rows(words):
+    return [tuple(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [tuple(words)] if words else []
+
+
+def brute_scan(texts):
+    """(text, license) of all windows that hold 0.8 of a template, and the best share of each."""
+    templates = [(name, set(shingle_rows(folded(t)))) for name, variants in license_scan.TEMPLATES.items() for t in variants]
+    best = {}
+    for i, text in texts.items():
+        rows = shingle_rows(folded(text))
+        for name, own in templates:
+            n = len(own)
+            step, length = (1, n) if n < 4 else ((1 << n.bit_length() - 1) // 4, 9 * ((1 << n.bit_length() - 1) // 4))
+            for at in range(0, len(rows), step):
+                share = len(own & set(rows[at : at + length])) / n
+                if share >= 0.8 and share > best.get((i, name), 0):
+                    best[i, name] = share
+    return best
+
+
+def test_license_scan_equals_brute_force(spark):
+    """One text a chunk, so that blocks begin with the text, as the brute force has them."""
+    rng = random.Random(4)
+    filler = [f"word{i}" for i in range(200)]
+    notices = [t for variants in license_scan.TEMPLATES.values() for t in variants]
+    texts = {}
+    for i in range(40):
+        words = rng.choices(filler, k=rng.randint(0, 60))
+        for notice in rng.sample(notices, rng.randint(0, 2)):
+            own = notice.split()
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                own[rng.randrange(len(own))] = "changed"
+            words += own + rng.choices(filler, k=rng.randint(0, 60))
+        texts[i] = " ".join(words)
+    scanner = license_scan.Templates(license_scan.TEMPLATES)
+    got = {}
+    for i, text in texts.items():
+        for _, data, offsets in license_scan.shingles.chunks(license_scan.pa.array([text])):
+            got |= {(i, name): share for _, name, share, _, _ in scanner.matches(*license_scan.hashed(data, offsets))}
+    assert got == pytest.approx(brute_scan(texts)) and len(got) > 20
+    rows = spark.createDataFrame([(i, t, "clash", 1.0) for i, t in texts.items()] * 2, "doc_id long, text string, license string, containment double")
+    twice = [(r.doc_id, r.license) for r in license_scan.scan(rows.repartition(3)).collect()]
+    assert sorted(set(twice)) == sorted(got) and all(twice.count(k) == 2 for k in got)
