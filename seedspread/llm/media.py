@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seedspread.llm.session import shared_dir
+from seedspread.llm.session import checkpointed, shared_dir, small_side
 
 WIDTH = 64
+#: References to one digest beyond which it is joined apart.
+HOT = 200
 #: How a reference names its digest.
 SCHEME = "sha256:"
 ELEMENT = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
@@ -185,9 +187,18 @@ def described(stored: DataFrame) -> DataFrame:
 
 
 def resolved(interleaved_docs: DataFrame, features: DataFrame, key: str, sequence: str = "sequence") -> DataFrame:
-    """A row for each media reference: key, position, kind, caption and the features of its payload."""
+    """A row for each media reference: key, position, kind, caption and the features of its payload.
+
+    Digests with more than ``HOT`` references are joined apart, their features broadcast if they are few enough, so that a payload
+    that a third of all documents share is no single task's."""
     refs = interleaved_docs.select(key, F.explode(F.filter(sequence, lambda e: e["kind"] != "text")).alias("e"))
-    return refs.select(key, "e.position", "e.kind", "e.caption", "e.digest").join(features, "digest", "left")
+    refs = checkpointed(refs.select(key, "e.position", "e.kind", "e.caption", "e.digest"))
+    features = checkpointed(features)
+    hot = checkpointed(refs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > HOT) & F.col("digest").isNotNull()).select("digest"))
+    often = small_side(features.join(small_side(hot), "digest", "left_semi"))
+    common = refs.join(small_side(hot), "digest", "left_semi").join(often, "digest", "left")
+    rest = refs.where("digest is not null").join(small_side(hot), "digest", "left_anti").join(features.join(small_side(hot), "digest", "left_anti"), "digest", "left")
+    return common.unionByName(rest).unionByName(refs.where("digest is null"), allowMissingColumns=True)
 
 
 def text_media(docs: DataFrame) -> DataFrame:

@@ -189,3 +189,16 @@ def test_references_resolve_by_digest(spark):
     pages = spark.createDataFrame([(1, f'a<img src="sha256:{digest}" alt="c">b<img src="sha256:00">'), (2, None)], "page_id long, html string")
     got = sorted((r.page_id, r.position, r.caption, r.n_bytes) for r in media.resolved(media.sequences(pages), known, "page_id").collect())
     assert got == [(1, 1, "c", 3), (1, 3, None, None)]
+
+
+def test_hot_digests_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(media, "HOT", 3)
+    texts = ["same"] * 9 + ["other", None, "", "same"]
+    rows = [(i if i < 11 else None, t, "clash", 5) for i, t in enumerate(texts)] + [(0, "same", "clash", 5), (0, "another", "clash", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, position int")
+    got = media.text_media(docs.repartition(3)).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes) for r in got) == sorted((d if d is not None else -1, len(t or "")) for d, t, _, _ in rows)
+    for text in set(texts):
+        raw = (text or "").encode()
+        own = {tuple(r[1:8]) for r in got if r.n_bytes == len(raw) and r.payload_sha256 == hashlib.sha256(raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))).hexdigest()}
+        assert len(own) == 1
