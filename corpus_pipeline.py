@@ -29,7 +29,7 @@ def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each class of near duplicates."""
+    """Keeps the document with the least doc_id of each class of near duplicates, one row of exact repeats."""
     return jaccard_join.one_of_each_class(docs)
 
 
@@ -51,7 +51,7 @@ STAGES = [
     ("bpe_round_trip", encode_texts),
 ]
 
-#: SQL can't express the trained stages; the tests hold each stage against a brute-force version.
+#: SQL can't express the trained stages; the tests hold each stage against its operator, and the operators against brute force.
 ORACLE_SQL = None
 
 
