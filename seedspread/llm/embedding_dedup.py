@@ -72,7 +72,7 @@ class Cells:
                 self.cut[node] = np.median(place[rows, self.along[node]])
             high = place[rows, self.along[node]] > self.cut[node]
             members[2 * node + 1], members[2 * node + 2] = rows[~high], rows[high]
-        #: Of each cell: its parts, the number of the first, and the cells of the same or a higher number within reach.
+        #: Of each cell: its parts, and after ``finish`` the number of the first, and the cells within reach, itself included.
         self.parts = np.ones(1 << self.depth, np.int64)
 
     def cell(self, place: np.ndarray) -> np.ndarray:
@@ -86,15 +86,15 @@ class Cells:
 
     def finish(self, boxes: dict[int, tuple[int, np.ndarray, np.ndarray]], dim: int, width: float) -> None:
         """``boxes``: number of vectors, least and largest leading components of the cells that have any."""
-        at = np.array(sorted(boxes))
-        low, high = np.array([boxes[c][1] for c in at]), np.array([boxes[c][2] for c in at])
-        self.parts = np.zeros(1 << self.depth, np.int64)
-        self.parts[at] = [-(-boxes[c][0] // block_size(dim)) for c in at]
+        n = 1 << self.depth
+        low, high = np.full((n, CELL), -np.inf), np.full((n, CELL), np.inf)  # a cell without a box is near all: rounding may put a vector there
+        for c, (count, least, most) in boxes.items():
+            low[c], high[c], self.parts[c] = least, most, -(-count // block_size(dim))
         self.first = np.cumsum(self.parts) - self.parts
-        self.near: dict[int, np.ndarray] = {}
-        for i, c in enumerate(at.tolist()):
-            gap = np.maximum(0, np.maximum(low - high[i], low[i] - high))
-            self.near[c] = at[(gap**2).sum(axis=1) <= width**2 + SLACK]
+        self.near = []
+        for c in range(n):
+            gap = np.maximum(0, np.maximum(low - high[c], low[c] - high))
+            self.near.append(np.flatnonzero((gap**2).sum(axis=1) <= width**2 + SLACK))
 
     def part(self, cell: np.ndarray, salt: np.ndarray) -> np.ndarray:
         return self.first[cell] + salt % self.parts[cell]
@@ -226,6 +226,8 @@ def linked(cells: dict[int, Cells], threshold: float, element: str):
         for table, starts in blocks.units(batches, "dim", "low", "high"):
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 d, parts = table.column("dim")[a].as_py(), table.column("part").to_numpy()[a:b]
+                if table.column("low")[a].as_py() != table.column("high")[a].as_py() and (parts == parts[0]).all():
+                    continue  # the other part is empty
                 axes = cells[d].axes if d in cells else np.eye(d)[:, :LEAD]
                 ids, copies, raw, n = (table.column(c).slice(a, b - a).to_pylist() for c in ("nodes", "copies", "vectors", "n"))
                 sides, ends = [], [0]

@@ -173,8 +173,9 @@ def test_far_cells_are_not_compared():
     place = cells.place(x)
     cell = cells.cell(place)
     cells.finish({c: ((cell == c).sum() * 100, place[cell == c].min(axis=0), place[cell == c].max(axis=0)) for c in np.unique(cell).tolist()}, 16, 0.2**0.5)
-    near = {(a, b) for a, some in cells.near.items() for b in some.tolist()}
-    assert len(near) < 0.6 * len(cells.near) ** 2
+    assert len(cells.near) == 1 << cells.depth
+    near = {(a, b) for a, some in enumerate(cells.near) for b in some.tolist()}
+    assert len(near) < 0.6 * len(cells.near) ** 2 and all((b, a) in near for a, b in near)
     i, j = np.nonzero(x @ x.T >= 0.9)
     assert set(zip(cell[i].tolist(), cell[j].tolist(), strict=True)) <= near
 
