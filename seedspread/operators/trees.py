@@ -50,6 +50,11 @@ def activation(trees: DataFrame, seeds: list[int], compat_root: bool = False) ->
     return reduce(DataFrame.unionByName, done)
 
 
+def seed_counts(trees: DataFrame, seeds: list[int]) -> DataFrame:
+    """s, n: how many of the seeds each root's tree holds."""
+    return trees.groupBy("s").agg(F.sum(F.col("v").isin(seeds).cast("long")).alias("n"))
+
+
 def gains(state: DataFrame) -> DataFrame:
     """vid, gain: what each vertex adds over all roots, sum of alpha (1 - ap)."""
     return state.groupBy(F.col("v").alias("vid")).agg(F.sum(F.col("alpha") * (1 - F.col("ap"))).alias("gain"))

@@ -145,14 +145,14 @@ def strongest(edges: DataFrame) -> DataFrame:
 def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kind, src, dst: the users of each two events in a row, by time, where the second is a purchase."""
     events = table(spark, sf_dir, "events").select("ts", "event_id", "user_id", "event_type")
-    # one running order over all events: rows are ordered within days, and the first event after a day closes its last pair
-    day = F.to_date("ts")
-    order = Window.partitionBy("day").orderBy("ts", "event_id")
-    daily = events.withColumn("day", day)
+    # one running order over all events: rows are ordered within hours, and the first event after an hour closes its last pair
+    hour = F.date_trunc("hour", "ts")
+    order = Window.partitionBy("hour").orderBy("ts", "event_id")
+    hourly = events.withColumn("hour", hour)
     after = F.lead(F.struct("user_id", "event_type")).over(order)
-    first = daily.groupBy("day").agg(F.min_by(F.struct("user_id", "event_type"), F.struct("ts", "event_id")).alias("opening"))
-    opening = first.withColumn("before", F.lag("day").over(Window.orderBy("day"))).select(F.col("before").alias("day"), "opening")  # a row a day
-    following = daily.withColumn("after", after).join(F.broadcast(opening), "day", "left").withColumn("after", F.coalesce("after", "opening"))
+    first = hourly.groupBy("hour").agg(F.min_by(F.struct("user_id", "event_type"), F.struct("ts", "event_id")).alias("opening"))
+    opening = first.withColumn("before", F.lag("hour").over(Window.orderBy("hour"))).select(F.col("before").alias("hour"), "opening")  # a row an hour
+    following = hourly.withColumn("after", after).join(F.broadcast(opening), "hour", "left").withColumn("after", F.coalesce("after", "opening"))
     found = following.where("after.event_type = 'purchase' and user_id <> after.user_id")
     return found.select(F.col("event_type").alias("kind"), F.col("user_id").alias("src"), F.col("after.user_id").alias("dst"))
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from seedspread import sinks, sources
-from seedspread.operators import paths, selection, spread, topics
+from seedspread.operators import paths, selection, spread, topics, trees
 
 
 def edges(spark, rows):
@@ -61,6 +61,8 @@ def test_mia_and_pmia_match_brute_force(spark, seed):
     vertices = sorted({v for a, b, _ in rows for v in (a, b)})
     frozen = {r: tree_into(rows, r, theta) for r in vertices}
     want = greedy(vertices, lambda _: frozen, 3)
+    held = trees.seed_counts(paths.closure(paths.reverse(edges(spark, rows)), theta), [0, 1]).collect()
+    assert {r.s: r.n for r in held} == {r: sum(v in t for v in (0, 1)) for r, t in frozen.items()}
     got = [(r.vid, r.gain) for r in selection.mia(edges(spark, rows), 3, theta).orderBy("rank").collect()]
     assert [v for v, _ in got] == [v for v, _ in want] and [g for _, g in got] == pytest.approx([g for _, g in want])
 
