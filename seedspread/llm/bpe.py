@@ -17,7 +17,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
-from collections import deque
+from collections import defaultdict
 from collections.abc import Collection, Iterable, Iterator
 from itertools import groupby
 
@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from seedspread.llm.wordcache import live
 
 #: Of the cache of a ``ChunkEncoder``.
-CACHE_BYTES, ENTRY = 32_000_000, 200
+CACHE_BYTES, ENTRY = 12_000_000, 200
 #: Pairs of tokens, and automaton steps beside the vocabulary's own, that are remembered.
 CACHE_PAIRS, CACHE_STEPS = 250_000, 200_000
 #: Text that is encoded at once, in characters.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 400_000
 
 #: Fixed values of the byte-level scheme: the word pattern.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -165,6 +165,7 @@ class TrieEncoder(ChunkEncoder):
                     self.whole.add(token)
             elif self.whole.issuperset(self.parts[token]) and self._stay_apart(*self.parts[token], self.made[token]):
                 self.whole.add(token)
+        del spec, model, plain, ids
         self.automaton()
         self.packed = {t: np.array([t], self.dtype).tobytes() for t in range(self.size)}
 
@@ -195,32 +196,26 @@ class TrieEncoder(ChunkEncoder):
     def automaton(self) -> None:
         """The trie of the vocabulary: steps (node, byte) -> node, failure links, and the longest token that ends at a node."""
         self.steps: dict[int, int] = {}
-        nodes, ends = 1, {}
+        ends, by_depth = {}, defaultdict(list)  # steps by the depth that they lead to
         for token in self.whole:
             node = 0
-            for byte in self.pieces[token]:
+            for depth, byte in enumerate(self.pieces[token]):
                 key = node << 8 | byte
                 if key not in self.steps:
-                    self.steps[key] = nodes
-                    nodes += 1
+                    self.steps[key] = len(self.steps) + 1
+                    by_depth[depth].append(key)
                 node = self.steps[key]
             ends[node] = token
-        below: list[list[int]] = [[] for _ in range(nodes)]
-        for key in self.steps:
-            below[key >> 8].append(key)
-        self.fail, self.ends_with = [0] * nodes, [-1] * nodes
+        self.fail, self.ends_with = [0] * (len(self.steps) + 1), [-1] * (len(self.steps) + 1)
         self.lengths, self.shorter = [0] * self.size, [-1] * self.size
-        queue = deque([0])
-        while queue:
-            node = queue.popleft()
-            for key in below[node]:
-                child, at = self.steps[key], self.fail[node]
+        for depth in sorted(by_depth):
+            for key in by_depth.pop(depth):
+                node, child, at = key >> 8, self.steps[key], self.fail[key >> 8]
                 if node:
                     while at and at << 8 | key & 255 not in self.steps:
                         at = self.fail[at]
                     self.fail[child] = self.steps.get(at << 8 | key & 255, 0)
                 self.ends_with[child] = ends.get(child, self.ends_with[self.fail[child]])
-                queue.append(child)
         for node, token in ends.items():
             self.lengths[token], self.shorter[token] = len(self.pieces[token]), self.ends_with[self.fail[node]]
         self.learned: dict[int, int] = {}  # steps by way of failure links, remembered as they come up

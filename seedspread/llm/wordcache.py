@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -30,6 +31,9 @@ def release() -> None:
     _live.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library keeps freed memory otherwise
+    if trim:
+        trim(0)
 
 
 def releasing[**P, T](run: Callable[P, Iterator[T]]) -> Callable[P, Iterator[T]]:
