@@ -29,7 +29,7 @@ def test_query_matches_oracle(spark, name):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
 
 
 def test_stages_keep_rows_and_columns(spark):
