@@ -11,10 +11,11 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seedspread.operators.batch import expansions, rounds
 from seedspread.operators.graph import degrees, pagerank
 from seedspread.operators.paths import closure, reverse, vertices
 from seedspread.operators.probability import degree_discount, hash_coin
-from seedspread.operators.trees import activation, gains, on_path, root_activation, walked, with_path
+from seedspread.operators.trees import activation, gains, on_path
 from seedspread.session import checkpointed
 
 SEEDS = "rank int, vid long, gain double"
@@ -138,51 +139,14 @@ def expanding(edges: DataFrame, k: int, theta: float, natives: DataFrame, first:
     """Rounds of greedy on the natives' activation, evaluated on the union of the seeds' stored paths to each native: the seeds
     chosen so far with their gains, and the gains (vid, gain) of all other candidates beside them (None after the last round).
 
-    A candidate's paths skip the chosen seeds; its gain is what they add to the stored ones (``with_path``). Every candidate's
-    gain is exact in every round: a lazy queue gives other seeds where a gain grows, as gains here aren't submodular. A tree is
-    built anew only if the new seed is in it; a native that no seed reaches adds its path's probability. Candidates are the
-    vertices that reach a native at first; they stay candidates, with gain 0, when seeds cut them off. ``first``: the gains of the
-    first round, if they are known from lists."""
-    spark = edges.sparkSession
-    edges = checkpointed(edges.select("src", "dst", "p"))
-    native = checkpointed(natives.select(F.col("vid").alias("v")).distinct())
-    trees = closure(edges, theta, vertices(edges).union(native).distinct())
-    candidates = first if first is not None else first_gains(trees, native.withColumnRenamed("v", "vid"))
-    candidates = checkpointed(candidates.select("vid", "gain"))
-    stored = spark.createDataFrame([], "root long, v long, next long, edge_p double")
-    ap = spark.createDataFrame([], "root long, ap double")  # of natives that a seed reaches
-    chosen: list[tuple[int, float]] = []
-    after, scores = None, candidates
-    while len(chosen) < k:
-        seeds = [v for v, _ in chosen]
-        if seeds:
-            reach = trees.join(native, "v", "left_semi").select("s", F.col("v").alias("root"), "p")
-            shared = checkpointed(reach.join(ap, "root", "left_semi").select("s", "root"))
-            links = checkpointed(with_path(walked(trees, shared), shared, stored))
-            alone = reach.join(ap, "root", "left_anti").select("s", "root", F.col("p").alias("ap"))
-            after = checkpointed(alone.unionByName(root_activation(shared, links, seeds)))
-            added = after.join(ap.withColumnRenamed("ap", "before"), "root", "left").withColumn("add", F.col("ap") - F.coalesce("before", F.lit(0.0)))
-            found = added.groupBy(F.col("s").alias("vid")).agg(F.sum("add").alias("gain"))
-            free = candidates.where(~F.col("vid").isin(seeds)).select("vid")
-            scores = checkpointed(free.join(found, "vid", "left").select("vid", F.coalesce("gain", F.lit(0.0)).alias("gain")))
-        yield list(chosen), scores
-        best = pick(scores, seeds)
-        if best is None:
-            return
-        new = best[0]
-        chosen.append(best)
-        if len(chosen) == k:
-            yield list(chosen), None
-            return
-        if after is None:
-            after = trees.join(native, "v", "left_semi").select("s", F.col("v").alias("root"), F.col("p").alias("ap"))
-        own = after.where(F.col("s") == new).select("s", "root", "ap")
-        path = walked(trees.where(F.col("s") == new), own).select("root", "v", "next", "edge_p")
-        stored = checkpointed(path.unionByName(stored.join(path, ["root", "v"], "left_anti")))
-        ap = checkpointed(own.select("root", "ap").unionByName(ap.join(own, "root", "left_anti")))
-        stale = checkpointed(trees.where(F.col("v") == new).select(F.col("s").alias("vid")))
-        fresh = closure(edges, theta, stale.where(F.col("vid") != new), avoid=[*seeds, new])
-        trees = checkpointed(trees.join(stale.select(F.col("vid").alias("s")), "s", "left_anti").unionByName(fresh))
+    A candidate's paths skip the chosen seeds; its gain is what they add to the stored ones, where a vertex goes on as in the newest
+    path through it. Every candidate's gain is exact in every round: a lazy queue gives other seeds where a gain grows, as gains here
+    aren't submodular; but only what a new seed can change is evaluated again (``batch.rounds``, here for one query). ``first``: the
+    gains of the first round, if they are known from lists."""
+    query = edges.sparkSession.createDataFrame([(0, k)], "qid int, k int")
+    found = rounds(edges, query, natives.select(F.lit(0).alias("qid"), "vid"), theta, first.select(F.lit(0).alias("qid"), "vid", "gain") if first is not None else None)
+    for chosen, scores, _ in found:
+        yield [(r.vid, r.gain) for r in chosen.orderBy("rank").collect()], scores.select("vid", "gain") if scores is not None else None
 
 
 def expansion(edges: DataFrame, k: int, theta: float, natives: DataFrame, first: DataFrame | None = None) -> DataFrame:
@@ -227,17 +191,12 @@ def assembly(edges: DataFrame, k: int, theta: float, placed: DataFrame, lists: D
 
 
 def region_seeds(edges: DataFrame, theta: float, placed: DataFrame, tau: int, ratio: int = 1) -> DataFrame:
-    """rid, pos, vid, gain: the best seeds of each region of natives (vid, rid) alone: ``tau``, at most its natives / ``ratio``.
-
-    One selection a region, from what a driver loop lists: the regions that a rectangle covers, and its fringe."""
-    named = placed.select("vid", F.coalesce("rid", F.lit("fringe")).alias("rid"))
-    out = None
-    for r in named.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).orderBy("rid").collect():
-        if (k := min(tau, r.n // ratio)) > 0:
-            own = expansion(edges, k, theta, named.where(F.col("rid") == r.rid))
-            own = own.select(F.lit(r.rid).alias("rid"), F.col("rank").alias("pos"), "vid", "gain")
-            out = own if out is None else out.unionByName(own)
-    return out if out is not None else edges.sparkSession.createDataFrame([], "rid string, pos int, vid long, gain double")
+    """rid, pos, vid, gain: the best seeds of each region of natives (vid, rid; null: the fringe) alone: ``tau``, at most its natives /
+    ``ratio``. All regions are selected for side by side."""
+    named = checkpointed(placed.select("vid", F.coalesce("rid", F.lit("fringe")).alias("qid")))
+    size = F.least(F.lit(tau), F.floor(F.count(F.lit(1)) / ratio).cast("int"))
+    found = expansions(edges, named.groupBy("qid").agg(size.alias("k")).where("k > 0"), named, theta)
+    return found.select(F.col("qid").alias("rid"), F.col("rank").alias("pos"), "vid", "gain")
 
 
 def merged_hints(ready: DataFrame, k: int) -> tuple[DataFrame, float]:
