@@ -238,17 +238,18 @@ def linked(cells: dict[int, Cells], threshold: float, element: str):
                 order = np.argsort(parts, kind="stable").tolist()
                 ids, copies = (np.frombuffer(b"".join(x[k] for k in order), np.int64) for x in (ids, copies))
                 one, two, shift = sides[0], sides[-1], ends[-2]
-                left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                count, root = np.zeros(len(ids)), np.arange(len(ids))
                 for s in range(0, len(one.unit), TILE):
                     for u in range(s if one is two else 0, len(two.unit), TILE):
                         i, j = tile_links(one, two, slice(s, s + TILE), slice(u, u + TILE), threshold)
                         if one is two and s == u:
-                            i, j = i[i < j], j[i < j]
-                        left.append(i + s)
-                        right.append(j + u + shift)
-                i, j = np.concatenate(left), np.concatenate(right)
-                count = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-                root = blocks.forest(len(ids), i, j)
+                            upper = i < j
+                            i, j = i[upper], j[upper]
+                        i, j = i + s, j + u + shift
+                        count += np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+                        i, j = root[i], root[j]
+                        apart = i != j
+                        root = blocks.forest(len(ids), i[apart], j[apart])[root]  # no link is kept beyond its tile
                 least = np.full(len(ids), np.iinfo(np.int64).max)
                 np.minimum.at(least, root, ids)
                 some = np.flatnonzero(count)

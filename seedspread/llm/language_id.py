@@ -11,7 +11,7 @@ least one, picked by a hash of the text among the rows that may be learned from;
 vocabulary, and all segmentations. Words are scored in bulk, by length, and kept for a worker's next batches; runs of more
 than ``FIT_LETTERS`` letters are scored one by one, with rescaled sums.
 
-Words are runs of letters, in lower case, after a mark for their start. A letter outside the vocabulary counts as a piece of
+Words are runs of letters (numerals such as fractions or Roman ones are none), in lower case, after a mark for their start. A letter outside the vocabulary counts as a piece of
 its own with a fixed small probability.
 
 Rows: a null text, or one without letters, is `und` with score 0, as is every text if nothing can be learned from. Rows
@@ -21,12 +21,12 @@ matter; empty tables give empty results.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ FIT_LETTERS = 40
 UNKNOWN, FLOOR = 1e-7, 1e-7
 UNDETERMINED = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _START = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,6 +49,13 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(True))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores before it as it takes to clash with none of ``columns``."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def parts(word: str) -> list[str]:
     """The runs of letters of a word, marked."""
     return [_START + run for run in _LETTERS.findall(word.lower())]
@@ -58,7 +65,7 @@ def pieces(model: str) -> list[str]:
     """Pieces of letters of a sentencepiece model."""
     processor = sentencepiece.SentencePieceProcessor(model_file=model)
     named = (processor.id_to_piece(i) for i in range(processor.get_piece_size()))
-    return sorted({p.lower() for p in named if re.fullmatch(rf"{_START}?[^\W\d_]+|{_START}", p)})
+    return sorted({p.lower() for p in named if regex.fullmatch(rf"{_START}?\p{{L}}+|{_START}", p)})
 
 
 class Lattice:
@@ -259,5 +266,6 @@ def predicted(docs: DataFrame, model: str) -> DataFrame:
 
 def identified(docs: DataFrame, model: str, least: float = 0.5) -> DataFrame:
     """``docs`` without texts whose language can't be determined with a score of ``least``; its columns stay."""
-    found = identify(docs, model, into=("_lang_pred", "_lang_score"))
-    return found.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= least)).select(*docs.columns)
+    into = unused("_lang_pred", docs.columns), unused("_lang_score", docs.columns)
+    found = identify(docs, model, into=into)
+    return found.where((F.col(into[0]) != UNDETERMINED) & (F.col(into[1]) >= least)).select(*docs.columns)

@@ -120,14 +120,15 @@ def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return shingles.shingles(_FOLD[data], offsets, WORDS)
 
 
-def sliding(blocks: np.ndarray, n: int) -> np.ndarray:
-    """Minima of each ``n`` blocks in a row; the last windows are shorter."""
+def sliding(blocks: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Minima of each ``n`` blocks in a row that have the first one's ``owner``."""
     out, covered = blocks, 1
     while covered < n:
         step = min(covered, n - covered)
         out, before = out.copy(), out
         if step < len(out):
-            np.minimum(before[: len(out) - step], before[step:], out=out[: len(out) - step])
+            same = owner[:-step] == owner[step:]
+            np.minimum(before[:-step], before[step:], out=out[:-step], where=same)
         covered += step
     return out
 
@@ -152,37 +153,45 @@ class Templates:
                 low[value & int(_BITS)] = True
                 owners.setdefault(value, []).append(i)
 
-    def candidates(self, hashes: np.ndarray) -> set[tuple[int, int, int]]:
-        """(first shingle, end, template) of windows that share a band with a template."""
-        found: set[tuple[int, int, int]] = set()
-        for band, values in enumerate(shingles.minhash_values(hashes, BANDS)):
+    def candidates(self, hashes: np.ndarray, counts: np.ndarray) -> set[tuple[int, int, int, int]]:
+        """(text, first shingle, end, template) of windows that share a band with a template.
+
+        Each text starts at a block of its own and its windows end with it, so they don't depend on the texts around it."""
+        widest = max([n // 4 for n in self.classes if n >= 4], default=1)
+        room = -(-counts // widest) * widest
+        starts = np.cumsum(room) - room
+        owner = np.repeat(np.arange(len(counts)), room)
+        place = np.arange(len(hashes)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+        found: set[tuple[int, int, int, int]] = set()
+        for band, own in enumerate(shingles.minhash_values(hashes, BANDS)):
+            values = np.full(len(owner), 0xFFFFFFFF, np.uint32)
+            values[place] = own
             step, blocks = 1, values
             for n in sorted(self.classes):
                 if band >= len(self.classes[n]):
                     continue
                 while n >= 4 and step < n // 4:
-                    blocks, step = np.minimum.reduceat(blocks, np.arange(0, len(blocks), 2)), step * 2
-                minima = sliding(blocks, BLOCKS if n >= 4 else n)
+                    blocks, step = np.minimum(blocks[::2], blocks[1::2]), step * 2
+                minima = sliding(blocks, owner[::step], BLOCKS if n >= 4 else n)
                 low, owners = self.classes[n][band]
                 length = step * BLOCKS if n >= 4 else n
                 for w in np.flatnonzero(low[minima & _BITS]).tolist():
-                    found.update((w * step, w * step + length, i) for i in owners.get(int(minima[w]), ()))
+                    if templates := owners.get(int(minima[w])):
+                        text = int(owner[w * step])
+                        first = w * step - int(starts[text])
+                        found.update((text, first, min(first + length, int(counts[text])), i) for i in templates)
         return found
 
     def matches(self, hashes: np.ndarray, counts: np.ndarray) -> list[tuple[int, str, float, int, int]]:
-        """(text, license, containment, first shingle, end) of the best window of each license in each text."""
-        ends = np.cumsum(counts)
+        """(text, license, containment, first shingle, end) of the best window of each license in each text, the first of equals."""
+        begins = np.cumsum(counts) - counts
         best: dict[tuple[int, str], tuple[float, int, int]] = {}
-        for begin, end, i in sorted(self.candidates(hashes)) if len(hashes) else ():
-            text = int(np.searchsorted(ends, begin, "right"))
-            while text < len(ends) and ends[text] - counts[text] < end:
-                first = ends[text] - counts[text]
-                a, b = max(begin, first), min(end, ends[text])
-                share = float(np.isin(self.sets[i], hashes[a:b]).mean()) if a < b else 0.0
+        for text, first, end, i in sorted(self.candidates(hashes, counts)) if len(hashes) else ():
+            if first < end:
+                share = float(np.isin(self.sets[i], hashes[begins[text] + first : begins[text] + end]).mean())
                 key = text, self.names[i]
                 if share >= CONTAINMENT and share > best.get(key, (0.0, 0, 0))[0]:
-                    best[key] = share, int(a - first), int(b - first)
-                text += 1
+                    best[key] = share, first, end
         return [(*key, *window) for key, window in sorted(best.items())]
 
 

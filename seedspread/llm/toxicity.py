@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedspread.llm.language_id import by_length, held_out
+from seedspread.llm.language_id import by_length, held_out, unused
 from seedspread.llm.wordcache import WordCache, live, releasing
 
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1000, 4000, 20_000_000
@@ -318,5 +318,6 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def decent(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the texts that are predicted toxic; its columns stay."""
-    found = score(docs, learn(docs, labels), into="_toxicity")
-    return found.where(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
+    into = unused("_toxicity", docs.columns)
+    found = score(docs, learn(docs, labels), into=into)
+    return found.where(F.col(into) < THRESHOLD).select(*docs.columns)

@@ -88,6 +88,8 @@ def test_toxicity_cases(spark):
     assert toxicity.scored(docs, odd).count() == 4
     assert toxicity.scored(docs.limit(0), odd).count() == 0
     assert toxicity.decent(docs, odd).columns == docs.columns
+    own = docs.withColumn("_toxicity", F.lit(-7)).withColumn("__TOXICITY", F.lit("mine"))
+    assert {(r._toxicity, r["__TOXICITY"]) for r in toxicity.decent(own, odd).collect()} == {(-7, "mine")}
 
 
 def test_language_on_held_out_rows(spark, documents):
@@ -122,11 +124,13 @@ def test_forward_sums_all_segmentations():
 
 
 def test_language_cases(spark):
-    texts = ["the cat sat on the mat", "der Hund und die Katze", None, "", "123 456 !?", "x" * 50_000, "the cat sat on the mat"]
+    texts = ["the cat sat on the mat", "der Hund und die Katze", None, "", "123 456 !?", "x" * 50_000, "the cat sat on the mat", "½ ²", "① Ⅷ"]
     docs = spark.createDataFrame([(i, t, "en" if i % 2 == 0 else "de", "s") for i, t in enumerate(texts)] + [(None, "the", "en", "s")], "doc_id long, text string, lang string, lang_pred string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predicted(docs, queries.UNIGRAM_PIECES).collect()}
-    assert len(got) == 8 and [got[i][0] for i in (2, 3, 4)] == ["und"] * 3 and got[0] == got[6]
-    assert language_id.identified(docs, queries.UNIGRAM_PIECES).columns == docs.columns
+    assert len(got) == 10 and [got[i] for i in (2, 3, 4, 7, 8)] == [("und", 0.0)] * 5 and got[0] == got[6]
+    own = docs.withColumn("_lang_pred", F.lit("mine")).withColumn("_lang_score", F.lit(-1))
+    kept = language_id.identified(own, queries.UNIGRAM_PIECES)
+    assert kept.columns == own.columns and {(r._lang_pred, r._lang_score) for r in kept.collect()} == {("mine", -1)}
     untaught = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language_id.predicted(untaught, queries.UNIGRAM_PIECES).collect()} == {"und"}
     assert language_id.predicted(docs.limit(0), queries.UNIGRAM_PIECES).count() == 0

@@ -307,7 +307,7 @@ def brute_scan(texts):
 
 
 def test_license_scan_equals_brute_force(spark):
-    """One text a chunk, so that blocks begin with the text, as the brute force has them."""
+    """Windows begin with each text, alone or among others."""
     rng = random.Random(4)
     filler = [f"word{i}" for i in range(200)]
     notices = [t for variants in license_scan.TEMPLATES.values() for t in variants]
@@ -326,6 +326,34 @@ def test_license_scan_equals_brute_force(spark):
         for _, data, offsets in license_scan.shingles.chunks(license_scan.pa.array([text])):
             got |= {(i, name): share for _, name, share, _, _ in scanner.matches(*license_scan.hashed(data, offsets))}
     assert got == pytest.approx(brute_scan(texts)) and len(got) > 20
+    for _, data, offsets in license_scan.shingles.chunks(license_scan.pa.array(list(texts.values()))):
+        assert {(i, name): share for i, name, share, _, _ in scanner.matches(*license_scan.hashed(data, offsets))} == got
     rows = spark.createDataFrame([(i, t, "clash", 1.0) for i, t in texts.items()] * 2, "doc_id long, text string, license string, containment double")
     twice = [(r.doc_id, r.license) for r in license_scan.scan(rows.repartition(3)).collect()]
     assert sorted(set(twice)) == sorted(got) and all(twice.count(k) == 2 for k in got)
+
+
+def test_place_of_a_license_does_not_depend_on_other_texts():
+    rng = random.Random(2)
+    filler = [f"word{i}" for i in range(200)]
+    text = " ".join([*rng.choices(filler, k=70), *license_scan.TEMPLATES["Apache-2.0"][2].split(), *rng.choices(filler, k=50)])
+    scanner, places = license_scan.Templates(license_scan.TEMPLATES), set()
+    for n in range(30):
+        before = [" ".join(rng.choices(filler, k=rng.randint(0, 90))) for _ in range(n)]
+        for _, data, offsets in license_scan.shingles.chunks(license_scan.pa.array([*before, text, text])):
+            found = scanner.matches(*license_scan.hashed(data, offsets))
+            places |= {tuple(m[1:]) for m in found if m[0] >= n}
+    assert len(places) == 1
+
+
+def test_many_links_of_a_part_are_counted_tile_by_tile(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", 64)
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=16)
+    rows = [(i, [float(x) for x in centre + rng.normal(size=16) * (0.01 if i < 500 else 9)]) for i in range(600)]
+    v = np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = v @ v.T >= 0.9
+    want = reach(range(600), [(a, b) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (int(near[i].sum()) - 1, want[i]) for i in range(600)}
