@@ -172,14 +172,14 @@ def leading(lists: DataFrame, n: int) -> DataFrame:
 def merged_top(lists: DataFrame, k: int, depth: int = 8) -> DataFrame:
     """rank, vid, gain: the k vertices with the largest sums over all lists, by the threshold algorithm.
 
-    Lists are read down to ``depth``, which doubles until the k-th sum reaches what a vertex below it can have at most: the sum of
-    the lists' values at that depth. So the long tails of the lists are summed for vertices of their heads only."""
+    Lists are read down to ``depth``, which doubles until the k-th sum is above what a vertex below it can have at most: the sum of
+    the lists' values at that depth (an equal sum could have a smaller id). So the long tails of the lists are summed for vertices of their heads only."""
     while True:
         heads = lists.where(F.col("rank") <= depth).select("vid").distinct()
         best = top(lists.join(heads, "vid").groupBy("vid").agg(F.sum("dp").alias("gain")), k, "gain")
         below = lists.where(F.col("rank") == depth).agg(F.sum("dp")).first()[0]
         kth = best.agg(F.count(F.lit(1)).alias("n"), F.min("gain").alias("least")).first()
-        if below is None or kth.n == k and kth.least >= below:
+        if below is None or kth.n == k and kth.least > below:
             return best
         depth *= 2
 
@@ -256,6 +256,16 @@ def reranked(shortlist: DataFrame, k: int, spread: Callable[[DataFrame], float],
     return celf(shortlist, k, spread, shortlist, most)
 
 
+def swept(edges: DataFrame, k: int, bounds: tuple[int, int], natives: DataFrame | None = None) -> DataFrame:
+    """bound, rank, vid, gain: ``expansion`` at theta = 1 / bound for each bound of ``theta_sweep``, all side by side; for all vertices unless
+    ``natives`` (vid) are given."""
+    every = [bounds[0] << i for i in range(64) if bounds[0] << i < bounds[1]]
+    queries = edges.sparkSession.createDataFrame([(b, k, 1 / b) for b in every], "qid long, k int, theta double")
+    natives = vertices(edges) if natives is None else natives.select("vid")
+    found = expansions(edges, queries, natives.join(F.broadcast(queries.select("qid"))))  # a few bounds
+    return found.withColumnRenamed("qid", "bound")
+
+
 def theta_sweep(edges: DataFrame, k: int, bounds: tuple[int, int], select: Callable[[DataFrame, int, float], DataFrame]) -> DataFrame:
     """bound, tree_size, rank, vid, gain: ``select`` at theta = 1 / bound, bounds doubling from the first while below the second."""
     out, bound = None, bounds[0]

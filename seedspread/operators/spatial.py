@@ -75,20 +75,21 @@ def quadtree(users: DataFrame, cx: float = 0.0, cy: float = 0.0, hx: float = 1.0
     """user_id, path: a node keeps its first ``capacity`` users by id, others go on to the first quadrant, NW NE SW SE, whose closed box
     holds them.
 
-    A leaf at depth ``deepest`` keeps all users that come to it, however many share its point or its cell."""
+    A leaf at depth ``deepest`` keeps all users that come to it, however many share its point or its cell. Rows of a repeated id are
+    users of their own."""
     inside = in_box(F.col("x"), F.col("y"), *map(F.lit, (cx, cy, hx, hy)))
-    here = users.where(inside).select("user_id", "x", "y", F.lit("").alias("path"), *[F.lit(float(v)).alias(n) for n, v in (("cx", cx), ("cy", cy), ("hx", hx), ("hy", hy))])
-    kept = None
+    here = users.where(inside).select(F.monotonically_increasing_id().alias("row"), "user_id", "x", "y", F.lit("").alias("path"), *[F.lit(float(v)).alias(n) for n, v in (("cx", cx), ("cy", cy), ("hx", hx), ("hy", hy))])
+    here, kept = checkpointed(here), None
     for _ in range(deepest):
         # a limit on the rank is applied before the shuffle, so a cell with all users is not sorted in one task
-        first = here.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy("user_id"))).where(F.col("rank") <= capacity)
-        stay = checkpointed(first.select("user_id", "path"))
-        kept = stay if kept is None else kept.unionByName(stay)
-        rest = here.join(stay.select("user_id"), "user_id", "left_anti")
+        first = here.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy("user_id", "x", "y", "row"))).where(F.col("rank") <= capacity)
+        stay = checkpointed(first.select("row", "user_id", "path"))
+        kept = stay.drop("row") if kept is None else kept.unionByName(stay.drop("row"))
+        rest = here.join(stay.select("row"), "row", "left_anti")
         east, north = F.col("x") > F.col("cx"), F.col("y") >= F.col("cy")
         name = F.when(north, F.when(east, F.lit("NE")).otherwise(F.lit("NW"))).otherwise(F.when(east, F.lit("SE")).otherwise(F.lit("SW")))
         here = rest.select(
-            "user_id", "x", "y", F.concat("path", name).alias("path"),
+            "row", "user_id", "x", "y", F.concat("path", name).alias("path"),
             (F.col("cx") + F.when(east, F.col("hx") / 2).otherwise(-F.col("hx") / 2)).alias("cx"),
             (F.col("cy") + F.when(north, F.col("hy") / 2).otherwise(-F.col("hy") / 2)).alias("cy"),
             (F.col("hx") / 2).alias("hx"), (F.col("hy") / 2).alias("hy"),

@@ -17,12 +17,15 @@ def reached(edges: DataFrame, seeds: DataFrame, runs: int) -> DataFrame:
     return _reached(edges, start, ["run"])
 
 
-def _reached(edges: DataFrame, start: DataFrame, key: list[str]) -> DataFrame:
-    """``key``, vid: what each key's start vertices reach; the coin of an edge is that of its ``run``. Steps are kept as they come."""
-    seen = [checkpointed(start.select(*key, "vid"))]
+def _reached(edges: DataFrame, start: DataFrame, key: list[str], past: DataFrame | None = None) -> DataFrame:
+    """``key``, vid: what each key's start vertices reach; the coin of an edge is that of its ``run``. Steps are kept as they come.
+    ``past`` (run, vid): vertices that are neither reached nor passed."""
+    start = start.select(*key, "vid")
+    seen = [checkpointed(start if past is None else start.join(past, ["run", "vid"], "left_anti"))]
     while not seen[-1].isEmpty():
         step = seen[-1].join(edges, F.col("vid") == F.col("src"))
         step = step.where(hash_coin(F.col("run"), F.col("src"), F.col("dst")) < F.col("p")).select(*key, F.col("dst").alias("vid")).distinct()
+        step = step if past is None else step.join(past, ["run", "vid"], "left_anti")
         seen.append(checkpointed(step.join(reduce(DataFrame.unionByName, seen), [*key, "vid"], "left_anti")))
     return reduce(DataFrame.unionByName, seen)
 
@@ -35,6 +38,41 @@ def monte_carlo(edges: DataFrame, seeds: DataFrame, runs: int, counted: DataFram
     return found.agg((F.count(F.lit(1)) / F.lit(float(runs))).alias("spread"))
 
 
+def lazy_greedy(edges: DataFrame, k: int, runs: int, candidates: DataFrame, batch: int = 256) -> DataFrame:
+    """rank, vid, gain: greedy on the mean number of vertices activated over ``runs`` live-edge graphs, among ``candidates`` (vid).
+
+    On fixed live edges a gain never grows, so old gains are bounds: the ``batch`` candidates of the largest bounds are evaluated at a
+    time, each in all runs at once, on what the seeds so far don't reach; a round ends when the best gain that is new is above all that are old (the
+    first one evaluates all at once). Queue and reach are tables; a round's batch and best row are all that the driver names."""
+    spark = edges.sparkSession
+    edges = checkpointed(edges.select("src", "dst", "p"))
+    runs_of = F.explode(F.sequence(F.lit(0), F.lit(runs - 1)).cast("array<long>"))
+    taken = spark.createDataFrame([], "run long, vid long")
+    queue = checkpointed(candidates.select("vid").distinct().select("vid", F.lit(float("inf")).alias("gain"), F.lit(0).alias("round")))
+    chosen: list[tuple[int, int, float]] = []
+    while len(chosen) < k:
+        rank = len(chosen) + 1
+        while True:
+            order = (F.desc(F.round("gain", 9)), "vid")
+            head = queue.orderBy(*order).limit(1).collect()
+            if not head or head[0]["round"] == rank:
+                break
+            old = queue.where(F.col("round") < rank)
+            some = checkpointed((old if rank == 1 else old.orderBy(*order).limit(batch)).select("vid"))
+            found = _reached(edges, some.select(F.col("vid").alias("s"), "vid", runs_of.alias("run")), ["s", "run"], taken)
+            gains = checkpointed(found.groupBy(F.col("s").alias("vid")).agg((F.count(F.lit(1)) / float(runs)).alias("new")))
+            again = some.join(gains, "vid", "left").select("vid", F.coalesce("new", F.lit(0.0)).alias("gain"), F.lit(rank).alias("round"))
+            queue = checkpointed(queue.join(some, "vid", "left_anti").unionByName(again))
+        if not head:
+            break
+        best = head[0]
+        chosen.append((rank, best.vid, best.gain))
+        queue = queue.where(F.col("vid") != best.vid)
+        own = spark.createDataFrame([(best.vid,)], "vid long").select("vid", runs_of.alias("run"))
+        taken = checkpointed(taken.unionByName(_reached(edges, own, ["run"], taken).select("run", "vid")))
+    return spark.createDataFrame(chosen, "rank int, vid long, gain double")
+
+
 def constant_ratio(edges: DataFrame, ratio: float = 0.01) -> DataFrame:
     """src, dst, p of edges (src, dst, c) whose c parallel edges each have the same probability."""
     return edges.select("src", "dst", uniform(F.col("c"), ratio).alias("p"))

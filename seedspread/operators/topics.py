@@ -9,11 +9,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seedspread.operators.batch import DIGITS
 from seedspread.operators.paths import closure, vertices
 from seedspread.operators.probability import divergence, strongest_topic, topic
 from seedspread.operators.selection import listed, pick
 from seedspread.operators.spread import monte_carlo
-from seedspread.session import checkpointed
+from seedspread.session import checkpointed, small_side
 
 
 def for_item(tedges: DataFrame, item: list[float]) -> DataFrame:
@@ -53,55 +54,83 @@ def nearest_sample(items: DataFrame, samples: DataFrame, most: float = 1.0, rows
     return items.select("qid").join(best, "qid", "left").select("qid", "b.sid", "b.distance")
 
 
-def activated(trees: DataFrame, edges: DataFrame, ap: DataFrame) -> DataFrame:
-    """s, v, tap: activation of each tree's vertices if its source is one more seed beside those that gave ``ap`` (v, ap).
-
-    One pass in nearest-first order (then fewest hops, then the least vertex): 1 - prod(1 - p(u, v) a(u)) over all in-neighbours,
-    with the new activation of those that came earlier in the tree and the old one of all others. Vertices whose earlier
+def in_order(needs: DataFrame, start: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``by``, v, tap: 1 - prod(1 - p a(src)) of each vertex that ``needs`` (``by``, src, v, p, ap, earlier) has, where a is the new value of
+    an in-neighbour that is ``earlier``, else its ``ap``; ``start`` (``by``, v, tap) is known beforehand. Vertices whose earlier
     in-neighbours are done are done together."""
-    place = F.struct(-F.col("p"), "hops", "v")
-    at = checkpointed(trees.select("s", "v", place.alias("place")))
-    rest = at.where("s <> v").join(edges.withColumnRenamed("dst", "v"), "v")
-    both = rest.join(at.select("s", F.col("v").alias("src"), F.col("place").alias("other")), ["s", "src"], "left")
-    both = checkpointed(both.join(ap.select(F.col("v").alias("src"), "ap"), "src", "left").select("s", "src", "v", "p", (F.col("other") < F.col("place")).alias("earlier"), F.coalesce("ap", F.lit(0.0)).alias("ap")))
-    earlier = F.coalesce("earlier", F.lit(False))
-    needs = both.where(earlier).select("s", "src", "v", "p")
-    left = both.groupBy("s", "v").agg(F.sum(earlier.cast("long")).alias("n"), F.product(F.when(earlier, 1.0).otherwise(1 - F.col("p") * F.col("ap"))).alias("rest"))
-    left, new = checkpointed(left), at.where("s = v").select("s", "v", F.lit(1.0).alias("tap"))
+    both, earlier = checkpointed(needs), F.coalesce("earlier", F.lit(False))
+    waits = both.where(earlier).select(*by, "src", "v", "p")
+    left = both.groupBy(*by, "v").agg(F.sum(earlier.cast("long")).alias("n"), F.product(F.when(earlier, 1.0).otherwise(1 - F.col("p") * F.col("ap"))).alias("rest"))
+    left, new = checkpointed(left), start.select(*by, "v", "tap")
     done = new
     while not left.isEmpty():
-        come = needs.join(new.withColumnRenamed("v", "src"), ["s", "src"]).groupBy("s", "v").agg(F.count(F.lit(1)).alias("m"), F.product(1 - F.col("p") * F.col("tap")).alias("more"))
-        step = checkpointed(left.join(come, ["s", "v"], "left").select("s", "v", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), (F.col("rest") * F.coalesce("more", F.lit(1.0))).alias("rest")))
-        new, left = step.where("n = 0").select("s", "v", (1 - F.col("rest")).alias("tap")), step.where("n > 0")
+        come = waits.join(new.withColumnRenamed("v", "src"), [*by, "src"]).groupBy(*by, "v").agg(F.count(F.lit(1)).alias("m"), F.product(1 - F.col("p") * F.col("tap")).alias("more"))
+        step = checkpointed(left.join(come, [*by, "v"], "left").select(*by, "v", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), (F.col("rest") * F.coalesce("more", F.lit(1.0))).alias("rest")))
+        new, left = step.where("n = 0").select(*by, "v", (1 - F.col("rest")).alias("tap")), step.where("n > 0")
         done = done.unionByName(new)
     return done
 
 
-def topic_greedy(tedges: DataFrame, item: list[float], k: int, theta: float) -> DataFrame:
-    """rank, vid, gain of the best seeds for an item: what a candidate's one-pass activation (``activated``) adds to that of the
-    seeds before it, on its best paths past no seed. Every candidate is evaluated in every round; a lazy queue would need bounds
-    that hold, and path sums don't bound this gain."""
-    edges = checkpointed(for_item(tedges, item))
-    trees = closure(edges, theta)
-    ap = edges.sparkSession.createDataFrame([], "v long, ap double")
-    chosen: list[tuple[int, float]] = []
-    while len(chosen) < k:
-        seeds = [v for v, _ in chosen]
-        after = checkpointed(activated(trees, edges, ap))
-        added = after.join(ap, "v", "left").select(F.col("s").alias("vid"), (F.col("tap") - F.coalesce("ap", F.lit(0.0))).alias("add"))
-        best = pick(added.groupBy("vid").agg(F.sum("add").alias("gain")), seeds)
-        if best is None:
+def activated(trees: DataFrame, edges: DataFrame, ap: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """s, v, tap: activation of each tree's vertices if its source is one more seed beside those that gave ``ap`` (v, ap).
+
+    One pass in nearest-first order (then fewest hops, then the least vertex): 1 - prod(1 - p(u, v) a(u)) over all in-neighbours,
+    with the new activation of those that came earlier in the tree and the old one of all others. ``by``: columns of all three
+    tables (items side by side)."""
+    place = F.struct(-F.col("p"), "hops", "v")
+    at = checkpointed(trees.select(*by, "s", "v", place.alias("place")))
+    rest = at.where("s <> v").join(edges.withColumnRenamed("dst", "v"), [*by, "v"])
+    both = rest.join(at.select(*by, "s", F.col("v").alias("src"), F.col("place").alias("other")), [*by, "s", "src"], "left")
+    both = both.join(ap.select(*by, F.col("v").alias("src"), "ap"), [*by, "src"], "left").select(*by, "s", "src", "v", "p", (F.col("other") < F.col("place")).alias("earlier"), F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    return in_order(both, at.where("s = v").select(*by, "s", "v", F.lit(1.0).alias("tap")), (*by, "s"))
+
+
+def topic_greedies(tedges: DataFrame, items: DataFrame, theta: float) -> DataFrame:
+    """qid, rank, vid, gain of the best k seeds for each of ``items`` (qid, item, k), side by side: what a candidate's one-pass
+    activation (``activated``) adds to that of the seeds before it, on its best paths past no seed.
+
+    No candidate is left out for want of a bound, but only those are evaluated again whose tree a new seed cuts, or holds a vertex
+    whose activation, or that of an in-neighbour, it changed."""
+    items = checkpointed(items.select("qid", "item", F.col("k").cast("int").alias("k")))
+    n, most = items.count(), items.agg(F.max("k")).first()[0] or 0
+    by, item = ("qid",), small_side(items.select("qid", "item"), n)
+    edges = checkpointed(tedges.join(item).select("qid", "src", "dst", topic(F.col("w"), F.col("item")).alias("p")).where("p > 0"))
+    ends = edges.select("qid", F.explode(F.array("src", "dst")).alias("vid")).distinct()
+    trees = closure(edges, theta, ends, by=by)
+    spark, kind = edges.sparkSession, dict(items.dtypes)["qid"]
+    ap = spark.createDataFrame([], f"qid {kind}, v long, ap double")
+    after = spark.createDataFrame([], f"qid {kind}, s long, v long, tap double")
+    chosen = spark.createDataFrame([], f"qid {kind}, rank int, vid long, gain double")
+    dirty = checkpointed(trees.select("qid", "s").distinct())
+    for rank in range(1, most + 1):
+        again = activated(trees.join(dirty, ["qid", "s"], "left_semi"), edges, ap, by)
+        after = checkpointed(after.join(trees.select("qid", "s").distinct(), ["qid", "s"], "left_semi").join(dirty, ["qid", "s"], "left_anti").unionByName(again))
+        scores = after.join(ap, ["qid", "v"], "left").groupBy("qid", F.col("s").alias("vid")).agg(F.sum(F.col("tap") - F.coalesce("ap", F.lit(0.0))).alias("gain"))
+        open_ = scores.join(small_side(items.where(F.col("k") >= rank).select("qid"), n), "qid", "left_semi")
+        best = open_.groupBy("qid").agg(F.min(F.struct((-F.round("gain", DIGITS)).alias("minus"), "vid", "gain")).alias("b"))
+        new = checkpointed(best.select("qid", F.lit(rank).alias("rank"), "b.vid", "b.gain"))
+        if not (found := new.count()):
             break
-        new = best[0]
-        chosen.append(best)
-        if len(chosen) == k:
+        chosen = checkpointed(chosen.unionByName(new))
+        if rank == most:
             break
-        own = after.where(F.col("s") == new).select("v", F.col("tap").alias("ap"))
-        ap = checkpointed(own.unionByName(ap.join(own, "v", "left_anti")))
-        stale = checkpointed(trees.where(F.col("v") == new).select(F.col("s").alias("vid")))
-        fresh = closure(edges, theta, stale.where(F.col("vid") != new), avoid=[*seeds, new])
-        trees = checkpointed(trees.join(stale.select(F.col("vid").alias("s")), "s", "left_anti").unionByName(fresh))
-    return listed(edges.sparkSession, chosen)
+        seed = small_side(new.select("qid", F.col("vid").alias("seed")), found)
+        own = checkpointed(after.join(seed, "qid").where("s = seed").select("qid", "v", F.col("tap").alias("ap")))
+        ap = checkpointed(own.unionByName(ap.join(own, ["qid", "v"], "left_anti")))
+        stale = checkpointed(trees.join(seed, "qid").where("v = seed").select("qid", "s", (F.col("s") == F.col("seed")).alias("gone")))
+        barred = small_side(chosen.select("qid", F.col("vid").alias("v")))
+        fresh = closure(edges, theta, stale.where("not gone").select("qid", F.col("s").alias("vid")), barred=barred, by=by)
+        trees = checkpointed(trees.join(stale, ["qid", "s"], "left_anti").unionByName(fresh))
+        beside = edges.join(own.select("qid", F.col("v").alias("src")), ["qid", "src"], "left_semi").select("qid", F.col("dst").alias("v"))
+        changed = own.select("qid", "v").unionByName(beside).distinct()
+        dirty = checkpointed(trees.join(changed, ["qid", "v"], "left_semi").select("qid", "s").unionByName(stale.where("not gone").select("qid", "s")).distinct())
+    return chosen
+
+
+def topic_greedy(tedges: DataFrame, item: list[float], k: int, theta: float) -> DataFrame:
+    """rank, vid, gain of the best seeds for one item (see ``topic_greedies``)."""
+    query = tedges.sparkSession.createDataFrame([(0, item, k)], "qid int, item array<double>, k int")
+    return topic_greedies(tedges, query, theta).select("rank", "vid", "gain")
 
 
 def border(trees: DataFrame) -> DataFrame:
@@ -177,18 +206,32 @@ def topic_best_first(tedges: DataFrame, item: list[float], k: int, theta: float,
     return listed(tedges.sparkSession, chosen)
 
 
-def set_gain(edges: DataFrame, ap: DataFrame, candidates: list[int], sweeps: int = 2) -> float:
-    """What a set of candidates adds to ``ap`` (v, ap) at least: they are active, and activation passes over all edges ``sweeps``
-    times, all vertices at once."""
+def sweep(edges: DataFrame, now: DataFrame, fixed: DataFrame, ascending: bool) -> DataFrame:
+    """v, now: every vertex but ``fixed`` (v) gets 1 - prod(1 - p a(src)) over its in-neighbours, one after the other by id, each with the
+    values that those before it have got. Done in levels: as many as the longest path of falling (rising) ids has edges."""
+    free = now.join(fixed, "v", "left_anti")
+    before = (F.col("src") < F.col("v")) if ascending else (F.col("src") > F.col("v"))
+    into = edges.select("src", F.col("dst").alias("v"), "p").join(free.select("v"), "v")
+    into = into.join(now.select(F.col("v").alias("src"), F.col("now").alias("ap")), "src")
+    into = into.join(fixed.select(F.col("v").alias("src"), F.lit(True).alias("held")), "src", "left")
+    needs = into.select("src", "v", "p", "ap", (before & F.col("held").isNull()).alias("earlier"))
+    none = free.join(edges.select(F.col("dst").alias("v")), "v", "left_anti").select("v", F.lit(0.0).alias("tap"))  # no in-neighbours
+    done = in_order(needs, none, ())
+    return done.select("v", F.col("tap").alias("now")).unionByName(now.join(fixed, "v", "left_semi").select("v", "now"))
+
+
+def set_gain(edges: DataFrame, ap: DataFrame, candidates: list[int], taken: list[int] = ()) -> float:
+    """What a set of candidates adds to ``ap`` (v, ap) at least: they are active, as are the seeds ``taken``, and all other vertices are
+    activated anew in two ``sweep``s, by descending and then by ascending id."""
     spark = edges.sparkSession
-    added = checkpointed(spark.createDataFrame([(v, 1.0) for v in candidates], "v long, now double"))
-    before = vertices(edges).withColumnRenamed("vid", "v").join(ap, "v", "left").select("v", F.coalesce("ap", F.lit(0.0)).alias("ap"))
-    state = checkpointed(before.join(added, "v", "left").select("v", "ap", F.greatest("ap", F.coalesce("now", F.lit(0.0))).alias("now")))
-    for _ in range(sweeps):
-        live = state.where("now > 0").select(F.col("v").alias("src"), "now")
-        come = edges.join(live, "src").groupBy(F.col("dst").alias("v")).agg((1 - F.product(1 - F.col("p") * F.col("now"))).alias("come"))
-        state = checkpointed(state.join(come, "v", "left").select("v", "ap", F.greatest("now", F.coalesce("come", F.lit(0.0))).alias("now")))
-    return state.agg(F.sum(F.col("now") - F.col("ap"))).first()[0] or 0.0
+    edges = checkpointed(edges.select("src", "dst", "p"))
+    active = spark.createDataFrame([(v,) for v in {*candidates, *taken}], "v long")
+    every = vertices(edges).withColumnRenamed("vid", "v").union(active).distinct()
+    state = checkpointed(every.join(ap, "v", "left").join(F.broadcast(active.withColumn("on", F.lit(True))), "v", "left").select("v", F.coalesce("ap", F.lit(0.0)).alias("ap"), "on"))
+    now = state.select("v", F.when(F.col("on"), 1.0).otherwise(F.col("ap")).alias("now"))
+    now = checkpointed(sweep(edges, now, active, ascending=False))
+    now = checkpointed(sweep(edges, now, active, ascending=True))
+    return now.join(state, "v").agg(F.sum(F.col("now") - F.col("ap"))).first()[0] or 0.0
 
 
 def topic_approximate(tedges: DataFrame, item: list[float], k: int, theta: float, bounds: DataFrame, upper: DataFrame, lower: DataFrame, epsilon: float, coarse: float | None = None) -> DataFrame:
@@ -212,7 +255,7 @@ def topic_approximate(tedges: DataFrame, item: list[float], k: int, theta: float
     while len(chosen) < k:
         if left and most is not None and (len(chosen) + 1) % step == 0:
             free = [v for v in left if v not in {v for v, _ in chosen}]
-            if sum(g for _, g in chosen) + set_gain(edges, ap, free) > epsilon * most:
+            if sum(g for _, g in chosen) + set_gain(edges, ap, free, [v for v, _ in chosen]) > epsilon * most:
                 rows = [(i, v, g) for i, (v, g) in enumerate([*chosen, *((v, None) for v in left)][:k], 1)]
                 return spark.createDataFrame(rows, "rank int, vid long, gain double")
         if (found := next(rounds, None)) is None:
@@ -222,16 +265,23 @@ def topic_approximate(tedges: DataFrame, item: list[float], k: int, theta: float
     return listed(spark, chosen)
 
 
+def _samples(tedges: DataFrame, items: dict[int, list[float]], k: int) -> DataFrame:
+    return tedges.sparkSession.createDataFrame([(sid, item, k) for sid, item in items.items()], "qid long, item array<double>, k int")
+
+
 def upper_samples(tedges: DataFrame, items: dict[int, list[float]], k: int, theta: float, factor: float = 1.0) -> DataFrame:
-    """sid, ub, item: ``factor`` times the sum of gains of each sample item's seeds. One selection for each of a few samples."""
-    rows = [(sid, factor * (topic_greedy(tedges, item, k, theta).agg(F.sum("gain")).first()[0] or 0.0), item) for sid, item in items.items()]
-    return tedges.sparkSession.createDataFrame(rows, "sid long, ub double, item array<double>")
+    """sid, ub, item: ``factor`` times the sum of gains of each sample item's seeds; all samples are selected for side by side."""
+    samples = _samples(tedges, items, k)
+    sums = topic_greedies(tedges, samples, theta).groupBy("qid").agg((F.sum("gain") * factor).alias("ub"))
+    return samples.join(sums, "qid", "left").select(F.col("qid").alias("sid"), F.coalesce("ub", F.lit(0.0)).alias("ub"), "item")
 
 
 def lower_samples(tedges: DataFrame, items: dict[int, list[float]], k: int, theta: float) -> DataFrame:
-    """sid, item, seeds: each sample item's seeds in rank order."""
-    rows = [(sid, item, [r.vid for r in topic_greedy(tedges, item, k, theta).orderBy("rank").collect()]) for sid, item in items.items()]
-    return tedges.sparkSession.createDataFrame(rows, "sid long, item array<double>, seeds array<long>")
+    """sid, item, seeds: each sample item's seeds in rank order; all samples are selected for side by side."""
+    samples = _samples(tedges, items, k)
+    ranked = topic_greedies(tedges, samples, theta).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "vid"))).alias("r"))  # k of each
+    seeds = F.transform("r", lambda r: r["vid"])
+    return samples.join(ranked, "qid", "left").select(F.col("qid").alias("sid"), "item", F.coalesce(seeds, F.array().cast("array<long>")).alias("seeds"))
 
 
 def topic_spread(tedges: DataFrame, item: list[float], seeds: DataFrame, runs: int = 1000) -> DataFrame:

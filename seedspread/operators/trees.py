@@ -15,7 +15,8 @@ def activation(trees: DataFrame, seeds: list[int], compat_root: bool = False) ->
 
     ap: 1 for seeds, 0 for other leaves, else 1 - prod(1 - ap(c) p(c)) over children c. alpha: 1 for the root, else
     alpha(parent) p prod(1 - ap(y) p(y)) over the siblings y; 0 below seeds. One level of all trees at a time: from the leaves
-    for ap, from the roots for alpha. ``compat_root``: multiplies a root's ap with children by (1 - ap) once more."""
+    for ap, from the roots for alpha. ``compat_root``: multiplies a root's ap with children by (1 - ap) once more, and derives the alpha of
+    its children from that: p (1 - ap(root)) / (1 - ap p)."""
     depth = trees.agg(F.max("hops")).first()[0]
     if depth is None:
         return trees.select("s", "v", F.lit(0.0).alias("ap"), F.lit(0.0).alias("alpha"))
@@ -45,6 +46,9 @@ def activation(trees: DataFrame, seeds: list[int], compat_root: bool = False) ->
         siblings = level.groupBy("s", "parent").agg(F.product(F.when(factor != 0, factor).otherwise(1.0)).alias("rest"), F.sum((factor == 0).cast("int")).alias("zeros"))
         over = above.select("s", F.col("v").alias("parent"), F.when(is_seed, F.lit(0.0)).otherwise(F.col("alpha")).alias("over"))
         apart = F.when(factor != 0, F.when(F.col("zeros") == 0, F.col("rest") / factor).otherwise(0.0)).otherwise(F.when(F.col("zeros") == 1, F.col("rest")).otherwise(0.0))
+        if compat_root and len(done) == 1:
+            over = over.join(above.select("s", F.col("ap").alias("root_ap")), "s")
+            apart = F.when(factor != 0, (1 - F.col("root_ap")) / factor).otherwise(apart)
         above = checkpointed(level.join(siblings, ["s", "parent"]).join(over, ["s", "parent"]).select("s", "v", "ap", (F.col("over") * F.col("edge_p") * apart).alias("alpha")))
         done.append(above)
     return reduce(DataFrame.unionByName, done)
@@ -60,45 +64,6 @@ def gains(state: DataFrame) -> DataFrame:
     return state.groupBy(F.col("v").alias("vid")).agg(F.sum(F.col("alpha") * (1 - F.col("ap"))).alias("gain"))
 
 
-def walked(trees: DataFrame, pairs: DataFrame) -> DataFrame:
-    """s, root, v, next, edge_p: the edges of the paths from ``s`` to ``root`` of each of ``pairs`` in the out-trees of ``s``."""
-    up = trees.where("hops > 0").select("s", F.col("v").alias("at"), "parent", "edge_p")
-    at, found = pairs.select("s", "root", F.col("root").alias("at")), None
-    while True:
-        step = checkpointed(at.join(up, ["s", "at"]).select("s", "root", F.col("parent").alias("v"), F.col("at").alias("next"), "edge_p"))
-        found = step if found is None else found.unionByName(step)
-        if step.isEmpty():
-            return found
-        at = step.select("s", "root", F.col("v").alias("at"))
-
-
-def with_path(paths: DataFrame, pairs: DataFrame, stored: DataFrame) -> DataFrame:
-    """``paths`` and, for each of ``pairs``, the stored edges (root, v, next, edge_p) of its root.
-
-    A vertex has one next vertex on its way to the root: that of the newest path, so each pair keeps a tree."""
-    old = stored.join(pairs.select("s", "root"), "root").select("s", "root", "v", "next", "edge_p")
-    return paths.unionByName(old.join(paths.select("s", "root", "v"), ["s", "root", "v"], "left_anti"))
-
-
-def root_activation(pairs: DataFrame, links: DataFrame, seeds: list[int]) -> DataFrame:
-    """s, root, ap: activation of the root of each pair's tree (s, root, v, next, edge_p) by ``seeds`` and ``s``, level by level."""
-    sure = F.col("v").isin(seeds) | (F.col("v") == F.col("s"))
-    level = pairs.select("s", "root", F.col("root").alias("v"), F.col("root").alias("next"), F.lit(1.0).alias("edge_p"))
-    levels = []
-    while not (level := checkpointed(level.withColumn("sure", sure))).isEmpty():
-        levels.append(level)
-        open_ = level.where("not sure").select("s", "root", F.col("v").alias("next"))
-        level = links.join(open_, ["s", "root", "next"]).select("s", "root", "v", "next", "edge_p")
-    if not levels:
-        return pairs.select("s", "root", F.lit(0.0).alias("ap"))
-    state = levels.pop().withColumn("ap", F.col("sure").cast("double"))
-    while levels:
-        grown = state.groupBy("s", "root", F.col("next").alias("v")).agg((1 - F.product(1 - F.col("ap") * F.col("edge_p"))).alias("grown"))
-        ap = F.when(F.col("sure"), 1.0).otherwise(F.coalesce("grown", F.lit(0.0)))
-        state = checkpointed(levels.pop().join(grown, ["s", "root", "v"], "left").withColumn("ap", ap).drop("grown"))
-    return state.select("s", "root", "ap")
-
-
 def on_path(trees: DataFrame, below: list[int], via: int) -> DataFrame:
     """s, v: members ``v`` of ``below`` whose path to the root passes ``via`` before the root."""
     at = trees.where(F.col("v").isin(below)).select("s", "v", F.col("parent").alias("at"))

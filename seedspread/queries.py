@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedspread import sources
-from seedspread.operators import graph, paths, selection, spatial, spread, topics
+from seedspread.operators import batch, graph, paths, selection, spatial, spread, topics
 from seedspread.operators.probability import hash_coin, trivalency, two_level, uniform
 
 THETA = 0.05
@@ -241,7 +241,20 @@ def admitted_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.admitted(spatial.natives_of(sources.locations(spark, sf_dir), boxes), boxes).select("qid", "k")
 
 
-@query()
+def _quadtree_sql(capacity: int) -> str:
+    """Users by the node that keeps them: a node's first users by id stay, the others go on to a quadrant."""
+    east, north = "x > cx", "y >= cy"
+    return f"""
+here(user_id, x, y, path, cx, cy, hx, hy, n) as (
+  select user_id, x, y, '', 0.0::double, 0.0::double, 1.0::double, 1.0::double, row_number() over (order by user_id) from loc where x between -1 and 1 and y between -1 and 1
+  union all
+  select user_id, x, y, path, cx, cy, hx, hy, row_number() over (partition by path order by user_id) from (
+    select user_id, x, y, concat(path, case when {north} then 'N' else 'S' end, case when {east} then 'E' else 'W' end) as path,
+      cx + case when {east} then hx / 2 else -hx / 2 end as cx, cy + case when {north} then hy / 2 else -hy / 2 end as cy, hx / 2 as hx, hy / 2 as hy from here where n > {capacity})),
+kept as (select user_id, path from here where n <= {capacity})"""
+
+
+@query(f"with recursive {_LOC}, {_quadtree_sql(100)} select user_id, path from kept")
 def quadtree_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.quadtree(sources.locations(spark, sf_dir), capacity=100)
 
@@ -307,10 +320,80 @@ def rectangle_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spatial.native_locations(sources.locations(spark, sf_dir), *BOX), "x", "y")
 
 
-@query(f"with {_LOC}, {_NATIVE} select vid from native")
+def _held_sql(cx: str, cy: str, hx: str, hy: str) -> str:
+    """Whether ``BOX`` strictly contains a cell."""
+    x, y, w, h = BOX
+    return f"({cx} + {hx} < {x + w} and {cx} - {hx} > {x - w} and {cy} + {hy} < {y + h} and {cy} - {hy} > {y - h})"
+
+
+_REGIONS_SQL = f"""{_quadtree_sql(20)},
+node as (select distinct path, cx, cy, hx, hy from here),
+region as (select a.path as rid from node a left join node b on b.path = left(a.path, greatest(length(a.path) - 2, 0)) and a.path <> ''
+  where {_held_sql("a.cx", "a.cy", "a.hx", "a.hy")} and (a.path = '' or not {_held_sql("b.cx", "b.cy", "b.hx", "b.hy")})),
+placed as (select vid, rid from native join kept on vid = user_id left join region on starts_with(path, rid))"""
+
+
+@query(f"with recursive {_LOC}, {_NATIVE}, {_REGIONS_SQL} select vid, rid from placed")
 def rectangle_natives_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rectangle's users as those of covered regions and of the fringe; regions are the quadtree's."""
-    return _placed(spark, sf_dir).select("vid")
+    """A rectangle's users with the covered region that they are in, null for the fringe; regions are the quadtree's."""
+    return _placed(spark, sf_dir)
+
+
+@query(
+    f"with recursive {_EDGES}, {_closure_sql()}, {_LOC}, {_NATIVE}, {_REGIONS_SQL}, sums as (select coalesce(rid, 'fringe') as rid, s as vid, sum(p) as gain from mip join placed on t = vid group by 1, 2) "
+    "select rid, vid, round(gain, 6) as gain from sums qualify row_number() over (partition by rid order by round(gain, 9) desc, vid) = 1"
+)
+def region_first_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best seed of each region of a rectangle for that region alone, all regions side by side."""
+    found = selection.region_seeds(sources.ic_edges(spark, sf_dir), THETA, _placed(spark, sf_dir), 1)
+    return _rounded(found.select("rid", "vid", "gain"), "gain")
+
+
+@query()
+def region_best_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best seeds of each region of a rectangle for that region alone."""
+    return _rounded(selection.region_seeds(sources.ic_edges(spark, sf_dir), THETA, _placed(spark, sf_dir), K), "gain")
+
+
+#: A rectangle around the users of each label, each with a number of seeds of its own.
+_LABEL_SQL = "q as (select label::bigint as qid, avg(x) as cx, avg(y) as cy, 0.08::double as hx, 0.1::double as hy, (1 + label % 3)::int as k from (select embedding[1]::double as x, embedding[2]::double as y, label from embeddings where label is not null) group by label)"
+
+
+def _label_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = sources.table(spark, sf_dir, "embeddings").where("label is not null")
+    x, y = (F.get("embedding", F.lit(i)).cast("double") for i in (0, 1))
+    boxes = e.groupBy(F.col("label").cast("long").alias("qid")).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"))
+    return selection.checkpointed(boxes.select("qid", "cx", "cy", F.lit(0.08).alias("hx"), F.lit(0.1).alias("hy"), (1 + F.col("qid") % 3).cast("int").alias("k")))
+
+
+def _rectangle_seeds(spark: SparkSession, sf_dir: str, queries: DataFrame) -> DataFrame:
+    found = selection.checkpointed(spatial.natives_of(sources.locations(spark, sf_dir), queries))
+    admitted = spatial.admitted(found, queries).select("qid", "k")
+    return _rounded(batch.expansions(sources.ic_edges(spark, sf_dir), admitted, found.join(admitted, "qid", "left_semi"), THETA), "gain")
+
+
+@query()
+def rectangle_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of rectangles, each with its own number of seeds, answered side by side."""
+    return _rectangle_seeds(spark, sf_dir, _label_boxes(spark, sf_dir))
+
+
+@query(
+    f"with recursive {_EDGES}, {_closure_sql()}, {_LOC}, {_LABEL_SQL}, sums as (select qid, s as vid, sum(p) as gain from mip join loc on t = user_id join q on x between cx - hx and cx + hx and y between cy - hy and cy + hy group by 1, 2) "
+    "select qid, 1::int as rank, vid, round(gain, 6) as gain from sums qualify row_number() over (partition by qid order by round(gain, 9) desc, vid) = 1"
+)
+def rectangle_first_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best seed of each rectangle of the stream."""
+    return _rectangle_seeds(spark, sf_dir, _label_boxes(spark, sf_dir).withColumn("k", F.lit(1)))
+
+
+@query(
+    f"with recursive {_EDGES}, {_closure_sql()}, sums as (select bound, s as vid, sum(p) as gain from mip join (values (10), (20)) b(bound) on p > 1.0 / bound or s = t group by 1, 2) "
+    "select bound::bigint as bound, 1::int as rank, vid, round(gain, 6) as gain from sums qualify row_number() over (partition by bound order by round(gain, 9) desc, vid) = 1"
+)
+def theta_sweep_first_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best seed at each of two thetas, side by side."""
+    return _rounded(selection.swept(sources.ic_edges(spark, sf_dir), 1, (10, 40)), "gain")
 
 
 @query(f"with recursive {_EDGES}, {_closure_sql()}, {_LOC}, {_NATIVE}, {_FIRST} select row_number() over (order by round(gain, 9) desc, vid)::int as rank, vid, round(gain, 6) as gain from first qualify rank <= 5")
@@ -330,8 +413,8 @@ def location_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def location_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged seeds of regions (all covered ones and the fringe as two), if they reach 0.8 of the upper bound."""
-    placed = selection.checkpointed(_placed(spark, sf_dir).withColumn("rid", F.when(F.col("rid").isNotNull(), F.lit("covered"))))
+    """Merged seeds of the covered regions and of the fringe, if they reach 0.8 of the upper bound."""
+    placed = _placed(spark, sf_dir)
     e = selection.checkpointed(sources.ic_edges(spark, sf_dir))
     ready = selection.checkpointed(selection.region_seeds(e, THETA, placed, K))
     return selection.hinted(e, K, THETA, placed, _lists(spark, sf_dir, placed), ready, 0.8).select("rank", "vid")
@@ -376,7 +459,10 @@ def pagerank_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(selection.by_pagerank(selection.checkpointed(sources.ic_edges(spark, sf_dir)), 10), "score")
 
 
-@query()
+@query(
+    f"with recursive {_EDGES}, {_closure_sql()}, {_LOC}, {_NATIVE}, nm as (select s, t, p from mip where t in (select vid from native)), best as (select s, row_number() over (order by round(sum(p), 9) desc, s) as rank from nm group by 1 qualify rank <= 10), "
+    "firsts as (select t, arg_min(p, rank) as p from nm join best using (s) group by 1) select round(sum(p), 6) as bound from firsts"
+)
 def claimed_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the natives' best ten vertices alone reach at least together."""
     reach = _mip(spark, sf_dir).join(_natives(spark, sf_dir).withColumnRenamed("vid", "v"), "v", "left_semi")
@@ -475,6 +561,22 @@ def topic_item_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(topics.topic_spread(te, ITEM, selection.by_degree(topics.for_item(te, ITEM), 5), _RUNS), "spread")
 
 
+def _lazy_sql(k: int) -> str:
+    """Greedy over what each vertex reaches in each run's live edges, k rounds."""
+    steps = [f"live as (select r.range as run, src, dst from range({_RUNS}) r, e where concat('0x', substr(md5(concat(r.range, '-', src, '-', dst)), 1, 8))::bigint / 4294967296.0 < p), reach(run, s, vid) as (select r.range, vid, vid from range({_RUNS}) r, v union select reach.run, s, live.dst from reach join live on live.run = reach.run and live.src = reach.vid)"]
+    for i in range(1, k + 1):
+        taken = " union ".join(f"select run, vid from reach where s in (select vid from s{j})" for j in range(1, i)) or "select run, vid from reach where false"
+        steps.append(f"t{i} as ({taken}), s{i} as (select s as vid, count(*) / {_RUNS}.0::double as gain from reach anti join t{i} using (run, vid) group by 1 order by round(gain, 9) desc, 1 limit 1)")
+    return ", ".join(steps) + " " + " union all ".join(f"select {i}::int as rank, vid, round(gain, 6) as gain from s{i}" for i in range(1, k + 1))
+
+
+@query(f"with recursive {_EDGES}, {_lazy_sql(K)}")
+def lazy_greedy_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy over Monte Carlo spread on shared live edges, with batches of a lazy queue."""
+    e = selection.checkpointed(sources.ic_edges(spark, sf_dir))
+    return _rounded(spread.lazy_greedy(e, K, _RUNS, paths.vertices(e)), "gain")
+
+
 _BOUND_EDGES = f"{_TEDGES}, e as (select src, dst, list_max(w) as p from te), v as (select src as vid from e union select dst from e)"
 
 
@@ -512,6 +614,13 @@ def topic_greedy_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(topics.topic_greedy(sources.topic_edges(spark, sf_dir), ITEM, K, 0.1), "gain")
 
 
+@query()
+def topic_seeds_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds for an item of each single topic, side by side."""
+    items = spark.createDataFrame([(i, [float(i == j) for j in range(len(sources.TOPICS))], 2) for i in range(len(sources.TOPICS))], "qid long, item array<double>, k int")
+    return _rounded(topics.topic_greedies(sources.topic_edges(spark, sf_dir), items, 0.1), "gain")
+
+
 _ITEMS_SQL = "it as (select user_id as qid, [" + ", ".join(f"sum(case when event_type = '{t}' then 1 else 0 end)::double / count(*)" for t in sources.TOPICS) + "] as item from events group by 1)"
 _SAMPLES = [[0.2] * 5, [0.6, 0.1, 0.1, 0.1, 0.1], [0.1, 0.1, 0.6, 0.1, 0.1]]
 _KL_SQL = "list_sum(list_transform(range(1, 6), lambda i: (case when item[i] = 0 then 1e-7 else item[i] end) * ln((case when item[i] = 0 then 1e-7 else item[i] end) / sample[i])))"

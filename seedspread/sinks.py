@@ -51,8 +51,12 @@ def lower_samples(samples: DataFrame, path: str, topics: int, k: int) -> None:
 
 
 def influence_graph(pairs: DataFrame, path: str) -> None:
-    """``u v p_uv p_vu`` of u, v, p, p_back as a folder of text files, in any order and without a count."""
-    pairs.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("u", "v", "p", "p_back")]).alias("value")).write.text(path)
+    """``n m`` (vertices and pairs), then ``u v p_uv p_vu`` of u, v, p, p_back both ways round, as a folder of text files in any order."""
+    pairs = pairs.select("u", "v", "p", "p_back")
+    counts = pairs.select(F.explode(F.array("u", "v")).alias("vid")).agg(F.countDistinct("vid").alias("n")).join(pairs.agg(F.count(F.lit(1)).alias("m")))
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("p_back").alias("p"), F.col("p").alias("p_back")))
+    lines = both.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("u", "v", "p", "p_back")]).alias("value"))
+    counts.select(F.concat_ws(" ", "n", "m").alias("value")).union(lines).write.text(path)
 
 
 def vertex_ids(edges: DataFrame) -> DataFrame:

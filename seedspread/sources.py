@@ -14,13 +14,14 @@ from seedspread.session import table
 TOPICS = ("click", "error", "purchase", "signup", "view")
 
 
-def rows(spark: SparkSession, path: str, columns: list[str], sep: str = " ", header: bool = True) -> DataFrame:
+def rows(spark: SparkSession, path: str, columns: list[str], sep: str = " ", header: bool | int = True) -> DataFrame:
     """Rows of one text file, with a field for each of ``columns`` ("name type"). ``header``: its first line holds counts and is
-    left out. Blank lines are left out; any other line with another number of fields, or one that is no such type, is an error."""
+    left out; a number says how many fields such a line has wherever it stands, as in a folder that was written in parts. Blank lines are left out; any other line with another number of fields, or one that is no such type, is an error."""
     split = F.split(F.trim("value"), r"\s+" if sep == " " else sep)
     names = [c.split() for c in columns]
     lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    lines = (lines.where("at > 0") if header else lines).where(F.trim("value") != "").select("value", split.alias("f"))
+    lines = (lines.where("at > 0") if header is True else lines).where(F.trim("value") != "").select("value", split.alias("f"))
+    lines = lines.where(F.size("f") != int(header)) if header and header is not True else lines
     wrong = F.raise_error(F.concat(F.lit(f"{path}: not {len(columns)} fields: "), "value"))
     fields = lines.select(F.when(F.size("f") == len(columns), F.col("f")).otherwise(wrong.cast("array<string>")).alias("f"))
     return fields.select(*[F.trim(F.col("f")[i]).cast(kind).alias(name) for i, (name, kind) in enumerate(names)])
@@ -28,7 +29,7 @@ def rows(spark: SparkSession, path: str, columns: list[str], sep: str = " ", hea
 
 def influence_graph(spark: SparkSession, path: str) -> DataFrame:
     """src, dst, p from rows ``u v p_uv p_vu``: an edge for each direction with a positive probability."""
-    both = rows(spark, path, ["u bigint", "v bigint", "p double", "back double"])
+    both = rows(spark, path, ["u bigint", "v bigint", "p double", "back double"], header=2)
     ends = F.explode(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("p")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst"), F.col("back").alias("p"))))
     return strongest(both.select(ends.alias("e")).select("e.*"))
 
@@ -173,6 +174,6 @@ def topic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, x, y from the first two components of embeddings."""
+    """user_id, x, y from the first two components of embeddings; null where there is none, i.e. in no rectangle."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("user_id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return e.select(F.col("vec_id").alias("user_id"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))

@@ -127,3 +127,14 @@ def test_many_rectangles_of_all_sizes(spark, points, placed):
     boxes = [(i, rng.uniform(-1, 1), rng.uniform(-1, 1), h, h * rng.uniform(0.2, 1), 1) for i, h in enumerate([1.0, 0.5, 0.3, 0.1, 0.01, 0.0, 5.0])]
     got = {(r.qid, r.vid) for r in spatial.natives_of(placed[0], spark.createDataFrame(boxes, "qid long, cx double, cy double, hx double, hy double, k int")).collect()}
     assert got == {(q, i) for q, cx, cy, hx, hy, _ in boxes for i, (x, y) in points.items() if cx - hx <= x <= cx + hx and cy - hy <= y <= cy + hy}
+
+
+def test_equal_sums_below_the_depth(spark):
+    lists = [("a", v, dp, i) for i, (v, dp) in enumerate([(100, 0.9), (20, 0.5), (50, 0.5)], 1)] + [("b", v, dp, i) for i, (v, dp) in enumerate([(7, 0.6), (30, 0.5), (50, 0.5), (100, 0.1)], 1)]
+    found = spark.createDataFrame(lists, "rid string, vid long, dp double, rank int")
+    assert {selection.merged_top(found, 1, depth).first().vid for depth in (1, 2, 8)} == {50}
+
+
+def test_users_of_a_repeated_id(spark):
+    users = spark.createDataFrame([(1, 0.1, 0.1), (1, -0.5, -0.5), (2, 0.3, 0.3), (3, None, None)], "user_id long, x double, y double")
+    assert sorted((r.user_id, r.path) for r in spatial.quadtree(users, capacity=1).collect()) == [(1, ""), (1, "NE"), (2, "NENE")]

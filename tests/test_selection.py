@@ -137,15 +137,19 @@ def test_approximate_topic_selection(spark, topic_forest):
     assert [r.vid for r in run(1e9)] == [r.vid for r in topics.topic_best_first(topic_forest, item, 2, theta, bounds).orderBy("rank").collect()]
 
 
-def test_gain_of_a_set(spark):
+@pytest.mark.parametrize("taken", [[], [6]])
+def test_gain_of_a_set(spark, taken):
+    """Two sweeps in order of ids, down and up, one vertex after the other."""
     rows = random_graph(7)
-    ap = {v: (0.3 if v % 2 else 0.0) for v in range(9)}
-    now = ap | {0: 1.0, 4: 1.0}
-    for _ in range(2):
-        come = {v: 1 - _product(1 - p * now[a] for a, b, p in rows if b == v) for v in now}
-        now = {v: max(now[v], come[v]) for v in now}
+    ap = {v: (0.3 if v % 2 else 0.0) for v in range(9)} | dict.fromkeys(taken, 1.0)
+    active = {0, 4, *taken}
+    now = {v: 1.0 if v in active else a for v, a in ap.items()}
+    for order in (sorted(now, reverse=True), sorted(now)):
+        for v in order:
+            if v not in active:
+                now[v] = 1 - _product(1 - p * now[a] for a, b, p in rows if b == v)
     known = spark.createDataFrame([(v, a) for v, a in ap.items() if a], "v long, ap double")
-    assert topics.set_gain(edges(spark, rows), known, [0, 4]) == pytest.approx(sum(now[v] - ap[v] for v in now))
+    assert topics.set_gain(edges(spark, rows), known, [0, 4], taken) == pytest.approx(sum(now[v] - ap[v] for v in now))
 
 
 def _product(values):
@@ -220,7 +224,12 @@ def test_files_come_back(spark, tmp_path):
     sinks.lower_samples(lower, at("l"), 2, 2)
     assert [(r.item, r.seeds) for r in sources.lower_bound_samples(spark, at("l"), 2, 2).collect()] == [([0.5, 0.5], [4, 9])]
     sinks.influence_graph(spark.createDataFrame([(1, 2, 0.5, 0.0)], "u long, v long, p double, p_back double"), at("g"))
-    assert spark.read.text(at("g")).first().value == "1 2 0.5 0.0"
+    lines = {r.value for r in spark.read.text(at("g")).collect()}
+    assert lines == {"2 1", "1 2 0.5 0.0", "2 1 0.0 0.5"}
+    many = spark.createDataFrame([(i, i + 1, 0.25, 0.5 if i % 2 else 0.0) for i in range(40)], "u long, v long, p double, p_back double").repartition(3)
+    sinks.influence_graph(many, at("many"))
+    back = {(r.src, r.dst): r.p for r in sources.influence_graph(spark, at("many")).collect()}
+    assert back == {(i, i + 1): 0.25 for i in range(40)} | {(i + 1, i): 0.5 for i in range(1, 40, 2)}
 
 
 def test_loaders(spark, tmp_path):
