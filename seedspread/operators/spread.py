@@ -4,29 +4,53 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedspread.operators.probability import hash_coin, uniform
-from seedspread.session import checkpointed
+from seedspread.session import checkpointed, small_side
+
+
+#: Pairs of a run and an edge up to which all coins are thrown at once; beyond, those of the edges that are met.
+LIVE_ROWS = 10_000_000
 
 
 def reached(edges: DataFrame, seeds: DataFrame, runs: int) -> DataFrame:
     """run, vid: the vertices that the seeds (vid) reach over the live edges of each run; an edge's coin is its key's hash."""
-    start = seeds.select("vid").distinct().withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)).cast("array<long>")))
-    return _reached(edges, start, ["run"])
+    start = seeds.select("vid").distinct().withColumn("run", F.explode(run_numbers(runs)))
+    return _reached(live_edges(edges, runs), start, ["run"])
+
+
+def run_numbers(runs: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(runs - 1)).cast("array<long>")
 
 
-def _reached(edges: DataFrame, start: DataFrame, key: list[str], past: DataFrame | None = None) -> DataFrame:
-    """``key``, vid: what each key's start vertices reach; the coin of an edge is that of its ``run``. Steps are kept as they come.
+def live_edges(edges: DataFrame, runs: int) -> DataFrame:
+    """run, src, dst of the live edges of all runs, if these are few; else ``edges``, whose coins are thrown where they are met."""
+    edges = checkpointed(edges.select("src", "dst", "p"))
+    if edges.count() * runs > LIVE_ROWS:
+        return edges
+    thrown = edges.withColumn("run", F.explode(run_numbers(runs)))
+    return checkpointed(thrown.where(hash_coin(F.col("run"), F.col("src"), F.col("dst")) < F.col("p")).select("run", F.col("src").alias("vid"), "dst"))
+
+
+def _reached(live: DataFrame, start: DataFrame, key: list[str], past: DataFrame | None = None) -> DataFrame:
+    """``key``, vid: what each key's start vertices reach over ``live_edges``; ``key`` has a column run. Steps are kept as they come.
     ``past`` (run, vid): vertices that are neither reached nor passed."""
-    start = start.select(*key, "vid")
+    start = start.select(*key, "vid").distinct()
     seen = [checkpointed(start if past is None else start.join(past, ["run", "vid"], "left_anti"))]
-    while not seen[-1].isEmpty():
-        step = seen[-1].join(edges, F.col("vid") == F.col("src"))
-        step = step.where(hash_coin(F.col("run"), F.col("src"), F.col("dst")) < F.col("p")).select(*key, F.col("dst").alias("vid")).distinct()
+    rows = last = seen[0].count()
+    while last:
+        if "run" in live.columns:
+            step = seen[-1].join(live, ["run", "vid"])
+        else:
+            step = seen[-1].join(live.withColumnRenamed("src", "vid"), "vid").where(hash_coin(F.col("run"), F.col("vid"), F.col("dst")) < F.col("p"))
+        step = step.select(*key, F.col("dst").alias("vid")).distinct()
         step = step if past is None else step.join(past, ["run", "vid"], "left_anti")
-        seen.append(checkpointed(step.join(reduce(DataFrame.unionByName, seen), [*key, "vid"], "left_anti")))
+        known = small_side(reduce(DataFrame.unionByName, seen), rows)
+        seen.append(checkpointed(step.join(known, [*key, "vid"], "left_anti")))
+        last = seen[-1].count()
+        rows += last
     return reduce(DataFrame.unionByName, seen)
 
 
@@ -38,15 +62,14 @@ def monte_carlo(edges: DataFrame, seeds: DataFrame, runs: int, counted: DataFram
     return found.agg((F.count(F.lit(1)) / F.lit(float(runs))).alias("spread"))
 
 
-def lazy_greedy(edges: DataFrame, k: int, runs: int, candidates: DataFrame, batch: int = 256) -> DataFrame:
+def lazy_greedy(edges: DataFrame, k: int, runs: int, candidates: DataFrame, batch: int = 64) -> DataFrame:
     """rank, vid, gain: greedy on the mean number of vertices activated over ``runs`` live-edge graphs, among ``candidates`` (vid).
 
     On fixed live edges a gain never grows, so old gains are bounds: the ``batch`` candidates of the largest bounds are evaluated at a
     time, each in all runs at once, on what the seeds so far don't reach; a round ends when the best gain that is new is above all that are old (the
     first one evaluates all at once). Queue and reach are tables; a round's batch and best row are all that the driver names."""
     spark = edges.sparkSession
-    edges = checkpointed(edges.select("src", "dst", "p"))
-    runs_of = F.explode(F.sequence(F.lit(0), F.lit(runs - 1)).cast("array<long>"))
+    live, runs_of = live_edges(edges, runs), F.explode(run_numbers(runs))
     taken = spark.createDataFrame([], "run long, vid long")
     queue = checkpointed(candidates.select("vid").distinct().select("vid", F.lit(float("inf")).alias("gain"), F.lit(0).alias("round")))
     chosen: list[tuple[int, int, float]] = []
@@ -59,7 +82,7 @@ def lazy_greedy(edges: DataFrame, k: int, runs: int, candidates: DataFrame, batc
                 break
             old = queue.where(F.col("round") < rank)
             some = checkpointed((old if rank == 1 else old.orderBy(*order).limit(batch)).select("vid"))
-            found = _reached(edges, some.select(F.col("vid").alias("s"), "vid", runs_of.alias("run")), ["s", "run"], taken)
+            found = _reached(live, some.select(F.col("vid").alias("s"), "vid", runs_of.alias("run")), ["s", "run"], taken)
             gains = checkpointed(found.groupBy(F.col("s").alias("vid")).agg((F.count(F.lit(1)) / float(runs)).alias("new")))
             again = some.join(gains, "vid", "left").select("vid", F.coalesce("new", F.lit(0.0)).alias("gain"), F.lit(rank).alias("round"))
             queue = checkpointed(queue.join(some, "vid", "left_anti").unionByName(again))
@@ -69,7 +92,7 @@ def lazy_greedy(edges: DataFrame, k: int, runs: int, candidates: DataFrame, batc
         chosen.append((rank, best.vid, best.gain))
         queue = queue.where(F.col("vid") != best.vid)
         own = spark.createDataFrame([(best.vid,)], "vid long").select("vid", runs_of.alias("run"))
-        taken = checkpointed(taken.unionByName(_reached(edges, own, ["run"], taken).select("run", "vid")))
+        taken = checkpointed(taken.unionByName(_reached(live, own, ["run"], taken).select("run", "vid")))
     return spark.createDataFrame(chosen, "rank int, vid long, gain double")
 
 
@@ -83,8 +106,8 @@ def curve(edges: DataFrame, ranked: DataFrame, runs: int) -> DataFrame:
     that reaches it.
 
     A run's live edges are the same for all prefixes, so a vertex that counts for a prefix counts for all longer ones."""
-    start = ranked.select("vid", "rank").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)).cast("array<long>")))
-    first = _reached(edges, start, ["run", "rank"]).groupBy("run", "vid").agg(F.min("rank").alias("rank"))
+    start = ranked.select("vid", "rank").withColumn("run", F.explode(run_numbers(runs)))
+    first = _reached(live_edges(edges, runs), start, ["run", "rank"]).groupBy("run", "vid").agg(F.min("rank").alias("rank"))
     new = first.groupBy("rank").agg(F.count(F.lit(1)).alias("new"))
     all_ = ranked.select("rank").distinct().join(new, "rank", "left")
     return all_.select("rank", (F.sum(F.coalesce("new", F.lit(0))).over(Window.orderBy("rank")) / F.lit(float(runs))).alias("spread"))  # a row for each seed

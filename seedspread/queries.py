@@ -340,7 +340,7 @@ def rectangle_natives_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"with recursive {_EDGES}, {_closure_sql()}, {_LOC}, {_NATIVE}, {_REGIONS_SQL}, sums as (select coalesce(rid, 'fringe') as rid, s as vid, sum(p) as gain from mip join placed on t = vid group by 1, 2) "
+    f"with recursive {_EDGES}, {_closure_sql()}, {_LOC}, {_NATIVE}, {_REGIONS_SQL}, sums as (select coalesce(rid, 'fringe') as rid, s as vid, sum(p) as gain from (select * from mip union select vid, vid, 1.0::double from placed) m join placed on t = vid group by 1, 2) "
     "select rid, vid, round(gain, 6) as gain from sums qualify row_number() over (partition by rid order by round(gain, 9) desc, vid) = 1"
 )
 def region_first_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,7 +379,7 @@ def rectangle_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"with recursive {_EDGES}, {_closure_sql()}, {_LOC}, {_LABEL_SQL}, sums as (select qid, s as vid, sum(p) as gain from mip join loc on t = user_id join q on x between cx - hx and cx + hx and y between cy - hy and cy + hy group by 1, 2) "
+    f"with recursive {_EDGES}, {_closure_sql()}, {_LOC}, {_LABEL_SQL}, sums as (select qid, s as vid, sum(p) as gain from (select * from mip union select user_id, user_id, 1.0::double from loc) m join loc on t = user_id join q on x between cx - hx and cx + hx and y between cy - hy and cy + hy group by 1, 2) "
     "select qid, 1::int as rank, vid, round(gain, 6) as gain from sums qualify row_number() over (partition by qid order by round(gain, 9) desc, vid) = 1"
 )
 def rectangle_first_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
