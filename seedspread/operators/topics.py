@@ -206,6 +206,89 @@ def topic_best_first(tedges: DataFrame, item: list[float], k: int, theta: float,
     return listed(tedges.sparkSession, chosen)
 
 
+def reach_bounds(tedges: DataFrame, theta: float, sweeps: int = 4) -> DataFrame:
+    """s, v, y: for every item (weights of at most 1 in sum), what s alone activates v with at most, in any order of evaluation.
+
+    Under each edge's largest weight, vertices within reach of s (p >= theta) start at 1, s stays there, and ``sweeps`` times all get
+    1 - prod(1 - p y) over all in-neighbours within reach. The values fall towards a fixed point from above, so they bound what any
+    passes reach from below, however paths meet."""
+    edges = checkpointed(tedges.select("src", "dst", strongest_topic(F.col("w")).alias("p")))
+    inside = checkpointed(closure(edges, theta, inclusive=True).select("s", "v"))
+    into = inside.where("s <> v").join(edges.withColumnRenamed("dst", "v"), "v")
+    into = checkpointed(into.join(inside.withColumnRenamed("v", "src"), ["s", "src"], "left_semi"))
+    state = inside.withColumn("y", F.lit(1.0))
+    for _ in range(sweeps):
+        met = into.join(state.select("s", F.col("v").alias("src"), "y"), ["s", "src"]).groupBy("s", "v").agg((1 - F.product(1 - F.col("p") * F.col("y"))).alias("y"))
+        state = checkpointed(met.unionByName(inside.where("s = v").withColumn("y", F.lit(1.0))))
+    return state
+
+
+def settled(edges: DataFrame, ap: DataFrame, seeds: list[int], slack: float = 1e-5, rounds: int = 60) -> DataFrame:
+    """v, up: activations of at least ``ap`` (v, ap) that no further pass over in-neighbours would raise; seeds have 1, all others a
+    little (``slack``) more than where passes lead. What is returned is verified, with more slack if it takes that."""
+    start = vertices(edges).withColumnRenamed("vid", "v").join(ap, "v", "left").select("v", F.coalesce("ap", F.lit(0.0)).alias("least"))
+    fixed = F.col("v").isin(seeds)
+
+    def passed(state: DataFrame, name: str) -> DataFrame:
+        into = edges.join(state.select(F.col("v").alias("src"), F.col(name).alias("a")), "src").groupBy(F.col("dst").alias("v")).agg((1 - F.product(1 - F.col("p") * F.col("a"))).alias("come"))
+        return state.join(into, "v", "left").withColumn("come", F.when(fixed, 1.0).otherwise(F.coalesce("come", F.lit(0.0))))
+
+    now = checkpointed(start.select("v", "least", F.col("least").alias("up")))
+    for _ in range(rounds):
+        step = checkpointed(passed(now, "up").select("v", "least", F.greatest("least", "come", "up").alias("next"), "up"))
+        rise = step.agg(F.max(F.col("next") - F.col("up"))).first()[0] or 0.0
+        now = step.select("v", "least", F.col("next").alias("up"))
+        if rise < slack / 100:
+            break
+    while slack < 1:
+        held = checkpointed(passed(now.select("v", F.least(F.lit(1.0), F.col("up") + F.when(fixed, 0.0).otherwise(slack)).alias("up")), "up"))
+        if held.where("come > up").isEmpty():
+            return held.select("v", "up")
+        slack *= 10
+    return now.select("v", F.lit(1.0).alias("up"))
+
+
+def gain_bounds(reach: DataFrame, ap: DataFrame, up: DataFrame | None) -> DataFrame:
+    """vid, bound: what no gain beside ``ap`` exceeds: sum of (up - ap) + (1 - up) y over what s may reach (``reach_bounds``, ``settled``)."""
+    if up is None:  # no seed yet
+        return reach.groupBy(F.col("s").alias("vid")).agg(F.sum("y").alias("bound"))
+    both = checkpointed(up.join(ap, "v", "left").select("v", "up", F.least("up", F.coalesce("ap", F.lit(0.0))).alias("ap")))
+    met = reach.join(both, "v")
+    return met.groupBy(F.col("s").alias("vid")).agg(F.sum((F.col("up") - F.col("ap")) + (1 - F.col("up")) * F.col("y")).alias("bound"))
+
+
+def topic_lazy(tedges: DataFrame, item: list[float], k: int, theta: float, reach: DataFrame, batch: int = 64) -> DataFrame:
+    """rank, vid, gain: the seeds of ``topic_greedy``, evaluating few candidates: those of the largest ``gain_bounds`` first, ``batch`` at
+    a time, until no bound left is above the best gain. ``reach``: built in advance by ``reach_bounds``, for all items."""
+    edges = checkpointed(for_item(tedges, item))
+    spark, near = edges.sparkSession, 10.0**-DIGITS
+    reach = reach.join(small_side(checkpointed(vertices(edges).withColumnRenamed("vid", "s"))), "s", "left_semi")
+    ap = spark.createDataFrame([], "v long, ap double")
+    chosen: list[tuple[int, float]] = []
+    while len(chosen) < k:
+        seeds, best = [v for v, _ in chosen], None
+        bounds = gain_bounds(reach, ap, settled(edges, ap, seeds) if seeds else None)
+        left = checkpointed(bounds.where(~F.col("vid").isin(seeds)) if seeds else bounds)
+        while True:
+            above = left if best is None else left.where(F.col("bound") >= best[1] - near)
+            head = checkpointed(above.orderBy(F.desc("bound"), "vid").limit(batch))
+            if head.isEmpty():
+                break
+            left = left.join(F.broadcast(head.select("vid")), "vid", "left_anti")  # ``batch`` rows
+            gains = exact_gains(edges, theta, ap, head.select("vid"), seeds)
+            found = gains.select("vid", F.round("gain", DIGITS).alias("rounded"), "gain").orderBy(F.desc("rounded"), "vid").limit(1).collect()
+            if found and (best is None or (-found[0].rounded, found[0].vid) < (-round(best[1], DIGITS), best[0])):
+                best = found[0].vid, found[0].gain
+        if best is None:
+            break
+        chosen.append(best)
+        if len(chosen) < k:
+            own = activated(closure(edges, theta, spark.createDataFrame([(best[0],)], "vid long"), avoid=seeds), edges, ap)
+            own = checkpointed(own.select("v", F.col("tap").alias("ap")))
+            ap = checkpointed(own.unionByName(ap.join(own, "v", "left_anti")))
+    return listed(spark, chosen)
+
+
 def sweep(edges: DataFrame, now: DataFrame, fixed: DataFrame, ascending: bool) -> DataFrame:
     """v, now: every vertex but ``fixed`` (v) gets 1 - prod(1 - p a(src)) over its in-neighbours, one after the other by id, each with the
     values that those before it have got. Done in levels: as many as the longest path of falling (rising) ids has edges."""

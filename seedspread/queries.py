@@ -599,6 +599,13 @@ def topic_best_first_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(topics.topic_best_first(te, ITEM, K, 0.1, bounds, coarse=0.2), "gain")
 
 
+@query()
+def topic_lazy_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeds of ``topic_greedy_seeds``, by bounds over all in-neighbours that were built for all items."""
+    te = selection.checkpointed(sources.topic_edges(spark, sf_dir))
+    return _rounded(topics.topic_lazy(te, ITEM, K, 0.1, topics.reach_bounds(te, 0.1)), "gain")
+
+
 @query()
 def topic_approximate_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds of the nearest of two samples, if they are shown to reach 0.7 of the nearest upper bound."""

