@@ -23,7 +23,7 @@ from collections import defaultdict, deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedspread.llm.session import checkpointed
+from seedspread.llm.session import checkpointed, small_side
 
 MAX_PATTERNS = 20_000
 BUCKETS = 1024
@@ -139,7 +139,7 @@ def mix(
     last = dealt.where("_bucket = _end and _inner = _inner_end").groupBy("_pattern", "_order", key).agg(F.first("_rest").alias("_rest"), F.first("_before").alias("_before"), F.sum("size").alias("_words"))
     ahead = F.col("_before") + F.sum("_words").over(Window.partitionBy("_pattern").orderBy("_order", key)) - F.col("_words")
     last = last.select(F.col(key).alias("_key"), F.col("_pattern").alias("_of"), F.greatest(F.lit(0), F.col("_rest") - ahead).alias("_room"))
-    last = checkpointed(last)
+    last = small_side(checkpointed(last))  # a bucket in a bucket of each pattern; else documents would be shuffled with their texts
     at_end = F.expr("_bucket = _end and _inner = _inner_end")
     dealt = dealt.join(last, F.expr(f"_pattern <=> _of and `{key}` <=> _key and _bucket = _end and _inner = _inner_end"), "left")
     part = F.when(F.expr("_bucket < _end or _bucket = _end and _inner < _inner_end"), F.col("size")).when(at_end, F.least("size", "_room")).otherwise(0)
