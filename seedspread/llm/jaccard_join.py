@@ -4,7 +4,8 @@
 2. MinHash signatures of the word shingles; pairs that agree on a band are candidates. With 32 bands of 4 values, a pair at
    the threshold of 0.8 has no common band with probability 5e-8.
 3. Candidates' signatures are compared 16 values at a time. A pair is dropped as soon as the posterior probability that its
-   Jaccard similarity reaches the threshold, given the matches so far and a uniform prior, is below 1e-7.
+   Jaccard similarity reaches the threshold, given the matches so far and a uniform prior, is below 1e-7. The low 16 bits of
+   each value travel: two that differ match with probability 2 ** -16, which can only keep a pair.
 4. Surviving candidates are joined to clusters; within a cluster, every pair is verified on its exact shingle sets. That
    covers all surviving candidates. Each document's links and spanning links come from there.
 
@@ -66,7 +67,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 keys: list[np.ndarray | None] = [None] * len(counts)
                 if len(full):
                     signed = shingles.minhash(hashes, counts[full], SIGNATURE)
-                    for i, s, b in zip(full.tolist(), signed, shingles.bands(signed, BAND).view(np.int64), strict=True):
+                    for i, s, b in zip(full.tolist(), signed.astype("<u2"), shingles.bands(signed, BAND).view(np.int64), strict=True):
                         raw[i], keys[i] = s.tobytes(), b
                 part = batch.slice(at, len(counts))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(raw, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "signature", "bands"])
@@ -79,7 +80,7 @@ def surviving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning links (a, b) of the candidates that Bayesian pruning leaves, unit by unit."""
     least = least_matches()
     for table, starts in blocks.units(batches, "bucket", "low", "high"):
-        signed = blocks.binary_matrix(table.column("signature"), np.dtype("<u4"), SIGNATURE)
+        signed = blocks.binary_matrix(table.column("signature"), np.dtype("<u2"), SIGNATURE)
         ids = table.column("rep").to_numpy()
         left, right = [], []
         for i, j in blocks.pairs(table, starts):
