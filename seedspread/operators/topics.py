@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedspread.operators.batch import DIGITS
@@ -378,6 +378,52 @@ def clusters(items: DataFrame, k: int, seed: int = 0, rounds: int = 20) -> tuple
     model = KMeans(k=k, seed=seed, maxIter=rounds, predictionCol="cluster").fit(ready)
     found = model.transform(ready)
     centres = items.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
+    return found.select("qid", "cluster"), _peaks(found), centres
+
+
+def _peaks(found: DataFrame) -> DataFrame:
+    """cluster, top, total: each cluster's largest weight by topic, and their sum, of items with their cluster."""
     peaks = found.select("cluster", F.posexplode("item").alias("z", "w")).groupBy("cluster", "z").agg(F.max("w").alias("w"))
-    tops = peaks.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("z", "w"))), lambda x: x["w"]).alias("top"), F.sum("w").alias("total"))
-    return found.select("qid", "cluster"), tops, centres
+    return peaks.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("z", "w"))), lambda x: x["w"]).alias("top"), F.sum("w").alias("total"))
+
+
+def nearest_centre(centres: Column) -> Column:
+    """distance (squared), cluster of an item's nearest of an array of centres; ties to the first."""
+    apart = lambda c: F.aggregate(F.zip_with("item", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return F.array_min(F.transform(centres, lambda c, i: F.struct(apart(c).alias("distance"), i.alias("cluster"))))
+
+
+def restarted_clusters(items: DataFrame, k: int, runs: int = 10, rounds: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """As ``clusters``, and the sum of squared distances, of the best of ``runs`` k-means that go on side by side.
+
+    A run starts from k different items by hash. A round is one pass over the items, each beside the centres of all runs, and sums by
+    run and cluster; centres (runs x k) are all that reaches the driver. Clusters that lose all items keep their centre. Ties go
+    to the first run; fewer than ``k`` different items give as many clusters."""
+    spark = items.sparkSession
+    items = checkpointed(items.select("qid", "item"))
+    start = items.select("item").distinct().orderBy(F.xxhash64(F.lit(seed), "item"), "item").limit(runs * k).collect()
+    if not start:
+        none = spark.createDataFrame([], "cluster int, top array<double>, total double")
+        return items.select("qid", F.lit(0).alias("cluster")).limit(0), none, spark.createDataFrame([], "cluster int, centre array<double>"), 0.0
+    n = min(k, len(start))
+    state = {r: [list(start[(r * n + i) % len(start)].item) for i in range(n)] for r in range(runs)}
+    cost: dict[int, float] = {}
+    for _ in range(rounds + 1):
+        table = F.broadcast(spark.createDataFrame(list(state.items()), "run int, centres array<array<double>>"))  # a row for each run
+        placed = items.join(table).select("run", "item", nearest_centre(F.col("centres")).alias("near"))
+        mean = F.array(*[F.avg(F.get("item", F.lit(z))) for z in range(len(start[0].item))])
+        found = placed.groupBy("run", "near.cluster").agg(mean.alias("centre"), F.sum("near.distance").alias("cost")).collect()
+        cost = {r: sum(f.cost for f in found if f.run == r) for r in state}
+        moved = {r: list(c) for r, c in state.items()}
+        for f in found:
+            moved[f.run][f.cluster] = f.centre
+        if moved == state or len(cost) < len(state):
+            break
+        last, state = state, moved
+    else:
+        state = last  # the costs are those of these centres
+    best = min(cost, key=lambda r: (cost[r], r))
+    centres = spark.createDataFrame(list(enumerate(state[best])), "cluster int, centre array<double>")
+    chosen = F.broadcast(spark.createDataFrame([(state[best],)], "centres array<array<double>>"))
+    assigned = items.join(chosen).select("qid", "item", nearest_centre(F.col("centres"))["cluster"].alias("cluster"))
+    return assigned.select("qid", "cluster"), _peaks(assigned), centres, cost[best]

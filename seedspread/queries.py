@@ -651,3 +651,9 @@ def nearest_topic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def item_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.clusters(_items(spark, sf_dir), 4)[1].select("cluster", F.round("total", 6).alias("total"))
+
+
+@query()
+def item_clusters_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of ten k-means side by side."""
+    return topics.restarted_clusters(_items(spark, sf_dir), 4)[1].select("cluster", F.round("total", 6).alias("total"))

@@ -156,3 +156,28 @@ def test_topic_bounds_hold_and_lazy_order_is_exact(spark, seed):
         exact = {r.vid: r.gain for r in topics.exact_gains(e, 0.1, ap, paths.vertices(e), seeds).collect() if r.vid not in seeds}
         bound = {r.vid: r.bound for r in topics.gain_bounds(reach, ap, topics.settled(e, ap, seeds)).collect()}
         assert all(bound[v] >= g - 1e-9 for v, g in exact.items()) and len(exact) > 5
+
+
+def test_restarted_clusters(spark):
+    rng = random.Random(5)
+    rows = [(i, [c + rng.uniform(-0.05, 0.05), 1 - c]) for i, c in enumerate([0.1, 0.5, 0.9] * 12)] + [(99, [0.1, 0.9]), (98, [0.1, 0.9])]
+    items = spark.createDataFrame(rows, "qid long, item array<double>")
+    cost_of = lambda item, centre: sum((a - b) ** 2 for a, b in zip(item, centre, strict=True))
+    best = None
+    for runs in (1, 6):
+        assigned, tops, centres, cost = topics.restarted_clusters(items, 3, runs)
+        where = {r.cluster: r.centre for r in centres.collect()}
+        got = {r.qid: r.cluster for r in assigned.collect()}
+        assert len(got) == len(rows) and all(got[q] == min(where, key=lambda c: (cost_of(v, where[c]), c)) for q, v in rows)
+        assert cost == pytest.approx(sum(cost_of(v, where[got[q]]) for q, v in rows))
+        assert best is None or cost <= best + 1e-9
+        best = cost
+        for r in tops.collect():
+            own = [v for q, v in rows if got[q] == r.cluster]
+            assert r.top == [max(v[z] for v in own) for z in (0, 1)] and r.total == pytest.approx(sum(r.top))
+    assert best < 0.1  # three groups apart
+    for c, centre in where.items():  # centres are means
+        own = [v for q, v in rows if got[q] == c]
+        assert centre == pytest.approx([sum(v[z] for v in own) / len(own) for z in (0, 1)])
+    assert topics.restarted_clusters(items.limit(0), 3)[0].count() == 0
+    assert topics.restarted_clusters(items.limit(1), 3)[2].count() == 1
