@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedspread.session import checkpointed
+from seedspread.session import checkpointed, small_side
 
 QUADRANTS = ("NW", "NE", "SW", "SE")
 
@@ -41,14 +41,15 @@ def within(users: DataFrame, cx: float = 0.0, cy: float = 0.0, hx: float = 1.0,
     return users.where(inside), users.where(~inside)
 
 
-def natives_of(users: DataFrame, queries: DataFrame, most: int = 100_000) -> DataFrame:
-    """qid, vid for many rectangles (qid, cx, cy, hx, hy), at most ``most`` of them, else an error.
+def natives_of(users: DataFrame, queries: DataFrame, most: int = 100_000, hot: int = 1_000_000) -> DataFrame:
+    """qid, vid for many rectangles (qid, cx, cy, hx, hy).
 
     Rectangles are classed by size, in powers of two, and each class has cells as wide as its largest: a rectangle touches at
     most 3 x 3 of its class, and a world-sized one doesn't widen the cells of small ones. A user meets the rectangles of
-    their own cell of each class only; rectangles are broadcast, so no cell is a hot key."""
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rectangles")
+    their own cell of each class only. Up to ``most`` rectangles are broadcast, so no cell is a hot key. Beyond, both sides are
+    shuffled by cell; the users of a cell with more than ``hot`` of them are dealt into parts, and its rectangles go to each."""
+    queries = checkpointed(queries)
+    few = queries.limit(most + 1).count() <= most
     size = F.greatest("hx", "hy", F.lit(1e-300))
     level = F.ceil(F.log2(size * 2)).cast("int")
     cell = lambda c, level: F.floor(c / F.pow(F.lit(2.0), level)).cast("long")
@@ -61,8 +62,18 @@ def natives_of(users: DataFrame, queries: DataFrame, most: int = 100_000) -> Dat
         spread = spread.withColumn(name, values)
     placed = users.select("user_id", "x", "y", F.explode(F.array(*map(F.lit, levels))).alias("level"))
     placed = placed.withColumns({f"i{c}": cell(F.col(c), F.col("level")) for c in "xy"})
+    key = ["level", "ix", "iy"]
+    if few:
+        spread = F.broadcast(spread)
+    else:
+        crowded = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
+        crowded = small_side(checkpointed(crowded.select(*key, F.ceil(F.col("n") / hot).cast("int").alias("parts"))))
+        parts = F.coalesce("parts", F.lit(1))
+        placed = placed.join(crowded, key, "left").withColumn("part", F.pmod(F.xxhash64("user_id"), parts).cast("int")).drop("parts")
+        spread = spread.join(crowded, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        key = [*key, "part"]
     inside = in_box(*[F.col(c) for c in ("x", "y", "cx", "cy", "hx", "hy")])
-    return placed.join(F.broadcast(spread), ["level", "ix", "iy"]).where(inside).select("qid", F.col("user_id").alias("vid"))
+    return placed.join(spread, key).where(inside).select("qid", F.col("user_id").alias("vid"))
 
 
 def admitted(found: DataFrame, queries: DataFrame, ratio: int = 1, most: int = 5000) -> DataFrame:

@@ -138,3 +138,14 @@ def test_equal_sums_below_the_depth(spark):
 def test_users_of_a_repeated_id(spark):
     users = spark.createDataFrame([(1, 0.1, 0.1), (1, -0.5, -0.5), (2, 0.3, 0.3), (3, None, None)], "user_id long, x double, y double")
     assert sorted((r.user_id, r.path) for r in spatial.quadtree(users, capacity=1).collect()) == [(1, ""), (1, "NE"), (2, "NESW")]
+
+
+def test_rectangles_beyond_a_broadcast(spark):
+    rng = random.Random(8)
+    users = [(i, rng.choice([0.3, rng.uniform(-1, 1)]), rng.choice([0.3, rng.uniform(-1, 1)])) for i in range(200)] + [(500, None, 0.0)]
+    boxes = [(q, rng.uniform(-1, 1), rng.uniform(-1, 1), rng.choice([0.0, 0.01, 0.2, 2.0]), rng.choice([0.05, 0.4])) for q in range(60)] + [(99, 0.3, 0.3, 0.0, 0.0)]
+    want = {(q, i) for q, cx, cy, hx, hy in boxes for i, x, y in users if x is not None and cx - hx <= x <= cx + hx and cy - hy <= y <= cy + hy}
+    frames = spark.createDataFrame(users, "user_id long, x double, y double"), spark.createDataFrame(boxes, "qid long, cx double, cy double, hx double, hy double")
+    for most, hot in ((1000, 10), (5, 7), (5, 1000)):
+        got = [(r.qid, r.vid) for r in spatial.natives_of(*frames, most=most, hot=hot).collect()]
+        assert sorted(got) == sorted(want)
