@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from seedspread.llm.wordcache import live
 
 #: Of the cache of a ``ChunkEncoder``.
-CACHE_BYTES, ENTRY = 20_000_000, 200
+CACHE_BYTES, ENTRY = 14_000_000, 200
 #: Pairs of tokens, and automaton steps beside the vocabulary's own, that are remembered.
-CACHE_PAIRS, CACHE_STEPS = 250_000, 200_000
+CACHE_PAIRS, CACHE_STEPS = 120_000, 100_000
 #: Text that is encoded at once, in characters.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 600_000
 
 #: Fixed values of the byte-level scheme: the word pattern.
 WHITE = r"\t-\r \x85\xa0  -     　"
