@@ -18,13 +18,19 @@ from seedspread.llm.queries import BYTE_BPE, UNIGRAM_PIECES
 from seedspread.llm.session import shared_dir, table
 
 
+#: Rows of an Arrow batch: whole documents travel in them, and ten thousand take tens of MB on both sides of each task.
+BATCH_ROWS = 1000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are predicted toxic."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return toxicity.decent(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be determined."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return language_id.identified(docs, UNIGRAM_PIECES)
 
 
@@ -40,6 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document that was taken, once for each time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return bpe.round_trip_digests(docs, BYTE_BPE)
 
 
