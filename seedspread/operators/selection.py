@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedspread.operators.batch import expansions, rounds
+from seedspread.operators.batch import DIGITS, expansions, rounds
 from seedspread.operators.graph import degrees, pagerank
 from seedspread.operators.paths import closure, reverse, vertices
 from seedspread.operators.probability import degree_discount, hash_coin
@@ -36,7 +36,8 @@ def by_weighted_degree(edges: DataFrame, k: int) -> DataFrame:
 
 
 def by_pagerank(edges: DataFrame, k: int, **options) -> DataFrame:
-    return top(pagerank(edges, **options).withColumnRenamed("rank", "score"), k, "score")
+    """Ranks that agree to ``DIGITS`` digits tie, however sums were ordered."""
+    return top(pagerank(edges, **options).select("vid", F.round("rank", DIGITS).alias("score")), k, "score")
 
 
 def at_random(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedspread.operators.batch import DIGITS
@@ -42,15 +42,83 @@ def vertex_bounds(tedges: DataFrame, theta: float, coarse: float) -> DataFrame:
     return reach.groupBy(F.col("s").alias("vid")).agg(F.sum("p").alias("infl"), F.sum(F.when(F.col("p") > theta / coarse, F.col("p")).otherwise(0.0)).alias("infl2"))
 
 
-def nearest_sample(items: DataFrame, samples: DataFrame, most: float = 1.0, rows: int = 10_000) -> DataFrame:
-    """qid, sid, distance: the sample (sid, item) of least divergence below ``most``, ties to the least sid; null without one.
-
-    Samples are a set that was built in advance: at most ``rows``, else an error."""
-    if samples.limit(rows + 1).count() > rows:
-        raise ValueError(f"more than {rows} samples")
-    near = items.select("qid", "item").join(F.broadcast(samples.select("sid", F.col("item").alias("sample"))))
-    near = near.withColumn("distance", divergence(F.col("item"), F.col("sample")))
-    best = near.where(F.col("distance") < most).groupBy("qid").agg(F.min(F.struct("distance", "sid")).alias("b"))
+def _distribution(v: Column) -> Column:
+    """Whether an array has components and all are known, finite and at least 0."""
+    return (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (x >= 0) & (x < float("inf")))
+
+
+def _l1(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def _scaled(df: DataFrame, item: str, floor: float = 1e-7) -> DataFrame:
+    """``df`` with z, total and unit of an item: its number of components, their sum, and the item over it; zeros count as ``floor``."""
+    filled = F.transform(item, lambda x: F.when(x == 0, F.lit(floor)).otherwise(x))
+    sized = df.where(_distribution(F.col(item))).withColumn("filled", filled).withColumn("total", F.aggregate("filled", F.lit(0.0), lambda s, x: s + x))
+    return sized.withColumns({"z": F.size(item), "unit": F.transform("filled", lambda x: x / F.col("total"))}).drop("filled")
+
+
+def sample_cells(samples: DataFrame, pivots: int = 256, width: float = 1 / 32, part: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(sid, sample, z, cell, ring, part; z, cells): samples (sid, item) by their nearest pivot and their distance to it, and what bounds
+    each cell and ring: least and largest distance, largest total, parts.
+
+    Pivots are at most ``pivots`` samples of each number of components, by hash; distances are L1 between units (see ``_scaled``). Of
+    equal samples the least sid stays. Rings of more than ``part`` samples are dealt into parts."""
+    once = checkpointed(_scaled(samples.groupBy("item").agg(F.min("sid").alias("sid")), "item").withColumnRenamed("item", "sample"))
+    order = Window.partitionBy("z").orderBy(F.xxhash64("sample"), "sid")
+    chosen = checkpointed(once.withColumn("cell", F.row_number().over(order)).where(F.col("cell") <= pivots).select("z", "cell", "sample", "unit"))
+    table = chosen.groupBy("z").agg(F.collect_list(F.struct("cell", F.col("unit").alias("centre"))).alias("pivots"))  # ``pivots`` of each
+    near = F.array_min(F.transform("pivots", lambda c: F.struct(_l1(F.col("unit"), c["centre"]).alias("apart"), c["cell"].alias("cell"))))
+    placed = once.join(small_side(table, most=1000), "z").withColumn("near", near)
+    placed = checkpointed(placed.select("sid", "sample", "z", "total", "near.cell", "near.apart", F.floor(F.col("near.apart") / width).alias("ring")))
+    bounds = F.min("apart").alias("lo"), F.max("apart").alias("hi"), F.max("total").alias("top")
+    rings = checkpointed(placed.groupBy("z", "cell", "ring").agg(*bounds, F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts")))
+    crowded = small_side(rings.where("parts > 1").select("z", "cell", "ring", "parts"))
+    placed = placed.join(crowded, ["z", "cell", "ring"], "left").withColumn("part", F.pmod(F.xxhash64("sid"), F.coalesce("parts", F.lit(1))).cast("int"))
+    cells = rings.groupBy("z", "cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("top").alias("top"), F.collect_list(F.struct("ring", "lo", "hi", "top", "parts")).alias("rings"))
+    cells = cells.join(chosen, ["z", "cell"]).groupBy("z").agg(F.collect_list(F.struct("cell", "sample", "unit", "lo", "hi", "top", "rings")).alias("cells"))
+    return placed.select("sid", "sample", "z", "cell", "ring", "part"), checkpointed(cells)
+
+
+def near_pairs(items: DataFrame, samples: DataFrame, most: float = 1.0, pivots: int = 256, hot: int = 1_000_000) -> DataFrame:
+    """qid, sid, distance of the items (qid, item) and the samples that could be their nearest with a divergence below ``most``.
+
+    By Pinsker's inequality KL(p || q) is at least P (l1^2 / 2 + ln(P / Q)), for totals P and Q and units l1 apart, and by the triangle
+    inequality l1 is at least what the distances of both to a pivot differ by. So an item meets only the rings of samples where that
+    bound isn't above its least divergence from a pivot. A ring that more than ``hot`` items ask for is copied to parts of them."""
+    placed, cells = sample_cells(samples, pivots)
+    ready = _scaled(items.select("qid", "item"), "item").join(small_side(cells, most=1000), "z")
+
+    def open_(c: Column, apart: Column) -> Column:
+        gap = F.greatest(F.lit(0.0), c["lo"] - apart, apart - c["hi"])
+        return F.col("total") * (gap * gap / 2 + F.ln(F.col("total") / c["top"])) <= F.col("best") + 2 * 10.0**-DIGITS * (1 + F.col("total"))
+
+    met = F.transform("cells", lambda c: F.struct(_l1(F.col("unit"), c["unit"]).alias("apart"), divergence(F.col("item"), c["sample"]).alias("kl"), *[c[n].alias(n) for n in ("cell", "lo", "hi", "top", "rings")]))
+    asked = ready.withColumn("cells", met).withColumn("best", F.least(F.lit(float(most)), F.array_min(F.transform("cells", lambda c: c["kl"]))))
+    asked = asked.withColumn("c", F.explode(F.filter("cells", lambda c: open_(c, c["apart"])))).drop("cells")
+    asked = asked.withColumn("r", F.explode(F.filter("c.rings", lambda r: open_(r, F.col("c.apart")))))
+    asked = checkpointed(asked.select("qid", "item", "z", "c.cell", "r.ring", F.explode(F.sequence(F.lit(0), F.col("r.parts") - 1)).alias("part")))
+    key = ["z", "cell", "ring", "part"]
+    crowds = asked.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(*key, F.ceil(F.col("n") / hot).cast("int").alias("deals"))
+    crowds, deals = small_side(checkpointed(crowds)), F.coalesce("deals", F.lit(1))
+    asked = asked.join(crowds, key, "left").withColumn("deal", F.pmod(F.xxhash64("qid", "item"), deals).cast("int")).drop("deals")
+    placed = placed.join(crowds, key, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("deals")
+    return asked.join(placed, [*key, "deal"]).select("qid", "sid", divergence(F.col("item"), F.col("sample")).alias("distance"))
+
+
+def nearest_sample(items: DataFrame, samples: DataFrame, most: float = 1.0, few: int = 1000) -> DataFrame:
+    """qid, sid, distance: the sample (sid, item) of least divergence below ``most``, ties (to ``DIGITS`` digits) to the least sid; null without one.
+
+    Up to ``few`` samples are broadcast and compared with every item; of more, an item meets those of ``near_pairs``. Items and samples
+    without components, or with one that is null, negative or not finite, are near nothing, as are those of different lengths."""
+    items = items.select("qid", "item")
+    samples = samples.select("sid", "item").where(_distribution(F.col("item")))
+    if samples.limit(few + 1).count() <= few:
+        pairs = items.where(_distribution(F.col("item"))).join(F.broadcast(samples.withColumnRenamed("item", "sample")))
+        pairs = pairs.withColumn("distance", divergence(F.col("item"), F.col("sample")))
+    else:
+        pairs = near_pairs(items, samples, most)
+    best = pairs.where(F.col("distance") < most).groupBy("qid").agg(F.min(F.struct(F.round("distance", DIGITS), "sid", "distance")).alias("b"))
     return items.select("qid").join(best, "qid", "left").select("qid", "b.sid", "b.distance")
 
 

@@ -194,7 +194,19 @@ def pagerank_five_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(graph.pagerank(sources.ic_edges(spark, sf_dir), tolerance=-1.0, rounds=_ROUNDS), "rank")
 
 
-@query()
+#: Rounds until the ranks' changes sum up to 1e-3 at most.
+_RANK_SQL = """al as (select dst, sum(p) as a from e group by 1),
+sh as (select src, e.dst, p / a as share from e join al using (dst)),
+rr(i, vid, rank, change) as (
+  select 0, vid, 1.0::double, 1.0::double from v
+  union all
+  select i, vid, rank, sum(abs(rank - old)) over () from (
+    select o.i + 1 as i, o.vid, o.rank as old, 0.15 + 0.85 * coalesce(got, 0) as rank, o.change
+    from rr o left join (select src as vid, sum(rank * share) as got from sh join rr on rr.vid = sh.dst group by 1) g on g.vid = o.vid where o.change > 1e-3)),
+pr as (select vid, rank from rr where i = (select max(i) from rr))"""
+
+
+@query(f"with recursive {_EDGES}, {_RANK_SQL} select vid, round(rank, 6) as rank from pr")
 def pagerank_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks at the fixed point; ``pagerank_five_rounds`` is its first rounds, as SQL can unroll them."""
     return _rounded(graph.pagerank(selection.checkpointed(sources.ic_edges(spark, sf_dir))), "rank")
@@ -300,6 +312,80 @@ def location_estimate_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "rank int, vid long, gain double")
 
 
+def _routes_sql(name: str, edges: str, starts: str, stay: str = "true", deepest: int = 40) -> str:
+    """``name`` (s, t, p, hops, parent): best paths as the closure finds them, ties to fewest hops and least parents; one of more edges
+    than ``deepest``, which the test graphs don't have, would be missed. ``stay``: a condition on w (a path so far), g (its next edge)."""
+    return f"""
+{name}_w(s, t, p, hops, parent) as (select vid, vid, 1.0::double, 0, vid from {starts} union select w.s, g.dst, w.p * g.p, w.hops + 1, w.t from {name}_w w join {edges} g on g.src = w.t where w.p * g.p > {THETA} and g.dst <> w.s and w.hops < {deepest} and {stay}),
+{name} as (select * from {name}_w qualify row_number() over (partition by s, t order by p desc, hops, parent) = 1)"""
+
+
+def _first_sql(routes: str, seed: str, counted: str = "true") -> str:
+    return f"s1 as (select {seed} as vid, sum(p) as gain from {routes} where {counted} group by 1 order by round(sum(p), 9) desc, 1 limit 1)"
+
+
+_PAIR_END = "select 1::int as rank, vid, round(gain, 6) as gain from s1 union all select 2::int, vid, round(gain, 6) from s2"
+#: Two seeds by expansion: the first one's path to a native goes on as the second's from where they meet.
+_EXPANSION_PAIR = f"""{_routes_sql("f", "e", "v2")}, {_first_sql("f", "s", "t in (select vid from native)")},
+{_routes_sql("f2", "e", "v2", "g.dst <> (select vid from s1) and w.s <> (select vid from s1)")},
+one as (select f.* from f join s1 on s = vid),
+goal2 as (select s, t, p from f2 where t in (select vid from native) and s <> (select vid from s1)),
+way2(s, t, a) as (select s, t, t from goal2 union all select w.s, w.t, f2.parent from way2 w join f2 on f2.s = w.s and f2.t = w.a where w.a <> w.s),
+way1(t, a) as (select t, t from one where t in (select vid from native) union all select w.t, one.parent from way1 w join one on one.t = w.a where one.hops > 0),
+meet as (select w.s, w.t, arg_min(w.a, one.hops) as m from way2 w join way1 o on o.t = w.t and o.a = w.a join one on one.t = w.a group by 1, 2),
+s2 as (select g.s as vid, sum(case when m is null then g.p else (1 - (1 - a.p) * (1 - b.p)) * g.p / b.p - n.p end) as gain from goal2 g left join meet on meet.s = g.s and meet.t = g.t
+  left join one a on a.t = m left join f2 b on b.s = g.s and b.t = m left join one n on n.t = g.t group by 1 order by round(gain, 9) desc, 1 limit 1)
+{_PAIR_END}"""
+
+
+def _tree_pair_sql(roots: str, blocked: bool) -> str:
+    """Two seeds on in-trees: what the second adds to a root is cut by the first one's activation of the vertex where both paths meet.
+    ``blocked``: paths don't go on past the first seed."""
+    stay = "w.t <> (select vid from s1)" if blocked else "true"
+    return f"""er as (select dst as src, src as dst, p from e), {_routes_sql("r", "er", roots)}, {_first_sql("r", "t")},
+{_routes_sql("r2", "er", roots, stay)},
+one as (select r2.* from r2 join s1 on t = vid),
+way2(s, t, a) as (select s, t, t from r2 union all select w.s, w.t, r2.parent from way2 w join r2 on r2.s = w.s and r2.t = w.a where w.a <> w.s),
+meet as (select u.s, u.t, arg_max(u.a, c.hops) as m from way2 u join way2 o on o.s = u.s and o.a = u.a and o.t = (select vid from s1) join r2 c on c.s = u.s and c.t = u.a group by 1, 2),
+s2 as (select g.t as vid, sum(g.p * case when m is null then 1 else 1 - one.p / b.p end) as gain from r2 g left join meet on meet.s = g.s and meet.t = g.t
+  left join r2 b on b.s = g.s and b.t = m left join one on one.s = g.s where g.t <> (select vid from s1) and g.s <> (select vid from s1) group by 1 order by round(gain, 9) desc, 1 limit 1)
+{_PAIR_END}"""
+
+
+_ALL_STARTS = "v2 as (select vid from v union select vid from native)"
+
+
+@query(f"with recursive {_EDGES}, {_LOC}, {_NATIVE}, {_ALL_STARTS}, {_EXPANSION_PAIR}")
+def location_expansion_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two seeds of ``location_expansion``."""
+    return _rounded(selection.expansion(sources.ic_edges(spark, sf_dir), 2, THETA, _natives(spark, sf_dir)), "gain")
+
+
+@query(f"with recursive {_EDGES}, {_LOC}, {_NATIVE}, {_ALL_STARTS}, {_EXPANSION_PAIR}")
+def location_assembly_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two seeds of ``location_assembly``."""
+    placed = _placed(spark, sf_dir)
+    return _rounded(selection.assembly(sources.ic_edges(spark, sf_dir), 2, THETA, placed, _lists(spark, sf_dir, placed)), "gain")
+
+
+@query(f"with recursive {_EDGES}, {_LOC}, {_NATIVE}, {_tree_pair_sql('native', True)}")
+def location_pmia_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two seeds of ``location_pmia``."""
+    return _rounded(selection.pmia(sources.ic_edges(spark, sf_dir), 2, THETA, _natives(spark, sf_dir)), "gain")
+
+
+@query(f"with recursive {_EDGES}, {_tree_pair_sql('v', True)}")
+def pmia_seed_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two seeds of ``pmia_seeds``."""
+    return _rounded(selection.pmia(sources.ic_edges(spark, sf_dir), 2, THETA), "gain")
+
+
+@query(f"with recursive {_EDGES}, {_tree_pair_sql('v', False)}")
+def mia_seed_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two seeds of ``mia_seeds``."""
+    return _rounded(selection.mia(sources.ic_edges(spark, sf_dir), 2, THETA), "gain")
+
+
 @query()
 def location_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best seeds for the users of a rectangle, by exact gains on the union of the seeds' paths to them."""
@@ -454,7 +540,7 @@ def weighted_degree_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(selection.top(degrees, 10, "weighted"), "weighted")
 
 
-@query()
+@query(f"with recursive {_EDGES}, {_RANK_SQL} select row_number() over (order by round(rank, 9) desc, vid)::int as rank, vid, round(rank, 6) as score from pr qualify row_number() over (order by round(rank, 9) desc, vid) <= 10")
 def pagerank_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(selection.by_pagerank(selection.checkpointed(sources.ic_edges(spark, sf_dir)), 10), "score")
 
@@ -470,7 +556,10 @@ def claimed_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(selection.claimed(reach, ranked), "bound")
 
 
-@query()
+@query(
+    f"with recursive {_EDGES}, {_RANK_SQL}, a as (select vid from pr order by round(rank, 9) desc, vid limit 10), d as (select vid, count(src) as degree from v left join e on vid = src group by 1), "
+    "b as (select vid from d order by degree desc, vid limit 10) select count(a.vid) / count(*)::double as accuracy from b left join a using (vid)"
+)
 def seed_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of the best ten by degree that are among the best ten by PageRank."""
     e = selection.checkpointed(sources.ic_edges(spark, sf_dir))
@@ -648,6 +737,21 @@ def nearest_topic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(topics.nearest_sample(_items(spark, sf_dir), samples), "distance")
 
 
+_HOURS_SQL = "sm as (select epoch(date_trunc('hour', ts))::bigint as sid, [" + ", ".join(f"sum(case when event_type = '{t}' then 1 else 0 end)::double / count(*)" for t in sources.TOPICS) + "] as sample from events group by 1)"
+_KL_PAIR_SQL = _KL_SQL.replace("/ sample[i]", "/ case when sample[i] = 0 then 1e-7 else sample[i] end")
+
+
+@query(
+    f"with {_ITEMS_SQL}, {_HOURS_SQL}, d as (select qid, sid, {_KL_PAIR_SQL} as kl from it, sm) select qid, arg_min(sid, (round(kl, 9), sid)) as sid, round(min(kl), 6) as distance from d group by 1"
+)
+def nearest_hour_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hour whose mix of events is nearest to each user's, hours being samples that bounds by pivots leave out."""
+    events = sources.table(spark, sf_dir, "events").withColumn("sid", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).cast("long") * 3600)
+    mix = [(F.sum((F.col("event_type") == t).cast("int")) / F.count(F.lit(1))).alias(t) for t in sources.TOPICS]
+    samples = events.groupBy("sid").agg(*mix).select("sid", F.array(*sources.TOPICS).alias("item"))
+    return _rounded(topics.nearest_sample(_items(spark, sf_dir), samples, float("inf"), few=0), "distance")
+
+
 @query()
 def item_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.clusters(_items(spark, sf_dir), 4)[1].select("cluster", F.round("total", 6).alias("total"))
