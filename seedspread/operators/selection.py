@@ -7,6 +7,7 @@ at, seeds always have activation 1, and a root's own activation is not discounte
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from seedspread.operators.batch import DIGITS, expansions, rounds
 from seedspread.operators.graph import degrees, pagerank
 from seedspread.operators.paths import closure, reverse, vertices
 from seedspread.operators.probability import degree_discount, hash_coin
-from seedspread.operators.trees import activation, gains, on_path
-from seedspread.session import checkpointed
+from seedspread.operators.trees import activation, rerouted
+from seedspread.session import checkpointed, small_side
 
 SEEDS = "rank int, vid long, gain double"
 
@@ -80,59 +81,58 @@ def mia(edges: DataFrame, k: int, theta: float, roots: DataFrame | None = None)
     """rank, vid, gain: greedy on trees that stay as they are; seeds only change activations.
 
     ``roots`` (vid): the vertices that count, e.g. the natives of a rectangle; all by default."""
-    trees = closure(reverse(edges), theta, roots)
-    state = checkpointed(activation(trees, []))
-    chosen: list[tuple[int, float]] = []
-    while len(chosen) < k:
-        best = pick(gains(state), [v for v, _ in chosen])
-        if best is None:
-            break
-        chosen.append(best)
-        if len(chosen) == k:
-            break
-        held = checkpointed(trees.where(F.col("v") == best[0]).select("s"))  # the roots whose trees hold the new seed
-        fresh = activation(checkpointed(trees.join(held, "s", "left_semi")), [v for v, _ in chosen])
-        state = checkpointed(state.join(held, "s", "left_anti").unionByName(fresh))
-    return listed(edges.sparkSession, chosen)
+    return _on_trees(edges, k, theta, roots, blocking=False)
 
 
 def pmia(edges: DataFrame, k: int, theta: float, roots: DataFrame | None = None, compat_root: bool = False) -> DataFrame:
     """rank, vid, gain: greedy on trees in which earlier seeds block paths.
 
-    A new seed's forward closure (past no seed) gives the roots it matters to; their trees are built anew: paths don't go on
-    past seeds, and avoid the seeds that are not valid for the root, because a later seed lies on their way to it."""
+    Paths don't go on past seeds, and avoid the seeds that are not valid for the root, because a later seed lay on their way to it.
+    So a new seed matters to the roots whose trees hold it, and there only what lies beyond it is taken out: seeds for good, other
+    vertices until they find another way (``trees.rerouted``). A seed's own tree is itself."""
+    return _on_trees(edges, k, theta, roots, blocking=True, compat_root=compat_root)
+
+
+def _on_trees(edges: DataFrame, k: int, theta: float, roots: DataFrame | None, blocking: bool, compat_root: bool = False) -> DataFrame:
+    """Greedy whose rounds read and write only the trees that hold the new seed.
+
+    A tree's rows carry the round (``at``) that wrote them; ``last`` tells each root's latest. What a vertex adds to all roots is kept as a
+    total: a round takes away what the old rows of its trees gave and adds what the new ones give."""
     spark = edges.sparkSession
     back = checkpointed(reverse(edges))
-    trees = closure(back, theta, roots)
-    own = trees.select(F.col("s").alias("vid")).distinct()
-    state = checkpointed(activation(trees, []))
-    valid = spark.createDataFrame([], "s long, v long")  # root, seed
+    grown = closure(back, theta, roots, routes=blocking)
+    grown = grown.withColumns({"seed": F.lit(False), "ap": F.lit(0.0), "alpha": F.col("p"), "at": F.lit(0)})
+    written = [checkpointed(grown.drop("probs"))]
+    last = checkpointed(written[0].select("s", "at").distinct())
+
+    def given(rows: DataFrame, sign: int) -> DataFrame:
+        added = F.sum(F.col("alpha") * (1 - F.col("ap"))) * sign
+        return rows.groupBy(F.col("v").alias("vid")).agg(added.alias("gain"), (F.count_if(~F.col("seed")) * sign).alias("n"))
+
+    totals = checkpointed(given(written[0], 1))
     chosen: list[tuple[int, float]] = []
     while len(chosen) < k:
-        seeds = [v for v, _ in chosen]
-        best = pick(gains(state.where(~F.col("s").isin(seeds)) if seeds else state), seeds)
-        if best is None:
+        best = totals.where("n > 0").orderBy(F.desc(F.round("gain", DIGITS)), "vid").limit(1).collect()
+        if not best:
             break
-        new = best[0]
-        chosen.append(best)
+        new = best[0].vid
+        chosen.append((new, best[0].gain))
         if len(chosen) == k:
             break
-        touched = closure(edges, theta, spark.createDataFrame([(new,)], "vid long"), avoid=seeds).select(F.col("v").alias("vid"))
-        touched = checkpointed(touched.join(own, "vid", "left_semi"))
-        affected = trees.join(touched.select(F.col("vid").alias("s")), "s", "left_semi")
-        if seeds:
-            lost = on_path(affected, seeds, new)
-            valid = valid.join(lost, ["s", "v"], "left_anti")
-        valid = checkpointed(valid.union(touched.select(F.col("vid").alias("s"), F.lit(new).alias("v"))).distinct())
-        all_seeds = [*seeds, new]
-        pairs = touched.select(F.col("vid").alias("s"), F.explode(F.array(*[F.lit(v).cast("long") for v in all_seeds])).alias("v"))
-        barred = pairs.where("s <> v").join(valid, ["s", "v"], "left_anti")
-        fresh = closure(back, theta, touched, stop=all_seeds, barred=barred)
-        alone = F.col("s").isin(all_seeds) & (F.col("v") != F.col("s"))  # a seed's own tree is itself
-        fresh = fresh.where(~alone)
-        kept = touched.select(F.col("vid").alias("s"))
-        trees = checkpointed(trees.join(kept, "s", "left_anti").unionByName(fresh))
-        state = checkpointed(state.join(kept, "s", "left_anti").unionByName(activation(fresh, all_seeds, compat_root)))
+        every = reduce(DataFrame.unionByName, written)
+        held = checkpointed(every.where(F.col("v") == new).select("s", "at").join(last, ["s", "at"], "left_semi"))
+        old = checkpointed(every.join(small_side(held), ["s", "at"], "left_semi"))
+        rows = old.drop("ap", "alpha", "at").withColumn("seed", F.col("seed") | (F.col("v") == new))
+        if blocking:
+            beyond = F.array_contains("verts", F.lit(new)) & (F.col("v") != new)
+            stay = rows.where(~beyond)
+            rows = stay.unionByName(rerouted(back, theta, stay, rows.where(beyond & ~F.col("seed") & (F.col("s") != new)).select("s", "v")))
+        rows = checkpointed(rows)
+        fresh = rows.join(activation(rows, F.col("seed"), compat_root), ["s", "v"]).withColumn("at", F.lit(len(chosen)))
+        written.append(checkpointed(fresh))
+        last = checkpointed(last.join(held, "s", "left_anti").unionByName(held.withColumn("at", F.lit(len(chosen)))))
+        changed = totals.unionByName(given(old, -1)).unionByName(given(written[-1], 1))
+        totals = checkpointed(changed.groupBy("vid").agg(F.sum("gain").alias("gain"), F.sum("n").alias("n")))
     return listed(spark, chosen)
 
 

@@ -93,10 +93,12 @@ def test_activation_matches_recursion(spark):
     tree = spark.createDataFrame([(1, 1, 1.0, 0, 1, 1.0)] + [(1, v, prob[v], depth[v], parent, p) for v, parent, p in rows], "s long, v long, p double, hops int, parent long, edge_p double")
     for seeds in ([], [4], [6, 5], [2], [1], [4, 6, 7]):
         got = {r.v: (r.ap, r.alpha) for r in trees.activation(tree, seeds).collect()}
+        levels = {r.v: (r.ap, r.alpha) for r in trees.activation(tree, seeds, tree_rows=1).collect()}
         want = tree_activation(rows, 1, set(seeds))
         assert got.keys() == want.keys()
         for v, pair in want.items():
             assert got[v] == pytest.approx(pair), (seeds, v)
+            assert levels[v] == pytest.approx(pair), (seeds, v)
 
 
 def test_seeds_on_a_star_and_submodular_gains(spark):
