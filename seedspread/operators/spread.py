@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seedspread.operators.paths import vertices
 from seedspread.operators.probability import hash_coin, uniform
 from seedspread.session import checkpointed, small_side
 
@@ -25,10 +26,10 @@ def run_numbers(runs: int) -> Column:
     return F.sequence(F.lit(0), F.lit(runs - 1)).cast("array<long>")
 
 
-def live_edges(edges: DataFrame, runs: int) -> DataFrame:
-    """run, src, dst of the live edges of all runs, if these are few; else ``edges``, whose coins are thrown where they are met."""
+def live_edges(edges: DataFrame, runs: int, most: int | None = LIVE_ROWS) -> DataFrame:
+    """run, vid, dst of the live edges of all runs, if ``most`` doesn't speak against it; else ``edges``, whose coins are thrown where they are met."""
     edges = checkpointed(edges.select("src", "dst", "p"))
-    if edges.count() * runs > LIVE_ROWS:
+    if most is not None and edges.count() * runs > most:
         return edges
     thrown = edges.withColumn("run", F.explode(run_numbers(runs)))
     return checkpointed(thrown.where(hash_coin(F.col("run"), F.col("src"), F.col("dst")) < F.col("p")).select("run", F.col("src").alias("vid"), "dst"))
@@ -62,37 +63,56 @@ def monte_carlo(edges: DataFrame, seeds: DataFrame, runs: int, counted: DataFram
     return found.agg((F.count(F.lit(1)) / F.lit(float(runs))).alias("spread"))
 
 
-def lazy_greedy(edges: DataFrame, k: int, runs: int, candidates: DataFrame, batch: int = 64) -> DataFrame:
+def all_reached(live: DataFrame) -> DataFrame:
+    """run, s, vid, far: what every vertex s reaches over ``live`` (run, vid, dst) beside itself, and in how many edges.
+
+    Distances double: what s reaches in more than h and up to 2 h edges is what those vertices that are h away reach in up to h."""
+    key, h = ["run", "s", "vid"], 1
+    known = [checkpointed(live.where("vid <> dst").select("run", F.col("vid").alias("s"), F.col("dst").alias("vid"), F.lit(1).alias("far")).distinct())]
+    while not known[-1].where(F.col("far") == h).isEmpty():
+        found = reduce(DataFrame.unionByName, known)
+        ends = known[-1].where(F.col("far") == h).select("run", "s", F.col("vid").alias("at"))
+        step = ends.join(found.select("run", F.col("s").alias("at"), "vid", "far"), ["run", "at"]).where("s <> vid")
+        step = step.groupBy(*key).agg((F.min("far") + h).alias("far"))
+        known.append(checkpointed(step.join(found.select(*key), key, "left_anti")))
+        h *= 2
+    return reduce(DataFrame.unionByName, known)
+
+
+def lazy_greedy(edges: DataFrame, k: int, runs: int, candidates: DataFrame, few: int = 64) -> DataFrame:
     """rank, vid, gain: greedy on the mean number of vertices activated over ``runs`` live-edge graphs, among ``candidates`` (vid).
 
-    On fixed live edges a gain never grows, so old gains are bounds: the ``batch`` candidates of the largest bounds are evaluated at a
-    time, each in all runs at once, on what the seeds so far don't reach; a round ends when the best gain that is new is above all that are old (the
-    first one evaluates all at once). Queue and reach are tables; a round's batch and best row are all that the driver names."""
+    What each candidate reaches in each run is found once and kept. A round takes from each candidate's count what the new seed reaches
+    and no seed before it did, so all gains are exact and none is evaluated again. Up to ``few`` candidates, or a tenth of the
+    vertices, are followed step by step; if there are more, all vertices are followed (``all_reached``). A round's best row is all that the driver names."""
     spark = edges.sparkSession
-    live, runs_of = live_edges(edges, runs), F.explode(run_numbers(runs))
+    names = checkpointed(candidates.select("vid").distinct())
+    size = names.count()
+    if size > few and size * 10 > vertices(edges).count():
+        reach = all_reached(live_edges(edges, runs, None)).select("run", "s", "vid")
+        reach = reach.join(small_side(names.select(F.col("vid").alias("s")), size), "s", "left_semi")
+    else:
+        start = names.select(F.col("vid").alias("s"), "vid", F.explode(run_numbers(runs)).alias("run"))
+        reach = _reached(live_edges(edges, runs), start, ["s", "run"]).where("s <> vid").select("run", "s", "vid")
+    reach, every = checkpointed(reach), F.explode(run_numbers(runs))
+    own = reach.groupBy(F.col("s").alias("vid")).agg(F.count(F.lit(1)).alias("n"))
+    left = checkpointed(names.join(own, "vid", "left").select("vid", (F.coalesce("n", F.lit(0)) + runs).alias("n")))
     taken = spark.createDataFrame([], "run long, vid long")
-    queue = checkpointed(candidates.select("vid").distinct().select("vid", F.lit(float("inf")).alias("gain"), F.lit(0).alias("round")))
     chosen: list[tuple[int, int, float]] = []
     while len(chosen) < k:
-        rank = len(chosen) + 1
-        while True:
-            order = (F.desc(F.round("gain", 9)), "vid")
-            head = queue.orderBy(*order).limit(1).collect()
-            if not head or head[0]["round"] == rank:
-                break
-            old = queue.where(F.col("round") < rank)
-            some = checkpointed((old if rank == 1 else old.orderBy(*order).limit(batch)).select("vid"))
-            found = _reached(live, some.select(F.col("vid").alias("s"), "vid", runs_of.alias("run")), ["s", "run"], taken)
-            gains = checkpointed(found.groupBy(F.col("s").alias("vid")).agg((F.count(F.lit(1)) / float(runs)).alias("new")))
-            again = some.join(gains, "vid", "left").select("vid", F.coalesce("new", F.lit(0.0)).alias("gain"), F.lit(rank).alias("round"))
-            queue = checkpointed(queue.join(some, "vid", "left_anti").unionByName(again))
-        if not head:
+        best = left.orderBy(F.desc("n"), "vid").limit(1).collect()
+        if not best:
+            break
+        seed = best[0].vid
+        chosen.append((len(chosen) + 1, seed, best[0].n / runs))
+        if len(chosen) == k:
             break
-        best = head[0]
-        chosen.append((rank, best.vid, best.gain))
-        queue = queue.where(F.col("vid") != best.vid)
-        own = spark.createDataFrame([(best.vid,)], "vid long").select("vid", runs_of.alias("run"))
-        taken = checkpointed(taken.unionByName(_reached(live, own, ["run"], taken).select("run", "vid")))
+        held = reach.where(F.col("s") == seed).select("run", "vid").unionByName(spark.range(1).select(every.alias("run"), F.lit(seed).alias("vid")))
+        new = checkpointed(held.join(taken, ["run", "vid"], "left_anti"))
+        taken = checkpointed(taken.unionByName(new))
+        met = reach.join(small_side(new), ["run", "vid"]).select(F.col("s").alias("vid")).unionByName(new.select("vid"))
+        lost = met.groupBy("vid").agg(F.count(F.lit(1)).alias("lost"))
+        left = checkpointed(left.where(F.col("vid") != seed).join(lost, "vid", "left").select("vid", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n")))
     return spark.createDataFrame(chosen, "rank int, vid long, gain double")
 
 
