@@ -40,14 +40,15 @@ def statistics(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, restart: float = 0.15, tolerance: float = 1e-3, rounds: int = 10_000) -> DataFrame:
     """vid, rank: restart + (1 - restart) x what the edges' targets pass back in proportion to p; sinks' rank is lost.
 
-    Stops when the ranks' changes sum up to at most ``tolerance``, or after ``rounds``."""
-    shares = edges.join(edges.groupBy("dst").agg(F.sum("p").alias("all")), "dst").select("src", "dst", (F.col("p") / F.col("all")).alias("share"))
+    Stops when the ranks' changes sum up to at most ``tolerance``, or after ``rounds``. Nothing is broadcast: a table of ranks small enough
+    for that would pass through the driver in every round."""
+    shares = edges.join(edges.groupBy("dst").agg(F.sum("p").alias("all")).hint("merge"), "dst").select("src", "dst", (F.col("p") / F.col("all")).alias("share"))
     shares = checkpointed(shares)
     ranks = checkpointed(vertices(edges).withColumn("rank", F.lit(1.0)))
     for _ in range(rounds):
-        passed = shares.join(ranks.withColumnRenamed("vid", "dst"), "dst").groupBy(F.col("src").alias("vid")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        step = ranks.join(passed, "vid", "left").select("vid", F.col("rank").alias("old"), (restart + (1 - restart) * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        step = checkpointed(step)
+        passed = shares.join(ranks.withColumnRenamed("vid", "dst").hint("merge"), "dst").select(F.col("src").alias("vid"), (F.col("rank") * F.col("share")).alias("got"), F.lit(0.0).alias("old"))
+        both = passed.unionByName(ranks.select("vid", F.lit(0.0).alias("got"), F.col("rank").alias("old")))  # each vertex's old rank once
+        step = checkpointed(both.groupBy("vid").agg(F.max("old").alias("old"), (restart + (1 - restart) * F.sum("got")).alias("rank")))
         ranks = step.select("vid", "rank")
         if (step.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) <= tolerance:
             break
