@@ -17,6 +17,10 @@ from seedspread.operators.spread import monte_carlo
 from seedspread.session import checkpointed, small_side
 
 
+#: Each batch of a lazy round is so many times the one before: where bounds are loose, or many candidates tie, batches stay few.
+WIDER = 8
+
+
 def for_item(tedges: DataFrame, item: list[float]) -> DataFrame:
     """src, dst, p: the graph of one item."""
     return tedges.select("src", "dst", topic(F.col("w"), F.array(*map(F.lit, item))).alias("p")).where("p > 0")
@@ -230,8 +234,8 @@ def best_first(tedges: DataFrame, item: list[float], k: int, theta: float, bound
     """Lazy greedy for an item: after each round, the seeds so far with their gains, and their activations (v, ap).
 
     ``bounds`` (vid, infl, infl2): see ``vertex_bounds``. A vertex's score is its ``infl`` at first, and then the last gain that was
-    computed. In a round the ``batch`` vertices of the best scores are evaluated at a time, until no score left is above the
-    best gain; with ``coarse``, their ``bounded_gains`` at that theta come first, and only those still above are evaluated exactly.
+    computed. In a round the ``batch`` vertices of the best scores are evaluated, then ``WIDER`` times as many at a time, until no score left
+    is above the best gain; with ``coarse``, their ``bounded_gains`` at that theta come first, and only those still above are evaluated exactly.
     Where a one-pass activation exceeds the sum of paths, a vertex whose score is too low is passed over; ``topic_greedy``
     evaluates all."""
     edges = checkpointed(for_item(tedges, item))
@@ -241,19 +245,20 @@ def best_first(tedges: DataFrame, item: list[float], k: int, theta: float, bound
     chosen: list[tuple[int, float]] = []
     while len(chosen) < k:
         seeds, best = [v for v, _ in chosen], None
-        stale = scores.where(~F.col("vid").isin(seeds)) if seeds else scores
+        stale, size = scores.where(~F.col("vid").isin(seeds)) if seeds else scores, batch
         while True:
             above = stale if best is None else stale.where((F.col("score") > best[1]) | (F.col("score") == best[1]) & (F.col("vid") < best[0]))
-            head = checkpointed(above.orderBy(F.desc("score"), "vid").limit(batch))
-            if head.isEmpty():
+            head = checkpointed(above.orderBy(F.desc("score"), "vid").limit(size))
+            if not (n := head.count()):
                 break
-            stale = stale.join(F.broadcast(head.select("vid")), "vid", "left_anti")  # ``batch`` rows
+            stale, size = stale.join(small_side(head.select("vid"), n), "vid", "left_anti"), size * WIDER
             if coarse is not None:
                 upper = bounded_gains(edges, coarse, ap, head.select("vid"), seeds, bounds)
                 head = checkpointed(head.join(upper, "vid").select("vid", F.least("score", "gain").alias("score")))
             live = head if best is None else head.where(F.col("score") >= best[1])
             gains = checkpointed(exact_gains(edges, theta, ap, live.select("vid"), seeds))
-            scores = checkpointed(scores.join(F.broadcast(head.join(gains, "vid", "left").select("vid", F.coalesce("gain", "score").alias("new"))), "vid", "left").select("vid", F.coalesce("new", "score").alias("score")))
+            newer = checkpointed(head.join(gains, "vid", "left").select("vid", F.coalesce("gain", "score").alias("new")))
+            scores = checkpointed(scores.join(small_side(newer, n), "vid", "left").select("vid", F.coalesce("new", "score").alias("score")))
             found = pick(gains, seeds)
             if found is not None and (best is None or (-found[1], found[0]) < (-best[1], best[0])):
                 best = found
@@ -326,8 +331,8 @@ def gain_bounds(reach: DataFrame, ap: DataFrame, up: DataFrame | None) -> DataFr
 
 
 def topic_lazy(tedges: DataFrame, item: list[float], k: int, theta: float, reach: DataFrame, batch: int = 64) -> DataFrame:
-    """rank, vid, gain: the seeds of ``topic_greedy``, evaluating few candidates: those of the largest ``gain_bounds`` first, ``batch`` at
-    a time, until no bound left is above the best gain. ``reach``: built in advance by ``reach_bounds``, for all items."""
+    """rank, vid, gain: the seeds of ``topic_greedy``, evaluating few candidates: the ``batch`` of the largest ``gain_bounds`` first, then ``WIDER``
+    times as many at a time, until no bound left is above the best gain. ``reach``: built in advance by ``reach_bounds``, for all items."""
     edges = checkpointed(for_item(tedges, item))
     spark, near = edges.sparkSession, 10.0**-DIGITS
     reach = reach.join(small_side(checkpointed(vertices(edges).withColumnRenamed("vid", "s"))), "s", "left_semi")
@@ -336,13 +341,13 @@ def topic_lazy(tedges: DataFrame, item: list[float], k: int, theta: float, reach
     while len(chosen) < k:
         seeds, best = [v for v, _ in chosen], None
         bounds = gain_bounds(reach, ap, settled(edges, ap, seeds) if seeds else None)
-        left = checkpointed(bounds.where(~F.col("vid").isin(seeds)) if seeds else bounds)
+        left, size = checkpointed(bounds.where(~F.col("vid").isin(seeds)) if seeds else bounds), batch
         while True:
             above = left if best is None else left.where(F.col("bound") >= best[1] - near)
-            head = checkpointed(above.orderBy(F.desc("bound"), "vid").limit(batch))
-            if head.isEmpty():
+            head = checkpointed(above.orderBy(F.desc("bound"), "vid").limit(size))
+            if not (n := head.count()):
                 break
-            left = left.join(F.broadcast(head.select("vid")), "vid", "left_anti")  # ``batch`` rows
+            left, size = left.join(small_side(head.select("vid"), n), "vid", "left_anti"), size * WIDER
             gains = exact_gains(edges, theta, ap, head.select("vid"), seeds)
             found = gains.select("vid", F.round("gain", DIGITS).alias("rounded"), "gain").orderBy(F.desc("rounded"), "vid").limit(1).collect()
             if found and (best is None or (-found[0].rounded, found[0].vid) < (-round(best[1], DIGITS), best[0])):

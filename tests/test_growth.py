@@ -2,7 +2,8 @@
 
 import pytest
 
-from seedspread.operators import graph, paths, spread
+from seedspread import queries
+from seedspread.operators import graph, paths, spread, topics
 
 
 @pytest.fixture
@@ -49,3 +50,26 @@ def test_pagerank_broadcasts_nothing(spark, plans):
     ranks = {r.vid: r["rank"] for r in graph.pagerank(chain(spark, 3)).collect()}
     assert ranks == {v: pytest.approx(sum(0.15 * 0.85**i for i in range(4 - v))) for v in range(4)}
     assert len(seen) > 4 and not any("BroadcastExchange" in plan for plan in seen)
+
+
+@pytest.mark.parametrize("name", ["spread_curve", "shortest_path_plus_one_spread"])
+def test_events_are_read_once(spark, plans, name):
+    """Each ring and each Monte Carlo derived the edges from all events again."""
+    seen = plans(spread)
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert seen and not any("FileScan" in plan for plan in seen)
+
+
+@pytest.mark.parametrize("lazy", [True, False])
+def test_batches_of_a_lazy_round_grow(spark, monkeypatch, lazy):
+    """Fifteen candidates that tie below loose bounds took fifteen batches a round."""
+    calls, real = [], topics.exact_gains
+    monkeypatch.setattr(topics, "exact_gains", lambda *a: calls.append(1) or real(*a))
+    te = spark.createDataFrame([(2 * i, 2 * i + 1, [1.0, 0.0]) for i in range(15)], "src long, dst long, w array<double>").localCheckpoint()
+    if lazy:
+        got = topics.topic_lazy(te, [0.5, 0.5], 1, 0.1, topics.reach_bounds(te, 0.1), batch=1)
+    else:
+        got = list(topics.best_first(te, [0.5, 0.5], 1, 0.1, topics.vertex_bounds(te, 0.1, 0.5), batch=1))
+        got = spark.createDataFrame([(i, v, g) for i, (v, g) in enumerate(got[-1][0], 1)], "rank int, vid long, gain double")
+    assert [(r.vid, r.gain) for r in got.collect()] == [(0, 1.5)]
+    assert len(calls) <= 3
