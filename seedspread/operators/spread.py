@@ -14,6 +14,8 @@ from seedspread.session import checkpointed, small_side
 
 #: Pairs of a run and an edge up to which all coins are thrown at once; beyond, those of the edges that are met.
 LIVE_ROWS = 10_000_000
+#: Rows of a step up to which they are broadcast to the live edges, which are then read but not shuffled.
+FRONT_ROWS = 50_000
 
 
 def reached(edges: DataFrame, seeds: DataFrame, runs: int) -> DataFrame:
@@ -42,10 +44,11 @@ def _reached(live: DataFrame, start: DataFrame, key: list[str], past: DataFrame
     seen = [checkpointed(start if past is None else start.join(past, ["run", "vid"], "left_anti"))]
     rows = last = seen[0].count()
     while last:
+        front = small_side(seen[-1], last, FRONT_ROWS)
         if "run" in live.columns:
-            step = seen[-1].join(live, ["run", "vid"])
+            step = live.join(front, ["run", "vid"])
         else:
-            step = seen[-1].join(live.withColumnRenamed("src", "vid"), "vid").where(hash_coin(F.col("run"), F.col("vid"), F.col("dst")) < F.col("p"))
+            step = front.join(live.withColumnRenamed("src", "vid"), "vid").where(hash_coin(F.col("run"), F.col("vid"), F.col("dst")) < F.col("p"))
         step = step.select(*key, F.col("dst").alias("vid")).distinct()
         step = step if past is None else step.join(past, ["run", "vid"], "left_anti")
         known = small_side(reduce(DataFrame.unionByName, seen), rows)

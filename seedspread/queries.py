@@ -59,6 +59,11 @@ def _mip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.closure(sources.ic_edges(spark, sf_dir), THETA)
 
 
+def _kept_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ic_edges`` computed once, for queries that go over them more than once: deriving them reads and orders all events."""
+    return selection.checkpointed(sources.ic_edges(spark, sf_dir))
+
+
 def _natives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.natives(sources.locations(spark, sf_dir), *BOX)
 
@@ -209,7 +214,7 @@ pr as (select vid, rank from rr where i = (select max(i) from rr))"""
 @query(f"with recursive {_EDGES}, {_RANK_SQL} select vid, round(rank, 6) as rank from pr")
 def pagerank_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks at the fixed point; ``pagerank_five_rounds`` is its first rounds, as SQL can unroll them."""
-    return _rounded(graph.pagerank(selection.checkpointed(sources.ic_edges(spark, sf_dir))), "rank")
+    return _rounded(graph.pagerank(_kept_edges(spark, sf_dir)), "rank")
 
 
 @query(f"with recursive {_EDGES}, {_closure_sql()} select s, t as v, round(p, 6) as p from mip")
@@ -501,7 +506,7 @@ def location_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def location_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged seeds of the covered regions and of the fringe, if they reach 0.8 of the upper bound."""
     placed = _placed(spark, sf_dir)
-    e = selection.checkpointed(sources.ic_edges(spark, sf_dir))
+    e = _kept_edges(spark, sf_dir)
     ready = selection.checkpointed(selection.region_seeds(e, THETA, placed, K))
     return selection.hinted(e, K, THETA, placed, _lists(spark, sf_dir, placed), ready, 0.8).select("rank", "vid")
 
@@ -510,7 +515,7 @@ def location_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def location_hint_by_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``location_hint``, with a lower bound from the seeds alone."""
     placed = _placed(spark, sf_dir)
-    e = selection.checkpointed(sources.ic_edges(spark, sf_dir))
+    e = _kept_edges(spark, sf_dir)
     return selection.hinted_by_bounds(e, K, THETA, placed, _lists(spark, sf_dir, placed), 0.8).select("rank", "vid")
 
 
@@ -542,7 +547,7 @@ def weighted_degree_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with recursive {_EDGES}, {_RANK_SQL} select row_number() over (order by round(rank, 9) desc, vid)::int as rank, vid, round(rank, 6) as score from pr qualify row_number() over (order by round(rank, 9) desc, vid) <= 10")
 def pagerank_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(selection.by_pagerank(selection.checkpointed(sources.ic_edges(spark, sf_dir)), 10), "score")
+    return _rounded(selection.by_pagerank(_kept_edges(spark, sf_dir), 10), "score")
 
 
 @query(
@@ -562,7 +567,7 @@ def claimed_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def seed_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of the best ten by degree that are among the best ten by PageRank."""
-    e = selection.checkpointed(sources.ic_edges(spark, sf_dir))
+    e = _kept_edges(spark, sf_dir)
     return selection.overlap(selection.by_degree(e, 10), selection.by_pagerank(e, 10))
 
 
@@ -584,7 +589,7 @@ def _discount_sql(k: int) -> str:
 
 @query(f"with {_EDGES}, {_discount_sql(5)}")
 def degree_discount_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(selection.degree_discount_seeds(sources.ic_edges(spark, sf_dir), 5), "gain")
+    return _rounded(selection.degree_discount_seeds(_kept_edges(spark, sf_dir), 5), "gain")
 
 
 _RUNS = 20
@@ -594,13 +599,13 @@ _LIVE_SQL = f"live as (select r.range as run, src, dst from range({_RUNS}) r, e
 
 @query(f"with recursive {_EDGES}, {_SEED_SQL}, {_LIVE_SQL} select round(count(*) / {_RUNS}.0, 6)::double as spread from act")
 def monte_carlo_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = sources.ic_edges(spark, sf_dir)
+    e = _kept_edges(spark, sf_dir)
     return _rounded(spread.monte_carlo(e, selection.by_degree(e, 5), _RUNS), "spread")
 
 
 @query(f"with recursive {_EDGES}, {_LOC}, {_NATIVE}, {_SEED_SQL}, {_LIVE_SQL} select round(count(*) / {_RUNS}.0, 6)::double as spread from act where vid in (select vid from native)")
 def monte_carlo_native_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = sources.ic_edges(spark, sf_dir)
+    e = _kept_edges(spark, sf_dir)
     return _rounded(spread.monte_carlo(e, selection.by_degree(e, 5), _RUNS, _natives(spark, sf_dir)), "spread")
 
 
@@ -618,13 +623,13 @@ def _rings_sql(rings: int = 15) -> str:
 
 @query(f"with {_EDGES}, {_SEED_SQL}, {_rings_sql()} select vid, ring, round(p, 6) as p from rings")
 def shortest_path_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = sources.ic_edges(spark, sf_dir)
+    e = _kept_edges(spark, sf_dir)
     return _rounded(spread.shortest_path_model(e, selection.by_degree(e, 5)), "p")
 
 
 @query(f"with {_EDGES}, {_SEED_SQL}, {_rings_sql()} select vid, ring, round(p, 6) as p, round(late, 6) as late from rings")
 def shortest_path_plus_one_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = sources.ic_edges(spark, sf_dir)
+    e = _kept_edges(spark, sf_dir)
     return _rounded(spread.shortest_path_plus_one_model(e, selection.by_degree(e, 5)), "p", "late")
 
 
@@ -634,19 +639,19 @@ _CURVE_LIVE = _LIVE_SQL.replace("act(run, vid) as (select r.range, vid from", "a
 
 @query(f"with recursive {_EDGES}, {_CURVE_SQL}, {_CURVE_LIVE}, first as (select run, vid, min(rank) as rank from act group by 1, 2) select t.rank, round(count(*) / {_RUNS}.0, 6)::double as spread from top t join first f on f.rank <= t.rank group by 1")
 def spread_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = sources.ic_edges(spark, sf_dir)
+    e = _kept_edges(spark, sf_dir)
     return _rounded(spread.curve(e, selection.by_degree(e, 5), _RUNS), "spread")
 
 
 @query(f"with recursive {_EDGES.replace('1 - pow(1 - 1.0 / deg, c) as p', '1 - pow(0.9, c) as p')}, {_SEED_SQL}, {_LIVE_SQL} select round(count(*) / {_RUNS}.0, 6)::double as spread from act")
 def constant_ratio_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spread.constant_ratio(sources.ic_edges(spark, sf_dir), 0.1)
+    e = spread.constant_ratio(_kept_edges(spark, sf_dir), 0.1)
     return _rounded(spread.monte_carlo(e, selection.by_degree(e, 5), _RUNS), "spread")
 
 
 @query(f"with recursive {_ITEM_EDGES}, {_SEED_SQL}, {_LIVE_SQL} select round(count(*) / {_RUNS}.0, 6)::double as spread from act")
 def topic_item_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    te = sources.topic_edges(spark, sf_dir)
+    te = selection.checkpointed(sources.topic_edges(spark, sf_dir))
     return _rounded(topics.topic_spread(te, ITEM, selection.by_degree(topics.for_item(te, ITEM), 5), _RUNS), "spread")
 
 
@@ -662,7 +667,7 @@ def _lazy_sql(k: int) -> str:
 @query(f"with recursive {_EDGES}, {_lazy_sql(K)}")
 def lazy_greedy_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy over Monte Carlo spread on shared live edges, with batches of a lazy queue."""
-    e = selection.checkpointed(sources.ic_edges(spark, sf_dir))
+    e = _kept_edges(spark, sf_dir)
     return _rounded(spread.lazy_greedy(e, K, _RUNS, paths.vertices(e)), "gain")
 
 
