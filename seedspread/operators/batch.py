@@ -87,19 +87,24 @@ def _grown(trees: DataFrame, own: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("qid", "root", tree.alias("tree"), (F.coalesce("ap", F.lit(0.0)) + F.coalesce("add", F.lit(0.0))).alias("ap"), dirty.alias("dirty"))
 
 
-def rounds(edges: DataFrame, queries: DataFrame, natives: DataFrame, theta: float | None = None, first: DataFrame | None = None) -> Iterator[Round]:
+def stored_paths(edges: DataFrame, theta: float, natives: DataFrame) -> DataFrame:
+    """The best paths, with their vertices, from all vertices and natives (vid)."""
+    return closure(edges, theta, vertices(edges).union(natives.select("vid")).distinct(), routes=True)
+
+
+def rounds(edges: DataFrame, queries: DataFrame, natives: DataFrame, theta: float | None = None, first: DataFrame | None = None, base: DataFrame | None = None) -> Iterator[Round]:
     """The state before each round's pick, and after the last one.
 
     ``queries``: qid, k, and a column theta if ``theta`` is None. ``natives``: qid, vid. ``first``: qid, vid, gain of the candidates, if
     they are known from lists; else candidates are the vertices that reach a native. They stay candidates, with gain 0, when seeds cut
-    them off. A query ends when it has k seeds or no candidate is left."""
+    them off. A query ends when it has k seeds or no candidate is left. ``base``: ``stored_paths`` of these edges, natives and theta (the least), if they
+    are there already."""
     spark = edges.sparkSession
     edges = checkpointed(edges.select("src", "dst", "p"))
     queries = checkpointed(queries.select("qid", F.col("k").cast("int").alias("k"), (F.col("theta") if theta is None else F.lit(float(theta))).alias("theta")))
     spec = queries.agg(F.max("k").alias("k"), F.min("theta").alias("theta"), F.count(F.lit(1)).alias("n")).first()
     native = checkpointed(natives.select("qid", F.col("vid").alias("root")).distinct())
-    every = vertices(edges).union(native.select(F.col("root").alias("vid"))).distinct()
-    base = closure(edges, spec.theta if spec.n else 1.0, every, routes=True)
+    base = stored_paths(edges, spec.theta if spec.n else 1.0, native.select(F.col("root").alias("vid"))) if base is None else base
     names = ["qid", "s", "root", "p", "verts", "probs"]
     pairs = base.withColumnRenamed("v", "root").join(native, "root").join(small_side(queries.select("qid", "theta"), spec.n), "qid")
     pairs = checkpointed(pairs.where((F.col("p") > F.col("theta")) | (F.col("s") == F.col("root"))).select(*names, F.col("p").alias("add")))
@@ -140,9 +145,9 @@ def rounds(edges: DataFrame, queries: DataFrame, natives: DataFrame, theta: floa
     yield Round(chosen, None, rescored)
 
 
-def expansions(edges: DataFrame, queries: DataFrame, natives: DataFrame, theta: float | None = None) -> DataFrame:
+def expansions(edges: DataFrame, queries: DataFrame, natives: DataFrame, theta: float | None = None, base: DataFrame | None = None) -> DataFrame:
     """qid, rank, vid, gain: the best k seeds of each of ``queries`` (qid, k, and theta if it isn't one for all) for its ``natives`` (qid, vid)."""
     chosen = None
-    for chosen, _, _ in rounds(edges, queries, natives, theta):  # noqa: B007
+    for chosen, _, _ in rounds(edges, queries, natives, theta, base=base):  # noqa: B007
         pass
     return chosen

@@ -136,28 +136,33 @@ def _on_trees(edges: DataFrame, k: int, theta: float, roots: DataFrame | None, b
     return listed(spark, chosen)
 
 
-def expanding(edges: DataFrame, k: int, theta: float, natives: DataFrame, first: DataFrame | None = None) -> Iterator[tuple[list[tuple[int, float]], DataFrame | None]]:
+def expanding(edges: DataFrame, k: int, theta: float, natives: DataFrame, first: DataFrame | None = None, base: DataFrame | None = None) -> Iterator[tuple[list[tuple[int, float]], DataFrame | None]]:
     """Rounds of greedy on the natives' activation, evaluated on the union of the seeds' stored paths to each native: the seeds
     chosen so far with their gains, and the gains (vid, gain) of all other candidates beside them (None after the last round).
 
     A candidate's paths skip the chosen seeds; its gain is what they add to the stored ones, where a vertex goes on as in the newest
     path through it. Every candidate's gain is exact in every round: a lazy queue gives other seeds where a gain grows, as gains here
     aren't submodular; but only what a new seed can change is evaluated again (``batch.rounds``, here for one query). ``first``: the
-    gains of the first round, if they are known from lists."""
+    gains of the first round, if they are known from lists. ``base``: ``batch.stored_paths`` if they are there already."""
     query = edges.sparkSession.createDataFrame([(0, k)], "qid int, k int")
-    found = rounds(edges, query, natives.select(F.lit(0).alias("qid"), "vid"), theta, first.select(F.lit(0).alias("qid"), "vid", "gain") if first is not None else None)
+    found = rounds(edges, query, natives.select(F.lit(0).alias("qid"), "vid"), theta, first.select(F.lit(0).alias("qid"), "vid", "gain") if first is not None else None, base)
     for chosen, scores, _ in found:
         yield [(r.vid, r.gain) for r in chosen.orderBy("rank").collect()], scores.select("vid", "gain") if scores is not None else None
 
 
-def expansion(edges: DataFrame, k: int, theta: float, natives: DataFrame, first: DataFrame | None = None) -> DataFrame:
+def expansion(edges: DataFrame, k: int, theta: float, natives: DataFrame, first: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
     """rank, vid, gain of the best k seeds for the natives (see ``expanding``)."""
     chosen: list[tuple[int, float]] = []
-    for chosen, _ in expanding(edges, k, theta, natives, first):  # noqa: B007
+    for chosen, _ in expanding(edges, k, theta, natives, first, base):  # noqa: B007
         pass
     return listed(edges.sparkSession, chosen)
 
 
+def reached_by_vertices(base: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of ``batch.stored_paths`` that the closure of the edges has: without natives that have no edge."""
+    return base.join(vertices(edges).withColumnRenamed("vid", "s"), "s", "left_semi")
+
+
 def region_lists(mip: DataFrame, placed: DataFrame) -> DataFrame:
     """rid, vid, dp, rank: for each region of natives (vid, rid; null: the fringe), the vertices that reach any, best first."""
     reach = mip.join(placed.select(F.col("vid").alias("v"), F.coalesce("rid", F.lit("fringe")).alias("rid")), "v")
@@ -185,18 +190,18 @@ def merged_top(lists: DataFrame, k: int, depth: int = 8) -> DataFrame:
         depth *= 2
 
 
-def assembly(edges: DataFrame, k: int, theta: float, placed: DataFrame, lists: DataFrame) -> DataFrame:
+def assembly(edges: DataFrame, k: int, theta: float, placed: DataFrame, lists: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """rank, vid, gain: ``expansion`` whose first gains come from ready lists of the natives' (vid, rid) regions and fringe."""
     first = lists.groupBy("vid").agg(F.sum("dp").alias("gain"))
-    return expansion(edges, k, theta, placed.select("vid"), first)
+    return expansion(edges, k, theta, placed.select("vid"), first, base)
 
 
-def region_seeds(edges: DataFrame, theta: float, placed: DataFrame, tau: int, ratio: int = 1) -> DataFrame:
+def region_seeds(edges: DataFrame, theta: float, placed: DataFrame, tau: int, ratio: int = 1, base: DataFrame | None = None) -> DataFrame:
     """rid, pos, vid, gain: the best seeds of each region of natives (vid, rid; null: the fringe) alone: ``tau``, at most its natives /
     ``ratio``. All regions are selected for side by side."""
     named = checkpointed(placed.select("vid", F.coalesce("rid", F.lit("fringe")).alias("qid")))
     size = F.least(F.lit(tau), F.floor(F.count(F.lit(1)) / ratio).cast("int"))
-    found = expansions(edges, named.groupBy("qid").agg(size.alias("k")).where("k > 0"), named, theta)
+    found = expansions(edges, named.groupBy("qid").agg(size.alias("k")).where("k > 0"), named, theta, base)
     return found.select(F.col("qid").alias("rid"), F.col("rank").alias("pos"), "vid", "gain")
 
 
@@ -219,26 +224,27 @@ def upper_rest(scores: DataFrame, n: int) -> float:
     return scores.orderBy(F.desc("gain"), "vid").limit(n).agg(F.sum("gain")).first()[0] or 0.0
 
 
-def hinted(edges: DataFrame, k: int, theta: float, placed: DataFrame, lists: DataFrame, ready: DataFrame, accept: float) -> DataFrame:
+def hinted(edges: DataFrame, k: int, theta: float, placed: DataFrame, lists: DataFrame, ready: DataFrame, accept: float, base: DataFrame | None = None) -> DataFrame:
     """rank, vid, gain: as ``assembly``, but the merged hints of ``region_seeds`` are returned, with null gains, as soon as their
     gain is above ``accept`` times the upper bound, from the second seed on."""
     hints, lower = merged_hints(ready, k)
     first = lists.groupBy("vid").agg(F.sum("dp").alias("gain"))
     chosen: list[tuple[int, float]] = []
-    for chosen, scores in expanding(edges, k, theta, placed.select("vid"), first):
+    for chosen, scores in expanding(edges, k, theta, placed.select("vid"), first, base):
         if scores is not None and len(chosen) >= 2 and lower > accept * (sum(g for _, g in chosen) + upper_rest(scores, k - len(chosen))):
             return hints.select("rank", "vid", F.lit(None).cast("double").alias("gain"))
     return listed(edges.sparkSession, chosen)
 
 
-def hinted_by_bounds(edges: DataFrame, k: int, theta: float, placed: DataFrame, lists: DataFrame, accept: float) -> DataFrame:
+def hinted_by_bounds(edges: DataFrame, k: int, theta: float, placed: DataFrame, lists: DataFrame, accept: float, base: DataFrame | None = None) -> DataFrame:
     """rank, vid, gain: as ``hinted``, with a lower bound from the seeds alone: their gains, and what they and the vertices of
     the largest ``lower_gains`` claim among natives that no seed reaches. On success the best scores fill the places left."""
     native = placed.select(F.col("vid").alias("v")).distinct()
-    mip = checkpointed(closure(edges.select("src", "dst", "p"), theta).join(native, "v", "left_semi"))
+    found = closure(edges.select("src", "dst", "p"), theta) if base is None else reached_by_vertices(base, edges)
+    mip = checkpointed(found.select("s", "v", "p").join(native, "v", "left_semi"))
     first = lists.groupBy("vid").agg(F.sum("dp").alias("gain"))
     chosen: list[tuple[int, float]] = []
-    for chosen, scores in expanding(edges, k, theta, placed.select("vid"), first):
+    for chosen, scores in expanding(edges, k, theta, placed.select("vid"), first, base):
         if scores is None or len(chosen) < 2:
             continue
         seeds, total, rest = [v for v, _ in chosen], sum(g for _, g in chosen), k - len(chosen)

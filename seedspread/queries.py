@@ -369,8 +369,8 @@ def location_expansion_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with recursive {_EDGES}, {_LOC}, {_NATIVE}, {_ALL_STARTS}, {_EXPANSION_PAIR}")
 def location_assembly_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two seeds of ``location_assembly``."""
-    placed = _placed(spark, sf_dir)
-    return _rounded(selection.assembly(sources.ic_edges(spark, sf_dir), 2, THETA, placed, _lists(spark, sf_dir, placed)), "gain")
+    e, placed, base, lists = _listed_paths(spark, sf_dir)
+    return _rounded(selection.assembly(e, 2, THETA, placed, lists, base), "gain")
 
 
 @query(f"with recursive {_EDGES}, {_LOC}, {_NATIVE}, {_tree_pair_sql('native', True)}")
@@ -406,6 +406,13 @@ def _lists(spark: SparkSession, sf_dir: str, placed: DataFrame) -> DataFrame:
     return selection.checkpointed(selection.region_lists(_mip(spark, sf_dir), placed))
 
 
+def _listed_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Edges, placed natives, the stored paths to them, and lists of regions: paths are searched for once, for lists and for rounds."""
+    e, placed = _kept_edges(spark, sf_dir), _placed(spark, sf_dir)
+    base = selection.checkpointed(batch.stored_paths(e, THETA, placed).join(placed.select(F.col("vid").alias("v")).distinct(), "v", "left_semi"))
+    return e, placed, base, selection.checkpointed(selection.region_lists(selection.reached_by_vertices(base, e), placed))
+
+
 @query(f"with {_LOC}, {_NATIVE} select vid, round(x, 6) as x, round(y, 6) as y from native join loc on vid = user_id")
 def rectangle_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spatial.native_locations(sources.locations(spark, sf_dir), *BOX), "x", "y")
@@ -498,25 +505,23 @@ def merged_region_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def location_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``location_expansion``, with first gains from the lists of regions."""
-    placed = _placed(spark, sf_dir)
-    return _rounded(selection.assembly(sources.ic_edges(spark, sf_dir), K, THETA, placed, _lists(spark, sf_dir, placed)), "gain")
+    e, placed, base, lists = _listed_paths(spark, sf_dir)
+    return _rounded(selection.assembly(e, K, THETA, placed, lists, base), "gain")
 
 
 @query()
 def location_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged seeds of the covered regions and of the fringe, if they reach 0.8 of the upper bound."""
-    placed = _placed(spark, sf_dir)
-    e = _kept_edges(spark, sf_dir)
-    ready = selection.checkpointed(selection.region_seeds(e, THETA, placed, K))
-    return selection.hinted(e, K, THETA, placed, _lists(spark, sf_dir, placed), ready, 0.8).select("rank", "vid")
+    e, placed, base, lists = _listed_paths(spark, sf_dir)
+    ready = selection.checkpointed(selection.region_seeds(e, THETA, placed, K, base=base))
+    return selection.hinted(e, K, THETA, placed, lists, ready, 0.8, base).select("rank", "vid")
 
 
 @query()
 def location_hint_by_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``location_hint``, with a lower bound from the seeds alone."""
-    placed = _placed(spark, sf_dir)
-    e = _kept_edges(spark, sf_dir)
-    return selection.hinted_by_bounds(e, K, THETA, placed, _lists(spark, sf_dir, placed), 0.8).select("rank", "vid")
+    e, placed, base, lists = _listed_paths(spark, sf_dir)
+    return selection.hinted_by_bounds(e, K, THETA, placed, lists, 0.8, base).select("rank", "vid")
 
 
 @query()

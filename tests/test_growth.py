@@ -3,7 +3,7 @@
 import pytest
 
 from seedspread import queries
-from seedspread.operators import graph, paths, spread, topics
+from seedspread.operators import batch, graph, paths, selection, spread, topics
 
 
 @pytest.fixture
@@ -73,3 +73,13 @@ def test_batches_of_a_lazy_round_grow(spark, monkeypatch, lazy):
         got = spark.createDataFrame([(i, v, g) for i, (v, g) in enumerate(got[-1][0], 1)], "rank int, vid long, gain double")
     assert [(r.vid, r.gain) for r in got.collect()] == [(0, 1.5)]
     assert len(calls) <= 3
+
+
+@pytest.mark.parametrize("name", ["location_assembly_pair", "location_hint_by_bounds"])
+def test_paths_are_searched_once(spark, monkeypatch, name):
+    """Lists of regions, bounds and rounds each searched for all paths again."""
+    whole, real = [], paths.closure
+    for module in (batch, paths, selection):
+        monkeypatch.setattr(module, "closure", lambda *a, **b: (b.get("barred") is None and whole.append(1)) or real(*a, **b))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(whole) == 1
