@@ -425,17 +425,23 @@ def _samples(tedges: DataFrame, items: dict[int, list[float]], k: int) -> DataFr
     return tedges.sparkSession.createDataFrame([(sid, item, k) for sid, item in items.items()], "qid long, item array<double>, k int")
 
 
-def upper_samples(tedges: DataFrame, items: dict[int, list[float]], k: int, theta: float, factor: float = 1.0) -> DataFrame:
-    """sid, ub, item: ``factor`` times the sum of gains of each sample item's seeds; all samples are selected for side by side."""
+def sample_seeds(tedges: DataFrame, items: dict[int, list[float]], k: int, theta: float) -> DataFrame:
+    """qid (the sample's number), rank, vid, gain: the seeds that upper and lower samples are made of."""
+    return topic_greedies(tedges, _samples(tedges, items, k), theta)
+
+
+def upper_samples(tedges: DataFrame, items: dict[int, list[float]], k: int, theta: float, factor: float = 1.0, ranked: DataFrame | None = None) -> DataFrame:
+    """sid, ub, item: ``factor`` times the sum of gains of each sample item's seeds; all samples are selected for side by side.
+    ``ranked``: the samples' ``sample_seeds``, if they are there already."""
     samples = _samples(tedges, items, k)
-    sums = topic_greedies(tedges, samples, theta).groupBy("qid").agg((F.sum("gain") * factor).alias("ub"))
+    sums = (sample_seeds(tedges, items, k, theta) if ranked is None else ranked).groupBy("qid").agg((F.sum("gain") * factor).alias("ub"))
     return samples.join(sums, "qid", "left").select(F.col("qid").alias("sid"), F.coalesce("ub", F.lit(0.0)).alias("ub"), "item")
 
 
-def lower_samples(tedges: DataFrame, items: dict[int, list[float]], k: int, theta: float) -> DataFrame:
-    """sid, item, seeds: each sample item's seeds in rank order; all samples are selected for side by side."""
+def lower_samples(tedges: DataFrame, items: dict[int, list[float]], k: int, theta: float, ranked: DataFrame | None = None) -> DataFrame:
+    """sid, item, seeds: each sample item's seeds in rank order; all samples are selected for side by side. ``ranked``: see ``upper_samples``."""
     samples = _samples(tedges, items, k)
-    ranked = topic_greedies(tedges, samples, theta).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "vid"))).alias("r"))  # k of each
+    ranked = (sample_seeds(tedges, items, k, theta) if ranked is None else ranked).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "vid"))).alias("r"))  # k of each
     seeds = F.transform("r", lambda r: r["vid"])
     return samples.join(ranked, "qid", "left").select(F.col("qid").alias("sid"), "item", F.coalesce(seeds, F.array().cast("array<long>")).alias("seeds"))
 

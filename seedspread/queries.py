@@ -711,7 +711,8 @@ def topic_approximate_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     te = selection.checkpointed(sources.topic_edges(spark, sf_dir))
     bounds = selection.checkpointed(topics.vertex_bounds(te, 0.1, 0.5))
     samples = {1: [0.2] * 5, 2: [0.6, 0.1, 0.1, 0.1, 0.1]}
-    upper, lower = topics.upper_samples(te, samples, 2, 0.1), topics.lower_samples(te, samples, 2, 0.1)
+    ranked = topics.sample_seeds(te, samples, 2, 0.1)
+    upper, lower = topics.upper_samples(te, samples, 2, 0.1, ranked=ranked), topics.lower_samples(te, samples, 2, 0.1, ranked=ranked)
     return _rounded(topics.topic_approximate(te, ITEM, 2, 0.1, bounds, upper, lower, 0.7, coarse=0.2), "gain")
 
 
