@@ -83,3 +83,11 @@ def test_paths_are_searched_once(spark, monkeypatch, name):
         monkeypatch.setattr(module, "closure", lambda *a, **b: (b.get("barred") is None and whole.append(1)) or real(*a, **b))
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
     assert len(whole) == 1
+
+
+def test_samples_are_selected_for_once(spark, monkeypatch):
+    """Upper and lower samples each selected seeds for the same items."""
+    calls, real = [], topics.topic_greedies
+    monkeypatch.setattr(topics, "topic_greedies", lambda *a: calls.append(1) or real(*a))
+    assert queries.QUERIES["topic_approximate_seeds"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
