@@ -300,10 +300,10 @@ def joined(table: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> list[memory
     return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def _by_size(texts: list[str]) -> Iterator[tuple[int, str]]:
+def _by_size(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[tuple[int, str]]:
     total = 0
     for text in texts:
-        yield total // CHUNK_CHARS, text
+        yield total // most, text
         total += len(text)
 
 

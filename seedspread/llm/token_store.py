@@ -9,8 +9,8 @@ Shards are written by tasks to the shared folder, each attempt under a name of i
 rows that successful attempts return, so a task that is lost or runs twice does no harm, and nothing is renamed. One row
 for each shard, not for each document, passes the driver.
 
-Ids come from the tokenizers library. For byte-level vocabularies, texts are cut into words as the library cuts them, each
-distinct new word goes once to the model that the library loaded from the file, and a worker keeps the ids of stretches
+Ids come from the tokenizers library. For byte-level vocabularies, texts are cut into words as the library cuts them, distinct
+new words go once, many in a call, to the model that the library loaded from the file, and a worker keeps the ids of stretches
 that come up again; tests hold the ids against the library's own of whole texts. Other vocabularies get whole texts.
 
 Rows: null texts are empty and have the end id only. Rows that repeat are stored each time; rows with equal doc_id are
@@ -24,26 +24,30 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-from seedspread.llm.bpe import ChunkEncoder, byte_symbols
+from seedspread.llm.bpe import ChunkEncoder, _by_size, _key, _stretch, byte_symbols, joined
 from seedspread.llm.session import shared_dir
 from seedspread.llm.wordcache import live
 
 LENGTH = 2048
 #: Sequences of a batch of a file.
 BATCH = 256
-#: Documents that are encoded at once.
-ROWS = 500
+#: Documents that are encoded at once, their characters, and new words that the library gets at once.
+ROWS, GROUP_CHARS, WORDS = 2000, 1_500_000, 1000
 #: Of a worker's cache of stretches.
-CACHE_BYTES = 48_000_000
+CACHE_BYTES = 72_000_000
 
 
 class LibraryEncoder(ChunkEncoder):
@@ -60,22 +64,107 @@ class LibraryEncoder(ChunkEncoder):
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
         #: Whether texts may be cut; else the library gets them whole.
         self.cuts = plain and not any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") or a.get("normalized") for a in spec.get("added_tokens", []))
-        self.model = self.library.model
-        #: How the library spells bytes, by their Latin-1 characters.
-        self.spelling = {byte: shown for shown, byte in byte_symbols().items()}
-        self.packed = [np.array([i], self.dtype).tobytes() for i in range(size)]
+        model = spec["model"]
+        spelled = {byte: shown for shown, byte in byte_symbols().items()}
+        # words are handed over in bulk, and parted again by the lengths of their tokens: each byte must be in one
+        self.cuts &= model.get("type") == "BPE" and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and model["vocab"].keys() >= set(spelled.values())
+        #: How the library spells bytes, by their Latin-1 characters; a byte that UTF-8 lacks parts words.
+        self.spelling = spelled | {0xFF: " "}
+        #: The library's model alone, for words that are spelled so.
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
+        self.lengths = np.zeros(size, np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            self.lengths[i] = len(token)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.cuts:
-            return super().encode(texts)
-        return [np.array(found.ids, self.dtype).tobytes() for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        """Packed little-endian token ids of each text."""
+        if not self.cuts:
+            return [np.array(found.ids, self.dtype).tobytes() for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for _, few in groupby(_by_size(texts, GROUP_CHARS), key=lambda x: x[0]):
+            out += self.encode_group([t for _, t in few])
+        return out
+
+    def encode_group(self, texts: list[str]) -> list[bytes]:
+        """Arrow cuts texts at their spaces and numbers the distinct stretches; only those are looked up one by one.
+
+        Texts with special tokens, or with spaces that are no borders of stretches, are cut by ``keys``."""
+        whole = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(whole, self.odd_gap.pattern)
+        for special in self.added:
+            odd = pc.or_(odd, pc.match_substring(whole, special))
+        apart = iter(super().encode(whole.filter(odd).to_pylist()))
+        cut = pc.split_pattern(whole.filter(pc.invert(odd)), " ")
+        ends, numbered = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
+        numbers, stretches = numbered.indices.to_numpy().copy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # no space is before the first stretch of a text; nothing but a first stretch is empty
+        first, where = np.unique(numbers[ends[:-1]], return_inverse=True)
+        numbers[ends[:-1]] = len(stretches) + where
+        keys = [s or " " for s in stretches] + [" " + stretches[i] for i in first.tolist()]
+        plain = map(bytes, joined(pa.array(self.look_up(keys), pa.large_binary()), numbers, ends))
+        return [next(apart if o else plain) for o in odd.to_pylist()]
+
+    def learn(self, keys: set[str]) -> None:
+        self.look_up(list(keys))
+
+    def look_up(self, keys: list[str]) -> list[bytes]:
+        """Packed ids of distinct stretches."""
+        if self.held > self.most:
+            self.words, self.older, self.held = {}, self.words, 0
+        found = list(map(self.words.get, keys))
+        lacking = [i for i, raw in enumerate(found) if raw is None]
+        new = [keys[i] for i in lacking]
+        packed = list(map(self.older.get, new))
+        self._fill(packed, new)
+        self._keep(new, packed)
+        for i, raw in zip(lacking, packed, strict=True):
+            found[i] = raw
+        return found
+
+    def _fill(self, packed: list[bytes | None], keys: list[str]) -> None:
+        """Puts ids in place of the Nones of ``packed``."""
+        places, words, counts = [i for i, raw in enumerate(packed) if raw is None], [], []
+        for key in map(keys.__getitem__, places):
+            before = len(words)
+            if key.isalpha():
+                words.append(key)
+            elif (head := key.rstrip(punctuation)).isalpha():  # a word and its marks: two words of the pattern
+                words += head, " " + key[len(head) :]
+            else:
+                above, line, below = key.partition("\n")
+                head, start = above.rstrip(punctuation), below.rstrip(punctuation)
+                if line and head.isalpha() and start.isalpha():  # a line feed between such
+                    words.append(head)
+                    if len(head) < len(above):
+                        words.append(" " + above[len(head) :])
+                    words += " \n", " " + start
+                    if len(start) < len(below):
+                        words.append(" " + below[len(start) :])
+                else:
+                    words += map(_key, self.pattern.findall(_stretch(key)))
+            counts.append(len(words) - before)
+        known, older = self.words.get, self.older.get
+        ids = {w: known(w) or older(w) for w in words}
+        made = self.encode_fresh({w for w, raw in ids.items() if raw is None})
+        ids |= made
+        raws, at = list(map(ids.__getitem__, words)), 0
+        for i, n in zip(places, counts, strict=True):
+            packed[i] = raws[at] if n == 1 else b"".join(raws[at : at + n])
+            at += n
+        apart = made.keys() - keys
+        self._keep(apart, map(made.__getitem__, apart))
 
     def encode_fresh(self, keys: set[str]) -> dict[str, bytes]:
-        tokenize, packed, spelling, found = self.model.tokenize, self.packed, self.spelling, {}
-        for k in keys:
-            word = k[1:] if k[0] == " " else " " + k
-            tokens = tokenize(word.encode().decode("latin-1").translate(spelling))
-            found[k] = b"".join([packed[t.id] for t in tokens])
+        distinct, found = sorted(keys), {}
+        for at in range(0, len(distinct), WORDS):
+            few = distinct[at : at + WORDS]
+            words = [_stretch(k).encode() for k in few]
+            (got,) = self.model.encode_batch_fast([b"\xff".join(words).decode("latin-1").translate(self.spelling)], add_special_tokens=False)
+            ids = np.array(got.ids, self.dtype)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(list(map(len, words)))) + 1
+            raw, cuts = ids.tobytes(), (ends * ids.itemsize).tolist()
+            found.update(zip(few, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
         return found
 
 

@@ -92,6 +92,27 @@ def test_cut_texts_equal_whole_texts_in_the_library(library):
         assert np.frombuffer(raw, own.dtype).tolist() == ids, repr(text)
 
 
+def test_new_words_go_to_the_library_in_bulk(library):
+    class Counted:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def __getattr__(self, name):
+            def call(*args, **kwargs):
+                self.calls += 1
+                return getattr(self.model, name)(*args, **kwargs)
+
+            return call
+
+    rng, own = random.Random(7), token_store.LibraryEncoder(queries.BYTE_BPE)
+    words = ["".join(rng.choices("abdeinrstçÖЖ東", k=9)) for _ in range(6000)]
+    texts = [" ".join(words[:3000]), "".join(w + rng.choice([" ", ", ", ".\n", "\n", "&&& ", "'s ", "\n\n", "  ", " 7\n", "' "]) for w in words)]
+    own.model = Counted(own.model)
+    got = [np.frombuffer(raw, own.dtype).tolist() for raw in own.encode([*texts, "", words[0]])]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in (*texts, "", words[0])]
+    assert own.model.calls <= 20  # one for each new word before
+
+
 def test_token_files_of_another_tokenizer(spark):
     own = Tokenizer.from_file(queries.WORD_PIECES)
     own.no_truncation()
